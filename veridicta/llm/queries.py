@@ -4,20 +4,56 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from veridicta.llm import entropy_mix
 from veridicta.llm.common import table
 
 
+def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veridicta.llm.prob_minhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veridicta.llm.compression import quality_scores
+
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veridicta.llm.transport import media_column
+
+    return media_column(table(spark, sf_dir, "documents"))
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from veridicta.llm.suffix_trees import dedup_words
 
     return dedup_words(table(spark, sf_dir, "documents")).drop("kept_text")
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veridicta.llm.entropy_mix import mix
+
+    return mix(table(spark, sf_dir, "documents")).select("doc_id", "source", "size", "source_size", "target", "copies", "taken")
+
+
 def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from veridicta.llm.prefix_free import repeated_bytes
 
     return repeated_bytes(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_substring_dedup, op8_suffix_array_dedup)}
-ORACLES: dict[str, str] = {}
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from veridicta.llm.packing import TOKENIZER, pack_documents
+
+    return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_minhash_near_dedup, op2_quality_classifier, op3_media_columns, op4_substring_dedup, op6_mixing, op8_suffix_array_dedup, op9_best_fit_packing)
+}
+ORACLES = {"op6_mixing": entropy_mix.ORACLE_SQL}
