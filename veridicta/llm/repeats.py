@@ -171,12 +171,15 @@ def _values_reply(keep_first: bool):
     """yes: the batch's place of this value is a repeat to remove.  no: another batch goes on with it."""
 
     def run(t: pa.Table) -> pa.Table:
-        value, doc, place, batch = _gathered(t, "value", np.uint64), _gathered(t, "doc", np.int64), _gathered(t, "place", np.int64), _sources(t)
-        _, at, later, counts = firsts(value, doc, place, batch)
-        by = np.lexsort((batch, place, doc, value))
-        many = np.zeros(len(value), bool)
-        many[by] = np.repeat(counts, counts) > 1
-        i, j = np.flatnonzero(later if keep_first else many), np.flatnonzero(later)
+        value, batch = _gathered(t, "value", np.uint64), _sources(t)
+        if keep_first:
+            order = (_gathered(t, "doc", np.int64), _gathered(t, "place", np.int64), batch)
+        else:
+            order = (batch,)
+        v, _, later, counts = firsts(value, *order)
+        i = j = np.flatnonzero(later)
+        if not keep_first:
+            i = np.flatnonzero(_among(value, v[counts > 1]))
         return pa.Table.from_batches([_replies(batch, (i, value[i]), (j, value[j]))])
 
     return run
@@ -216,6 +219,10 @@ class Batch:
     def place(self, text, unit):
         return unit - self.runs.first[text]
 
+    def order(self, text, unit):
+        """What tells which place comes first; where none stays, none needs to be told."""
+        return (None, self.doc[text], self.place(text, unit)) if self.scheme.keep_first else ()
+
     def keys(self):
         r = self.runs
         if not len(r.anchor):
@@ -296,13 +303,12 @@ def remove_repeats(df: DataFrame, scheme: Scheme, finish: Callable[[Batch, np.nd
 
     def kinds(b):
         i, kind, at, _ = b.kinds()
-        t = b.runs.text[i[at]]
-        return tell(b.id, parts, kind[at], doc=b.doc[t], place=b.place(t, b.runs.low[i[at]]))
+        return tell(b.id, parts, kind[at], *b.order(b.runs.text[i[at]], b.runs.low[i[at]]))
 
     def windows(b):
         starts, text, value = b.windows()
         v, w, _, _ = firsts(value, b.doc[text], b.place(text, starts))
-        return tell(b.id, parts, v, doc=b.doc[text[w]], place=b.place(text[w], starts[w]))
+        return tell(b.id, parts, v, *b.order(text[w], starts[w]))
 
     def exchange(step, reply, joined):
         return cut(joined.mapInArrow(told(step), _TOLD).groupBy("part").applyInArrow(reply, _REPLY))
