@@ -32,12 +32,24 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_words(table(spark, sf_dir, "documents")).drop("kept_text")
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veridicta.llm.gru_lm import score_documents
+
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from veridicta.llm.entropy_mix import mix
 
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "source", "size", "source_size", "target", "copies", "taken")
 
 
+def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veridicta.llm.multiprobe import search_embeddings
+
+    return search_embeddings(table(spark, sf_dir, "embeddings"))
+
+
 def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from veridicta.llm.prefix_free import repeated_bytes
 
@@ -52,8 +64,19 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from veridicta.llm.edit_counts import VOCABULARY, edited_counts
+
+    return edited_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_minhash_near_dedup, op2_quality_classifier, op3_media_columns, op4_substring_dedup, op6_mixing, op8_suffix_array_dedup, op9_best_fit_packing)
-}
+    for f in (
+        op1_minhash_near_dedup, op2_quality_classifier, op3_media_columns, op4_substring_dedup, op5_lm_scoring, op6_mixing, op7_nearest_neighbours,
+        op8_suffix_array_dedup, op9_best_fit_packing, op10_token_counts,
+    )
+}
 ORACLES = {"op6_mixing": entropy_mix.ORACLE_SQL}
