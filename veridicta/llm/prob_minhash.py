@@ -8,10 +8,12 @@ later arrivals change nothing.  Two texts agree in a place with the probability
 
 Signatures are cut into bands.  In every bucket of a band the text that shares most buckets is the pivot; each text
 is verified against the pivots of its buckets, exactly, by the shingle counts of both texts.  Texts of one bucket that
-are then still in different components are verified too: those outside the bucket's largest component, against all
-others of the bucket in other components.  So every pair of different texts that shares a bucket is either verified
-or already connected, no pair is dropped, and a group of copies costs one pair a member.  With 32 bands of 4 rows a
-pair at similarity 0.8 shares no bucket once in 20 million times.
+are then still in different components are looked at again: those outside the bucket's largest component have their signatures compared with
+all others of the bucket in other components, in blocks.  First the three most alike of each are verified, which
+connects most; then, of what is still apart, every pair whose signatures agree in as many places as pairs at the
+threshold do but once in three million times (five standard deviations less).  So no pair that shares a bucket is
+dropped, and a group of copies costs a few pairs a member.  With 32 bands of 4 rows a pair at similarity 0.8 shares no
+bucket once in 20 million times.
 
 Texts with the same words are one class before any of this; only the one with the least id stands in bands.  Classes
 are the connected components of the links, named by their least doc_id.  ``n_links``: verified links to other texts
@@ -38,6 +40,8 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 32, 4
 HASHES = BANDS * ROWS
+MARGIN = 5 * (SIMILARITY * (1 - SIMILARITY) / HASHES) ** 0.5
+BLOCK = 2000
 
 
 def shingles(texts: list[bytes]):
@@ -104,7 +108,7 @@ def counts_of(text: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signed(documents: DataFrame) -> DataFrame:
-    """doc_id, digest (16 bytes, null without words), bands (a number for each band)."""
+    """doc_id, digest (16 bytes, null without words), bands (a number for each band), places (16 bits for each hash)."""
     ship(documents.sparkSession)
 
     def run(batches):
@@ -117,9 +121,10 @@ def signed(documents: DataFrame) -> DataFrame:
                     band = mix(band + rows.reshape(len(texts), BANDS, ROWS)[:, :, r])
                 flat = pa.array(band.view(np.int64).ravel())
                 bands = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1) * BANDS, pa.int32()), flat)
-                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(digests, pa.binary()), bands], ["doc_id", "digest", "bands"])
+                places = pa.array([binary(r) for r in rows.astype(np.uint16)], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(digests, pa.binary()), bands, places], ["doc_id", "digest", "bands", "places"])
 
-    return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, digest binary, bands array<long>")
+    return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, digest binary, bands array<long>, places binary")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
@@ -165,12 +170,72 @@ def components(links: DataFrame, rounds: int = 40) -> DataFrame:
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
+def _agreeing(threshold: float, most: int | None):
+    """For cogroups of texts outside their bucket's largest component and of others: pairs in different components with
+    signatures as alike as the threshold asks for, the ``most`` most alike of each text or all."""
+    least = int(np.ceil((threshold - MARGIN) * HASHES))
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        out_a, out_b = [], []
+        if left.num_rows and right.num_rows:
+            l, r = left.to_pandas(), right.to_pandas()
+            keys = ["band", "bucket", "i", "j"]
+            others = {k: g for k, g in r.groupby(keys, sort=False)}
+            for k, mine in l.groupby(keys, sort=False):
+                if k not in others:
+                    continue
+                theirs = others[k]
+                x = np.frombuffer(b"".join(mine["places"]), np.uint16).reshape(len(mine), HASHES)
+                y = np.frombuffer(b"".join(theirs["places"]), np.uint16).reshape(len(theirs), HASHES)
+                a, b = mine["digest"].to_numpy(), theirs["digest"].to_numpy()
+                names = {c: n for n, c in enumerate({*mine["component"], *theirs["component"]})}
+                ca, cb = mine["component"].map(names).to_numpy(), theirs["component"].map(names).to_numpy()
+                step = max(1, (8 << 20) // (len(y) * HASHES))
+                for at in range(0, len(x), step):
+                    same = (x[at : at + step, None, :] == y[None, :, :]).sum(2)
+                    same[ca[at : at + step, None] == cb[None, :]] = -1
+                    if most is not None and same.shape[1] > most:
+                        floor = -np.partition(-same, most - 1, axis=1)[:, most - 1]
+                        # of equally alike ones the first few, so that no row has more than ``most``
+                        far = same < np.maximum(floor, least)[:, None]
+                        rank = np.argsort(np.argsort(-same, axis=1, kind="stable"), axis=1)
+                        hit = ~far & (rank < most)
+                    else:
+                        hit = same >= least
+                    p, q = np.nonzero(hit & (same >= least))
+                    out_a += [min(u, v) for u, v in zip(a[at + p], b[q], strict=True)]
+                    out_b += [max(u, v) for u, v in zip(a[at + p], b[q], strict=True)]
+        return pa.table([pa.array(out_a, pa.binary()), pa.array(out_b, pa.binary())], ["a", "b"])
+
+    return run
+
+
+def _apart(shared: DataFrame, groups: DataFrame, places: DataFrame, threshold: float, most: int | None) -> DataFrame:
+    """Pairs (a, b) to verify among texts that share a bucket and are in different components."""
+    named = shared.select("band", "bucket", "digest", "n").join(groups.withColumnRenamed("node", "digest"), "digest", "left")
+    named = named.withColumn("component", F.coalesce("component", "digest"))
+    sizes = named.groupBy("band", "bucket", "component").agg(F.count("*").alias("m"))
+    largest = sizes.groupBy("band", "bucket").agg(F.max(F.struct("m", "component"))["component"].alias("largest"), F.count("*").alias("k")).where("k > 1")
+    split = cut(named.join(largest, ["band", "bucket"]).join(places, "digest").drop("k"))
+    cells = max(8, split.count() // 20_000)
+    split = split.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+
+    def side(df, own, other):
+        d = df.withColumn(own, F.col("own")).withColumn(other, every)
+        d = d.withColumn("cell", F.pmod(F.xxhash64("band", "bucket", "i", "j"), F.lit(cells)))
+        return d.select(*(F.col(c).alias(c) for c in ("cell", "band", "bucket", "i", "j", "digest", "component", "places")))
+
+    left, right = side(split.where("component <> largest"), "i", "j"), side(split, "j", "i")
+    return left.groupBy("cell").cogroup(right.groupBy("cell")).applyInArrow(_agreeing(threshold, most), "a binary, b binary").distinct()
+
+
 def classes(documents: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     """doc_id, digest, class_id, n_links for each row of (doc_id, text)."""
     docs = cut(signed(documents))
     place = F.coalesce(F.col("doc_id"), F.lit(FIRST))
     # the least id among texts with the same words, and one signature of theirs
-    distinct = docs.where("digest IS NOT NULL").groupBy("digest").agg(F.min(place).alias("least"), F.first("bands").alias("bands"))
+    distinct = docs.where("digest IS NOT NULL").groupBy("digest").agg(F.min(place).alias("least"), F.first("bands").alias("bands"), F.first("places").alias("places"))
     bands = distinct.select("digest", F.posexplode("bands").alias("band", "bucket"))
     crowd = bands.groupBy("band", "bucket").agg(F.count("*").alias("n")).where("n > 1")
     shared = cut(bands.join(crowd, ["band", "bucket"]))  # skew: the crowded side has one row a bucket
@@ -189,19 +254,12 @@ def classes(documents: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     star_links = cut(_verified(cut(pairs), texts, threshold))
     groups = components(star_links)
 
-    # what no pivot has settled: members outside a bucket's largest component, against the others
-    named = shared.select("band", "bucket", "digest").join(groups.withColumnRenamed("node", "digest"), "digest", "left")
-    named = named.withColumn("component", F.coalesce("component", "digest"))
-    sizes = named.groupBy("band", "bucket", "component").agg(F.count("*").alias("m"))
-    largest = sizes.groupBy("band", "bucket").agg(F.max(F.struct("m", "component"))["component"].alias("largest"), F.count("*").alias("k")).where("k > 1")
-    split = cut(named.join(largest, ["band", "bucket"]))
-    rest = split.where("component <> largest").select("band", "bucket", F.col("digest").alias("a"), F.col("component").alias("c"))
-    other = split.select("band", "bucket", F.col("digest").alias("b"), "component", "largest")
-    open_pairs = rest.join(other, ["band", "bucket"]).where("c <> component AND (component = largest OR a < b)")
-    open_pairs = open_pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-    more = _verified(open_pairs, texts, threshold)
-    links = cut(star_links.unionByName(more))
-    groups = components(links)
+    # what no pivot has settled
+    places = distinct.select("digest", "places").join(wanted, "digest", "left_semi")
+    links = star_links
+    for most in (3, None):
+        links = cut(links.unionByName(_verified(cut(_apart(shared, groups, places, threshold, most)), texts, threshold)))
+        groups = components(links)
 
     ends = links.select(F.col("a").alias("digest")).unionByName(links.select(F.col("b").alias("digest")))
     degree = ends.groupBy("digest").agg(F.count("*").alias("n_links"))
