@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 SPACE = r"[\s\x1c-\x1f\x85\xa0]"
 
@@ -35,7 +36,7 @@ def is_upper(c: Column) -> Column:
     return (F.upper(c) == c) & (F.lower(c) != c)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFC", x))
 

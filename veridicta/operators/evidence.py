@@ -49,7 +49,7 @@ def quality(types: Column, pack=EVIDENCE) -> Column:
 def kpi_values(text: str = "text", patterns=KPI_VALUES, most: int = 10) -> Column:
     c = F.coalesce(F.col(text), F.lit(""))
     all_ = F.flatten(F.array(*(F.regexp_extract_all(c, F.lit(re_(p)), F.lit(1)) for p in patterns)))
-    return F.slice(F.array_sort(F.array_distinct(F.transform(all_, F.trim))), 1, most)
+    return F.slice(F.array_sort(F.array_distinct(F.transform(all_, lambda x: F.trim(x)))), 1, most)
 
 
 def detect(df: DataFrame, text: str = "text", pack=EVIDENCE, kpis=KPI_VALUES) -> DataFrame:

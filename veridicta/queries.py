@@ -246,7 +246,7 @@ def a4(spark, sf):
 
 
 _NORM = r"regexp_replace(regexp_replace(regexp_replace(replace(replace({}, chr(160), ' '), '…', '.'), '[ \t]+', ' ', 'g'), '\n{{3,}}', E'\n\n', 'g'), '^\s+|\s+$', '', 'g')"
-_CONTENT = "replace(replace(text, ' | ', '  |'), chr(10), chr(10) || ' ' || chr(10))"
+_CONTENT = "replace(text, chr(10), chr(10) || ' ' || chr(10))"
 
 
 @query("b1_nfc", "SELECT doc_id, md5(nfc_normalize(text)) AS h FROM documents")
