@@ -82,3 +82,9 @@ def entropy(counts: list[Column]) -> Column:
 def rate(condition: Column) -> Column:
     """Share of rows for which the condition holds (null: it doesn't)."""
     return F.avg(F.when(condition, 1.0).otherwise(0.0))
+
+
+def correlation(x: str, y: str) -> Column:
+    """Pearson's; null where one side doesn't vary."""
+    spread = F.stddev_pop(x) * F.stddev_pop(y)
+    return F.when(spread > 0, F.covar_pop(x, y) / spread)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from veridicta.functions.expressions import dbl, entropy, rate
+from veridicta.functions.expressions import correlation, dbl, entropy, rate
 from veridicta.functions.packs import ACTIONS, ESG_TOPICS
 from veridicta.operators.risk import level, sentence_risks, washing_risk
 
@@ -141,7 +141,7 @@ def spearman(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     for x, y in pairs:
         d = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
         rx, ry = average_ranks(d, "x").select(F.col("value").alias("x"), F.col("rank").alias("rx")), average_ranks(d, "y").select(F.col("value").alias("y"), F.col("rank").alias("ry"))
-        one = d.join(rx, "x").join(ry, "y").agg(F.corr("rx", "ry").alias("rho")).select(F.lit(x).alias("x"), F.lit(y).alias("y"), "rho")
+        one = d.join(rx, "x").join(ry, "y").agg(correlation("rx", "ry").alias("rho")).select(F.lit(x).alias("x"), F.lit(y).alias("y"), "rho")
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -153,7 +153,7 @@ def spearman_matrix(scores: DataFrame, columns=CORRELATED) -> DataFrame:
         n = F.count("*").over(W.partitionBy(c))
         d = d.withColumn(f"r_{c}", F.rank().over(W.orderBy(c)) + (n - 1) / 2)
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
-    one = d.agg(*(F.corr(f"r_{a}", f"r_{b}").alias(f"{a}|{b}") for a, b in pairs))
+    one = d.agg(*(correlation(f"r_{a}", f"r_{b}").alias(f"{a}|{b}") for a, b in pairs))
     rows = F.explode(F.array(*(F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), F.col(f"{a}|{b}").alias("rho")) for a, b in pairs)))
     return one.select(rows.alias("r")).select("r.x", "r.y", "r.rho")
 

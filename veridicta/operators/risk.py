@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from veridicta.functions.expressions import clamp, dbl, entropy
+from veridicta.functions.expressions import clamp, correlation, dbl, entropy
 from veridicta.functions.packs import ACTIONS, ESG_TOPICS, EVIDENCE
 from veridicta.operators.evidence import quality
 
@@ -152,7 +152,7 @@ def sentence_risks(df: DataFrame, order: str = "sent_pos", top: int | None = Non
 def summary(scores: DataFrame) -> DataFrame:
     return scores.agg(
         F.count("*").alias("n"), F.min("ewri").alias("ewri_min"), F.max("ewri").alias("ewri_max"), F.avg("ewri").alias("ewri_mean"), F.stddev_samp("ewri").alias("ewri_std"),
-        F.avg("ewri_old").alias("ewri_old_mean"), F.corr("ewri", "ewri_old").alias("pearson"),
+        F.avg("ewri_old").alias("ewri_old_mean"), correlation("ewri", "ewri_old").alias("pearson"),
     )
 
 
