@@ -82,6 +82,11 @@ def mix(documents: DataFrame, weights=WEIGHTS, cap: float = CAP) -> DataFrame:
             on = on & (x[c] == r[f"__r_{c}"])
         return x.join(r, on).drop(*(f"__r_{c}" for c in ("source", *more)))
 
+    def by_cell(p: DataFrame) -> DataFrame:
+        """A source's plan at each of its buckets, so that joining it deals no source into one task."""
+        c = cells.select(F.col("source").alias("__c"), "__bucket")
+        return c.join(p, c["__c"].eqNullSafe(p["source"])).drop("__c")
+
     order = ["__digest", "doc_id", "size"]
     is_large = F.col("size") > F.col("__large")
 
@@ -89,7 +94,7 @@ def mix(documents: DataFrame, weights=WEIGHTS, cap: float = CAP) -> DataFrame:
         return F.sum("size").over(window.rowsBetween(W.unboundedPreceding, 0)) - F.col("size") / 2
 
     # large documents, fewer than 256 a source: longest first, each passes on what its choice is off by
-    slim = with_plan(d.select("doc_id", "source", "size", "__digest", "__bucket"), plan)
+    slim = with_plan(d.select("doc_id", "source", "size", "__digest", "__bucket"), by_cell(plan), "__bucket")
     by_size = [F.col("size").desc(), *order]
     listed = slim.where(is_large).groupBy("source", "__share").agg(F.sort_array(F.collect_list(F.struct((-F.col("size")).alias("n"), "__digest", "doc_id"))).alias("all"))
     start = F.struct(F.lit(0.0).alias("carry"), F.lit(0).cast("long").alias("got"), F.array().cast("array<boolean>").alias("chosen"))
@@ -113,9 +118,9 @@ def mix(documents: DataFrame, weights=WEIGHTS, cap: float = CAP) -> DataFrame:
     offsets = small.withColumn(
         "__offset", F.coalesce(F.sum("__n").over(W.partitionBy("source").orderBy("__bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     ).drop("__n")
-    full = with_plan(d, plan2)
-    o = offsets.withColumnsRenamed({"source": "__o_source", "__bucket": "__o_bucket"})
-    full = full.join(o, full["source"].eqNullSafe(o["__o_source"]) & (full["__bucket"] == o["__o_bucket"]), "left").drop("__o_source", "__o_bucket")
+    o, p = offsets.withColumnsRenamed({"source": "__o_source", "__bucket": "__o_bucket"}), by_cell(plan2)
+    p = p.join(o, p["source"].eqNullSafe(o["__o_source"]) & (p["__bucket"] == o["__o_bucket"]), "left").drop("__o_source", "__o_bucket")
+    full = with_plan(d, p, "__bucket")
     kind = F.when(is_large, F.lit("")).otherwise(F.col("__bucket"))  # all large ones of a source together
     at = midway(W.partitionBy("source", is_large, kind).orderBy(*order)) + F.coalesce("__offset", F.lit(0))
     turn = F.row_number().over(W.partitionBy("source", is_large, kind).orderBy(*by_size))
