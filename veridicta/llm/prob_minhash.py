@@ -230,8 +230,9 @@ def _apart(shared: DataFrame, groups: DataFrame, places: DataFrame, threshold: f
     return left.groupBy("cell").cogroup(right.groupBy("cell")).applyInArrow(_agreeing(threshold, most), "a binary, b binary").distinct()
 
 
-def classes(documents: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
-    """doc_id, digest, class_id, n_links for each row of (doc_id, text)."""
+def members(documents: DataFrame, threshold: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
+    """(doc_id and digest of each row; for each digest its class_id, head and n_links).  The head is the digest of the
+    text that names the class; a class without ids has ``FIRST`` as class_id."""
     docs = cut(signed(documents))
     place = F.coalesce(F.col("doc_id"), F.lit(FIRST))
     # the least id among texts with the same words, and one signature of theirs
@@ -250,7 +251,7 @@ def classes(documents: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     ids = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(FIRST)).alias("least"), "text")
     # rows that repeat an id may differ in text, so the digest decides
     texts = ids.join(least.select("least").distinct(), "least", "left_semi")
-    texts = cut(_with_digest(texts).join(wanted, "digest", "left_semi").dropDuplicates(["digest"]))
+    texts = cut(_with_digest(texts.select("text")).join(wanted, "digest", "left_semi").dropDuplicates(["digest"]))
     star_links = cut(_verified(cut(pairs), texts, threshold))
     groups = components(star_links)
 
@@ -265,22 +266,34 @@ def classes(documents: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     degree = ends.groupBy("digest").agg(F.count("*").alias("n_links"))
     member = distinct.select("digest", "least").join(groups.withColumnRenamed("node", "digest"), "digest", "left").join(degree, "digest", "left")
     member = member.withColumn("component", F.coalesce("component", "digest"))
-    heads = member.groupBy("component").agg(F.min("least").alias("class_id"))
-    member = member.join(heads, "component").select("digest", F.nullif("class_id", F.lit(FIRST)).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    out = docs.select("doc_id", "digest").join(member, "digest", "left")
-    alone = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("class_id"))
+    named = F.min(F.struct("least", "digest"))
+    heads = member.groupBy("component").agg(named["least"].alias("class_id"), named["digest"].alias("head"))
+    return docs.select("doc_id", "digest"), member.join(heads, "component").select("digest", "class_id", "head", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
+def classes(documents: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
+    """doc_id, digest, class_id, n_links for each row of (doc_id, text)."""
+    docs, member = members(documents, threshold)
+    out = docs.join(member, "digest", "left")
+    alone = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.nullif("class_id", F.lit(FIRST)))
     return out.select("doc_id", "digest", alone.alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
-def _with_digest(texts: DataFrame) -> DataFrame:
+def _digests(texts: list[bytes]) -> list[bytes | None]:
+    w = Words(texts)
+    return [hashlib.blake2b(binary(w.hash[i:j]), digest_size=16).digest() if j > i else None for i, j in zip(w.first[:-1], w.first[1:], strict=True)]
+
+
+def _with_digest(rows: DataFrame, name: str = "digest") -> DataFrame:
+    """The rows with the digest of their ``text``."""
+    names = rows.columns
+
     def run(batches):
         for b in batches:
             for part, data in chunks(b):
-                w = Words(data)
-                digests = [hashlib.blake2b(binary(w.hash[i:j]), digest_size=16).digest() if j > i else None for i, j in zip(w.first[:-1], w.first[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), part.column(1)], ["digest", "text"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(_digests(data), pa.binary())], [*names, name])
 
-    return texts.select("least", "text").mapInArrow(run, "digest binary, text string")
+    return rows.mapInArrow(run, rows.withColumn(name, F.lit(b"")).schema)
 
 
 def near_duplicates(documents: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
@@ -290,9 +303,12 @@ def near_duplicates(documents: DataFrame, threshold: float = SIMILARITY) -> Data
 
 
 def drop_near_duplicates(documents: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
-    """One document of each class, with its columns.  Of rows that repeat the kept id one stays if all have its words."""
-    names = documents.columns
-    drop = classes(documents, threshold).where("NOT doc_id <=> class_id").select("doc_id").distinct()
-    left = documents.join(drop, "doc_id", "left_anti")
-    again = left.withColumn("__n", F.row_number().over(W.partitionBy("doc_id", F.md5(F.coalesce("text", F.lit("")).cast("binary"))).orderBy(F.lit(1))))
-    return again.where("__n = 1 OR doc_id IS NULL").select(*names)
+    """One row of each class, with its columns: one that has the id and the words that name the class.  Rows without
+    words all stay."""
+    _, member = members(documents, threshold)
+    no_words = F.coalesce("text", F.lit("")).rlike(r"^[\x20\x09-\x0D]*\z")
+    rows = _with_digest(documents.where(~no_words), "__digest").withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), F.lit(FIRST)))
+    heads = member.where("digest = head").select(F.col("digest").alias("__digest"), F.col("class_id").alias("__id"))
+    first = F.row_number().over(W.partitionBy("__digest", "__id").orderBy(F.lit(1)))
+    one = rows.join(heads, ["__digest", "__id"]).withColumn("__n", first).where("__n = 1")
+    return one.select(*documents.columns).unionByName(documents.where(no_words))
