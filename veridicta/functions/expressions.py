@@ -41,15 +41,23 @@ def nfc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFC", x))
 
 
+def once(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once a row, also where ``use`` has it inside a lambda."""
+    return F.transform(F.array(value), use)[0]
+
+
 def clamp(c: Column) -> Column:
     return F.least(F.greatest(c, dbl(0)), dbl(1))
 
 
 def log_softmax(a: Column) -> Column:
     """Of an array; ln(sum(exp(x - max))) is taken once."""
-    top = F.array_max(a)
-    rest = F.ln(F.aggregate(a, dbl(0), lambda s, x: s + F.exp(x - top)))
-    return F.transform(a, lambda x: x - top - rest)
+
+    def of(a):
+        rest = lambda top: F.struct(top.alias("top"), F.ln(F.aggregate(a, dbl(0), lambda s, x: s + F.exp(x - top))).alias("rest"))
+        return once(once(F.array_max(a), rest), lambda r: F.transform(a, lambda x: x - r["top"] - r["rest"]))
+
+    return once(a, of)
 
 
 def softmax(a: Column) -> Column:

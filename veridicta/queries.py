@@ -188,9 +188,9 @@ def fused(spark, sf):
 
 
 def linkable(spark, sf):
-    """Vectors of the table as sentences: label as bank, vec_id as position, a document's start as text."""
+    """Vectors of the table as claims: label as bank, vec_id as position, the text of the document with that number."""
     e = table(spark, sf, "embeddings").select(F.concat(F.lit("b"), F.col("label").cast("string")).alias("bank"), F.lit(2020).alias("year"), (F.col("vec_id") + 0).alias("sent_pos"), "embedding")
-    s = table(spark, sf, "documents").select(F.col("doc_id").alias("sent_pos"), F.substring("text", 1, 160).alias("sentence"))
+    s = table(spark, sf, "documents").select(F.col("doc_id").alias("sent_pos"), F.col("text").alias("sentence"))
     d = e.join(s, "sent_pos")
     d = d.withColumn("sent_pos", F.row_number().over(W.partitionBy("bank", "year").orderBy("sent_pos")) - 1).withColumn("text", F.col("sentence"))
     d = evidence.detect(d, pack=_E, kpis=packs.SYNTHETIC_KPI_VALUES)
@@ -198,7 +198,7 @@ def linkable(spark, sf):
 
 
 LINK = f"""
-WITH l0 AS (SELECT 'b' || label AS bank, 2020 AS year, vec_id, CAST(embedding AS DOUBLE[]) AS v, substr(text, 1, 160) AS sentence FROM embeddings JOIN documents ON doc_id = vec_id),
+WITH l0 AS (SELECT 'b' || label AS bank, 2020 AS year, vec_id, CAST(embedding AS DOUBLE[]) AS v, text AS sentence FROM embeddings JOIN documents ON doc_id = vec_id),
 l AS (SELECT *, row_number() OVER (PARTITION BY bank, year ORDER BY vec_id) - 1 AS sent_pos, list_filter([{_found}], lambda x: x IS NOT NULL) AS types FROM l0),
 win AS (SELECT a.bank, a.year, a.sent_pos AS claim, b.sent_pos AS evidence, 1 - abs(a.sent_pos - b.sent_pos) / CAST(6 AS DOUBLE) * CAST(0.3 AS DOUBLE) AS boost
   FROM l a JOIN l b ON a.bank = b.bank AND a.year = b.year AND a.sent_pos <> b.sent_pos AND abs(a.sent_pos - b.sent_pos) <= 5)"""
@@ -368,7 +368,7 @@ def c3(spark, sf):
 
 @query("c4_near_duplicates")
 def c4(spark, sf):
-    d = quality.pairwise_duplicates(sentences(spark, sf).where(F.length("sentence") >= 20), "sent_pos")
+    d = quality.pairwise_duplicates(sentences(spark, sf), "sent_pos")
     return d.groupBy("bank").agg(F.count("*").alias("n"), F.count_if("_is_duplicate").alias("duplicates"))
 
 
@@ -394,8 +394,7 @@ def c7(spark, sf):
 
 @query("c8_report")
 def c8(spark, sf):
-    d = sentences(spark, sf).where(F.length("sentence") >= 15)
-    return quality.report(quality.run_checks(d, "sent_pos"))
+    return quality.report(quality.run_checks(sentences(spark, sf), "sent_pos"))
 
 
 @query("d4_topics", TOPIC + " SELECT sent_id, topic_label, round(topic_confidence, 6) AS topic_confidence, topic_rules FROM topic")

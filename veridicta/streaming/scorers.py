@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veridicta.functions.expressions import dbl
+from veridicta.functions.expressions import dbl, once
 from veridicta.operators.labels import not_yet, wants_label
 from veridicta.plans.shipping import ship
 
@@ -22,7 +22,8 @@ def hashed_embeddings(df: DataFrame, text: str = "sentence", dimensions: int = D
     place = lambda w: F.pmod(F.xxhash64(w), F.lit(dimensions)).cast("int")
     sign = lambda w: F.when(F.pmod(F.xxhash64(w, F.lit(1)), F.lit(2)) == 0, dbl(1)).otherwise(dbl(-1))
     marked = F.transform(words, lambda w: F.struct(place(w).alias("p"), sign(w).alias("s")))
-    vector = F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda i: F.aggregate(F.filter(marked, lambda x: x["p"] == i), dbl(0), lambda s, x: s + x["s"]))
+    sums = lambda m: F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda i: F.aggregate(F.filter(m, lambda x: x["p"] == i), dbl(0), lambda s, x: s + x["s"]))
+    vector = once(marked, sums)
     return df.withColumn("embedding", F.when(F.size(words) > 0, vector).otherwise(zero))
 
 
