@@ -6,6 +6,8 @@ maximal run of bytes other than space and 0x09-0x0D; ``bytes.split()`` gives exa
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import tempfile
 import zlib
@@ -161,6 +163,13 @@ def ragged(start: np.ndarray, count: np.ndarray) -> np.ndarray:
     return np.arange(total) + np.repeat(start - (ends - count), count)
 
 
+def trim() -> None:
+    """Give freed memory back to the system; workers are used again, by other stages too."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not glibc
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def ids_of(batch, column: str = "doc_id") -> np.ndarray:
     col = batch.column(batch.schema.get_field_index(column))
     return pc.fill_null(col.cast(pa.int64()), FIRST).to_numpy(zero_copy_only=False)

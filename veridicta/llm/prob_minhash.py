@@ -33,13 +33,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from veridicta.llm.common import FIRST, SpanHash, Words, binary, byte_column, chunks, cut, mix, ragged
+from veridicta.llm.common import FIRST, SpanHash, Words, binary, byte_column, chunks, cut, mix, ragged, trim
 from veridicta.plans.shipping import ship
 
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 32, 4
 HASHES = BANDS * ROWS
+CHUNK = 1 << 20
 MARGIN = 5 * (SIMILARITY * (1 - SIMILARITY) / HASHES) ** 0.5
 BLOCK = 2000
 
@@ -113,7 +114,7 @@ def signed(documents: DataFrame) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            for part, texts in chunks(b):
+            for part, texts in chunks(b, limit=CHUNK):
                 text, value, count, digests = shingles(texts)
                 rows = mix(signatures(len(texts), text, value, count))
                 band = np.zeros((len(texts), BANDS), np.uint64)
@@ -123,6 +124,7 @@ def signed(documents: DataFrame) -> DataFrame:
                 bands = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1) * BANDS, pa.int32()), flat)
                 places = pa.array([binary(r) for r in rows.astype(np.uint16)], pa.binary())
                 yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(digests, pa.binary()), bands, places], ["doc_id", "digest", "bands", "places"])
+                trim()
 
     return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, digest binary, bands array<long>, places binary")
 
@@ -142,11 +144,14 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame
                 held[key] = counts_of(text)
             return held[key]
 
-        for batch in batches:
-            keys = [batch.column(k).to_pylist() for k in (0, 1)]
-            sides = [byte_column(batch.column(k)) for k in (2, 3)]
-            good = [similarity(of(a, x), of(b, y)) >= threshold for a, b, x, y in zip(*keys, *sides, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(good, pa.bool_()))
+        for whole in batches:
+            for at in range(0, whole.num_rows, 128):
+                batch = whole.slice(at, 128)
+                keys = [batch.column(k).to_pylist() for k in (0, 1)]
+                sides = [byte_column(batch.column(k)) for k in (2, 3)]
+                good = [similarity(of(a, x), of(b, y)) >= threshold for a, b, x, y in zip(*keys, *sides, strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(good, pa.bool_()))
+            trim()
 
     joined = pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b")
     return joined.mapInArrow(run, "a binary, b binary")
@@ -290,8 +295,9 @@ def _with_digest(rows: DataFrame, name: str = "digest") -> DataFrame:
 
     def run(batches):
         for b in batches:
-            for part, data in chunks(b):
+            for part, data in chunks(b, limit=CHUNK):
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(_digests(data), pa.binary())], [*names, name])
+                trim()
 
     return rows.mapInArrow(run, rows.withColumn(name, F.lit(b"")).schema)
 

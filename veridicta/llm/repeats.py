@@ -23,10 +23,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veridicta.llm.common import SpanHash, binary, byte_column, cut, ids_of, mix, numbers, ragged
+from veridicta.llm.common import SpanHash, binary, byte_column, cut, ids_of, mix, numbers, ragged, trim
 from veridicta.plans.shipping import ship
 
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 3 << 20
 PART_VALUES = 400_000
 _TOLD = "part long, batch long, value binary, extra binary, doc binary, place binary"
 _REPLY = "batch long, yes binary, no binary"
@@ -64,6 +64,7 @@ def pack(df: DataFrame, limit: int = BATCH_BYTES) -> DataFrame:
                 if size >= limit:
                     yield out()
                     n, held, size = n + 1, [], 0
+                    trim()
         if held:
             yield out()
 
@@ -280,6 +281,7 @@ def _rows(batches):
     for b in batches:
         for i in range(b.num_rows):
             yield b.slice(i, 1).to_pylist()[0]
+            trim()
 
 
 def remove_repeats(df: DataFrame, scheme: Scheme, finish: Callable[[Batch, np.ndarray], pa.RecordBatch], schema: str) -> DataFrame:
