@@ -77,6 +77,18 @@ def test_lm_learns_order_and_sums_to_one(spark):
     assert abs(sum((c + 1) / v.rest for c in (2, 2, 1)) + 1 / v.rest - 1) < 1e-12
 
 
+def test_lm_learns_from_every_training_token(spark, docs, data):
+    rng = random.Random(6)
+    rows = [(i, " ".join(rng.choices("abcdefgh", k=rng.randint(1, 20)))) for i in range(2500)] + [(9001, "red fox " * 140_000), (9002, "one two three " * 60_000)]
+    assert len(rows[-2][1]) > 1 << 20 and all(zlib.crc32(str(i).encode()) % 7 != 2 for i in (9001, 9002))
+    for df, given in ((spark.createDataFrame(rows, "doc_id long, text string").repartition(5), rows), (docs.select("doc_id", "text"), data)):
+        packed = gru_lm.pack(df, 1 << 18)
+        v = gru_lm.vocabulary(df, gru_lm.corpus_counts(packed, 4))
+        _, seen = gru_lm.fit(packed, v)
+        out = lambda i: zlib.crc32(b"" if i is None else str(i).encode()) % 7 == 2
+        assert seen == v.total == sum(len((r[1] or "").encode().split()) + 1 for r in given if not out(r[0]))
+
+
 def test_lm_carries_state_across_windows():
     import numpy as np
 

@@ -6,9 +6,12 @@ by one exchange: each batch of texts tells every distinct word once, with its co
 The model reads the previous token and predicts the next: first its class, then the word in the class.  The
 ``VOCABULARY`` most frequent training words stand in ``CLASSES`` classes by frequency; the end and "any other word" are
 classes of their own, and another word's share of the latter is its smoothed count's, so all probabilities of a next
-token sum to one.  Weights are fitted on ``TRAINING_TEXTS`` training documents (least hash of the id) by truncated
-backpropagation: streams of documents, ``STEPS`` tokens a window, the state handed from window to window and set to
-zero where a document begins.  Scoring carries each document's state through all its windows.
+token sum to one.  Weights are fitted on all training documents by truncated backpropagation: streams of documents,
+``STEPS`` tokens a window, the state handed from window to window and set to zero where a document begins.  Each round
+takes some partitions: every one goes on from the round's weights over all its training texts, and the next round's
+weights are the mean by tokens.  Rounds, and partitions in a round, grow with the square root of the partitions, and
+each partition is in one round.  Weights so depend on how the input is dealt out.  Scoring carries each document's
+state through all its windows.
 
 Null and empty texts have the end alone.  Repeated rows are scored, and counted, one by one.  A null id counts as an
 empty id text.  Without any training tokens the model is the base.
@@ -28,7 +31,7 @@ from veridicta.llm.repeats import _rows, pack, record, tell, unpacked
 
 FOLDS, HELD_OUT = 7, 2
 VOCABULARY, CLASSES, HIDDEN = 2000, 45, 32
-TRAINING_TEXTS, TRAINING_TOKENS, STREAMS, STEPS, EPOCHS, LEAST_WINDOWS = 2000, 800_000, 48, 24, 2, 300
+STREAMS, STEPS, EPOCHS, LEAST_WINDOWS = 48, 24, 2, 300
 WINDOW = 128  # tokens scored between two passes of the output layers
 PART_VALUES = 1_500_000
 _COUNTS = "batch long, part long, counts binary, kinds long, total long, top array<struct<h:long,n:long>>"
@@ -168,11 +171,12 @@ class Model:
         back[order] = out
         return back
 
-    def train(self, documents: list[np.ndarray], epochs: int = EPOCHS, rate: float = 4e-3, seed: int = 11) -> Model:
+    def train(self, documents: list[np.ndarray], epochs: int = EPOCHS, rate: float = 4e-3, seed: int = 11, share: tuple[int, int] = (0, 1)) -> Model:
+        """``share``: this is round k of n, over which the rate falls and the least windows are dealt out."""
         rng = np.random.default_rng(seed)
         moments = [(np.zeros_like(p), np.zeros_like(p)) for p in self.parameters()]
         total = sum(map(len, documents))
-        turns = max(LEAST_WINDOWS, epochs * (total // (STREAMS * STEPS)))  # small corpora are passed more often
+        turns = max(LEAST_WINDOWS // share[1], epochs * (total // (STREAMS * STEPS)))  # small corpora are passed more often
         done, epoch = 0, 0
         while done < turns and total:
             lanes: list[list[np.ndarray]] = [[] for _ in range(STREAMS)]
@@ -192,7 +196,7 @@ class Model:
             before = np.concatenate([np.full((STREAMS, 1), self.v.end), token[:, :-1]], 1)
             for at in range(0, size, STEPS):
                 done += 1
-                state = self._window(before[:, at : at + STEPS], token[:, at : at + STEPS], real[:, at : at + STEPS], state, moments, done, rate * max(0.05, 1 - done / turns))
+                state = self._window(before[:, at : at + STEPS], token[:, at : at + STEPS], real[:, at : at + STEPS], state, moments, done, rate * max(0.05, 1 - (share[0] + done / turns) / share[1]))
                 if done >= turns:
                     break
             epoch += 1
@@ -280,25 +284,62 @@ def corpus_counts(packed: DataFrame, parts: int) -> DataFrame:
     return packed.mapInArrow(told, _TOLD).groupBy("part").applyInArrow(reply, _COUNTS)
 
 
-def fit(documents: DataFrame, counts: DataFrame, train_texts: int = TRAINING_TEXTS) -> Model:
-    """The vocabulary from the corpus's counts, the weights from a bounded sample of the training part."""
+def vocabulary(documents: DataFrame, counts: DataFrame) -> Vocabulary:
     sums = counts.where("batch IS NULL").agg(F.sum("kinds").alias("kinds"), F.sum("total").alias("total")).first()
     top = counts.where("batch IS NULL").select(F.explode("top").alias("t")).select("t.h", "t.n").orderBy(F.col("n").desc(), "h").limit(VOCABULARY).collect()
-    training = documents.where(crc_of_id() % FOLDS != HELD_OUT)
-    ends = training.count()
-    v = Vocabulary(
+    ends = documents.where(crc_of_id() % FOLDS != HELD_OUT).count()
+    return Vocabulary(
         np.array([r["h"] for r in top], np.int64).view(np.uint64), np.array([r["n"] for r in top], np.int64), ends, (sums["total"] or 0) + ends, (sums["kinds"] or 0) + (ends > 0)
     )
-    ids = training.select("doc_id").distinct().orderBy(F.xxhash64("doc_id", F.lit(23)), "doc_id").limit(train_texts)
-    sample = training.join(F.broadcast(ids), "doc_id").select("doc_id", "text").where(F.octet_length(F.coalesce("text", F.lit(""))) < 1 << 20)
-    texts = sorted((crc_of(r["doc_id"]), (r["text"] or "").encode()) for r in sample.toLocalIterator())
-    documents_, held = [], 0
-    for _, text in texts:
-        x = np.r_[v.tokens(Words([text], lower=True).hash), v.end]
-        if held + len(x) <= TRAINING_TOKENS or not held:
-            documents_.append(x)
-            held += len(x)
-    return Model(v).train(documents_) if documents_ else Model(v)
+
+
+def _round(packed: DataFrame, model: Model, partitions: list[int], share: tuple[int, int]) -> int:
+    """Trains on all training texts of the partitions and puts the mean of their weights into the model; how many
+    tokens there were."""
+    sc = packed.sparkSession.sparkContext
+    shared = sc.broadcast(model)  # HIDDEN, VOCABULARY and CLASSES bound its size
+
+    def learn(batches):
+        model = Model.__new__(Model)  # the broadcast one stays as it is: workers are used again
+        for name, x in vars(shared.value).items():
+            setattr(model, name, x.copy() if isinstance(x, np.ndarray) else x)
+        v, seen = model.v, 0
+        for row in _rows(batches):
+            rows = unpacked(row["rows"])
+            train = [crc_of(i) % FOLDS != HELD_OUT for i in rows.column("doc_id").to_pylist()]
+            texts = [t for t, use in zip(byte_column(rows.column("text")), train, strict=True) if use]
+            if texts:
+                w = Words(texts, lower=True)
+                token = v.tokens(w.hash)
+                documents = [np.append(token[a:b], v.end) for a, b in zip(w.first[:-1], w.first[1:], strict=True)]
+                model.train(documents, share=share)
+                seen += len(token) + len(texts)
+        if seen:
+            weights = np.concatenate([p.ravel() for p in model.parameters()])
+            yield pa.RecordBatch.from_arrays([pa.array([seen]), pa.array([binary(weights)], pa.binary())], ["seen", "weights"])
+
+    told = packed.select("rows").mapInArrow(learn, "seen long, weights binary").rdd
+    got = sc.runJob(told, lambda rows: [(r["seen"], bytes(r["weights"])) for r in rows], partitions)
+    shared.destroy()
+    total = sum(n for n, _ in got)
+    if total:
+        mean = sum(np.frombuffer(x, np.float32) * np.float32(n / total) for n, x in got)
+        at = 0
+        for p in model.parameters():
+            p[...] = mean[at : at + p.size].reshape(p.shape)
+            at += p.size
+    return total
+
+
+def fit(packed: DataFrame, v: Vocabulary) -> tuple[Model, int]:
+    """The weights from the whole training part, and how many tokens they were fitted on."""
+    model, seen = Model(v), 0
+    n = packed.rdd.getNumPartitions()
+    rounds = max(1, round(n**0.5))
+    for k in range(rounds):
+        if part := list(range(k, n, rounds)):
+            seen += _round(packed, model, part, (k, rounds))
+    return model, seen
 
 
 def score_documents(documents: DataFrame) -> DataFrame:
@@ -307,7 +348,7 @@ def score_documents(documents: DataFrame) -> DataFrame:
     packed = pack(documents, 8 << 20)
     parts = max(4, int((packed.agg(F.sum("size")).first()[0] or 0) / 24 / PART_VALUES) + 1)
     counts = cut(corpus_counts(packed, parts))
-    model = fit(documents, counts)
+    model, _ = fit(packed, vocabulary(documents, counts))
     told = counts.where("batch IS NOT NULL").groupBy("batch").agg(F.sort_array(F.collect_list(F.struct("part", "counts"))).alias("told"))
     shared = documents.sparkSession.sparkContext.broadcast(model)  # HIDDEN, VOCABULARY and CLASSES bound its size
 
