@@ -89,6 +89,30 @@ def test_lm_learns_from_every_training_token(spark, docs, data):
         assert seen == v.total == sum(len((r[1] or "").encode().split()) + 1 for r in given if not out(r[0]))
 
 
+def test_lm_trains_on_whole_documents(monkeypatch):
+    """Every token of every document is a target as often as any other, whatever the lengths and however few there are."""
+    import numpy as np
+
+    for sizes in ([3], [700, 2, 30], [5000] + [40] * 100):
+        docs, at = [], 0
+        for n in sizes:
+            docs.append(np.arange(at, at + n))
+            at += n
+        v = gru_lm.Vocabulary(np.arange(1, at + 1, dtype=np.uint64), np.arange(at, 0, -1), len(sizes), 10 * at * at, at + 1)
+        docs = [np.append(d, v.end) for d in docs]
+        seen = np.zeros(at + 2, np.int64)
+
+        def window(self, before, token, real, state, *_, seen=seen):
+            assert len(before) == len(token) == len(real) == len(state)
+            np.add.at(seen, token[real > 0], 1)
+            return state
+
+        monkeypatch.setattr(gru_lm.Model, "_window", window)
+        gru_lm.Model(v).train(docs)
+        used = np.r_[seen[:at], seen[v.end] // len(sizes)]
+        assert used.min() >= gru_lm.EPOCHS and used.min() == used.max()
+
+
 def test_lm_carries_state_across_windows():
     import numpy as np
 

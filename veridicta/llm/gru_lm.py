@@ -175,35 +175,38 @@ class Model:
         """``share``: this is round k of n, over which the rate falls and the least windows are dealt out."""
         rng = np.random.default_rng(seed)
         moments = [(np.zeros_like(p), np.zeros_like(p)) for p in self.parameters()]
-        total = sum(map(len, documents))
-        turns = max(LEAST_WINDOWS // share[1], epochs * (total // (STREAMS * STEPS)))  # small corpora are passed more often
-        done, epoch = 0, 0
-        while done < turns and total:
-            lanes: list[list[np.ndarray]] = [[] for _ in range(STREAMS)]
-            load = np.zeros(STREAMS)
+        done = epoch = 0
+        passes = 1 if documents else 0
+        while epoch < passes:
+            lanes: list[list[np.ndarray]] = [[] for _ in range(min(STREAMS, len(documents)))]
+            load = np.zeros(len(lanes))
             for i in rng.permutation(len(documents)):
                 k = int(load.argmin())
                 lanes[k].append(documents[i])
                 load[k] += len(documents[i])
-            size = int(max(1, np.median(load)) // STEPS + 1) * STEPS
-            token = np.full((STREAMS, size), self.v.end)
-            real = np.zeros((STREAMS, size), np.float32)
-            for k, lane in enumerate(lanes):
-                if lane:
-                    x = np.concatenate(lane)[:size]
-                    token[k, : len(x)], real[k, : len(x)] = x, 1
-            state = np.zeros((STREAMS, HIDDEN), np.float32)
-            before = np.concatenate([np.full((STREAMS, 1), self.v.end), token[:, :-1]], 1)
-            for at in range(0, size, STEPS):
+            streams = [np.concatenate([[self.v.end], *lanes[k]]) for k in np.argsort(-load, kind="stable")]
+            size = np.array([len(x) - 1 for x in streams])
+            windows = -(-int(size[0]) // STEPS)
+            if not epoch:  # small corpora are passed more often
+                passes = max(epochs, -(-(LEAST_WINDOWS // share[1]) // windows))
+            state = np.zeros((len(streams), HIDDEN), np.float32)
+            for at in range(0, int(size[0]), STEPS):
+                live = int(np.count_nonzero(size > at))
+                span = min(STEPS, int(size[0]) - at)
+                pair = np.full((live, span + 1), self.v.end)
+                for k in range(live):
+                    x = streams[k][at : at + span + 1]
+                    pair[k, : len(x)] = x
+                real = (np.arange(span) < size[:live, None] - at).astype(np.float32)
                 done += 1
-                state = self._window(before[:, at : at + STEPS], token[:, at : at + STEPS], real[:, at : at + STEPS], state, moments, done, rate * max(0.05, 1 - (share[0] + done / turns) / share[1]))
-                if done >= turns:
-                    break
+                fall = max(0.05, 1 - (share[0] + (epoch + at / size[0]) / passes) / share[1])
+                # where only long lanes go on, a window has fewer tokens and moves the weights by as much less
+                state = self._window(pair[:, :-1], pair[:, 1:], real, state[:live], moments, done, rate * fall * live / len(streams))
             epoch += 1
         return self
 
     def _window(self, before, token, real, state, moments, turn, rate):
-        h, kept, inputs = HIDDEN, [], []
+        h, kept, inputs, lanes = HIDDEN, [], [], len(before)
         for t in range(before.shape[1]):
             state = state * (before[:, t] != self.v.end)[:, None].astype(np.float32)  # a document begins after an end
             inputs.append(state)
@@ -216,9 +219,9 @@ class Model:
         self.outputs(flat[use], target[use], learn)
         to_states = np.zeros_like(flat)
         to_states[use] = learn[0]
-        to_states = to_states.reshape(len(kept), STREAMS, h)
+        to_states = to_states.reshape(len(kept), lanes, h)
         scale = 1 / max(1, use.sum())
-        d_input, d_recur, d_state = np.zeros_like(self.input), np.zeros_like(self.recur), np.zeros((STREAMS, h), np.float32)
+        d_input, d_recur, d_state = np.zeros_like(self.input), np.zeros_like(self.recur), np.zeros((lanes, h), np.float32)
         for t in range(len(kept) - 1, -1, -1):
             z, r, n, un = kept[t][1]
             d = d_state + to_states[t]
