@@ -151,3 +151,29 @@ def test_words_are_those_of_split():
     w = Words(texts)
     assert w.count.tolist() == [len(t.split()) for t in texts]
     assert len(np.unique(w.hash)) == len({x for t in texts for x in t.split()})
+
+
+def test_components_of_chains_and_other_shapes(spark):
+    """Far ends of a long chain with names in random order are one component, named by its least node."""
+    rng = random.Random(8)
+    name = lambda: rng.randbytes(16)
+    chain, middle, pair = [name() for _ in range(300)], name(), sorted((name(), name()))
+    rising, leaves = sorted(name() for _ in range(70)), [name() for _ in range(50)]
+    links = [*zip(chain, chain[1:], strict=False), *zip(rising, rising[1:], strict=False), *((middle, x) for x in leaves), tuple(pair)]
+    groups = [chain, rising, [middle, *leaves], pair]
+    df = spark.createDataFrame([(min(x), max(x)) for x in links], "a binary, b binary")
+    got = {bytes(r["node"]): bytes(r["component"]) for r in pm.components(df).collect()}
+    assert got == {x: min(g) for g in groups for x in g}
+    assert pm.components(df.where("false")).count() == 0
+
+
+def test_chain_of_drifting_versions_is_one_class(spark):
+    """Each version is near the next ones only; the ends have nothing in common."""
+    rng = random.Random(9)
+    words = [f"w{rng.randrange(10**9)}" for _ in range(160 + 4 * 120)]
+    texts = [" ".join(words[4 * i : 4 * i + 160]) for i in range(120)]
+    near = lambda a, b: pm.similarity(pm.counts_of(a.encode()), pm.counts_of(b.encode()))
+    assert near(texts[0], texts[1]) > 0.9 and near(texts[0], texts[8]) < 0.8 and near(texts[0], texts[-1]) == 0
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(1000, "apart from all of these")], "doc_id long, text string")
+    got = {r["doc_id"]: r["class_id"] for r in pm.classes(df).collect()}
+    assert got == {i: 0 for i in range(120)} | {1000: 1000}

@@ -157,22 +157,35 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame
     return joined.mapInArrow(run, "a binary, b binary")
 
 
-def components(links: DataFrame, rounds: int = 40) -> DataFrame:
-    """(node, component) of the nodes of links (a, b): each takes the least name around it and that name's own, until
-    none changes.  Hooking and jumping halve paths each round."""
-    both = cut(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    now = cut(both.groupBy(F.col("a").alias("node")).agg(F.min(F.least("a", "b")).alias("component")))
-    for _ in range(rounds):
-        near = both.join(now.select(F.col("node").alias("b"), "component"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
-        low = now.join(near, "node").select("node", "component", F.least("component", "near").alias("low"))
-        jump = now.select(F.col("node").alias("low"), F.col("component").alias("far"))
-        step = low.join(jump, "low", "left").select("node", F.col("component").alias("old"), F.least("low", F.coalesce("far", "low")).alias("component"))
-        step = cut(step)
-        changed = not step.where("old <> component").isEmpty()
-        now = step.select("node", "component")
-        if not changed:
-            return now
-    raise RuntimeError(f"components did not settle in {rounds} rounds")
+def _settled(df: DataFrame) -> DataFrame:
+    """``df`` cut, and without the size that Spark estimates: a checkpoint keeps it, joins multiply it, and in a loop
+    the number's own length grows exponentially."""
+    spark = df.sparkSession
+    done = cut(df)
+    return DataFrame(spark._jsparkSession.createDataFrame(done._jdf.toJavaRDD(), done._jdf.schema()), spark)
+
+
+def components(links: DataFrame) -> DataFrame:
+    """(node, component) of the nodes of links (a, b), named by the least node.  Each round every node goes to its least
+    neighbour if that is less than itself, pointers are followed to the roots in steps that grow, and links are redrawn between roots.
+    At most every second node that has a link is a root, so rounds are logarithmic, whatever the shape."""
+    both = _settled(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    now = both.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct()
+    edges = both.where("a <> b")
+    while not edges.isEmpty():
+        root = _settled(edges.groupBy(F.col("a").alias("component")).agg(F.min(F.least("a", "b")).alias("root")))
+        while True:
+            far = root.select(F.col("component").alias("root"), F.col("root").alias("far"))
+            farther = far.select(F.col("root").alias("far"), F.col("far").alias("farther"))
+            step = _settled(root.join(far, "root").join(farther, "far").select("component", F.col("root").alias("old"), F.col("farther").alias("root")))
+            root = step.select("component", "root")
+            if step.where("old <> root").isEmpty():
+                break
+        now = now.join(root, "component", "left").select("node", F.coalesce("root", "component").alias("component"))
+        of_a, of_b = (root.select(F.col("component").alias(x), F.col("root").alias(f"root_{x}")) for x in "ab")
+        redrawn = edges.join(of_a, "a").join(of_b, "b").where("root_a <> root_b")
+        edges = _settled(redrawn.select(F.col("root_a").alias("a"), F.col("root_b").alias("b")).distinct())
+    return _settled(now)
 
 
 def _agreeing(threshold: float, most: int | None):
