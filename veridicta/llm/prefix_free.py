@@ -1,12 +1,11 @@
-"""Substring dedup over bytes by prefix-free parsing.
+"""Substring dedup over bytes by fingerprints of spans around content-defined anchors.
 
 The rolling hash of every 16-byte window is compared with its neighbours; a place that has the least hash of some
-128 neighbouring places triggers, and the triggers cut a text into phrases that depend on nothing but the bytes
-around them.  So equal stretches of text, wherever they stand, have equal phrases: a phrase of the parse is known by
-its fingerprint (the dictionary holds each once, however often it occurs), and a suffix of the corpus is a suffix of
-a phrase followed by a suffix of the parse.  Corpus order is needed to a depth of 400 bytes only, so the parse is
-ordered by what follows a trigger for 273 bytes, then by all that a phrase's suffixes reach, and last, where these
-differ, by each suffix's own 400 bytes.  Neighbours that agree in 400 bytes are repeats.
+128 neighbouring places is an anchor, which depends on nothing but the bytes around it, so equal stretches of text
+have equal anchors, wherever they stand.  Equal 64-bit fingerprints are counted over the corpus: first of the 273 bytes
+at an anchor, then of the whole run of windows around it, and last, where these differ, of each window's own 400 bytes.
+A window whose fingerprint occurs twice is a repeat.  This stands in for prefix-free parsing: there is no dictionary of
+phrases, no parse, and no order of suffixes.
 
 Nulls are empty texts; texts under 400 bytes stay whole.  Repeated rows are repeats of each other.  Removed stretches
 that touch count as one.  ``dedup_bytes`` keeps further columns; bytes of a character that a cut splits are left out
