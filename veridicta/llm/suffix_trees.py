@@ -1,11 +1,10 @@
-"""Substring dedup over words with prefix-partitioned suffix trees.
+"""Substring dedup over words by fingerprints of spans, in groups that are split where still mixed.
 
-A suffix's group is named by a prefix of variable length: the nine words from its anchor; where such a group still
+A window's group is named by one of three spans: the nine words from its anchor; where such a group still
 holds different texts, all words around the anchor; and where these differ, each window's whole 20 words.  Every
 level splits only the groups that the level above left undecided, and the groups are dealt into parts of bounded
-size (``repeats.PART_VALUES``), so a subtree never outgrows a task.  Sorting a part's suffixes builds the subtree
-down to the depth that counts; a node with two leaves below 20 words is a maximal repeat, and all leaves but the
-earliest are removed.
+size (``repeats.PART_VALUES``) by fingerprint, so none outgrows a task.  Equal 64-bit fingerprints of 20 words are
+repeats, and all but the earliest are removed.  This stands in for suffix trees: no tree and no inner nodes are built.
 
 Nulls are empty texts.  Texts under 20 words stay whole.  Repeated rows: equal (doc_id, start) are ordered by batch,
 so one of them stays.  A null doc_id comes after all others.  Further columns are dropped by the query and kept by
