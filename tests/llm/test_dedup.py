@@ -65,6 +65,23 @@ def test_byte_stage_keeps_columns(docs, data, empty):
     assert dedup_bytes(empty).count() == dedup_words(empty).count() == repeated_bytes(empty).count() == 0
 
 
+def plain_tables(spark):
+    """Tables that have nothing to tell to others: no repeats, only short texts, only empty texts, only nulls."""
+    rng = random.Random(12)
+    long = [" ".join(f"q{rng.randrange(10**9)}" for _ in range(300)) for _ in range(4)]
+    for texts in (long, ["a b", "c", "d e f"], ["", " "], [None, None], long[:1]):
+        data = list(enumerate(texts))
+        yield data, spark.createDataFrame(data, "doc_id long, text string")
+
+
+def test_tables_without_repeats(spark):
+    for data, df in plain_tables(spark):
+        got = Counter((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in dedup_words(df).collect())
+        assert got == words_brute(data)
+        got = Counter(tuple(r[c] for c in ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")) for r in repeated_bytes(df).collect())
+        assert got == bytes_brute(data)
+
+
 def jp(x, y):
     return sum(1 / sum(max(x[j] / x[i], y[j] / y[i]) for j in {*x, *y}) for i in x if i in y)
 

@@ -120,10 +120,12 @@ def firsts(value: np.ndarray, *order: np.ndarray):
 
 
 def tell(batch: int, parts: int, value, extra=None, doc=None, place=None):
-    """One row for each part that gets some of the values."""
+    """One row for each part that gets some of the values; none where there are no values."""
+    if not len(value):
+        return []
     part = (value % np.uint64(parts)).astype(np.int64)
     by = np.argsort(part, kind="stable")
-    edge = np.flatnonzero(np.r_[True, np.diff(part[by]) != 0]) if len(by) else np.zeros(0, np.int64)
+    edge = np.flatnonzero(np.r_[True, np.diff(part[by]) != 0])
     ends = np.r_[edge[1:], len(by)]
     held = [None if x is None else x[by] for x in (value, extra, doc, place)]
     return [(int(part[by[i]]), batch, *(None if x is None else binary(x[i:j]) for x in held)) for i, j in zip(edge, ends, strict=True)]
