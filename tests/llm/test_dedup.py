@@ -194,3 +194,35 @@ def test_chain_of_drifting_versions_is_one_class(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(1000, "apart from all of these")], "doc_id long, text string")
     got = {r["doc_id"]: r["class_id"] for r in pm.classes(df).collect()}
     assert got == {i: 0 for i in range(120)} | {1000: 1000}
+
+
+def test_crowd_costs_a_few_links_a_text(spark, monkeypatch):
+    """Links, and the blocks that texts ask, grow with a crowd, not with its square."""
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(150)]
+    seen = {}
+    questions = pm._questions
+
+    def counted(*args):
+        out = questions(*args)
+        seen["asked"] = out[0].count()
+        return out
+
+    monkeypatch.setattr(pm, "_questions", counted)
+    for n in (150, 300, 600):
+        data = []
+        for k in range(n):
+            w = list(base)
+            for _ in range(rng.choice([1, 3, 5, 7])):
+                w[rng.randrange(150)] = f"m{rng.randrange(10**6)}"
+            data.append((k, " ".join(w)))
+        got = pm.near_duplicates(spark.createDataFrame(data, "doc_id long, text string")).collect()
+        assert sum(r["n_links"] for r in got) < 8 * n and seen["asked"] < 8 * n
+
+
+def test_near_duplicates_with_clashing_columns(spark):
+    names = ["doc_id", "text", "__digest", "__ID", "__n", "component", "lead"]
+    data = [(k, t, "d", "i", 1, "c", 2) for k, t in enumerate(["one two three four five six", "one two three  four five six", "other"])]
+    df = spark.createDataFrame(data, "doc_id long, text string, __digest string, __ID string, __n int, component string, lead long")
+    out = pm.drop_near_duplicates(df)
+    assert out.columns == names and sorted(r[0] for r in out.collect()) == [0, 2]

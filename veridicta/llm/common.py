@@ -50,14 +50,29 @@ def checkpoint_folder(spark: SparkSession) -> str:
     return folder
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and go on from there; frees the shuffles behind it."""
+def cut(df: DataFrame, free: bool = False) -> DataFrame:
+    """Write ``df`` to the shared checkpoint folder and go on from there.  ``free``: after a large exchange, have the
+    driver collect its garbage, since shuffle files stay on disk until it does."""
     spark = df.sparkSession
     checkpoint_folder(spark)
     out = df.checkpoint()
-    del df
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    if free:
+        del df
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+    return out
+
+
+def unused(columns: list[str], *names: str) -> list[str]:
+    """Names for columns of our own that none of ``columns`` has, whatever their case."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for name in names:
+        name = f"__{name}"
+        while name in taken:
+            name += "_"
+        taken.add(name)
+        out.append(name)
     return out
 
 

@@ -8,12 +8,13 @@ later arrivals change nothing.  Two texts agree in a place with the probability
 
 Signatures are cut into bands.  In every bucket of a band the text that shares most buckets is the pivot; each text
 is verified against the pivots of its buckets, exactly, by the shingle counts of both texts.  Texts of one bucket that
-are then still in different components are looked at again: those outside the bucket's largest component have their signatures compared with
-all others of the bucket in other components, in blocks.  First the three most alike of each are verified, which
-connects most; then, of what is still apart, every pair whose signatures agree in as many places as pairs at the
-threshold do but once in three million times (five standard deviations less).  So no pair that shares a bucket is
-dropped, and a group of copies costs a few pairs a member.  With 32 bands of 4 rows a pair at similarity 0.8 shares no
-bucket once in 20 million times.
+are then still in different components are looked at again: those outside the bucket's largest component have their
+signatures compared with all others of the bucket in other components, in blocks.  Where these agree in as many
+places as pairs at the threshold do but once in three million times (five standard deviations less), the text asks the
+block that the other one stands in: a part of that one's most crowded bucket.  Every text goes to its own block once,
+and with it all that ask this block; pairs are verified there and never become rows.  A block gives back a spanning
+forest, fewer links than texts.  So no pair that shares a bucket is dropped, and a group of copies costs each member
+a few links and blocks.  With 32 bands of 4 rows a pair at similarity 0.8 shares no bucket once in 20 million times.
 
 Texts with the same words are one class before any of this; only the one with the least id stands in bands.  Classes
 are the connected components of the links, named by their least doc_id.  ``n_links``: verified links to other texts
@@ -33,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from veridicta.llm.common import FIRST, SpanHash, Words, binary, byte_column, chunks, cut, mix, ragged, trim
+from veridicta.llm.common import FIRST, SpanHash, Words, binary, byte_column, chunks, cut, mix, ragged, trim, unused
 from veridicta.plans.shipping import ship
 
 SHINGLE = 5
@@ -43,6 +44,8 @@ HASHES = BANDS * ROWS
 CHUNK = 1 << 20
 MARGIN = 5 * (SIMILARITY * (1 - SIMILARITY) / HASHES) ** 0.5
 BLOCK = 2000
+CELL_BYTES = 4 << 20
+PAIRS = 1 << 18
 
 
 def shingles(texts: list[bytes]):
@@ -109,7 +112,7 @@ def counts_of(text: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signed(documents: DataFrame) -> DataFrame:
-    """doc_id, digest (16 bytes, null without words), bands (a number for each band), places (16 bits for each hash)."""
+    """doc_id, digest (16 bytes, null without words), bands (a number for each band), places (16 bits for each hash), size."""
     ship(documents.sparkSession)
 
     def run(batches):
@@ -123,38 +126,106 @@ def signed(documents: DataFrame) -> DataFrame:
                 flat = pa.array(band.view(np.int64).ravel())
                 bands = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1) * BANDS, pa.int32()), flat)
                 places = pa.array([binary(r) for r in rows.astype(np.uint16)], pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(digests, pa.binary()), bands, places], ["doc_id", "digest", "bands", "places"])
+                size = pa.array([len(t) for t in texts], pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(digests, pa.binary()), bands, places, size], ["doc_id", "digest", "bands", "places", "size"])
                 trim()
 
-    return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, digest binary, bands array<long>, places binary")
+    return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, digest binary, bands array<long>, places binary, size long")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) of digests whose texts are as similar as ``threshold``; both sides' texts come by joins."""
-    right = texts.select(F.col("digest").alias("b"), F.col("text").alias("text_b"))
-    left = texts.select(F.col("digest").alias("a"), F.col("text").alias("text_a"))
+def _similar(threshold: float):
+    """For cogroups of texts that ask and texts that are asked for, by (lead, part, turn): links (a, b) of similar texts
+    of different components, with their components.  Each side's shingles are counted once; one text is held against
+    all of the other side at once.  Links that join what others of the cogroup have joined already are left out, and
+    pairs that they would join aren't looked at, so there are fewer links than texts."""
 
-    def run(batches):
-        held: dict[bytes, tuple] = {}
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        out: list[tuple] = []
+        if left.num_rows and right.num_rows:
+            out = list(_links(left, right, threshold))
+        cols = list(zip(*out, strict=True)) or [(), (), (), ()]
+        return pa.table([pa.array(c, pa.binary()) for c in cols], ["a", "b", "component_a", "component_b"])
 
-        def of(key, text):
-            if key not in held:
-                if len(held) >= 256:
-                    held.clear()
-                held[key] = counts_of(text)
-            return held[key]
+    return run
 
-        for whole in batches:
-            for at in range(0, whole.num_rows, 128):
-                batch = whole.slice(at, 128)
-                keys = [batch.column(k).to_pylist() for k in (0, 1)]
-                sides = [byte_column(batch.column(k)) for k in (2, 3)]
-                good = [similarity(of(a, x), of(b, y)) >= threshold for a, b, x, y in zip(*keys, *sides, strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(good, pa.bool_()))
-            trim()
 
-    joined = pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b")
-    return joined.mapInArrow(run, "a binary, b binary")
+class _Shingled:
+    """The texts of a cogroup: shingles by number, shares and counts."""
+
+    def __init__(self, texts: list[bytes]):
+        text, value, count, _ = shingles(texts)
+        self.first = np.searchsorted(text, np.arange(len(texts) + 1))
+        self.n = np.diff(self.first)
+        self.value, self.count = value, count
+        _, self.number = np.unique(value, return_inverse=True)
+        total = np.bincount(text, weights=count, minlength=len(texts))
+        self.share = count / total[text]
+        self.plain = np.bincount(text, weights=count > 1, minlength=len(texts)) == 0  # no shingle repeats
+        self.mark = np.zeros(int(self.number.max()) + 1 if len(value) else 1)
+
+    def of(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        a, b = self.first[k], self.first[k + 1]
+        return self.value[a:b], self.count[a:b]
+
+    def near(self, k: int, others: np.ndarray, threshold: float) -> np.ndarray:
+        """Which of ``others`` are as similar to k as ``threshold``.  Without repeated shingles that is Jaccard; else
+        common shares, which are never less than the similarity, tell which pairs need their own sum."""
+        span = slice(self.first[k], self.first[k + 1])
+        self.mark[self.number[span]] = self.share[span]
+        at = ragged(self.first[others], self.n[others])
+        seen = self.mark[self.number[at]]
+        begin = np.cumsum(self.n[others]) - self.n[others]
+        common = np.add.reduceat((seen > 0).astype(np.float64), begin)
+        bound = np.add.reduceat(np.minimum(seen, self.share[at]), begin)
+        self.mark[self.number[span]] = 0
+        good = common >= threshold * (self.n[k] + self.n[others] - common) - 1e-9
+        for i in np.flatnonzero(~(self.plain[others] & self.plain[k])):
+            good[i] = bound[i] >= threshold - 1e-9 and similarity(self.of(k), self.of(others[i])) >= threshold - 1e-9
+        return good
+
+
+def _links(left: pa.Table, right: pa.Table, threshold: float):
+    sides = pa.concat_tables([left, right])
+    digest = sides.column("digest").combine_chunks().dictionary_encode()
+    code = digest.indices.to_numpy()
+    row = np.zeros(len(digest.dictionary), np.int64)
+    row[code] = np.arange(len(code))
+    data = _Shingled(byte_column(sides.column("text").take(pa.array(row))))
+    names = digest.dictionary.to_pylist()
+    kind = sides.column("component").combine_chunks().dictionary_encode()
+    component, up = kind.indices.to_numpy()[row], np.arange(len(kind.dictionary))
+    called = kind.dictionary.to_pylist()
+
+    key = np.zeros(len(code), np.uint64)
+    for c in ("lead", "part", "turn"):  # groups that collide are looked at together
+        key = mix(key + sides.column(c).cast(pa.int64()).to_numpy().view(np.uint64))
+    n = left.num_rows
+    lo, ro = np.argsort(key[:n], kind="stable"), np.argsort(key[n:], kind="stable")
+    lk, rk = key[:n][lo], key[n:][ro]
+    for g in np.unique(lk):
+        x = code[:n][lo[np.searchsorted(lk, g, "left") : np.searchsorted(lk, g, "right")]]
+        y = code[n:][ro[np.searchsorted(rk, g, "left") : np.searchsorted(rk, g, "right")]]
+        few, many = (x, y) if len(x) <= len(y) else (y, x)
+        for k in few.tolist():
+            others = many[up[component[many]] != up[component[k]]]
+            if not len(others):
+                continue
+            for o in others[data.near(k, others, threshold)].tolist():
+                r, s = up[component[k]], up[component[o]]
+                if r != s:
+                    up[up == max(r, s)] = min(r, s)  # a cogroup's components: a few thousand
+                    yield min(names[k], names[o]), max(names[k], names[o]), called[component[k]], called[component[o]]
+
+
+def _verified(asking: DataFrame, asked: DataFrame, texts: DataFrame, load: int, threshold: float) -> DataFrame:
+    """Links between ``asking`` and ``asked``: (lead, part, turn, digest, component) of the texts that meet."""
+    cells = max(64, load // CELL_BYTES)
+
+    def side(df):
+        d = df.join(texts, "digest").withColumn("cell", F.pmod(F.xxhash64("lead", "part", "turn"), F.lit(cells)))
+        return d.select(*(F.col(c).alias(c) for c in ("cell", "lead", "part", "turn", "digest", "component", "text"))).groupBy("cell")
+
+    return side(asking).cogroup(side(asked)).applyInArrow(_similar(threshold), "a binary, b binary, component_a binary, component_b binary")
 
 
 def _settled(df: DataFrame) -> DataFrame:
@@ -188,64 +259,78 @@ def components(links: DataFrame) -> DataFrame:
     return _settled(now)
 
 
-def _agreeing(threshold: float, most: int | None):
-    """For cogroups of texts outside their bucket's largest component and of others: pairs in different components with
-    signatures as alike as the threshold asks for, the ``most`` most alike of each text or all."""
+def _alike(threshold: float):
+    """For cogroups of texts outside their bucket's largest component and of others: which (lead, part) holds others of
+    a different component with signatures as alike as the threshold asks for."""
     least = int(np.ceil((threshold - MARGIN) * HASHES))
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        out_a, out_b = [], []
+        found: list[tuple] = []
         if left.num_rows and right.num_rows:
-            l, r = left.to_pandas(), right.to_pandas()
-            keys = ["band", "bucket", "i", "j"]
-            others = {k: g for k, g in r.groupby(keys, sort=False)}
-            for k, mine in l.groupby(keys, sort=False):
-                if k not in others:
-                    continue
-                theirs = others[k]
-                x = np.frombuffer(b"".join(mine["places"]), np.uint16).reshape(len(mine), HASHES)
-                y = np.frombuffer(b"".join(theirs["places"]), np.uint16).reshape(len(theirs), HASHES)
-                a, b = mine["digest"].to_numpy(), theirs["digest"].to_numpy()
-                names = {c: n for n, c in enumerate({*mine["component"], *theirs["component"]})}
-                ca, cb = mine["component"].map(names).to_numpy(), theirs["component"].map(names).to_numpy()
-                step = max(1, (8 << 20) // (len(y) * HASHES))
-                for at in range(0, len(x), step):
-                    same = (x[at : at + step, None, :] == y[None, :, :]).sum(2)
-                    same[ca[at : at + step, None] == cb[None, :]] = -1
-                    if most is not None and same.shape[1] > most:
-                        floor = -np.partition(-same, most - 1, axis=1)[:, most - 1]
-                        # of equally alike ones the first few, so that no row has more than ``most``
-                        far = same < np.maximum(floor, least)[:, None]
-                        rank = np.argsort(np.argsort(-same, axis=1, kind="stable"), axis=1)
-                        hit = ~far & (rank < most)
-                    else:
-                        hit = same >= least
-                    p, q = np.nonzero(hit & (same >= least))
-                    out_a += [min(u, v) for u, v in zip(a[at + p], b[q], strict=True)]
-                    out_b += [max(u, v) for u, v in zip(a[at + p], b[q], strict=True)]
-        return pa.table([pa.array(out_a, pa.binary()), pa.array(out_b, pa.binary())], ["a", "b"])
+            found = list(_pairs_alike(left, right, least))
+        x, lead, part = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
+        by = np.lexsort((part, lead, x))
+        x, lead, part = x[by], lead[by], part[by]
+        new = np.r_[True, (np.diff(x) != 0) | (np.diff(lead) != 0) | (np.diff(part) != 0)] if len(x) else np.zeros(0, bool)
+        digest = left.column("digest").combine_chunks().take(pa.array(x[new]))
+        return pa.table([digest, pa.array(lead[new]), pa.array(part[new])], ["digest", "lead", "part"])
 
     return run
 
 
-def _apart(shared: DataFrame, groups: DataFrame, places: DataFrame, threshold: float, most: int | None) -> DataFrame:
-    """Pairs (a, b) to verify among texts that share a bucket and are in different components."""
-    named = shared.select("band", "bucket", "digest", "n").join(groups.withColumnRenamed("node", "digest"), "digest", "left")
+def _pairs_alike(left: pa.Table, right: pa.Table, least: int):
+    n = left.num_rows
+    sides = pa.concat_tables([left, right])
+    key = np.zeros(len(sides), np.uint64)
+    for c in ("band", "bucket", "i", "j"):  # buckets that collide are looked at together
+        key = mix(key + sides.column(c).cast(pa.int64()).to_numpy().view(np.uint64))
+    component = sides.column("component").combine_chunks().dictionary_encode().indices.to_numpy()
+    places = np.frombuffer(b"".join(byte_column(sides.column("places"))), np.uint16).reshape(len(sides), HASHES)
+    lead, part = (right.column(c).cast(pa.int64()).to_numpy() for c in ("lead", "part"))
+    group, of = np.unique(key, return_inverse=True)
+    lo, ro = np.argsort(of[:n], kind="stable"), np.argsort(of[n:], kind="stable")
+    ln, rn = np.bincount(of[:n], minlength=len(group)), np.bincount(of[n:], minlength=len(group))
+    lf, rf = np.cumsum(ln) - ln, np.cumsum(rn) - rn
+    # a row for each asking text and its bucket's others, some millions of cells at a time
+    x = lo
+    many = rn[of[x]]
+    step = np.searchsorted(np.cumsum(many), np.arange(0, int(many.sum()) + PAIRS, PAIRS), "left")
+    for a, b in zip(step, np.r_[step[1:], len(x)], strict=True):
+        p = np.repeat(x[a:b], many[a:b])
+        q = ro[ragged(rf[of[x[a:b]]], many[a:b])]
+        apart = component[p] != component[n + q]
+        p, q = p[apart], q[apart]
+        for at in range(0, len(p), PAIRS // 8):
+            i, j = p[at : at + PAIRS // 8], q[at : at + PAIRS // 8]
+            hit = (places[i] == places[n + j]).sum(1) >= least
+            yield i[hit], lead[j[hit]], part[j[hit]]
+
+
+def _questions(shared: DataFrame, groups: DataFrame, places: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """(asking texts with the blocks they ask, texts with their block): (lead, part, digest, component, size) of both.
+    A text's block is a part of its most crowded bucket among those that hold different components."""
+    named = shared.join(groups.withColumnRenamed("node", "digest"), "digest", "left")
     named = named.withColumn("component", F.coalesce("component", "digest"))
     sizes = named.groupBy("band", "bucket", "component").agg(F.count("*").alias("m"))
-    largest = sizes.groupBy("band", "bucket").agg(F.max(F.struct("m", "component"))["component"].alias("largest"), F.count("*").alias("k")).where("k > 1")
-    split = cut(named.join(largest, ["band", "bucket"]).join(places, "digest").drop("k"))
-    cells = max(8, split.count() // 20_000)
-    split = split.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int"))
-    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-
-    def side(df, own, other):
-        d = df.withColumn(own, F.col("own")).withColumn(other, every)
+    largest = sizes.groupBy("band", "bucket").agg(F.max(F.struct("m", "component")).alias("most"), F.count("*").alias("k"), F.sum("m").alias("n")).where("k > 1")
+    largest = largest.select("band", "bucket", "n", F.col("most.component").alias("largest"), (F.col("n") - F.col("most.m")).alias("outside"))
+    split = cut(named.drop("n").join(largest, ["band", "bucket"]))
+    crowded = F.max(F.struct("n", F.xxhash64("band", "bucket").alias("h")))["h"].alias("lead")
+    block = split.groupBy("digest").agg(crowded, F.first("component").alias("component"), F.first("size").alias("size"))
+    parts = block.groupBy("lead").agg(F.ceil(F.sum("size") / F.lit(float(CELL_BYTES))).alias("parts"))
+    block = cut(block.join(parts, "lead").withColumn("part", F.pmod(F.xxhash64("digest"), F.col("parts"))).drop("parts"))
+    rows = split.drop("component", "size").join(block, "digest").join(places, "digest")
+    cells = max(64, split.count() // 20_000)
+    left_blocks, right_blocks = F.ceil(F.col("outside") / F.lit(float(BLOCK))), F.ceil(F.col("n") / F.lit(float(BLOCK)))
+
+    def side(df, own, other, own_blocks, other_blocks):
+        d = df.withColumn(own, F.pmod(F.xxhash64("digest"), own_blocks)).withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), other_blocks - 1)))
         d = d.withColumn("cell", F.pmod(F.xxhash64("band", "bucket", "i", "j"), F.lit(cells)))
-        return d.select(*(F.col(c).alias(c) for c in ("cell", "band", "bucket", "i", "j", "digest", "component", "places")))
+        return d.select(*(F.col(c).alias(c) for c in ("cell", "band", "bucket", "i", "j", "digest", "component", "places", "lead", "part"))).groupBy("cell")
 
-    left, right = side(split.where("component <> largest"), "i", "j"), side(split, "j", "i")
-    return left.groupBy("cell").cogroup(right.groupBy("cell")).applyInArrow(_agreeing(threshold, most), "a binary, b binary").distinct()
+    left, right = side(rows.where("component <> largest"), "i", "j", left_blocks, right_blocks), side(rows, "j", "i", right_blocks, left_blocks)
+    asked = left.cogroup(right).applyInArrow(_alike(threshold), "digest binary, lead long, part long").distinct()
+    return cut(asked.join(block.select("digest", "component", "size"), "digest")), block
 
 
 def members(documents: DataFrame, threshold: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
@@ -254,15 +339,15 @@ def members(documents: DataFrame, threshold: float = SIMILARITY) -> tuple[DataFr
     docs = cut(signed(documents))
     place = F.coalesce(F.col("doc_id"), F.lit(FIRST))
     # the least id among texts with the same words, and one signature of theirs
-    distinct = docs.where("digest IS NOT NULL").groupBy("digest").agg(F.min(place).alias("least"), F.first("bands").alias("bands"), F.first("places").alias("places"))
-    bands = distinct.select("digest", F.posexplode("bands").alias("band", "bucket"))
+    distinct = docs.where("digest IS NOT NULL").groupBy("digest").agg(
+        F.min(place).alias("least"), F.first("bands").alias("bands"), F.first("places").alias("places"), F.max("size").alias("size")
+    )
+    bands = distinct.select("digest", "size", F.posexplode("bands").alias("band", "bucket"))
     crowd = bands.groupBy("band", "bucket").agg(F.count("*").alias("n")).where("n > 1")
     shared = cut(bands.join(crowd, ["band", "bucket"]))  # skew: the crowded side has one row a bucket
     degree = shared.groupBy("digest").agg(F.sum("n").alias("degree"))
     shared = cut(shared.join(degree, "digest"))
     pivots = shared.groupBy("band", "bucket").agg(F.max(F.struct("degree", "digest"))["digest"].alias("pivot"))
-    star = shared.join(pivots, ["band", "bucket"]).where("digest <> pivot")
-    pairs = star.select(F.least("digest", "pivot").alias("a"), F.greatest("digest", "pivot").alias("b")).distinct()
 
     wanted = shared.select("digest").distinct()
     least = cut(distinct.select("digest", "least").join(wanted, "digest", "left_semi"))
@@ -270,25 +355,42 @@ def members(documents: DataFrame, threshold: float = SIMILARITY) -> tuple[DataFr
     # rows that repeat an id may differ in text, so the digest decides
     texts = ids.join(least.select("least").distinct(), "least", "left_semi")
     texts = cut(_with_digest(texts.select("text")).join(wanted, "digest", "left_semi").dropDuplicates(["digest"]))
-    star_links = cut(_verified(cut(pairs), texts, threshold))
+
+    # every text against the pivots of its buckets; a pivot of many goes to each of their parts once
+    star = shared.join(pivots, ["band", "bucket"]).where("digest <> pivot").select("digest", "pivot", "size").distinct()
+    parts = star.groupBy("pivot").agg(F.ceil(F.sum("size") / F.lit(float(CELL_BYTES))).alias("parts"))
+    star = star.join(parts, "pivot").select(
+        F.xxhash64("pivot").alias("lead"), F.pmod(F.xxhash64("digest"), F.col("parts")).alias("part"), F.lit(0).alias("turn"), "digest", F.col("digest").alias("component"), "pivot", "size"
+    )
+    star = cut(star)
+    pivot = star.select("lead", "part", "turn", F.col("pivot").alias("digest"), F.col("pivot").alias("component")).distinct()
+    star_links = cut(_verified(star, pivot, texts, _load(star), threshold)).select("a", "b")
     groups = components(star_links)
 
     # what no pivot has settled
     places = distinct.select("digest", "places").join(wanted, "digest", "left_semi")
-    links = star_links
-    for most in (3, None):
-        links = cut(links.unionByName(_verified(cut(_apart(shared, groups, places, threshold, most)), texts, threshold)))
-        groups = components(links)
+    asking, block = _questions(shared, groups, places, threshold)
+    turns = asking.groupBy("lead", "part").agg(F.ceil(F.sum("size") / F.lit(float(CELL_BYTES))).alias("turns"))
+    asked = block.join(turns, ["lead", "part"]).withColumn("turn", F.explode(F.sequence(F.lit(0).cast("long"), F.col("turns") - 1)))
+    asking = asking.join(turns, ["lead", "part"]).withColumn("turn", F.pmod(F.xxhash64("digest"), F.col("turns")))
+    more = cut(_verified(asking, asked, texts, _load(asking) + _load(asked), threshold))
+    roots = components(more.select(F.col("component_a").alias("a"), F.col("component_b").alias("b")))
+    links = star_links.unionByName(more.select("a", "b"))
 
     ends = links.select(F.col("a").alias("digest")).unionByName(links.select(F.col("b").alias("digest")))
     degree = ends.groupBy("digest").agg(F.count("*").alias("n_links"))
     member = distinct.select("digest", "least").join(groups.withColumnRenamed("node", "digest"), "digest", "left").join(degree, "digest", "left")
-    member = member.withColumn("component", F.coalesce("component", "digest"))
+    member = member.withColumn("star", F.coalesce("component", "digest")).drop("component")
+    member = member.join(roots.select(F.col("node").alias("star"), F.col("component")), "star", "left").withColumn("component", F.coalesce("component", "star"))
     named = F.min(F.struct("least", "digest"))
     heads = member.groupBy("component").agg(named["least"].alias("class_id"), named["digest"].alias("head"))
     return docs.select("doc_id", "digest"), member.join(heads, "component").select("digest", "class_id", "head", F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
+def _load(rows: DataFrame) -> int:
+    return int(rows.agg(F.sum("size")).first()[0] or 0)
+
+
 def classes(documents: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     """doc_id, digest, class_id, n_links for each row of (doc_id, text)."""
     docs, member = members(documents, threshold)
@@ -326,8 +428,9 @@ def drop_near_duplicates(documents: DataFrame, threshold: float = SIMILARITY) ->
     words all stay."""
     _, member = members(documents, threshold)
     no_words = F.coalesce("text", F.lit("")).rlike(r"^[\x20\x09-\x0D]*\z")
-    rows = _with_digest(documents.where(~no_words), "__digest").withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), F.lit(FIRST)))
-    heads = member.where("digest = head").select(F.col("digest").alias("__digest"), F.col("class_id").alias("__id"))
-    first = F.row_number().over(W.partitionBy("__digest", "__id").orderBy(F.lit(1)))
-    one = rows.join(heads, ["__digest", "__id"]).withColumn("__n", first).where("__n = 1")
+    digest, ident, number = unused(documents.columns, "digest", "id", "n")
+    rows = _with_digest(documents.where(~no_words), digest).withColumn(ident, F.coalesce(F.col("doc_id").cast("long"), F.lit(FIRST)))
+    heads = member.where("digest = head").select(F.col("digest").alias(digest), F.col("class_id").alias(ident))
+    first = F.row_number().over(W.partitionBy(digest, ident).orderBy(F.lit(1)))
+    one = rows.join(heads, [digest, ident]).withColumn(number, first).where(F.col(number) == 1)
     return one.select(*documents.columns).unionByName(documents.where(no_words))

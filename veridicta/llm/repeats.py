@@ -315,7 +315,7 @@ def remove_repeats(df: DataFrame, scheme: Scheme, finish: Callable[[Batch, np.nd
         return tell(b.id, parts, v, *b.order(text[w], starts[w]))
 
     def exchange(step, reply, joined):
-        return cut(joined.mapInArrow(told(step), _TOLD).groupBy("part").applyInArrow(reply, _REPLY))
+        return cut(joined.mapInArrow(told(step), _TOLD).groupBy("part").applyInArrow(reply, _REPLY), free=True)
 
     k = exchange(keys, _keys_reply, packed)
     c = exchange(kinds, _values_reply(scheme.keep_first), _joined(packed, keys=k))
