@@ -82,6 +82,37 @@ def test_tables_without_repeats(spark):
         assert got == bytes_brute(data)
 
 
+def test_frequent_prefixes_go_window_by_window(docs, data, monkeypatch):
+    """Groups of prefixes that are too large for a task give the same result."""
+    from veridicta.llm import repeats
+
+    monkeypatch.setattr(repeats, "GROUP_BYTES", 500)
+    got = Counter((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in dedup_words(docs).collect())
+    assert got == words_brute(data)
+    got = Counter(tuple(r[c] for c in ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")) for r in repeated_bytes(docs).collect())
+    assert got == bytes_brute(data)
+
+
+def test_orders_of_suffixes():
+    """The subtree's nodes and the parsing's order against plain sorting."""
+    from veridicta.llm import prefix_free, suffix_trees
+
+    rng = random.Random(4)
+    for alphabet in ("a", "ab", "abcdefgh"):
+        text = "".join(rng.choices(alphabet, k=700)).encode() * 2 + b"\x00" * 60 + "".join(rng.choices(alphabet, k=90)).encode()
+        parsing = prefix_free.Parsing(text)
+        got = [text[i:] for i in parsing.order(np.arange(len(text))).tolist()]
+        assert got == sorted(got)
+        pieces = [" ".join(rng.choices(alphabet, k=rng.randint(4, 30))).encode() for _ in range(60)]
+        tree = suffix_trees.Subtree(pieces)
+        leaf = [(k, i) for k, p in enumerate(pieces) for i in range(len(p.split()) - 3)]
+        node = tree.nodes(np.array([tree.first[k] + i for k, i in leaf]), 4)
+        key = [tuple(pieces[k].split()[i : i + 4]) for k, i in leaf]
+        many = Counter(key)
+        assert [n > 0 for n in node.tolist()] == [many[w] > 1 for w in key]
+        assert len({(n, w) for n, w in zip(node.tolist(), key, strict=True) if n}) == len({n for n in node.tolist() if n}) == sum(v > 1 for v in many.values())
+
+
 def jp(x, y):
     return sum(1 / sum(max(x[j] / x[i], y[j] / y[i]) for j in {*x, *y}) for i in x if i in y)
 

@@ -1,15 +1,17 @@
-"""Substring dedup over bytes by fingerprints of spans around content-defined anchors.
+"""Substring dedup over bytes by prefix-free parsing.
 
-The rolling hash of every 16-byte window is compared with its neighbours; a place that has the least hash of some
-128 neighbouring places is an anchor, which depends on nothing but the bytes around it, so equal stretches of text
-have equal anchors, wherever they stand.  Equal 64-bit fingerprints are counted over the corpus: first of the 273 bytes
-at an anchor, then of the whole run of windows around it, and last, where these differ, of each window's own 400 bytes.
-A window whose fingerprint occurs twice is a repeat.  This stands in for prefix-free parsing: there is no dictionary of
-phrases, no parse, and no order of suffixes.
+Stretches that can hold repeated windows of 400 bytes are found and grouped as ``repeats`` tells: by the 273 bytes at
+an anchor, which all windows of the anchor share.  The order of a group's suffixes then comes from prefix-free parsing.
+A place whose eight bytes have a rolling hash divisible by 32 is a trigger; a phrase reaches from one trigger to
+the end of the next, so no phrase's suffix longer than a trigger is the beginning of another one's.  Highly repetitive
+text has few distinct phrases: the dictionary, whose suffixes are ranked by doubling, and the parse, the sequence of
+phrases, whose suffixes are ranked likewise.  A suffix of the text is ordered by the rank of the rest of its phrase,
+then by the rank of the parse from the next phrase on.  Neighbours in that order that agree in 400 bytes, which is
+checked on the bytes themselves, are repeats.
 
 Nulls are empty texts; texts under 400 bytes stay whole.  Repeated rows are repeats of each other.  Removed stretches
-that touch count as one.  ``dedup_bytes`` keeps further columns; bytes of a character that a cut splits are left out
-of ``text`` there, but not out of the digest.
+that touch count as one.  An empty table gives no rows.  ``dedup_bytes`` keeps further columns, whatever their names;
+bytes of a character that a cut splits are left out of ``text`` there, but not out of the digest.
 """
 
 from __future__ import annotations
@@ -20,26 +22,102 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from veridicta.llm.common import BYTE_CODE
+from veridicta.llm.common import BYTE_CODE, SpanHash, ragged
 from veridicta.llm.repeats import Batch, Scheme, remove_repeats
 
 WINDOW_BYTES = 400
-
-
-def _units(texts):
-    first = np.zeros(len(texts) + 1, np.int64)
-    np.cumsum([len(t) for t in texts], out=first[1:])
-    return BYTE_CODE[np.frombuffer(b"".join(texts), np.uint8)], first
+TRIGGER, APART = 8, 32  # bytes of a trigger, one place in so many is one
+PACKED = 7  # symbols of 9 bits in one number
+COMPARED = 1 << 12
+
+
+class ByteUnits:
+    def __init__(self, texts: list[bytes]):
+        self.first = np.zeros(len(texts) + 1, np.int64)
+        np.cumsum([len(t) for t in texts], out=self.first[1:])
+        self.data = b"".join(texts)
+
+    def code(self, i: int, j: int) -> np.ndarray:
+        return BYTE_CODE[np.frombuffer(self.data, np.uint8, j - i, i)]
+
+    def piece(self, i: int, j: int) -> bytes:
+        return self.data[i:j]
+
+
+def _doubled(rank: np.ndarray, rest: np.ndarray, k: int, most: int) -> np.ndarray:
+    """Ranks of the suffixes at each place, from those by their first k symbols; ``rest``: symbols up to the string's end."""
+    n, kinds = len(rank), -1
+    while k < most:
+        more = np.flatnonzero(rest > k)
+        later = np.zeros(n, np.int64)
+        later[more] = rank[more + k] + 1
+        value, rank = np.unique(rank * (n + 1) + later, return_inverse=True)
+        if len(value) == kinds:  # nothing was told apart, so nothing will be
+            break
+        kinds, k = len(value), k * 2
+    return rank
+
+
+class Parsing:
+    """Prefix-free parsing of a text: dictionary and parse, with the ranks of their suffixes."""
+
+    def __init__(self, text: bytes):
+        t = np.frombuffer(text, np.uint8)
+        hashed = SpanHash(BYTE_CODE[t]).grams(TRIGGER)
+        trigger = np.flatnonzero(hashed % np.uint64(APART) == 0)
+        self.start = np.r_[0, trigger[trigger > 0]]
+        end = np.r_[self.start[1:] + TRIGGER, len(t)]
+        number: dict[bytes, int] = {}
+        phrases = [number.setdefault(text[i:j], len(number)) for i, j in zip(self.start.tolist(), end.tolist(), strict=True)]
+        self.parse = np.array(phrases, np.int64)
+        size = np.array([len(p) for p in number], np.int64)
+        self.first = np.cumsum(size) - size
+        data = np.frombuffer(b"".join(number), np.uint8).astype(np.int64) + 1
+        rest = np.repeat(self.first + size, size) - np.arange(len(data))
+        packed = np.zeros(len(data), np.int64)
+        padded = np.r_[data, np.zeros(PACKED, np.int64)]
+        for i in range(PACKED):
+            packed = packed << 9 | np.where(rest > i, padded[i : i + len(data)], 0)
+        rank = np.unique(packed, return_inverse=True)[1]
+        self.in_dictionary = _doubled(rank, rest, PACKED, int(size.max(initial=0)))
+        of_phrase = np.unique(self.in_dictionary[self.first], return_inverse=True)[1][self.parse]
+        self.in_parse = _doubled(of_phrase, np.arange(len(self.parse), 0, -1), 1, len(self.parse))
+
+    def order(self, places: np.ndarray) -> np.ndarray:
+        """The places in the order of the text's suffixes."""
+        phrase = np.searchsorted(self.start, places, "right") - 1
+        rest = self.in_dictionary[self.first[self.parse[phrase]] + places - self.start[phrase]]
+        after = np.r_[self.in_parse + 1, 0][phrase + 1]
+        return np.lexsort((after, rest))
+
+
+def equal_windows(window: int):
+    def run(pieces: list[bytes], windows: np.ndarray) -> np.ndarray:
+        text = b"".join(pieces)
+        size = np.array([len(p) for p in pieces], np.int64)
+        places = ragged(np.cumsum(size) - size, windows)
+        by = Parsing(text).order(places)
+        view = np.lib.stride_tricks.sliding_window_view(np.frombuffer(text, np.uint8), window)
+        at, joined = places[by], np.zeros(max(0, len(by) - 1), bool)
+        for i in range(0, len(joined), COMPARED):
+            span = at[i : i + COMPARED + 1]
+            joined[i : i + COMPARED] = (view[span[:-1]] == view[span[1:]]).all(1)
+        out = np.zeros(len(by), np.int64)
+        inner = np.r_[False, joined] | np.r_[joined, False]
+        out[by] = np.where(inner, np.cumsum(np.r_[True, ~joined]), 0)
+        return out
+
+    return run
 
 
 def scheme(window: int = WINDOW_BYTES) -> Scheme:
     reach = max(1, min(128, window // 3))
-    return Scheme(_units, window, reach, min(16, window - reach + 1), keep_first=False)
+    return Scheme(ByteUnits, equal_windows(window), window, reach, min(16, window - reach + 1), keep_first=False)
 
 
 def _kept(b: Batch, gone: np.ndarray):
     """(removed bytes, removed runs, kept bytes) of each text."""
-    first = b.runs.first
+    first = b.units.first
     cuts = np.r_[0, np.cumsum(gone)]
     removed = cuts[first[1:]] - cuts[first[:-1]]
     spans, kept = np.zeros(len(b.texts), np.int64), []
@@ -56,7 +134,7 @@ def _digest(b: Batch, gone: np.ndarray) -> pa.RecordBatch:
     removed, spans, kept = _kept(b, gone)
     doc = b.rows.column("doc_id").combine_chunks().cast(pa.int64())
     return pa.RecordBatch.from_arrays(
-        [doc, pa.array(np.diff(b.runs.first), pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in kept])],
+        [doc, pa.array(np.diff(b.units.first), pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in kept])],
         ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
     )
 

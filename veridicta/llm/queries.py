@@ -29,7 +29,7 @@ def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from veridicta.llm.suffix_trees import dedup_words
 
-    return dedup_words(table(spark, sf_dir, "documents")).drop("kept_text")
+    return dedup_words(table(spark, sf_dir, "documents"), texts=False)
 
 
 def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
