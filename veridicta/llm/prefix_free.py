@@ -69,26 +69,29 @@ class Parsing:
         end = np.r_[self.start[1:] + TRIGGER, len(t)]
         number: dict[bytes, int] = {}
         phrases = [number.setdefault(text[i:j], len(number)) for i, j in zip(self.start.tolist(), end.tolist(), strict=True)]
+        self.dictionary = list(number)
+        rank = np.zeros(len(number), np.int64)
+        rank[sorted(range(len(number)), key=self.dictionary.__getitem__)] = np.arange(len(number))
         self.parse = np.array(phrases, np.int64)
-        size = np.array([len(p) for p in number], np.int64)
-        self.first = np.cumsum(size) - size
-        data = np.frombuffer(b"".join(number), np.uint8).astype(np.int64) + 1
-        rest = np.repeat(self.first + size, size) - np.arange(len(data))
+        self.in_parse = _doubled(rank[self.parse], np.arange(len(self.parse), 0, -1), 1, len(self.parse))
+
+    def order(self, places: np.ndarray) -> np.ndarray:
+        """The places in the order of the text's suffixes.  Only phrases that places stand in have all suffixes ranked."""
+        phrase = np.searchsorted(self.start, places, "right") - 1
+        used, which = np.unique(self.parse[phrase], return_inverse=True)
+        held = [self.dictionary[k] for k in used.tolist()]
+        size = np.array([len(p) for p in held], np.int64)
+        first = np.cumsum(size) - size
+        data = np.frombuffer(b"".join(held), np.uint8).astype(np.int64) + 1
+        rest = np.repeat(first + size, size) - np.arange(len(data))
         packed = np.zeros(len(data), np.int64)
         padded = np.r_[data, np.zeros(PACKED, np.int64)]
         for i in range(PACKED):
             packed = packed << 9 | np.where(rest > i, padded[i : i + len(data)], 0)
         rank = np.unique(packed, return_inverse=True)[1]
-        self.in_dictionary = _doubled(rank, rest, PACKED, int(size.max(initial=0)))
-        of_phrase = np.unique(self.in_dictionary[self.first], return_inverse=True)[1][self.parse]
-        self.in_parse = _doubled(of_phrase, np.arange(len(self.parse), 0, -1), 1, len(self.parse))
-
-    def order(self, places: np.ndarray) -> np.ndarray:
-        """The places in the order of the text's suffixes."""
-        phrase = np.searchsorted(self.start, places, "right") - 1
-        rest = self.in_dictionary[self.first[self.parse[phrase]] + places - self.start[phrase]]
+        rank = _doubled(rank, rest, PACKED, int(size.max(initial=0)))[first[which] + places - self.start[phrase]]
         after = np.r_[self.in_parse + 1, 0][phrase + 1]
-        return np.lexsort((after, rest))
+        return np.lexsort((after, rank))
 
 
 def equal_windows(window: int):

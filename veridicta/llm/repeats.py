@@ -35,7 +35,7 @@ BATCH_BYTES = 3 << 20
 PARTITION_BYTES = 24 << 20
 PART_VALUES = 400_000
 SLICE_UNITS = 1 << 18
-GROUP_BYTES = 4 << 20
+GROUP_BYTES = 2 << 20
 _TOLD = "part long, batch long, a binary, b binary, doc binary, place binary, size binary, text binary"
 _REPLY = "batch long, part long, yes binary, no binary"
 
@@ -428,7 +428,7 @@ def remove_repeats(df: DataFrame, scheme: Scheme, finish: Callable[[Batch, np.nd
     packed = pack(df, deal=True)
     size = packed.agg(F.sum("size")).first()[0] or 0
     per_value = (scheme.reach + 1) / 2 * (6 if scheme.length < 64 else 1)
-    parts = (max(4, int(size / per_value / PART_VALUES) + 1), max(4, size // (2 * GROUP_BYTES)))
+    parts = (max(4, int(size / per_value / PART_VALUES) + 1), max(4, size // (4 * GROUP_BYTES)))
     limit = GROUP_BYTES // (scheme.length * (6 if scheme.length < 64 else 1))
 
     def exchange(step, reply, joined):
