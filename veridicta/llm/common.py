@@ -28,6 +28,7 @@ _is_word = np.ones(256, np.int8)
 _is_word[[0x20, *range(0x09, 0x0E)]] = 0
 _rng = np.random.default_rng(20240607)
 BYTE_CODE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_SECOND_CODE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15
 _power = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 
@@ -63,6 +64,18 @@ def cut(df: DataFrame, free: bool = False) -> DataFrame:
     return out
 
 
+def dealt(df: DataFrame, partitions: int, column: str) -> DataFrame:
+    """``df`` cut, partitioned and sorted by ``column``, so that joins and groups by it leave it where it is.  Spark keeps
+    the partitioning of a checkpoint only if the plan isn't adaptive."""
+    spark, key = df.sparkSession, "spark.sql.adaptive.enabled"
+    was = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        return cut(df.repartition(partitions, column).sortWithinPartitions(column), free=True)
+    finally:
+        spark.conf.set(key, was)
+
+
 def unused(columns: list[str], *names: str) -> list[str]:
     """Names for columns of our own that none of ``columns`` has, whatever their case."""
     taken = {c.lower() for c in columns}
@@ -152,7 +165,7 @@ def chunks(batch, column: str = "text", limit: int = CHUNK_BYTES):
 class Words:
     """The words of some texts: hash, length, and where each text's words begin (``first`` has one entry more)."""
 
-    def __init__(self, texts: list[bytes], lower: bool = False):
+    def __init__(self, texts: list[bytes], lower: bool = False, second: bool = False):
         joined = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
         if lower:
             joined = np.where((joined >= 65) & (joined <= 90), joined + np.uint8(32), joined)
@@ -164,6 +177,8 @@ class Words:
         self.first = np.searchsorted(self.start, begins)
         self.count = np.diff(self.first)
         self.hash = SpanHash(BYTE_CODE[joined]).of(self.start, self.end)
+        if second:  # a fingerprint that is independent of the first
+            self.second = SpanHash(_SECOND_CODE[joined]).of(self.start, self.end)
 
     def text_of(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.count)), self.count)

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veridicta.llm.common import SpanHash, binary, byte_column, cut, ids_of, mix, numbers, ragged, trim
+from veridicta.llm.common import SpanHash, binary, byte_column, cut, dealt, ids_of, mix, numbers, ragged, trim
 from veridicta.plans.shipping import ship
 
 BATCH_BYTES = 3 << 20
@@ -91,7 +91,7 @@ def pack(df: DataFrame, limit: int = BATCH_BYTES, deal: bool = False) -> DataFra
         return packed
     size = packed.agg(F.sum("size")).first()[0] or 0
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return cut(packed.repartition(max(least, size // PARTITION_BYTES), "batch"), free=True)
+    return dealt(packed, max(least, size // PARTITION_BYTES), "batch")
 
 
 def unpacked(rows: bytes) -> pa.Table:
@@ -426,6 +426,7 @@ def _rows(batches):
 def remove_repeats(df: DataFrame, scheme: Scheme, finish: Callable[[Batch, np.ndarray], pa.RecordBatch], schema: str) -> DataFrame:
     """``finish`` gets each batch with its marks and makes the rows of ``schema``."""
     packed = pack(df, deal=True)
+    many = packed.rdd.getNumPartitions()
     size = packed.agg(F.sum("size")).first()[0] or 0
     per_value = (scheme.reach + 1) / 2 * (6 if scheme.length < 64 else 1)
     parts = (max(4, int(size / per_value / PART_VALUES) + 1), max(4, size // (4 * GROUP_BYTES)))
@@ -438,7 +439,7 @@ def remove_repeats(df: DataFrame, scheme: Scheme, finish: Callable[[Batch, np.nd
                     yield record(out, _TOLD)
 
         got = cut(joined.mapInArrow(run, _TOLD).groupBy("part").applyInArrow(reply, _REPLY), free=True)
-        return got.groupBy("batch").agg(F.collect_list(F.struct("part", "yes", "no")).alias("told"))
+        return got.repartition(many, "batch").groupBy("batch").agg(F.collect_list(F.struct("part", "yes", "no")).alias("told"))
 
     def joined(**replies):
         out = packed
