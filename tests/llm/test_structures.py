@@ -1,6 +1,7 @@
 import hashlib
 import os
 import random
+import time
 import zlib
 from collections import Counter
 
@@ -95,6 +96,39 @@ def test_configurations_hold_the_histogram(n):
     assert sum(u for _, u in plan) <= -(-int(lengths.sum()) // 4096) * 1.01 + 1
 
 
+@pytest.mark.parametrize("times", [1, 400, 40_000])
+def test_program_does_not_grow_with_the_corpus(times):
+    """10**8 and 10**10 pieces take the configurations and the rest of 250,000, and the bound shows how good they are."""
+    lengths = np.minimum(np.random.default_rng(1).lognormal(5.8, 1, 250_000).astype(int) + 1, 4096)
+    h = {k: n * times for k, n in Counter(lengths.tolist()).items()}
+    begin = time.process_time()
+    plan = packing.program(h)
+    assert time.process_time() - begin < 30
+    held = Counter()
+    for config, uses in plan.configs:
+        assert sum(k * m for k, m in config.items()) <= 4096
+        for k, m in config.items():
+            held[k] += m * uses
+    assert held == h
+    assert len(plan.configs) < 2 * 4096 and plan.rest < 4096 * 8
+    assert plan.bound <= plan.value <= plan.sequences <= plan.bound * 1.001
+
+
+def test_words_beyond_the_cache(monkeypatch):
+    """Words that were forgotten, and words whose first fingerprints collide, have the same ids."""
+    words = [f"word{i}" for i in range(300)]
+    whole = Tokenizer.from_file(PATH)
+    want = [whole.encode(w, add_special_tokens=False).ids + [1] for w in words]
+    monkeypatch.setattr(packing, "_CACHE", 50)
+    t = packing.WordTokenizer(PATH)
+    for _ in range(2):
+        for i in range(0, 300, 20):
+            ids, count = t.batch([w.encode() for w in words[i : i + 20]])
+            assert ids.tolist() == [x for y in want[i : i + 20] for x in y] and count.tolist() == [len(y) for y in want[i : i + 20]]
+    ids, count = t._one_by_one([b"word1 word2", b""])
+    assert ids.tolist() == want[1][:-1] + want[2] + [1] and count.tolist() == [len(want[1]) + len(want[2]) - 1, 1]
+
+
 @pytest.fixture(scope="module")
 def counter():
     return edit_counts.Counter(public_tokenizers.path(edit_counts.VOCABULARY), public_tokenizers.PATTERN)
