@@ -109,7 +109,9 @@ class WordTokenizer:
         check = w.second[at]
         data, self.turn = w.data.tobytes(), self.turn + 1
         i = np.minimum(np.searchsorted(self.value, value), max(0, len(self.value) - 1))
-        new = np.flatnonzero(self.value[i] != value) if len(self.value) else np.arange(len(value))
+        known = self.value[i] == value if len(self.value) else np.zeros(len(value), bool)
+        self.met[i[known]] = self.turn
+        new = np.flatnonzero(~known)
         if len(new):
             self._learn(value[new], check[new], [data[a:b] for a, b in zip(w.start[at[new]].tolist(), w.end[at[new]].tolist(), strict=True)])
         i = np.searchsorted(self.value, value)
