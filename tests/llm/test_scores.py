@@ -185,3 +185,87 @@ def test_mix_of_many_small_documents_is_close(spark):
 def test_mix_is_native(docs):
     plan = entropy_mix.mix(docs)._jdf.queryExecution().optimizedPlan().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
+
+
+def tiny_model(seed=2):
+    import numpy as np
+
+    v = gru_lm.Vocabulary(np.arange(1, 8, dtype=np.uint64), np.array([9, 7, 5, 4, 3, 2, 1]), 6, 60, 30)
+    m = gru_lm.Model(v, seed)
+    rng = np.random.default_rng(seed)
+    for p in m.parameters():
+        p += rng.normal(0, 0.2, p.shape).astype(np.float32) * (p > -1e3)
+    return v, m
+
+
+def plain_score(v, m, document):
+    """The model's natural log probability of one document, in plain Python and doubles."""
+    h = gru_lm.HIDDEN
+    dot = lambda x, w: [sum(float(a) * float(b) for a, b in zip(x, col, strict=True)) for col in zip(*w, strict=True)]
+    log_softmax = lambda x: [a - max(x) - math.log(sum(math.exp(b - max(x)) for b in x)) for a in x]
+    sigmoid = lambda a: 1 / (1 + math.exp(-a))
+    state, last, out = [0.0] * h, v.end, 0.0
+    for token in document:
+        x, u = [float(a) for a in m.input[last]], dot(state, m.recur)
+        z = [sigmoid(x[i] + u[i]) for i in range(h)]
+        r = [sigmoid(x[h + i] + u[h + i]) for i in range(h)]
+        n = [math.tanh(x[2 * h + i] + r[i] * u[2 * h + i]) for i in range(h)]
+        state = [n[i] + z[i] * (state[i] - n[i]) for i in range(h)]
+        kind = token // v.per_class if token < v.size else v.classes - 2 + token - v.size
+        out += log_softmax([a + float(b) for a, b in zip(dot(state, m.to_class), m.class_bias, strict=True)])[kind]
+        if token < v.size:
+            out += log_softmax([a + float(b) for a, b in zip(dot(state, m.to_word[kind]), m.word_bias[kind], strict=True)])[token - kind * v.per_class]
+        last = token
+    return out
+
+
+def test_lm_score_matches_plain_python():
+    import numpy as np
+
+    v, m = tiny_model()
+    rng = np.random.default_rng(4)
+    documents = [np.append(rng.integers(0, v.size + 1, n), v.end) for n in (0, 1, 5, 40, 7)]
+    got = m.log_likelihood(documents)
+    for d, x in zip(documents, got, strict=True):
+        assert math.isclose(x, plain_score(v, m, d.tolist()), rel_tol=1e-4)
+
+
+def test_lm_gradients_match_finite_differences():
+    import numpy as np
+
+    v, m = tiny_model()
+    rng = np.random.default_rng(7)
+    lanes = [np.r_[v.end, rng.integers(0, v.size + 1, 3), v.end, rng.integers(0, v.size + 1, 4), v.end] for _ in range(3)]
+    tokens = np.stack(lanes)
+    before, token = tokens[:, :-1], tokens[:, 1:]
+    real = np.ones(token.shape, np.float32)
+    real[2, 6:] = 0
+    grads, _ = m.gradients(before, token, real, np.zeros((3, gru_lm.HIDDEN), np.float32))
+
+    def loss():
+        total = 0.0
+        for k in range(3):
+            end = int(real[k].sum())
+            cuts = [0, *(i + 1 for i in range(end) if token[k, i] == v.end), end]
+            total -= sum(plain_score(v, m, token[k, a:b].tolist()) for a, b in zip(cuts, cuts[1:], strict=False) if b > a)
+        return total
+
+    for p, g in zip(m.parameters(), grads, strict=True):
+        for at in np.argsort(-np.abs(g), axis=None)[:3]:
+            where, step = np.unravel_index(at, p.shape), np.float32(1e-2)
+            old = p[where]
+            p[where] = old + step
+            up = loss()
+            p[where] = old - step
+            down = loss()
+            p[where] = old
+            assert math.isclose((up - down) / (2 * float(step)), g[where], rel_tol=0.02, abs_tol=1e-3)
+
+
+def test_lm_without_any_words(spark, empty):
+    df = spark.createDataFrame([(1, None), (2, ""), (3, " ")], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in gru_lm.score_documents(df).collect()}
+    train = sum(zlib.crc32(str(i).encode()) % 7 != 2 for i in (1, 2, 3))
+    for r in got.values():
+        assert (r["n_tokens"], r["train_tokens"]) == (1, train) and r["score"] <= 0 and math.isfinite(r["base_score"])
+    assert gru_lm.score_documents(empty).count() == 0

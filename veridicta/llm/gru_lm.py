@@ -31,7 +31,7 @@ from veridicta.llm.repeats import _rows, pack, record, tell, unpacked
 
 FOLDS, HELD_OUT = 7, 2
 VOCABULARY, CLASSES, HIDDEN = 2000, 45, 32
-STREAMS, STEPS, EPOCHS, LEAST_WINDOWS = 48, 24, 2, 300
+STREAMS, STEPS, EPOCHS, LEAST_WINDOWS = 192, 24, 1, 300
 WINDOW = 128  # tokens scored between two passes of the output layers
 PART_VALUES = 1_500_000
 _COUNTS = "batch long, part long, counts binary, kinds long, total long, top array<struct<h:long,n:long>>"
@@ -205,44 +205,60 @@ class Model:
             epoch += 1
         return self
 
-    def _window(self, before, token, real, state, moments, turn, rate):
-        h, kept, inputs, lanes = HIDDEN, [], [], len(before)
-        for t in range(before.shape[1]):
-            state = state * (before[:, t] != self.v.end)[:, None].astype(np.float32)  # a document begins after an end
-            inputs.append(state)
-            state, inner = self.step(before[:, t], state)
-            kept.append((state, inner))
-        flat = np.concatenate([s for s, _ in kept])
-        target, weight = token.T.ravel(), real.T.ravel()
-        use = weight > 0
+    def gradients(self, before: np.ndarray, token: np.ndarray, real: np.ndarray, state: np.ndarray):
+        """(gradients of the summed negative log probability of the real tokens, state after the window): one window of
+        truncated backpropagation, with the steps' products taken together where they don't depend on each other."""
+        h, lanes, steps = HIDDEN, *before.shape
+        begins = (before.T == self.v.end)[:, :, None]  # a document begins after an end
+        x = self.input[before.T]
+        inputs, states, inner = np.empty((steps, lanes, h), np.float32), np.empty((steps, lanes, h), np.float32), []
+        for t in range(steps):
+            inputs[t] = np.where(begins[t], np.float32(0), state)
+            u = inputs[t] @ self.recur
+            gates = _sigmoid(x[t, :, : 2 * h] + u[:, : 2 * h])
+            z, r = gates[:, :h], gates[:, h:]
+            n = np.tanh(x[t, :, 2 * h :] + r * u[:, 2 * h :])
+            states[t] = state = n + z * (inputs[t] - n)
+            inner.append((z, r, n, u[:, 2 * h :]))
+        use = real.T.ravel() > 0
         learn: list = []
-        self.outputs(flat[use], target[use], learn)
-        to_states = np.zeros_like(flat)
+        self.outputs(states.reshape(-1, h)[use], token.T.ravel()[use], learn)
+        to_states = np.zeros((steps * lanes, h), np.float32)
         to_states[use] = learn[0]
-        to_states = to_states.reshape(len(kept), lanes, h)
-        scale = 1 / max(1, use.sum())
-        d_input, d_recur, d_state = np.zeros_like(self.input), np.zeros_like(self.recur), np.zeros((lanes, h), np.float32)
-        for t in range(len(kept) - 1, -1, -1):
-            z, r, n, un = kept[t][1]
+        to_states = to_states.reshape(steps, lanes, h)
+        into, around = np.empty((steps, lanes, 3 * h), np.float32), np.empty((steps, lanes, 3 * h), np.float32)
+        back, d_state = np.ascontiguousarray(self.recur.T), np.zeros((lanes, h), np.float32)
+        for t in range(steps - 1, -1, -1):
+            z, r, n, un = inner[t]
             d = d_state + to_states[t]
             dz = d * (inputs[t] - n) * z * (1 - z)
             dn = d * (1 - z) * (1 - n * n)
             dr = dn * un * r * (1 - r)
-            du = np.concatenate([dz, dr, dn * r], 1)
-            d_recur += inputs[t].T @ du
-            np.add.at(d_input, before[:, t], np.concatenate([dz, dr, dn], 1))
-            d_state = d * z + du @ self.recur.T
-            d_state *= (before[:, t] != self.v.end)[:, None]
-        grads = [d_input, d_recur, learn[1], learn[2], learn[3], learn[4]]
-        grads = [g * np.float32(scale * 100) for g in grads]
-        norm = np.sqrt(sum(float((g * g).sum()) for g in grads))
-        clip = np.float32(min(1.0, 100 / max(norm, 1e-9)))
+            into[t, :, :h], into[t, :, h : 2 * h], into[t, :, 2 * h :] = dz, dr, dn
+            around[t, :, : 2 * h], around[t, :, 2 * h :] = into[t, :, : 2 * h], dn * r
+            d_state = np.where(begins[t], np.float32(0), d * z + around[t] @ back)
+        d_recur = inputs.reshape(-1, h).T @ around.reshape(-1, 3 * h)
+        words = before.T.ravel()
+        by = np.argsort(words, kind="stable")
+        first = np.flatnonzero(np.r_[True, np.diff(words[by]) != 0])
+        d_input = np.zeros_like(self.input)
+        d_input[words[by[first]]] = np.add.reduceat(into.reshape(-1, 3 * h)[by], first)
+        return [d_input, d_recur, *learn[1:]], state
+
+    def _window(self, before, token, real, state, moments, turn, rate):
+        grads, state = self.gradients(before, token, real, state)
+        scale = np.float32(100 / max(1, real.sum()))
+        norm = scale * np.sqrt(sum(float(np.dot(g.ravel(), g.ravel())) for g in grads))
+        scale *= np.float32(min(1.0, 100 / max(norm, 1e-9)))
         for p, g, (m, s) in zip(self.parameters(), grads, moments, strict=True):
-            g = g * clip
+            g *= scale
             m += (g - m) * np.float32(0.1)
-            s += (g * g - s) * np.float32(0.01)
-            p -= np.float32(rate) * (m / np.float32(1 - 0.9**turn)) / (np.sqrt(s / np.float32(1 - 0.99**turn)) + np.float32(1e-6))
-        return kept[-1][0]
+            g *= g
+            s += (g - s) * np.float32(0.01)
+            step = np.sqrt(s / np.float32(1 - 0.99**turn))
+            step += np.float32(1e-6)
+            p -= np.float32(rate / (1 - 0.9**turn)) * m / step
+        return state
 
 
 def _told(row: dict):
