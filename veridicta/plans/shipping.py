@@ -12,8 +12,13 @@ from pyspark.sql import SparkSession
 _sent: set[str] = set()
 
 
+ROWS_PER_BATCH = 1000  # texts have some KB; Spark's own number would hand over tens of MB at once
+
+
 def ship(spark: SparkSession) -> None:
-    context = spark.sparkContext
+    context, key = spark.sparkContext, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > ROWS_PER_BATCH:
+        spark.conf.set(key, str(ROWS_PER_BATCH))
     if context.applicationId in _sent:
         return
     top = Path(__file__).resolve().parents[1]
