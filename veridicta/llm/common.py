@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from veridicta.plans.shipping import ship
 
 WORD = r"[^\x20\x09-\x0D]+"
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 FIRST = np.iinfo(np.int64).max  # stands for a null id in orderings: after all others
 
 _is_word = np.ones(256, np.int8)

@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veridicta.llm.common import byte_column, crc_of_id
+from veridicta.llm.common import byte_column, crc_of_id, trim
 from veridicta.plans.shipping import ship
 
 FOLDS = 5
@@ -180,6 +180,7 @@ def score(documents: DataFrame, model: Model) -> DataFrame:
         for b in batches:
             scores = model.scores(byte_column(b.column(names.index("text"))))
             yield pa.RecordBatch.from_arrays([*(b.column(names.index(c)) for c in out), pa.array(scores, pa.float64())], [*out, "score"])
+            trim()
 
     return documents.mapInArrow(run, documents.select(*out).withColumn("score", F.lit(0.0)).schema)
 
@@ -201,6 +202,7 @@ def keep_good(documents: DataFrame, labels: DataFrame) -> DataFrame:
         for b in batches:
             good = model.scores(byte_column(b.column(names.index("text")))) >= THRESHOLD
             yield b.filter(pa.array(good))
+            trim()
 
     ship(documents.sparkSession)
     return documents.mapInArrow(run, documents.schema)

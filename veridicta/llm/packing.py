@@ -33,14 +33,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from veridicta.llm.common import Words, chunks, cut, ragged
+from veridicta.llm.common import Words, chunks, cut, ragged, trim
 from veridicta.plans.shipping import ship
 
 CAPACITY = 4096
 END_ID = 1
 BUCKET_PIECES = 500_000
 TOKENIZER = "word_bpe_49k.json"
-_CACHE = 600_000
+_CACHE = 500_000
 
 # Fixed value: how the tokenizer's file splits normalised text.
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -87,20 +87,20 @@ class WordTokenizer:
         return out
 
     def _learn(self, value: np.ndarray, check: np.ndarray, words: list[bytes]) -> None:
-        """Keeps the ids of new words; when there are too many, words that were not met lately go."""
+        """Keeps the ids of new words; when there are too many, those go that were not met for longest."""
         ids = [self.word(x) for x in words]
         size = np.array([len(x) for x in ids], np.int64)
         flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(size.sum()))
         if len(self.value) + len(value) > _CACHE:
-            keep = np.flatnonzero(self.met >= self.turn - 1)
+            keep = np.flatnonzero(self.met >= np.partition(self.met, len(self.met) // 2)[len(self.met) // 2]) if len(self.met) else []
             self.flat = self.flat[ragged(self.first[keep], self.size[keep])]
             self.value, self.check, self.size, self.met = self.value[keep], self.check[keep], self.size[keep], self.met[keep]
             self.first = np.cumsum(self.size) - self.size
         first = len(self.flat) + np.cumsum(size) - size
         self.flat = np.concatenate([self.flat, flat])
-        merged = [np.concatenate(x) for x in ((self.value, value), (self.check, check), (self.first, first), (self.size, size), (self.met, np.full(len(value), self.turn)))]
-        by = np.argsort(merged[0], kind="stable")
-        self.value, self.check, self.first, self.size, self.met = (x[by] for x in merged)
+        at = np.searchsorted(self.value, value)  # both are sorted
+        self.value, self.check, self.first = np.insert(self.value, at, value), np.insert(self.check, at, check), np.insert(self.first, at, first)
+        self.size, self.met = np.insert(self.size, at, size), np.insert(self.met, at, self.turn)
 
     def batch(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, each text followed by END_ID; how many each text has).  Words are told apart by 128 bits."""
@@ -162,6 +162,7 @@ def token_pieces(documents: DataFrame, path: str, capacity: int = CAPACITY) -> D
                     [doc, pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())],
                     ["doc_id", "piece", "start", "length", "ids_crc32"],
                 )
+                trim()
 
     return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
