@@ -98,3 +98,32 @@ def test_pipeline(spark, tmp_path):
     again = p.run(linked=spark.read.parquet(str(tmp_path / "out" / "evidence.parquet")))
     assert again["scores"].count() == 2
     assert run_variants(spark.read.parquet(str(tmp_path / "out" / "evidence.parquet")).select("bank", "year", "sent_pos", "sentence", "embedding", "evidence_types", "has_evidence", "action_label")).count() == 3
+
+
+def test_positions_of_any_ids(spark):
+    rows = [("b", 2), ("b", 1), ("a", 1), (None, 3), ("a", 2), (None, 1), ("c", 1)]
+    df = spark.createDataFrame(rows, "doc string, k int")
+    want = sorted(rows, key=lambda r: (r[0] is not None, r[0] or "", r[1]))
+    got = {(r["doc"], r["k"]): r["at"] for r in corpus.with_position(df, "doc", "k", name="at").collect()}
+    assert got == {r: i for i, r in enumerate(want)}
+    grouped = df.withColumn("bank", F.when(F.col("doc") == "b", "x").otherwise(F.lit(None)))
+    got = {(r["doc"], r["k"]): r["at"] for r in corpus.with_position(grouped, "doc", "k", name="at", by=("bank",)).collect()}
+    assert [got["b", 1], got["b", 2]] == [0, 1] and [got[r] for r in want if r[0] != "b"] == [0, 1, 2, 3, 4]
+    assert corpus.with_position(df.where("false"), "doc", "k").count() == 0
+
+
+def test_pipeline_positions_follow_the_text(spark, tmp_path):
+    """More than ten blocks and two documents of one bank and year: places are those in the texts, not of ids as texts."""
+    folder = tmp_path / "in" / "bank"
+    folder.mkdir(parents=True)
+    for name in ("a", "b"):
+        blocks = [f"The bank {name} reported {i} results of the year in full. The second one of {i} is to follow." for i in range(14)]
+        (folder / f"r2020{name}.txt").write_text("\n\n".join(blocks))
+    p = ClaimPipeline(spark, None, SYNTHETIC_TOPIC_RULES, SYNTHETIC_ACTION_RULES, SYNTHETIC_EVIDENCE, SYNTHETIC_KPI_VALUES)
+    s = p.build_corpus(str(tmp_path / "in"))
+    want = [f"bank_2020_r2020{n}_s{i}_{k}" for n in "ab" for i in range(14) for k in range(2)]
+    assert [r["sent_id"] for r in corpus.text_position(s).orderBy("sent_pos").collect()] == want
+    bare = s.select("bank", "year", "sent_id", "sentence")
+    assert [r["sent_id"] for r in corpus.text_position(bare).orderBy("sent_pos").collect()] == want
+    linked = p.find_evidence(p.classify(s))
+    assert {r["sent_id"]: r["sent_pos"] for r in linked.select("sent_id", "sent_pos").collect()} == {x: i for i, x in enumerate(want)}

@@ -132,7 +132,7 @@ def build_sentences(blocks: DataFrame, split: Callable[[Column], Column] = sente
     return s.select(
         "doc_id", "bank", "year", "section_id", "block_id",
         F.concat("doc_id", F.lit("_s"), F.col("order_in_doc").cast("string"), F.lit("_"), at.cast("string")).alias("sent_id"),
-        "sent_idx_in_block", "sentence",
+        "order_in_doc", "sent_idx_in_block", "sentence",
         F.when(at > 0, F.get("__all", at - 1)).otherwise("").alias("ctx_prev"),
         F.coalesce(F.get("__all", at + 1), F.lit("")).alias("ctx_next"),
         "block_type", "section_title",
@@ -152,12 +152,45 @@ def prompt(last_label: str, last: Column) -> Column:
     )
 
 
-def with_position(df: DataFrame, doc: str, *order: str, name: str = "sent_pos", width: int = 1000) -> DataFrame:
-    """A dense number from 0 in the order (doc, *order), by running sums over ranges of ``width`` documents."""
-    bucket = F.floor(F.col(doc) / width)
-    d = df.withColumn("__range", bucket)
-    counts = d.groupBy("__range").agg(F.count("*").alias("__n"))
-    before = W.orderBy("__range").rowsBetween(W.unboundedPreceding, -1)  # one row a range
-    base = counts.select("__range", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
-    number = F.row_number().over(W.partitionBy("__range").orderBy(doc, *order)) - 1
-    return d.withColumn("__k", number).join(base, "__range").withColumn(name, F.col("__base") + F.col("__k")).drop("__range", "__k", "__base")
+RANGES = 1000
+
+
+def with_position(df: DataFrame, doc: str, *order: str, name: str = "sent_pos", by: tuple[str, ...] = ()) -> DataFrame:
+    """A dense number from 0 in the order (doc, *order) within each ``by``, or in the whole frame; null ids come first.
+
+    Documents are counted first; running sums go over one row a document, and rows are only ordered within their own
+    document.  Without ``by`` the documents are dealt into up to ``RANGES`` ranges of the id, of any type, whose edges
+    are ids that the driver picks by hash (one small job); edges only balance the work."""
+    d = df.withColumn("__doc", F.col(doc))
+    counts = d.groupBy(*by, "__doc").agg(F.count("*").alias("__n"))
+    if by:
+        before = W.partitionBy(*by).orderBy("__doc").rowsBetween(W.unboundedPreceding, -1)
+        counts = counts.withColumn("__base", F.coalesce(F.sum("__n").over(before), F.lit(0)))
+    else:
+        picked = counts.where("__doc IS NOT NULL").select("__doc").orderBy(F.xxhash64("__doc"), "__doc").limit(RANGES)
+        edges = F.array(*(F.lit(r[0]) for r in sorted(picked.collect()))) if not picked.isEmpty() else F.array()
+        place = F.coalesce(F.size(F.filter(edges, lambda e: e <= F.col("__doc"))), F.lit(0)) if not picked.isEmpty() else F.lit(0)
+        counts = counts.withColumn("__range", F.when(F.col("__doc").isNull(), -1).otherwise(place))
+        sums = counts.groupBy("__range").agg(F.sum("__n").alias("__m"))
+        before = W.orderBy("__range").rowsBetween(W.unboundedPreceding, -1)  # one row a range
+        start = sums.select("__range", F.coalesce(F.sum("__m").over(before), F.lit(0)).alias("__start"))
+        within = W.partitionBy("__range").orderBy("__doc").rowsBetween(W.unboundedPreceding, -1)
+        counts = counts.withColumn("__in", F.coalesce(F.sum("__n").over(within), F.lit(0))).join(start, "__range")
+        counts = counts.withColumn("__base", F.col("__start") + F.col("__in"))
+    base = counts.select(*(F.col(c).alias(f"__by{i}") for i, c in enumerate(by)), F.col("__doc").alias("__doc2"), "__base")
+    number = F.row_number().over(W.partitionBy(*by, "__doc").orderBy(*order)) - 1
+    same = F.col("__doc").eqNullSafe(F.col("__doc2"))
+    for i, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"__by{i}"))
+    return d.withColumn("__k", number).join(base, same).withColumn(name, F.col("__base") + F.col("__k")).drop("__doc", "__doc2", "__k", "__base", *(f"__by{i}" for i in range(len(by))))
+
+
+def text_position(df: DataFrame, name: str = "sent_pos") -> DataFrame:
+    """Sentences numbered in the order of their (bank, year)'s texts: document, block, place in the block.  The latter
+    two are read from sent_id where the frame has no columns for them."""
+    part = lambda k: F.regexp_extract("sent_id", r"_s(\d+)_(\d+)$", k).try_cast("long")
+    block = F.col("order_in_doc") if "order_in_doc" in df.columns else part(1)
+    place = F.col("sent_idx_in_block") if "sent_idx_in_block" in df.columns else part(2)
+    doc = F.col("doc_id") if "doc_id" in df.columns else F.regexp_replace("sent_id", r"_s\d+_\d+$", "")
+    d = df.withColumns({"__text": doc, "__block": block, "__place": place})
+    return with_position(d, "__text", "__block", "__place", "sent_id", name=name, by=("bank", "year")).drop("__text", "__block", "__place")

@@ -191,12 +191,16 @@ def legacy_topics(df: DataFrame, least: int = 3) -> DataFrame:
     return out.select("bank", "year", "topic", "n", F.when(enough, F.col("e")).alias("ewri"), F.when(enough, level(F.col("e"), LEGACY_LEVELS)).otherwise("N/A").alias("risk_level"))
 
 
-def legacy_top_claims(df: DataFrame, top: int = 10, order: str = "sent_pos") -> DataFrame:
+def legacy_claims(df: DataFrame, order: str = "sent_pos") -> DataFrame:
     d = legacy_strength(df)
     risk = F.round(additive_risk(F.col("action_label"), F.col("evidence_strength")) * dbl(100), 2)
     text = lambda c, n: F.substring(F.coalesce(F.col(c), F.lit("")), 1, n) if c in d.columns else F.lit("")
-    d = d.where("bank IS NOT NULL AND year IS NOT NULL").select(
+    return d.where("bank IS NOT NULL AND year IS NOT NULL").select(
         "bank", "year", "sent_id", text("sentence", 200).alias("sentence"), "action_label", "has_evidence", F.round("evidence_strength", 3).alias("evidence_strength"), risk.alias("risk_score"),
         text("action_explanation", 300).alias("explanation"), F.col(legacy_topic_column(d) or "sent_id").alias("topic"), text("section_title", 1000).alias("section"), order,
     )
-    return d.withColumn("rank", F.row_number().over(W.partitionBy("bank", "year").orderBy(F.col("risk_score").desc(), order))).where(F.col("rank") <= top)
+
+
+def legacy_top_claims(df: DataFrame, top: int = 10, order: str = "sent_pos") -> DataFrame:
+    best = W.partitionBy("bank", "year").orderBy(F.col("risk_score").desc(), order)
+    return legacy_claims(df, order).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veridicta.functions.packs import ACTION_RULES, EVIDENCE, KPI_VALUES, TOPIC_RULES
-from veridicta.operators import analyses, corpus, evidence, labels, linking, report, risk, rules
+from veridicta.operators import analyses, corpus, evidence, labels, linking, quality, report, risk, rules
 from veridicta.sources import tables
 from veridicta.streaming.scorers import hashed_embeddings
 
@@ -27,9 +27,13 @@ class ClaimPipeline:
         return self.spark.read.parquet(path)
 
     def build_corpus(self, path: str) -> DataFrame:
+        """Sentences; with a folder also their quality figures, without the marks behind them."""
         blocks = corpus.build_blocks(tables.read_texts(self.spark, path))
         self._keep(blocks, "blocks")
-        return self._keep(corpus.build_sentences(blocks), "sentences")
+        sentences = self._keep(corpus.build_sentences(blocks), "sentences")
+        if self.folder:
+            quality_job(sentences, self.folder)
+        return sentences
 
     def classify(self, sentences: DataFrame) -> DataFrame:
         d = labels.esg_subset(rules.match_topics(sentences, rules=self.topics))
@@ -39,7 +43,7 @@ class ClaimPipeline:
         d = classified.withColumn("text", F.col("sentence")) if "text" not in classified.columns else classified
         d = evidence.detect(d, pack=self.pack, kpis=self.kpis)
         if "sent_pos" not in d.columns:
-            d = corpus.with_position(d.withColumn("__doc", F.pmod(F.xxhash64("bank", "year"), F.lit(1 << 20))), "__doc", "bank", "year", "sent_id").drop("__doc")
+            d = corpus.text_position(d)
         if "embedding" not in d.columns:
             d = hashed_embeddings(d)
         return self._keep(linking.link(d, self.variant, scorer=self.nli), "evidence")
@@ -65,6 +69,16 @@ class ClaimPipeline:
         return out
 
 
+def quality_job(sentences: DataFrame, folder: str, label: str | None = None, key: str = "sent_id") -> DataFrame:
+    """Length, near-duplicate and OCR checks of a table of sentences: the report goes to quality.csv, the balance of
+    ``label`` to balance.csv; returns the sentences with marks."""
+    checked = quality.run_checks(sentences, key)
+    tables.write_csv(quality.report(checked), f"{folder}/quality.csv")
+    if label:
+        tables.write_csv(quality.class_balance(sentences, label), f"{folder}/balance.csv")
+    return checked
+
+
 def run_variants(df: DataFrame, folder: str | None = None, **kw) -> DataFrame:
     """All linking variants over the same candidates' frame, and their summary."""
     linked = linking.link_all(df, **kw)
@@ -79,7 +93,7 @@ def legacy_run(df: DataFrame, folder: str) -> None:
     tables.write_csv(risk.legacy_bank_years(df), f"{folder}/legacy_scores.csv")
     tables.write_csv(risk.legacy_topics(df), f"{folder}/legacy_topics.csv")
     tables.write_csv(risk.legacy_top_claims(df), f"{folder}/legacy_top_claims.csv")
-    tables.write_csv(risk.legacy_top_claims(df, 1 << 30), f"{folder}/legacy_sentences.csv")
+    tables.write_csv(risk.legacy_claims(df), f"{folder}/legacy_sentences.csv")
 
 
 def main(argv: list[str] | None = None) -> None:

@@ -5,7 +5,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from veridicta.functions.expressions import dbl, once
@@ -13,6 +15,7 @@ from veridicta.operators.labels import not_yet, wants_label
 from veridicta.plans.shipping import ship
 
 DIMENSIONS = 64
+SMALL = 100_000  # rows that one task may order
 
 
 def hashed_embeddings(df: DataFrame, text: str = "sentence", dimensions: int = DIMENSIONS) -> DataFrame:
@@ -65,33 +68,52 @@ def surrogate_logits(model, df: DataFrame) -> DataFrame:
     return out.drop("words", "tf", "features", "rawPrediction", "probability")
 
 
+def _done(spark, path: str) -> DataFrame | None:
+    """sent_id of what has been written; None where nothing has.  Any other failure to read is an error."""
+    try:
+        return spark.read.parquet(path).select("sent_id")
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
+
+
 def label_batches(df: DataFrame, label: Callable[[DataFrame], DataFrame], path: str, batch: int = 2000) -> int:
-    """Label what isn't in ``path`` yet, a batch at a time, each appended when done; returns how many batches ran.
-
-    A run that stops loses its last batch only: the anti-join on sent_id leaves out what is there."""
-    spark, n = df.sparkSession, 0
-    while True:
-        try:
-            done = spark.read.parquet(path).select("sent_id")
-        except Exception:  # nothing written yet
-            done = spark.createDataFrame([], f"sent_id {df.select('sent_id').dtypes[0][1]}")
-        todo = not_yet(wants_label(df), done).orderBy("sent_id").limit(batch)
-        if todo.isEmpty():
-            return n
-        label(todo).write.mode("append").parquet(path)
-        n += 1
+    """Label what isn't in ``path`` yet, about ``batch`` rows at a time, each appended when done; returns how many
+    batches ran.  What is to be done is found once and laid out by batch beside ``path``, so each batch reads only its
+    own rows.  A run that stops loses its last batch only: the anti-join on sent_id leaves out what is there."""
+    spark = df.sparkSession
+    done, todo = _done(spark, path), wants_label(df)
+    if done is not None:
+        todo = not_yet(todo, done)
+    n = todo.count()
+    if not n:
+        return 0
+    batches = -(-n // batch)
+    staged = f"{path.rstrip('/')}_todo"
+    by_rows = F.ntile(batches).over(W.orderBy("sent_id")) - 1 if n <= SMALL else F.pmod(F.xxhash64("sent_id"), F.lit(batches))
+    todo.withColumn("__batch", by_rows).write.mode("overwrite").partitionBy("__batch").parquet(staged)
+    schema = todo.schema
+    ran = 0
+    for k in range(batches):
+        part = spark.read.schema(schema).parquet(f"{staged}/__batch={k}") if _has(spark, f"{staged}/__batch={k}") else None
+        if part is not None:
+            label(part).write.mode("append").parquet(path)
+            ran += 1
+    return ran
+
+
+def _has(spark, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
 def label_stream(stream: DataFrame, label: Callable[[DataFrame], DataFrame], path: str, checkpoint: str):
     """The same over a stream of sentences: each micro-batch is labelled and appended; replays are left out."""
 
     def step(part: DataFrame, _: int) -> None:
-        spark = part.sparkSession
-        try:
-            done = spark.read.parquet(path).select("sent_id")
-            part = not_yet(part, done)
-        except Exception:  # nothing written yet
-            pass
-        label(wants_label(part)).write.mode("append").parquet(path)
+        done = _done(part.sparkSession, path)
+        part = wants_label(part if done is None else not_yet(part, done))
+        label(part).write.mode("append").parquet(path)
 
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
