@@ -104,14 +104,15 @@ def fuse(df: DataFrame, kb: KnowledgeBase, logits: str = "logits", alpha: Column
     """Adds label, confidence, neural_label, neural_confidence, rule_adjusted, active_constraints, rule_probs."""
     a = alpha if isinstance(alpha, Column) else dbl(alpha)
     df = df.withColumns({"__n": log_softmax(F.col(logits)), "__r": rule_log_probs(kb)})
-    df = df.withColumn("__c", softmax(F.zip_with("__n", "__r", lambda n, r: (dbl(1) - a) * n + a * r)))
-    name = lambda c: F.array(*map(F.lit, kb.labels))[arg_max(c)]
+    df = df.withColumn("__m", F.zip_with("__n", "__r", lambda n, r: (dbl(1) - a) * n + a * r)).withColumn("__c", softmax(F.col("__m")))
+    # equal to twelve digits is equal, so that the first label wins a tie and not the last bit of a sum
+    name = lambda c: F.array(*map(F.lit, kb.labels))[arg_max(F.transform(c, lambda x: F.round(x, 12)))]
     probs = F.transform("__n", F.exp)
     hits = sum((F.when(_truth(i) > 0, 1).otherwise(0) for i in range(len(kb.rules))), F.lit(0))
     return df.withColumns({
-        "label": name(F.col("__c")), "confidence": F.array_max("__c"), "neural_label": name(F.col("__n")), "neural_confidence": F.array_max(probs),
-        "rule_adjusted": name(F.col("__c")) != name(F.col("__n")), "active_constraints": hits, "rule_probs": F.transform("__r", F.exp),
-    }).drop("__n", "__r", "__c")
+        "label": name(F.col("__m")), "confidence": F.array_max("__c"), "neural_label": name(F.col("__n")), "neural_confidence": F.array_max(probs),
+        "rule_adjusted": name(F.col("__m")) != name(F.col("__n")), "active_constraints": hits, "rule_probs": F.transform("__r", F.exp),
+    }).drop("__n", "__r", "__m", "__c")
 
 
 def explain(df: DataFrame, kb: KnowledgeBase) -> DataFrame:

@@ -188,18 +188,21 @@ def fused(spark, sf):
 
 
 def linkable(spark, sf):
-    """Vectors of the table as claims: label as bank, vec_id as position, the text of the document with that number."""
-    e = table(spark, sf, "embeddings").select(F.concat(F.lit("b"), F.col("label").cast("string")).alias("bank"), F.lit(2020).alias("year"), (F.col("vec_id") + 0).alias("sent_pos"), "embedding")
-    s = table(spark, sf, "documents").select(F.col("doc_id").alias("sent_pos"), F.col("text").alias("sentence"))
-    d = e.join(s, "sent_pos")
-    d = d.withColumn("sent_pos", F.row_number().over(W.partitionBy("bank", "year").orderBy("sent_pos")) - 1).withColumn("text", F.col("sentence"))
+    """All documents as claims of their source, in the order of their ids: the table's vector of that number, or one made
+    of the id where there is none."""
+    e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    d = table(spark, sf, "documents").select("doc_id", F.col("source").alias("bank"), F.lit(2020).alias("year"), F.coalesce("text", F.lit("")).alias("sentence"))
+    made = F.transform(F.sequence(F.lit(1), F.lit(64)), lambda k: ((F.col("doc_id") * k) % 17 - 8).cast("double"))
+    d = d.join(e, "doc_id", "left").withColumn("embedding", F.coalesce(F.col("embedding").cast("array<double>"), made))
+    d = corpus.with_position(d, "doc_id", "sentence", by=("bank", "year")).withColumn("text", F.col("sentence"))
     d = evidence.detect(d, pack=_E, kpis=packs.SYNTHETIC_KPI_VALUES)
     return d.withColumn("action_label", F.when(F.col("sent_pos") % 3 == 0, "Indeterminate").otherwise("Implemented"))
 
 
 LINK = f"""
-WITH l0 AS (SELECT 'b' || label AS bank, 2020 AS year, vec_id, CAST(embedding AS DOUBLE[]) AS v, text AS sentence FROM embeddings JOIN documents ON doc_id = vec_id),
-l AS (SELECT *, row_number() OVER (PARTITION BY bank, year ORDER BY vec_id) - 1 AS sent_pos, list_filter([{_found}], lambda x: x IS NOT NULL) AS types FROM l0),
+WITH l0 AS (SELECT source AS bank, 2020 AS year, doc_id, coalesce(CAST(embedding AS DOUBLE[]), list_transform(generate_series(1, 64), lambda k: CAST((doc_id * k) % 17 - 8 AS DOUBLE))) AS v, coalesce(text, '') AS sentence
+  FROM documents LEFT JOIN embeddings ON doc_id = vec_id),
+l AS (SELECT *, row_number() OVER (PARTITION BY bank, year ORDER BY doc_id, sentence) - 1 AS sent_pos, list_filter([{_found}], lambda x: x IS NOT NULL) AS types FROM l0),
 win AS (SELECT a.bank, a.year, a.sent_pos AS claim, b.sent_pos AS evidence, 1 - abs(a.sent_pos - b.sent_pos) / CAST(6 AS DOUBLE) * CAST(0.3 AS DOUBLE) AS boost
   FROM l a JOIN l b ON a.bank = b.bank AND a.year = b.year AND a.sent_pos <> b.sent_pos AND abs(a.sent_pos - b.sent_pos) <= 5)"""
 WINLINK = LINK + """,
@@ -222,6 +225,32 @@ vr AS (SELECT *, row_number() OVER (PARTITION BY bank, year ORDER BY cf DESC, te
 wt AS (SELECT tf.bank, tf.year, pos, tf.term, tf * (ln((1 + n) / CAST(1 + df AS DOUBLE)) + 1) AS w FROM tf JOIN vr ON vr.bank = tf.bank AND vr.year = tf.year AND vr.term = tf.term AND r <= 3000),
 tfidf AS (SELECT bank, year, pos, term, w / sqrt(sum(w * w) OVER (PARTITION BY bank, year, pos)) AS weight FROM wt)"""
 
+_SIM = """al AS (SELECT x.bank, x.sent_pos AS claim, y.sent_pos AS evidence, coalesce(sim, 0) AS sim FROM l x JOIN l y ON x.bank = y.bank JOIN n ON n.bank = x.bank AND n.n > 10
+  LEFT JOIN (SELECT a.bank, a.pos AS claim, b.pos AS evidence, sum(a.weight * b.weight) AS sim FROM tfidf a JOIN tfidf b ON a.bank = b.bank AND a.term = b.term GROUP BY ALL) dot ON dot.bank = x.bank AND dot.claim = x.sent_pos AND dot.evidence = y.sent_pos),
+dc AS (SELECT bank, claim, evidence, CAST(0.7 AS DOUBLE) + CAST(0.3 AS DOUBLE) * sim AS boost FROM (SELECT *, row_number() OVER (PARTITION BY bank, claim ORDER BY round(sim, 9) DESC, evidence) AS r FROM al) WHERE r <= 21 AND abs(claim - evidence) > 5)"""
+
+
+def _linked_sql(name: str, nli: bool) -> str:
+    """The variants that search the whole document, with or without the word-overlap scorer."""
+    words = r"list_distinct(list_filter(regexp_extract_all(lower({}), '[\\p{{L}}\\p{{N}}_\\p{{M}}]+'), lambda x: len(x) > 1))".replace("\\\\", "\\")
+    label = "CASE WHEN ov >= CAST(0.5 AS DOUBLE) THEN 'entailment' WHEN ov < CAST(0.02 AS DOUBLE) THEN 'contradiction' ELSE 'neutral' END"
+    return f"""{name}_c AS (SELECT bank, claim, evidence, boost, 'window' AS way FROM win UNION ALL SELECT bank, claim, evidence, boost, 'document' FROM dc),
+{name}_s AS (SELECT w.*, list_cosine_similarity(a.v, b.v) AS raw, len(list_intersect({words.format("a.sentence")}, {words.format("b.sentence")})) / greatest(len({words.format("a.sentence")}), 1) AS ov
+  FROM {name}_c w JOIN l a ON a.bank = w.bank AND a.sent_pos = w.claim JOIN l b ON b.bank = w.bank AND b.sent_pos = w.evidence),
+{name}_r AS (SELECT *, row_number() OVER (PARTITION BY bank, claim ORDER BY round(raw * boost, 9) DESC, evidence) AS r, {label if nli else "'neutral'"} AS label, {"ov" if nli else "CAST(0.5 AS DOUBLE)"} AS ent FROM {name}_s),
+{name}_f AS (SELECT *, row_number() OVER (PARTITION BY bank, claim ORDER BY r) AS k FROM {name}_r WHERE r <= 6 AND raw >= CAST(0.4 AS DOUBLE) AND NOT (label = 'contradiction' AND ent < CAST(0.2 AS DOUBLE))),
+{name}_k AS (SELECT bank, claim, min_by(evidence, k) AS best, min_by(raw, k) AS s, count(*) AS c, avg(raw) AS a, min_by(ent, k) AS e, min_by(label, k) AS lb, min(way) AS way FROM {name}_f WHERE k <= 3 GROUP BY ALL),
+{name} AS (SELECT l.bank, l.year, l.sent_pos, best AS best_evidence_pos, coalesce(s, m, 0) AS similarity_score, coalesce(c, 0) AS num_evidence, coalesce(a, 0) AS avg_similarity,
+  CASE WHEN m IS NULL THEN 'none' WHEN c IS NULL OR way <> 'document' THEN CASE WHEN c IS NULL THEN 'document' ELSE 'window' END ELSE 'document_window' END AS search_method, coalesce(e, 0) AS nli_entailment_score, coalesce(lb, 'neutral') AS nli_label, len(types) > 0 AS has_evidence
+  FROM l LEFT JOIN (SELECT bank, claim, max(raw) AS m FROM {name}_s GROUP BY ALL) seen ON seen.bank = l.bank AND seen.claim = l.sent_pos LEFT JOIN {name}_k y ON y.bank = l.bank AND y.claim = l.sent_pos)"""
+
+
+def _summary_sql(variant: str, rows: str) -> str:
+    shares = ", ".join(f"round(avg(CASE WHEN nli_label = '{x}' THEN 1.0 ELSE 0.0 END), 6) AS {x}_share" for x in ("entailment", "contradiction", "neutral"))
+    return f"""SELECT '{variant}' AS evidence_variant, count(*) AS rows, round(avg(CASE WHEN has_evidence THEN 1.0 ELSE 0.0 END), 6) AS evidence_rate, round(avg(similarity_score), 6) AS avg_similarity, round(avg(nli_entailment_score), 6) AS avg_nli_entailment,
+  {shares}, round(avg(CASE WHEN sent_pos % 3 = 0 AND NOT has_evidence THEN 1.0 ELSE 0.0 END), 6) AS high_risk_rate FROM {rows}"""
+
+
 Q: dict = {}
 SQL: dict[str, str] = {}
 
@@ -240,6 +269,11 @@ def _r(*cols: str) -> str:
     return ", ".join(f"round({c}, 6) + 0 AS {c}" for c in cols)
 
 
+def _dec(c: str, digits: int) -> str:
+    """Rounding of the decimal that a double prints as, which is what Spark rounds."""
+    return f"CAST(round(CAST({c} AS DECIMAL(18, 12)), {digits}) AS DOUBLE)"
+
+
 @query("a4_scan", "SELECT lang, count(*) AS n, sum(n_chars) AS chars FROM documents GROUP BY lang")
 def a4(spark, sf):
     return table(spark, sf, "documents").groupBy("lang").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"))
@@ -324,6 +358,27 @@ def b14(spark, sf):
     return s.select("sent_id", F.md5(F.col("sentence").cast("binary")).alias("h"), F.length("ctx_prev").alias("prev_n"), F.length("ctx_next").alias("next_n"))
 
 
+_PLACES = BLOCKS + f""", k AS (SELECT doc_id, bank, order_in_doc, list_filter({_PIECES}, lambda x: length(x) >= 10 AND NOT {_LONG}) AS p FROM blocks WHERE block_type NOT IN ('heading_like', 'meta_heading')),
+  e AS (SELECT doc_id, bank, order_in_doc, p, unnest(generate_series(1, len(p))) AS i FROM k WHERE len(p) > 0),
+  pl AS (SELECT bank, doc_id || '_s' || order_in_doc || '_' || (i - 1) AS sent_id, row_number() OVER (PARTITION BY bank ORDER BY doc_id, order_in_doc, i) - 1 AS sent_pos FROM e)"""
+
+
+def placed(spark, sf):
+    return corpus.text_position(corpus.build_sentences(_blocks(spark, sf)))
+
+
+@query("m1_text_positions", _PLACES + " SELECT sent_id, sent_pos FROM pl")
+def m1(spark, sf):
+    return placed(spark, sf).select("sent_id", "sent_pos")
+
+
+@query("m1_text_window", _PLACES + " SELECT a.sent_id, count(*) AS n, sum(b.sent_pos - a.sent_pos) AS balance FROM pl a JOIN pl b ON a.bank = b.bank AND a.sent_pos <> b.sent_pos AND abs(a.sent_pos - b.sent_pos) <= 5 GROUP BY a.sent_id")
+def m1w(spark, sf):
+    d = placed(spark, sf)
+    near = linking.window_candidates(d).groupBy("bank", "year", F.col("claim").alias("sent_pos")).agg(F.count("*").alias("n"), F.sum(F.col("evidence") - F.col("claim")).alias("balance"))
+    return d.join(near, ["bank", "year", "sent_pos"]).select("sent_id", "n", "balance")
+
+
 @query("b16_is_heading", SENT + f" SELECT section_title, count(*) FILTER (WHERE length(sentence) <= 120 AND ({_UP.format('sentence')} OR (sentence LIKE '%:' AND length(sentence) < 100))) AS headings FROM sent GROUP BY ALL")
 def b16(spark, sf):
     return sentences(spark, sf).groupBy("section_title").agg(F.count_if(corpus.is_heading(F.col("sentence"))).alias("headings"))
@@ -407,7 +462,7 @@ def d5(spark, sf):
     return actions(spark, sf).select("sent_id", "action_label", "action_confidence", "action_rules")
 
 
-@query("d7_provenance")
+@query("d7_provenance", "SELECT * FROM (VALUES " + ", ".join(f"({_q(r.label)}, {_q(r.name)}, {_q(r.source)}, {_q(r.description)}, {len(r.patterns)})" for r in packs.TOPIC_RULES + packs.ACTION_RULES) + ") x(label, name, source, description, num_patterns)")
 def d7(spark, sf):
     return rules.provenance(spark)
 
@@ -516,7 +571,7 @@ def f5(spark, sf):
     return neuro.truths(sentences(spark, sf), TOPIC_KB).select("sent_id", F.size(a).alias("n"), F.aggregate(a, dbl(0), lambda s, c: s + c["truth"]).alias("total"))
 
 
-@query("f6_triggered")
+@query("f6_triggered", TRUTH + " SELECT sent_id, " + ", ".join("concat_ws(',', " + ", ".join([f"CASE WHEN t{i} > 0 THEN {_q(f'{c.rule.name} ({c.source})')} END" for i, c in enumerate(TOPIC_KB.rules) if c.kind == "implication" and c.target == k] or ["NULL"]) + f") AS {k}" for k in TOPIC_KB.labels) + " FROM tr")
 def f6(spark, sf):
     t = neuro.triggered(TOPIC_KB)
     return neuro.truths(sentences(spark, sf), TOPIC_KB).select("sent_id", *(F.concat_ws(",", t[k]).alias(k) for k in TOPIC_KB.labels))
@@ -549,11 +604,39 @@ def f8(spark, sf):
     return fused(spark, sf).select("sent_id", "confidence", "neural_label", "neural_confidence")
 
 
-@query("f8_explanations")
+_adjusted = f"{_amax('c')} <> {_amax('g')}"
+_over = " + ".join(f"CASE WHEN t{i} > CAST(0.3 AS DOUBLE) THEN 1 ELSE 0 END" for i in range(len(TOPIC_KB.rules)))
+
+
+@query("f8_explanations", FUSED + f" SELECT sent_id, {_amax('c')} AS label, {_adjusted} AS rule_adjusted, greatest(1, CASE WHEN {_adjusted} THEN 1 ELSE 0 END + {_over}) AS n FROM f3")
 def f8x(spark, sf):
     return neuro.explain(fused(spark, sf), TOPIC_KB).select("sent_id", "label", "rule_adjusted", F.size("explanations").alias("n"))
 
 
+def _fused_sql(kb, alpha: str, source: str) -> str:
+    """f3-like rows z over ``source``, with c0.., lc for the fusion and g0.., lg for the model alone."""
+    k = len(kb.labels)
+    lse = lambda x: f"greatest({', '.join(f'{x}{i}' for i in range(k))}) + ln({' + '.join(f'exp({x}{i} - greatest({", ".join(f"{x}{j}" for j in range(k))}))' for i in range(k))})"
+    return (
+        f"z0 AS (SELECT *, {_truth_sql(kb)} FROM {source}), z1 AS (SELECT *, {', '.join(f'CAST((doc_id * {i + 3} + pos * 11) % 17 AS DOUBLE) / 5 AS g{i}' for i in range(k))}, {', '.join(f'{_rule_score(kb, n)} AS u{i}' for i, n in enumerate(kb.labels))} FROM z0), "
+        f"z2 AS (SELECT *, {lse('g')} AS lg, {lse('u')} AS lu FROM z1), z3 AS (SELECT *, {', '.join(f'(1 - {alpha}) * (g{i} - lg) + {alpha} * (u{i} - lu) AS c{i}' for i in range(k))} FROM z2), z AS (SELECT *, {lse('c')} AS lc FROM z3)"
+    )
+
+
+def _arg_sql(kb, x: str) -> str:
+    all_ = ", ".join(f"{x}{i}" for i in range(len(kb.labels)))
+    return "CASE " + " ".join(f"WHEN round({x}{i}, 12) = round(greatest({all_}), 12) THEN {_q(n)}" for i, n in enumerate(kb.labels)) + " END"
+
+
+def _f1_sql(rows: str, truth: str, predicted: str, keys: str = "") -> str:
+    """macro_f1 and micro_f1 of ``rows`` by ``keys``."""
+    k, on = (f"{keys}, ", f" USING ({keys})") if keys else ("", " ON TRUE")
+    return (
+        f"SELECT {k}avg(CASE WHEN su + pr > 0 THEN 2 * tp / (su + pr) ELSE 0 END) AS macro_f1, 2 * sum(tp) / sum(su + pr) AS micro_f1 FROM (SELECT {k}label, coalesce(sum(n) FILTER (WHERE t = label AND p = label), 0) AS tp, coalesce(sum(n) FILTER (WHERE t = label), 0) AS su, coalesce(sum(n) FILTER (WHERE p = label), 0) AS pr "
+        f"FROM (SELECT {k}{truth} AS t, {predicted} AS p, count(*) AS n FROM {rows} GROUP BY ALL) c JOIN (SELECT DISTINCT {k}unnest([{truth}, {predicted}]) AS label FROM {rows}) l{on} GROUP BY {k}label)" + (f" GROUP BY {keys}" if keys else "")
+    )
+
+
 _PROB = ", ".join(f"exp(g{k} - lg) AS p{k}" for k in range(_K))
 _clp = lambda k: f"least(greatest(p{k}, CAST(1e-7 AS DOUBLE)), CAST({1 - 1e-7!r} AS DOUBLE))"
 _imp = [(i, TOPIC_KB.labels.index(c.target)) for i, c in enumerate(TOPIC_KB.rules)]
@@ -572,7 +655,17 @@ def f12(spark, sf):
     return neuro.semantic_loss(d, TOPIC_KB)
 
 
-@query("f11_negation")
+def _act_losses(kind: str, out: str) -> str:
+    some = [(i, ACTION_KB.labels.index(c.target)) for i, c in enumerate(ACTION_KB.rules) if c.kind == kind]
+    p = lambda k: f"p{k}" if kind == "implication" else f"(1 - p{k})"
+    total = " + ".join(f"CASE WHEN t{i} > 0 THEN -t{i} * ln(greatest({p(k)}, CAST(1e-7 AS DOUBLE))) ELSE 0 END" for i, k in some)
+    return f"{total} AS {out}, " + " + ".join(f"CASE WHEN t{i} > 0 THEN 1 ELSE 0 END" for i, _ in some) + f" AS {out}_n"
+
+
+@query("f11_negation", SENT + ", " + _fused_sql(ACTION_KB, "CAST(0.5 AS DOUBLE)", "sent") + f""", pr AS (SELECT *, {", ".join(f"exp(g{k} - lg) AS p{k}" for k in range(3))} FROM z),
+  lo AS (SELECT -ln({" * ".join(f"(1 - {_clp(k)})" for k in range(3))} * ({" + ".join(f"{_clp(k)} / (1 - {_clp(k)})" for k in range(3))}) + CAST(1e-7 AS DOUBLE)) AS eo, {_act_losses("implication", "im")}, {_act_losses("negation", "ne")} FROM pr)
+  , av AS (SELECT avg(eo) AS exactly_one, coalesce(sum(im) / nullif(sum(im_n), 0), 0) AS implication, coalesce(sum(ne) / nullif(sum(ne_n), 0), 0) AS negation FROM lo)
+  SELECT {_r("exactly_one", "implication", "negation")}, round(CAST(0.3 AS DOUBLE) * (exactly_one + CAST(0.5 AS DOUBLE) * implication + CAST(0.5 AS DOUBLE) * negation), 6) AS total FROM av""")
 def f11(spark, sf):
     from veridicta.functions.expressions import softmax
 
@@ -580,7 +673,7 @@ def f11(spark, sf):
     return neuro.semantic_loss(d, ACTION_KB, weight=0.3)
 
 
-@query("f13_reasoner")
+@query("f13_reasoner", SENT + ", " + _fused_sql(ACTION_KB, "CAST(0.5 AS DOUBLE)", "sent") + f" SELECT {_arg_sql(ACTION_KB, 'c')} AS label, {_arg_sql(ACTION_KB, 'g')} AS neural_label, count(*) AS n, round(avg(exp(greatest(c0, c1, c2) - lc)), 6) AS confidence FROM z GROUP BY ALL")
 def f13(spark, sf):
     r = neuro.Reasoner(TOPIC_KB, ACTION_KB)
     d = r.predict(logits(sentences(spark, sf), 3), "action")
@@ -621,13 +714,13 @@ def f19(spark, sf):
     return neuro.rule_coverage(fused(spark, sf))
 
 
-@query("f20_alpha_search")
+@query("f20_alpha_search", TOPIC + ", ta AS (SELECT *, unnest([CAST(0.3 AS DOUBLE), 0.5, 0.7, 0.9]) AS alpha FROM topic), " + _fused_sql(TOPIC_KB, "alpha", "ta") + f", y AS (SELECT alpha, topic_label, {_arg_sql(TOPIC_KB, 'c')} AS label FROM z), s AS ({_f1_sql('y', 'topic_label', 'label', 'alpha')}) SELECT alpha, {_r('macro_f1', 'micro_f1')}, row_number() OVER (ORDER BY round(macro_f1, 12) DESC, alpha) = 1 AS best FROM s")
 def f20(spark, sf):
     d = neuro.truths(logits(topics(spark, sf), 6), TOPIC_KB)
     return neuro.alpha_search(d, TOPIC_KB, "topic_label")
 
 
-@query("f21_compare")
+@query("f21_compare", TOPIC + ", " + _fused_sql(TOPIC_KB, "CAST(0.5 AS DOUBLE)", "topic") + f", y AS (SELECT topic_label, {_arg_sql(TOPIC_KB, 'c')} AS label, {_arg_sql(TOPIC_KB, 'g')} AS nl FROM z) SELECT 'baseline' AS run, {_r('macro_f1', 'micro_f1')} FROM ({_f1_sql('y', 'topic_label', 'nl')}) UNION ALL SELECT 'neuro_symbolic', {_r('macro_f1', 'micro_f1')} FROM ({_f1_sql('y', 'topic_label', 'label')})")
 def f21(spark, sf):
     return neuro.compare(neuro.truths(logits(topics(spark, sf), 6), TOPIC_KB), TOPIC_KB, "topic_label", 0.5)
 
@@ -654,7 +747,7 @@ def g5(spark, sf):
     return sentences(spark, sf).select("sent_id", evidence.kpi_values("sentence", packs.SYNTHETIC_KPI_VALUES).alias("kpi_values"))
 
 
-@query("g3_matches")
+@query("g3_matches", SENT + " SELECT sent_id, " + ", ".join("array_to_string(list_sort(list_distinct(flatten([" + ", ".join(f"regexp_extract_all(sentence, {_q('(?i)' + x)}, {1 if '(' in x else 0})" for x in e.patterns) + f"])))[1:5], '|') AS {e.name}" for e in _E) + " FROM sent")
 def g3(spark, sf):
     m = evidence.matches_of("sentence", _E)
     return sentences(spark, sf).withColumn("m", m).select("sent_id", *(F.concat_ws("|", F.col("m")[e.name]).alias(e.name) for e in _E))
@@ -695,7 +788,7 @@ def h12(spark, sf):
     return d.select("bank", "sent_pos", "best_evidence_pos", "similarity_score", "avg_similarity", "nli_entailment_score", "num_evidence", "search_method", "nli_label")
 
 
-@query("h13_link_nli")
+@query("h13_link_nli", TFIDF + ", " + _SIM + ", " + _linked_sql("nl", True) + " SELECT bank, sent_pos, best_evidence_pos, round(similarity_score, 6) AS similarity_score, num_evidence, search_method, nli_label, round(nli_entailment_score, 6) AS nli_entailment_score FROM nl")
 def h13(spark, sf):
     d = linking.link(linkable(spark, sf), linking.VARIANTS[0])
     return d.select("bank", "sent_pos", "best_evidence_pos", "similarity_score", "num_evidence", "search_method", "nli_label", "nli_entailment_score")
@@ -710,7 +803,7 @@ def h15(spark, sf):
     return linking.summarize(linking.link(linkable(spark, sf), linking.VARIANTS[1]))
 
 
-@query("h16_variants")
+@query("h16_variants", TFIDF + WINLINK.removeprefix(LINK) + ", " + _SIM + ", " + _linked_sql("nl", True) + ", " + _linked_sql("nn", False) + " " + " UNION ALL ".join(_summary_sql(v, r) for v, r in (("nli", "nl"), ("window", "linked"), ("no_nli", "nn"))))
 def h16(spark, sf):
     return linking.summarize(linking.link_all(linkable(spark, sf)))
 
@@ -751,6 +844,18 @@ def j11(spark, sf):
     return scores(spark, sf).select(*_BY_N, *_BY_D)
 
 
+_UNITS = {c: 2 for c in risk._TWO} | {c: 3 for c in risk._THREE if c != "topic_coverage_index"}
+
+
+@query("j14_rounded", BY + f" SELECT bank, year, risk_level, {len(_UNITS)} AS within FROM bys")
+def j14(spark, sf):
+    """Published precision: every figure within half a unit of the unrounded one, the level from the latter."""
+    exact = scores(spark, sf)
+    flat = risk.rounded(exact).select("bank", "year", "risk_level", *(F.col(c).alias(f"r_{c}") for c in _UNITS))
+    near = sum((F.when(F.abs(F.col(c) - F.col(f"r_{c}")) <= 0.5 * 10.0**-n + 1e-9, 1).otherwise(0) for c, n in _UNITS.items()), F.lit(0))
+    return exact.drop("risk_level").join(flat, ["bank", "year"]).select("bank", "year", "risk_level", near.alias("within"))
+
+
 _TB = """, g AS (SELECT bank, year, topic_label AS topic, count(*) AS n, avg(wrs) * 100 AS e, avg(CASE WHEN action_label = 'Implemented' THEN 1.0 ELSE 0.0 END) * 100 AS i, avg(CASE WHEN has_evidence THEN 1.0 ELSE 0.0 END) * 100 AS v FROM scored WHERE bank IS NOT NULL GROUP BY ALL),
 grid AS (SELECT bank, year, topic FROM (SELECT DISTINCT bank, year FROM scored WHERE bank IS NOT NULL), (SELECT unnest(['E', 'S_labor', 'S_community', 'S_product', 'G']) AS topic)),
 tb AS (SELECT bank, year, topic, coalesce(n, 0) AS n, CASE WHEN n >= 3 THEN e END AS ewri, CASE WHEN n >= 3 THEN i END AS implemented_pct, CASE WHEN n >= 3 THEN v END AS evidence_rate FROM grid LEFT JOIN g USING (bank, year, topic))"""
@@ -761,7 +866,7 @@ def j10(spark, sf):
     return risk.topic_breakdown(scored(spark, sf)).drop("indeterminate_pct")
 
 
-@query("j13_traceability")
+@query("j13_traceability", SCORED + f", x AS (SELECT bank, year, sent_id, sent_pos, {_dec('wrs', 3)} AS washing_risk, {_dec('es_combined', 3)} AS evidence_strength FROM scored WHERE bank IS NOT NULL), y AS (SELECT *, row_number() OVER (PARTITION BY bank, year ORDER BY washing_risk DESC, sent_pos) AS rank FROM x) SELECT bank, year, rank, sent_id, washing_risk, evidence_strength FROM y WHERE rank <= 10")
 def j13(spark, sf):
     return risk.sentence_risks(scored(spark, sf), top=10).select("bank", "year", "rank", "sent_id", "washing_risk", "evidence_strength")
 
@@ -784,7 +889,13 @@ def j18(spark, sf):
     return risk.legacy_bank_years(with_evidence(spark, sf)).select("bank", "year", "total_sentences", "with_evidence", "ewri", "symbolic_ratio", "substantive_ratio", "risk_level")
 
 
-@query("j19_legacy_topics")
+_LT = EVID + f""", g AS (SELECT bank, year, topic_label AS topic, count(*) AS n, avg({_LEG}) * 100 AS e FROM ev WHERE bank IS NOT NULL GROUP BY ALL),
+grid AS (SELECT bank, year, topic FROM (SELECT DISTINCT bank, year FROM ev WHERE bank IS NOT NULL), (SELECT unnest({list(packs.ESG_TOPICS)}) AS topic)),
+tb AS (SELECT bank, year, topic, coalesce(n, 0) AS n, CASE WHEN n >= 3 THEN e END AS ewri FROM grid LEFT JOIN g USING (bank, year, topic))
+SELECT bank, year, topic, n, {_r("ewri")}, CASE WHEN n >= 3 THEN {_lvl("ewri", 30, 50, 70)} ELSE 'N/A' END AS risk_level FROM tb"""
+
+
+@query("j19_legacy_topics", _LT)
 def j19(spark, sf):
     return risk.legacy_topics(with_evidence(spark, sf))
 
@@ -939,12 +1050,25 @@ def k15(spark, sf):
     return analyses.cooccurrence(with_evidence(spark, sf))
 
 
-@query("k16_samples")
+_KINDS = {
+    "high_risk_pure_washing": ("action_label = 'Indeterminate' AND NOT has_evidence", "DESC"), "suspicious_unsubstantiated": ("action_label = 'Implemented' AND es_combined < CAST(0.15 AS DOUBLE)", "DESC"),
+    "medium_risk_planning": ("action_label = 'Planning' AND es_combined > CAST(0.1 AS DOUBLE) AND es_combined < CAST(0.5 AS DOUBLE)", "DESC"), "low_risk_substantive": ("action_label = 'Implemented' AND es_combined > CAST(0.4 AS DOUBLE)", "ASC"),
+}
+
+
+@query("k16_samples", SCORED + " " + " UNION ALL ".join(f"SELECT '{k}' AS kind, rank, bank, year, round(wrs, 6) AS washing_risk, substr(sentence, 1, 300) AS sentence FROM (SELECT *, row_number() OVER (ORDER BY a) AS rank FROM (SELECT *, row_number() OVER (ORDER BY wrs {o}, sent_pos) AS a FROM scored WHERE {c}) WHERE a <= 15 AND length(sentence) > 30) WHERE rank <= 5" for k, (c, o) in _KINDS.items()))
 def k16(spark, sf):
     return analyses.qualitative_samples(scored(spark, sf)).select("kind", "rank", "bank", "year", "washing_risk", "sentence")
 
 
-@query("k17_noise_rate")
+_CLAIMS = f", cl0 AS (SELECT bank, year, sent_id, sent_pos, substr(coalesce(sentence, ''), 1, 250) AS sentence, {_dec('wrs', 3)} AS washing_risk FROM scored WHERE bank IS NOT NULL), cl AS (SELECT *, row_number() OVER (PARTITION BY bank, year ORDER BY washing_risk DESC, sent_pos) AS rank FROM cl0)"
+
+
+@query(
+    "k17_noise_rate",
+    SCORED + _CLAIMS + """, f AS (SELECT DISTINCT bank, year FROM cl ORDER BY bank, year LIMIT 10), x AS (SELECT (length(sentence) < 30 OR length(sentence) - length(replace(sentence, ' ', '')) < 3) AS bad FROM cl JOIN f USING (bank, year) WHERE rank <= 10)
+  SELECT count(*) AS top_claims_checked, count(*) FILTER (WHERE bad) AS noise_count, round(count(*) FILTER (WHERE bad) / greatest(count(*), 1) * 100, 6) AS noise_rate_pct FROM x""",
+)
 def k17(spark, sf):
     return analyses.noise_rate(scored(spark, sf))
 
@@ -954,12 +1078,13 @@ def l1(spark, sf):
     return report.overview(scored(spark, sf), scores(spark, sf))
 
 
-@query("l2_topic_means")
+@query("l2_topic_means", SCORED + _TB + """, s AS (SELECT topic_label AS topic, count(*) AS total_sentences, avg(CASE WHEN action_label = 'Implemented' THEN 1.0 ELSE 0.0 END) * 100 AS i FROM scored WHERE topic_label IS NOT NULL GROUP BY ALL)
+  SELECT topic, round(avg(CAST(round(CAST(ewri AS DECIMAL(18, 12)), 2) AS DOUBLE)), 6) AS avg_ewri, any_value(total_sentences) AS total_sentences, round(any_value(i), 6) AS implemented_pct FROM tb JOIN s USING (topic) GROUP BY topic""")
 def l2(spark, sf):
     return report.topic_summary(scored(spark, sf))
 
 
-@query("l3_top_claims")
+@query("l3_top_claims", SCORED + _CLAIMS + " SELECT row_number() OVER (ORDER BY washing_risk DESC, bank, year, rank) AS place, bank, year, sent_id, washing_risk FROM cl WHERE rank <= 30 ORDER BY place LIMIT 30")
 def l3(spark, sf):
     return report.top_claims(scored(spark, sf)).select("place", "bank", "year", "sent_id", "washing_risk")
 
