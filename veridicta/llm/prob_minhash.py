@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from veridicta.llm.common import FIRST, SpanHash, Words, binary, byte_column, chunks, cut, mix, ragged, trim, unused
+from veridicta.llm.common import FIRST, SpanHash, Words, binary, byte_column, chunks, cut, mix, ragged, slices, trim, unused
 from veridicta.plans.shipping import ship
 
 SHINGLE = 5
@@ -143,6 +143,7 @@ def _similar(threshold: float):
         out: list[tuple] = []
         if left.num_rows and right.num_rows:
             out = list(_links(left, right, threshold))
+        trim()
         cols = list(zip(*out, strict=True)) or [(), (), (), ()]
         return pa.table([pa.array(c, pa.binary()) for c in cols], ["a", "b", "component_a", "component_b"])
 
@@ -153,7 +154,8 @@ class _Shingled:
     """The texts of a cogroup: shingles by number, shares and counts."""
 
     def __init__(self, texts: list[bytes]):
-        text, value, count, _ = shingles(texts)
+        parts = [(i, *shingles(texts[i:j])[:3]) for i, j in slices(np.array([len(t) for t in texts]), CHUNK // 2)]
+        text, value, count = (np.concatenate(x) for x in zip(*((t + i, v, c) for i, t, v, c in parts), strict=True))
         self.first = np.searchsorted(text, np.arange(len(texts) + 1))
         self.n = np.diff(self.first)
         self.value, self.count = value, count
@@ -354,7 +356,7 @@ def members(documents: DataFrame, threshold: float = SIMILARITY) -> tuple[DataFr
     ids = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(FIRST)).alias("least"), "text")
     # rows that repeat an id may differ in text, so the digest decides
     texts = ids.join(least.select("least").distinct(), "least", "left_semi")
-    texts = cut(_with_digest(texts.select("text")).join(wanted, "digest", "left_semi").dropDuplicates(["digest"]))
+    texts = cut(_with_digest(texts.select("text")).join(wanted, "digest", "left_semi").dropDuplicates(["digest"]), free=True)
 
     # every text against the pivots of its buckets; a pivot of many goes to each of their parts once
     star = shared.join(pivots, ["band", "bucket"]).where("digest <> pivot").select("digest", "pivot", "size").distinct()
@@ -364,7 +366,7 @@ def members(documents: DataFrame, threshold: float = SIMILARITY) -> tuple[DataFr
     )
     star = cut(star)
     pivot = star.select("lead", "part", "turn", F.col("pivot").alias("digest"), F.col("pivot").alias("component")).distinct()
-    star_links = cut(_verified(star, pivot, texts, _load(star), threshold)).select("a", "b")
+    star_links = cut(_verified(star, pivot, texts, _load(star), threshold), free=True).select("a", "b")
     groups = components(star_links)
 
     # what no pivot has settled
