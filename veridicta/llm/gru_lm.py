@@ -34,6 +34,7 @@ VOCABULARY, CLASSES, HIDDEN = 2000, 45, 32
 STREAMS, STEPS, EPOCHS, LEAST_WINDOWS = 192, 24, 1, 300
 WINDOW = 128  # tokens scored between two passes of the output layers
 PART_VALUES = 1_500_000
+BATCH_BYTES = 4 << 20
 _COUNTS = "batch long, part long, counts binary, kinds long, total long, top array<struct<h:long,n:long>>"
 _TOLD = "part long, batch long, value binary, extra binary, doc binary, place binary"
 
@@ -364,7 +365,7 @@ def fit(packed: DataFrame, v: Vocabulary) -> tuple[Model, int]:
 def score_documents(documents: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every (doc_id, text)."""
     documents = documents.select("doc_id", "text")
-    packed = pack(documents, 8 << 20)
+    packed = pack(documents, BATCH_BYTES)
     parts = max(4, int((packed.agg(F.sum("size")).first()[0] or 0) / 24 / PART_VALUES) + 1)
     counts = cut(corpus_counts(packed, parts))
     model, _ = fit(packed, vocabulary(documents, counts))
