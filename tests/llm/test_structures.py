@@ -212,3 +212,26 @@ def test_neighbours_with_few_rows(spark):
     for r in sorted(multiprobe.search_embeddings(df).collect(), key=lambda r: (r["query_id"], r["rank"])):
         got.setdefault(r["query_id"], []).append(r["vec_id"])
     assert got == brute(rows, 20)
+
+
+SF01 = "/root/testdata/sf0.1/embeddings.parquet"
+
+
+@pytest.mark.skipif(not os.path.exists(SF01), reason="no test tables")
+def test_recall_on_the_table(spark):
+    """Against brute force over all vectors of the table."""
+    df = spark.read.parquet(SF01)
+    rows = df.select("vec_id", "embedding").where("vec_id IS NOT NULL AND embedding IS NOT NULL").toPandas()
+    x = np.stack(rows["embedding"].to_numpy()).astype(np.float64)
+    ids = rows["vec_id"].to_numpy()
+    fine = np.isfinite(x).all(1) & (x != 0).any(1)
+    x, ids = x[fine], ids[fine]
+    got = multiprobe.search_embeddings(df).toPandas().groupby("query_id")["vec_id"].apply(set)
+    hits = total = 0
+    for q in np.flatnonzero(ids % 20 == 0):
+        score = x @ x[q]
+        score[q] = -np.inf
+        best = set(ids[np.argsort(-score, kind="stable")[:20]].tolist())
+        hits += len(best & got[ids[q]])
+        total += len(best)
+    assert hits / total >= 0.9

@@ -4,8 +4,8 @@ Vectors get one more coordinate, sqrt(M^2 - |x|^2) with M the largest norm, and
 there; then the largest inner product is the least Euclidean distance.  A table hashes a vector with ``PROJECTIONS``
 functions floor((a.x + b) / w), a Gaussian.  A query visits in each table the ``PROBES`` buckets, its own and those
 one step off in some projections, that lie nearest by the sum of squared distances to the cells' borders, which is the
-order of estimated success.  Candidates of all tables are scored exactly on the original vectors, in double, inside
-their bucket; the best of each are merged.
+order of estimated success.  Buckets are dealt into cells; a vector goes to a cell once, whichever of its buckets are there, and a query's
+candidates of all tables in a cell are scored together, each once, exactly on the original vectors and in double.
 
 Equal vectors are one point of the index, which holds the first ids only (more can't be among the nearest), so a
 vector that a third of the rows share makes no crowded bucket.  Buckets beyond ``BUCKET_ROWS`` points are split, and a
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from veridicta.llm.common import cut
+from veridicta.llm.common import cut, ragged
 from veridicta.plans.shipping import ship
 
 TABLES, PROJECTIONS, PROBES, WIDTH = 8, 5, 48, 1.5  # the width in units of the largest norm
@@ -115,43 +115,55 @@ def _buckets(points: DataFrame, top: float, query: bool) -> DataFrame:
 _FOUND = "quid long, uid long, score double"
 
 
-def _best(keep: int, names: list[str]):
-    """For cogroups of points and queries that share ``names``: each query's best points in its buckets."""
+def _matrices(t: pa.Table):
+    """For each length of vectors: (row numbers by rising uid, vectors in double)."""
+    if t.num_rows:
+        t = t.append_column("row", pa.array(np.arange(t.num_rows))).sort_by("uid").combine_chunks()
+        for n, rows, x in _by_length(t, "embedding"):
+            yield n, t.column("row").to_numpy()[rows], x
+
+
+def _pairs_of_keys(points: pa.Table, queries: pa.Table):
+    """(query row, point row) of the rows that share a key, as sorted parts of two arrays: the points of each key, and
+    for each query where the points of its keys begin and how many there are."""
+    flat = lambda t: (np.repeat(np.arange(t.num_rows), pa.compute.list_value_length(t.column("keys")).to_numpy()), pa.compute.list_flatten(t.column("keys").combine_chunks()).to_numpy())
+    row, key = flat(points)
+    by = np.argsort(key, kind="stable")
+    row, key = row[by], key[by]
+    asks, wanted = flat(queries)
+    begin = np.searchsorted(key, wanted, "left")
+    count = np.searchsorted(key, wanted, "right") - begin
+    first = np.searchsorted(asks, np.arange(queries.num_rows + 1))
+    return row, begin, count, first
+
+
+def _best(keep: int):
+    """For cogroups of points and queries (uid, embedding, keys): each query's best points among those that share a key
+    with it.  A point that a query meets in several buckets is scored once, and a cogroup gives ``keep`` rows a query."""
 
     def run(points: pa.Table, queries: pa.Table) -> pa.Table:
         out = []
         if points.num_rows and queries.num_rows:
-            left = np.stack([points.column(c).to_numpy() for c in names], 1)
-            right = np.stack([queries.column(c).to_numpy() for c in names], 1)
-            _, group = np.unique(np.concatenate([left, right]), axis=0, return_inverse=True)
-            group = group.ravel()
-            lg, rg = group[: len(left)], group[len(left) :]
-            lo, ro = np.argsort(lg, kind="stable"), np.argsort(rg, kind="stable")
+            held, begin, count, first = _pairs_of_keys(points, queries)
             uid, quid = points.column("uid").to_numpy(), queries.column("uid").to_numpy()
-            lv, rv = points.column("embedding").combine_chunks(), queries.column("embedding").combine_chunks()
-            for g in np.unique(rg):
-                i = lo[np.searchsorted(lg[lo], g, "left") : np.searchsorted(lg[lo], g, "right")]
-                j = ro[np.searchsorted(rg[ro], g, "left") : np.searchsorted(rg[ro], g, "right")]
-                if not len(i):
-                    continue
-                x, q = lv.take(pa.array(i)), rv.take(pa.array(j))
-                xs, qs = _vectors(x), _vectors(q)
-                if len(xs) % len(i) or len(qs) % len(j) or len(xs) // len(i) != len(qs) // len(j):
-                    continue
-                xs, qs = xs.reshape(len(i), -1), qs.reshape(len(j), -1)
-                if (pa.compute.list_value_length(x).to_numpy() != xs.shape[1]).any() or (pa.compute.list_value_length(q).to_numpy() != xs.shape[1]).any():
-                    continue
-                by_id = np.argsort(uid[i], kind="stable")
-                i, xs = i[by_id], xs[by_id]
-                for at in range(0, len(j), 256):
-                    score = qs[at : at + 256] @ xs.T
-                    n = min(keep, len(i))
-                    least = -np.partition(-score, n - 1, axis=1)[:, n - 1]
-                    for k in range(len(score)):
-                        near = np.flatnonzero(score[k] >= least[k] - 1e-9 * (1 + abs(least[k])))
-                        exact = (xs[near] * qs[at + k]).sum(1)
-                        pick = np.argsort(-exact, kind="stable")[:n]  # ids rise, so ties go to the least
-                        out.append((np.full(len(pick), quid[j[at + k]]), uid[i[near[pick]]], exact[pick]))
+            asked = {n: (rows, q) for n, rows, q in _matrices(queries)}
+            for n, rows, x in _matrices(points):
+                place = np.full(points.num_rows, -1)
+                place[rows] = np.arange(len(rows))
+                ids = uid[rows]
+                for k, q in zip(*asked.get(n, ((), ())), strict=True):
+                    near = place[held[ragged(begin[first[k] : first[k + 1]], count[first[k] : first[k + 1]])]]
+                    mark = np.zeros(len(rows), bool)
+                    mark[near[near >= 0]] = True
+                    near = np.flatnonzero(mark)
+                    if not len(near):
+                        continue
+                    score = x[near] @ q
+                    least = np.partition(score, -min(keep, len(near)))[-min(keep, len(near))]
+                    near = near[score >= least - 1e-9 * (1 + abs(least))]
+                    exact = (x[near] * q).sum(1)
+                    pick = np.argsort(-exact, kind="stable")[:keep]  # ids rise, so ties go to the least
+                    out.append((np.full(len(pick), quid[k]), ids[near[pick]], exact[pick]))
         cols = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
         return pa.table(cols, ["quid", "uid", "score"])
 
@@ -198,24 +210,25 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     sizes = held.groupBy(*at).agg(F.ceil(F.count("*") / F.lit(float(BUCKET_ROWS))).cast("int").alias("parts"))
     cells = max(16, n * TABLES // CELL_ROWS)
 
-    def cell(df):
-        return df.withColumn("cell", F.pmod(F.xxhash64("slot", "bucket", "part"), F.lit(cells)))
+    def met(rows, vectors):
+        """(cell, uid, embedding, keys): each vector once in each cell where it has buckets."""
+        key = F.xxhash64("slot", "bucket", "part")
+        d = rows.select("uid", key.alias("key"), F.pmod(key, F.lit(cells)).alias("cell")).groupBy("uid", "cell").agg(F.collect_list("key").alias("keys"))
+        return _fresh(d.join(vectors, "uid").select("cell", "uid", "embedding", "keys")).groupBy("cell")
 
-    index = held.join(sizes, at).withColumn("part", F.pmod(F.xxhash64("uid"), F.col("parts")).cast("int")).drop("parts")
-    index = cell(index.join(points.select("uid", "embedding"), "uid"))
-    visits = _buckets(wanted, top, True).join(sizes, at).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
-    visits = cell(visits.join(wanted, "uid"))
-    found = _fresh(index).groupBy("cell").cogroup(_fresh(visits).groupBy("cell")).applyInArrow(_best(keep, ["slot", "bucket", "part"]), _FOUND)
+    index = held.join(sizes, at).withColumn("part", F.pmod(F.xxhash64("uid"), F.col("parts")).cast("int"))
+    visits = _buckets(wanted, top, True).join(sizes, at).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    found = met(index, points.select("uid", "embedding")).cogroup(met(visits, wanted)).applyInArrow(_best(keep), _FOUND)
     found = cut(_top(found, keep))
 
     # too few found: all points, in blocks
     got = found.join(points.select("uid", F.size("ids").alias("m")), "uid").groupBy("quid").agg(F.sum("m").alias("m"))
     short = wanted.join(got.withColumnRenamed("quid", "uid"), "uid", "left").where(F.coalesce("m", F.lit(0)) < min(keep, int(stats["ids"]))).select("uid", "embedding")
     blocks = max(1, n // CELL_ROWS + 1)
-    length = F.size("embedding").alias("length")
-    all_points = points.select("uid", "embedding", length, F.pmod(F.xxhash64("uid"), F.lit(blocks)).alias("block"))
-    all_short = short.select("uid", "embedding", length, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
-    more = _fresh(all_points).groupBy("block").cogroup(_fresh(all_short).groupBy("block")).applyInArrow(_best(keep, ["length"]), _FOUND)
+    one = F.array(F.lit(0).cast("long")).alias("keys")
+    all_points = points.select("uid", "embedding", one, F.pmod(F.xxhash64("uid"), F.lit(blocks)).alias("block"))
+    all_short = short.select("uid", "embedding", one, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
+    more = _fresh(all_points).groupBy("block").cogroup(_fresh(all_short).groupBy("block")).applyInArrow(_best(keep), _FOUND)
     found = _top(found.unionByName(more), keep)
 
     ids = found.join(points.select("uid", "ids"), "uid").select("quid", F.explode("ids").alias("vec_id"), "score")
