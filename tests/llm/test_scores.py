@@ -1,3 +1,4 @@
+import os
 import math
 import random
 import zlib
@@ -269,3 +270,42 @@ def test_lm_without_any_words(spark, empty):
     for r in got.values():
         assert (r["n_tokens"], r["train_tokens"]) == (1, train) and r["score"] <= 0 and math.isfinite(r["base_score"])
     assert gru_lm.score_documents(empty).count() == 0
+
+
+SF01 = "/root/testdata/sf0.1"
+
+
+@pytest.mark.skipif(not os.path.isdir(SF01), reason="no test tables")
+def test_classifier_on_held_out_labels(spark):
+    """Right for held-out documents that have labels; every feature is what plain compression gives."""
+    import zstandard
+
+    documents, labels = (spark.read.parquet(f"{SF01}/{t}.parquet") for t in ("documents", "labels"))
+    got = compression.quality_scores(documents, labels).join(labels.select("doc_id", "quality"), "doc_id").where("held_out AND quality IS NOT NULL").collect()
+    assert len(got) > 500 and sum(r["predicted"] == r["quality"] for r in got) / len(got) > 0.95
+    good, bad = b"red fox and dog " * 200, b"zz9 qq7 ## " * 200
+    text = b"the red fox and a dog qq7 " * 60
+    size = lambda d, t: len(zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False, write_dict_id=False).compress(t))
+    g, b, n = size(good, text), size(bad, text), len(text)
+    pieces = [text[i : i + 1024] for i in range(0, n, 1024)]
+    pg, pb = [size(good, p) for p in pieces], [size(bad, p) for p in pieces]
+    by_text = [(y - x) / (len(p) + 32) for x, y, p in zip(pg, pb, pieces, strict=True)]
+    by_size = [(y - x) / (x + y) for x, y in zip(pg, pb, strict=True)]
+    share = [len(p) / n for p in pieces]
+    want = [(b - g) / (n + 32), (b - g) / (b + g), sum(map(float.__mul__, by_text, share)), min(by_text), sum(map(float.__mul__, by_size, share)), min(by_size), math.log((g + b) / 2 / (n + 32)), min(math.log((x + y) / 2 / (len(p) + 32)) for x, y, p in zip(pg, pb, pieces, strict=True))]
+    assert all(math.isclose(x, y, rel_tol=1e-9) for x, y in zip(compression.Sizes(good, bad).of(text), want, strict=True))
+
+
+def test_columns_of_any_case(spark):
+    df = spark.createDataFrame([(1, "some words of text", "x"), (2, None, "y")], "doc_id long, TEXT string, Score string")
+    out = compression.score(df, compression.Model(b"", b"", compression.Curve(0.25)))
+    assert out.columns == ["doc_id", "TEXT", "score"] and {r["score"] for r in out.collect()} == {0.25}
+    from veridicta.llm.prefix_free import dedup_bytes
+
+    assert dedup_bytes(df).columns == df.columns and dedup_bytes(df).count() == 2
+
+
+def test_long_dictionary_texts_are_sliced_all_over(spark):
+    df = spark.createDataFrame([(0, "ab" * 100_000 + "xyz"), (1, "short"), (2, None)], "doc_id int, text string")
+    got = [r[0] for r in df.orderBy("doc_id").select(compression._stretches()).collect()]
+    assert len(got[0]) == compression.TEXT_BYTES // 4 and got[1:] == ["short", ""]

@@ -6,9 +6,11 @@ over the pieces, and the sizes' own logarithm go through a logistic curve of sec
 labelled texts that no dictionary has seen.  Nothing but compressed sizes enters a score.
 
 Bounds (parameters): ``dictionary_texts`` and ``calibration_texts`` labelled texts a class, the least by hash of the
-id.  Nulls count as empty texts; these get the score of their sizes like any other.  Labels that are null are
+id; of a dictionary text of more than ``TEXT_BYTES``, ``SLICES`` stretches spread over all of it.  Scores and calibration
+take whole texts.  Nulls count as empty texts; these get the score of their sizes like any other.  Labels that are null are
 ignored, of several labels for one document the least holds.  With fewer than ``MIN_TEXTS`` of either class the
-score is the share of good labels (0.5 without any).  Rows come back one for one, repeated rows and null ids too.
+score is the share of good labels (0.5 without any).  Rows come back one for one, repeated rows and null ids too; an
+empty table gives none.  A column ``score`` of the input is replaced, other columns stay, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veridicta.llm.common import byte_column, crc_of_id, trim
@@ -28,20 +30,23 @@ FOLDS = 5
 THRESHOLD = 0.3
 PIECE = 1024
 DICTIONARY_BYTES = 32 << 10
-SAMPLE_BYTES = 16 << 20
+TEXT_BYTES, SLICES = 16 << 10, 16
 MIN_TEXTS = 8
 
 
+def _stretches() -> Column:
+    """The whole text, or where it is long some stretches spread over it."""
+    text = F.coalesce("text", F.lit(""))
+    n, size = F.length(text), TEXT_BYTES // SLICES // 4  # a character has up to four bytes
+    parts = F.transform(F.sequence(F.lit(0), F.lit(SLICES - 1)), lambda i: F.substring(text, (F.floor(i * n / SLICES) + 1).cast("int"), F.lit(size)))
+    return F.when(F.octet_length(text) <= TEXT_BYTES, text).otherwise(F.array_join(parts, ""))
+
+
 def _dictionary(texts: list[bytes]) -> bytes:
-    total, used = 0, []
-    for t in texts:
-        if total + len(t) <= SAMPLE_BYTES or not used:
-            used.append(t[:SAMPLE_BYTES])
-            total += len(t)
     try:
-        return zstandard.train_dictionary(DICTIONARY_BYTES, used).as_bytes()
+        return zstandard.train_dictionary(DICTIONARY_BYTES, texts).as_bytes()
     except zstandard.ZstdError:  # too few samples to train on: their end serves as it is
-        return b"\n".join(used)[-DICTIONARY_BYTES:]
+        return b"\n".join(texts)[-DICTIONARY_BYTES:]
 
 
 def _compressor(dictionary: bytes) -> zstandard.ZstdCompressor:
@@ -148,7 +153,7 @@ def fit(documents: DataFrame, labels: DataFrame, dictionary_texts: int = 1000, c
         return Model(b"", b"", Curve(prior))
     marked = F.broadcast(spark.createDataFrame(rows, "doc_id long, quality int, seen boolean"))
     texts = documents.select(F.col("doc_id").cast("long"), "text").join(marked, "doc_id")
-    seen = texts.where("seen").select("quality", "doc_id", F.coalesce("text", F.lit("")).alias("text")).where(F.octet_length("text") <= SAMPLE_BYTES // 16)
+    seen = texts.where("seen").select("quality", "doc_id", _stretches().alias("text"))  # at most TEXT_BYTES each
     kept: dict[int, list[bytes]] = {0: [], 1: []}
     for r in sorted(seen.toLocalIterator(), key=lambda r: (r.quality, r.doc_id, r.text)):
         kept[r.quality].append(r.text.encode())
@@ -174,11 +179,11 @@ def score(documents: DataFrame, model: Model) -> DataFrame:
     """The documents' columns with ``score``, a double from 0 to 1."""
     ship(documents.sparkSession)
     names = documents.columns
-    out = [c for c in names if c != "score"]
+    text, out = [c.lower() for c in names].index("text"), [c for c in names if c.lower() != "score"]
 
     def run(batches):
         for b in batches:
-            scores = model.scores(byte_column(b.column(names.index("text"))))
+            scores = model.scores(byte_column(b.column(text)))
             yield pa.RecordBatch.from_arrays([*(b.column(names.index(c)) for c in out), pa.array(scores, pa.float64())], [*out, "score"])
             trim()
 
@@ -196,11 +201,11 @@ def quality_scores(documents: DataFrame, labels: DataFrame) -> DataFrame:
 def keep_good(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that the classifier doesn't reject, with their columns unchanged."""
     model = fit(documents, labels)
-    names = documents.columns
+    text = [c.lower() for c in documents.columns].index("text")
 
     def run(batches):
         for b in batches:
-            good = model.scores(byte_column(b.column(names.index("text")))) >= THRESHOLD
+            good = model.scores(byte_column(b.column(text))) >= THRESHOLD
             yield b.filter(pa.array(good))
             trim()
 

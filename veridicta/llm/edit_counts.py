@@ -5,10 +5,13 @@ up.  The leaves of a document's tree are runs of up to ``LEAF`` pre-tokens with
 nodes hold sums.  An edit replaces characters [start, end) by a text.  Splitting starts again at the first pre-token
 that ends at or after start - 1 (the pattern looks at most one character past the end of a run of spaces), and stops
 where a new boundary meets an old one behind the edit; from there on all matches are as before.  Only the pre-tokens in
-between are encoded, and only the sums above the changed leaves are made anew.
+between are encoded, and only the sums above the changed leaves are made anew: an edit fills the leaves it touches, as
+many as there were, up to ``FULL`` times their size.  Only an insertion beyond that makes more leaves, and all sums.
 
 Positions are clipped to the text (end below start counts as start); edits apply in the order given, each to the
-outcome of the ones before.  Null text is empty.  The file of ranks is a parameter, read on each executor.
+outcome of the ones before.  Null text is empty; null numbers in an edit are 0, a null text in it is empty.  Rows come
+back one for one, repeated rows and null ids too; an empty table gives none.  Further columns, whatever their names,
+are dropped.  The file of ranks is a parameter, read on each executor.
 """
 
 from __future__ import annotations
@@ -26,6 +29,7 @@ from veridicta.plans.shipping import ship
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 LEAF = 64
+FULL = 4  # a leaf takes so many times its size before it is split
 _CACHE = 500_000
 
 
@@ -137,13 +141,12 @@ class Tree:
         counts = self.counter.count(parts)
         new_sizes = sizes[:at] + list(map(len, parts)) + self.leaves[last][0][k:]
         new_tokens = tokens[:at] + counts + self.leaves[last][1][k:]
-        n = len(new_sizes)
-        if n <= 2 * LEAF and last == leaf:
-            fresh = [[new_sizes, new_tokens]]
-        else:
-            fresh = [[new_sizes[i : i + LEAF], new_tokens[i : i + LEAF]] for i in range(0, n, LEAF)]
-        if not fresh and len(self.leaves) == last + 1 - leaf:
-            fresh = [[[], []]]
+        n, span = len(new_sizes), last + 1 - leaf
+        # as many leaves as before, unless what came in would make them too large: then all sums are made anew
+        size = -(-n // span) if n <= span * FULL * LEAF else LEAF
+        fresh = [[new_sizes[i : i + size], new_tokens[i : i + size]] for i in range(0, n, size)] if n else []
+        if n <= span * FULL * LEAF:
+            fresh += [[[], []] for _ in range(span - len(fresh))]
         self.leaves[leaf : last + 1] = fresh
         self._sum(leaf, leaf + len(fresh), last + 1)
         return len(parts)

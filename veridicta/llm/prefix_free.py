@@ -151,6 +151,8 @@ def repeated_bytes(documents: DataFrame, window: int = WINDOW_BYTES) -> DataFram
 
 def dedup_bytes(documents: DataFrame, window: int = WINDOW_BYTES) -> DataFrame:
     """The documents with repeated stretches removed from ``text``; a column n_chars follows the new text."""
+    given = documents.columns
+    documents = documents.toDF(*(c.lower() if c.lower() in ("doc_id", "text", "n_chars") else c for c in given))
     names = documents.columns
 
     def finish(b: Batch, gone: np.ndarray) -> pa.RecordBatch:
@@ -169,4 +171,4 @@ def dedup_bytes(documents: DataFrame, window: int = WINDOW_BYTES) -> DataFrame:
             columns.append(c)
         return pa.RecordBatch.from_arrays(columns, names)
 
-    return remove_repeats(documents, scheme(window), finish, documents.schema)
+    return remove_repeats(documents, scheme(window), finish, documents.schema).toDF(*given)

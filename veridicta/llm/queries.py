@@ -26,6 +26,13 @@ def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_column(table(spark, sf_dir, "documents"))
 
 
+def media_access_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every access unit of every document's stream, with its stamps and random-access mark."""
+    from veridicta.llm.transport import access_units, media_column
+
+    return access_units(media_column(table(spark, sf_dir, "documents"), keep_media=True), "media", "doc_id")
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from veridicta.llm.suffix_trees import dedup_words
 
@@ -76,7 +83,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_minhash_near_dedup, op2_quality_classifier, op3_media_columns, op4_substring_dedup, op5_lm_scoring, op6_mixing, op7_nearest_neighbours,
-        op8_suffix_array_dedup, op9_best_fit_packing, op10_token_counts,
+        media_access_units, op8_suffix_array_dedup, op9_best_fit_packing, op10_token_counts,
     )
 }
 ORACLES = {"op6_mixing": entropy_mix.ORACLE_SQL}
