@@ -10,7 +10,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veridicta.llm.common import checkpoint_folder, table
+from veridicta.llm.common import checkpoint_folder, exists, remove, table
 from veridicta.llm.compression import keep_good
 from veridicta.llm.entropy_mix import take
 from veridicta.llm.packing import TOKENIZER, pack_documents
@@ -56,10 +56,18 @@ STAGES = [
 ORACLE_SQL = None  # compression, signatures and tokens are not SQL; tests/llm compares with brute force
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    folder = f"{checkpoint_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+def run(spark: SparkSession, sf_dir: str, folder: str | None = None) -> DataFrame:
+    """All stages over ``documents``.  With a ``folder`` the stages stay there, and a run that was stopped goes on behind
+    the last one it finished; without one each goes as soon as the next is written."""
+    docs, before = table(spark, sf_dir, "documents"), None
+    own = folder is None
+    folder = folder or f"{checkpoint_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES[:-1]:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
+        path = f"{folder}/{name}"
+        if not exists(spark, f"{path}/_SUCCESS"):
+            stage(spark, docs, sf_dir).write.mode("overwrite").parquet(path)
+        docs = spark.read.parquet(path)
+        if own and before:
+            remove(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
