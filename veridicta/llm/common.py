@@ -51,6 +51,21 @@ def checkpoint_folder(spark: SparkSession) -> str:
     return folder
 
 
+def _file_system(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    system, p = _file_system(spark, path)
+    return system.exists(p)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    system, p = _file_system(spark, path)
+    system.delete(p, True)
+
+
 def cut(df: DataFrame, free: bool = False) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and go on from there.  ``free``: after a large exchange, have the
     driver collect its garbage, since shuffle files stay on disk until it does."""

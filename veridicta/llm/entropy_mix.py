@@ -12,8 +12,8 @@ half a small document.
 Targets: sources in code point order, null last, weigh 5, 2, 1, repeating; a target above ``cap`` times the source's
 words stops there and the excess goes to the others by weight, until none is above.
 
-Running sums over a source go by (source, bucket of the digest) with one sum a bucket, so a source that holds a third
-of all rows is spread over ``BUCKETS`` tasks.  Null text: no words.  Repeated rows are rows of their own.  Sources
+Sizes are counted once and kept in a checkpoint.  Running sums over a source go by (source, bucket of the digest) with
+one sum a bucket, so a source that holds a third of all rows is spread over 256 tasks, or 65,536 in a large table.  Null text: no words.  Repeated rows are rows of their own.  Sources
 without words, and empty tables, take nothing.  Clashing names: the columns this adds replace the input's.
 """
 
@@ -23,12 +23,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from veridicta.llm.common import WORD
+from veridicta.llm.common import WORD, cut
 
 WEIGHTS = (5.0, 2.0, 1.0)
 CAP = 3.0
 LARGE = 1 / 256  # of the source's words; so a source has fewer than 256 large documents
 NEWTON_STEPS = 64
+LARGE_TABLE = 1 << 26  # rows from which a source is dealt into 65,536 buckets instead of 256; the mix is the same
 _ADDED = ("size", "source_size", "target", "rate", "copies", "taken")
 
 
@@ -62,14 +63,19 @@ def newton_rate(size: Column, target: Column) -> Column:
     return F.when((size > 0) & (target > 0), F.exp(multiplier)).otherwise(0.0)
 
 
-def mix(documents: DataFrame, weights=WEIGHTS, cap: float = CAP) -> DataFrame:
-    """All rows of (doc_id, text, source, ...) with size, source_size, target, rate, copies, taken."""
-    names = [c for c in documents.columns if c not in _ADDED]
+def mix(documents: DataFrame, weights=WEIGHTS, cap: float = CAP, columns: tuple[str, ...] | None = None) -> DataFrame:
+    """All rows of (doc_id, text, source, ...) with size, source_size, target, rate, copies, taken.  ``columns``: those of
+    the input to keep; without the text, no text is read twice."""
+    names = [c for c in documents.columns if c not in _ADDED and (columns is None or c in columns)]
     digest = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
-    d = documents.select(*names).withColumn("size", words_in()).withColumn("__digest", digest)
-    d = d.withColumn("__bucket", F.substring("__digest", 1, 2))
-
-    cells = d.groupBy("source", "__bucket").agg(F.sum("size").alias("size"))
+    whole = documents.withColumn("size", words_in()).withColumn("__digest", digest)
+    rows = cut(whole.select(*dict.fromkeys(["doc_id", "source", "size", "__digest", *(names if "text" not in names else ())])))
+    digits = 2 if rows.count() < LARGE_TABLE else 4  # of the digest, that name a bucket
+    bucket = F.substring("__digest", 1, digits)
+    sized = rows.withColumn("__bucket", bucket)
+    d = sized if "text" not in names else whole.select(*names, "size", "__digest").withColumn("__bucket", bucket)
+
+    cells = sized.groupBy("source", "__bucket").agg(F.sum("size").alias("size"))
     plan = targets(cells.groupBy("source").agg(F.sum("size").alias("source_size")), weights, cap)
     plan = plan.withColumn("rate", newton_rate(F.col("source_size"), F.col("target")))
     plan = plan.withColumn("__base", F.floor(F.col("rate") + 1e-9)).withColumn("__share", F.greatest(F.round(F.col("rate") - F.col("__base"), 9), F.lit(0.0)))
@@ -94,7 +100,7 @@ def mix(documents: DataFrame, weights=WEIGHTS, cap: float = CAP) -> DataFrame:
         return F.sum("size").over(window.rowsBetween(W.unboundedPreceding, 0)) - F.col("size") / 2
 
     # large documents, fewer than 256 a source: longest first, each passes on what its choice is off by
-    slim = with_plan(d.select("doc_id", "source", "size", "__digest", "__bucket"), by_cell(plan), "__bucket")
+    slim = with_plan(sized.select("doc_id", "source", "size", "__digest", "__bucket"), by_cell(plan), "__bucket")
     by_size = [F.col("size").desc(), *order]
     listed = slim.where(is_large).groupBy("source", "__share").agg(F.sort_array(F.collect_list(F.struct((-F.col("size")).alias("n"), "__digest", "doc_id"))).alias("all"))
     start = F.struct(F.lit(0.0).alias("carry"), F.lit(0).cast("long").alias("got"), F.array().cast("array<boolean>").alias("chosen"))

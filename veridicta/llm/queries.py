@@ -48,7 +48,7 @@ def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from veridicta.llm.entropy_mix import mix
 
-    return mix(table(spark, sf_dir, "documents")).select("doc_id", "source", "size", "source_size", "target", "copies", "taken")
+    return mix(table(spark, sf_dir, "documents"), columns=("doc_id", "source")).select("doc_id", "source", "size", "source_size", "target", "copies", "taken")
 
 
 def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
