@@ -19,6 +19,7 @@ empty id text.  Without any training tokens the model is the base.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,6 +33,7 @@ from veridicta.llm.repeats import _rows, pack, record, tell, unpacked
 FOLDS, HELD_OUT = 7, 2
 VOCABULARY, CLASSES, HIDDEN = 2000, 45, 32
 STREAMS, STEPS, EPOCHS, LEAST_WINDOWS = 192, 24, 1, 300
+RATE = 4e-3
 WINDOW = 128  # tokens scored between two passes of the output layers
 PART_VALUES = 1_500_000
 BATCH_BYTES = 4 << 20
@@ -43,9 +45,15 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-x))
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(1, keepdims=True)
-    return x - np.log(np.exp(x).sum(1, keepdims=True))
+def _log_softmax_at(x: np.ndarray, place: np.ndarray, rows: np.ndarray, all_: bool) -> tuple[np.ndarray, np.ndarray | None]:
+    """Each row's log softmax at its place and, with ``all_``, its softmax; ``x`` is used up."""
+    x -= x.max(1, keepdims=True)
+    here = x[rows, place]
+    np.exp(x, out=x)
+    total = x.sum(1)
+    if all_:
+        x /= total[:, None]
+    return here - np.log(total), x if all_ else None
 
 
 @dataclass
@@ -109,11 +117,9 @@ class Model:
         """Natural log probability of each target; with ``learn`` also the gradients of the summed loss."""
         v = self.v
         kind = v.class_of(target)
-        logp = _log_softmax(state @ self.to_class + self.class_bias)
         rows = np.arange(len(target))
-        out = logp[rows, kind]
+        out, d = _log_softmax_at(state @ self.to_class + self.class_bias, kind, rows, learn is not None)
         if learn is not None:
-            d = np.exp(logp)
             d[rows, kind] -= 1
             to_state = d @ self.to_class.T
             to_class, class_bias = state.T @ d, d.sum(0)
@@ -123,15 +129,14 @@ class Model:
         for c in range(v.classes - 2):
             i = by[edge[c] : edge[c + 1]]
             if len(i):
-                logq = _log_softmax(state[i] @ self.to_word[c] + self.word_bias[c])
-                place = target[i] - c * v.per_class
-                here = np.arange(len(i))
-                out[i] += logq[here, place]
+                mine = state[i]
+                place, here = target[i] - c * v.per_class, rows[: len(i)]
+                logq, d = _log_softmax_at(mine @ self.to_word[c] + self.word_bias[c], place, here, learn is not None)
+                out[i] += logq
                 if learn is not None:
-                    d = np.exp(logq)
                     d[here, place] -= 1
                     to_state[i] += d @ self.to_word[c].T
-                    to_word[c], word_bias[c] = state[i].T @ d, d.sum(0)
+                    to_word[c], word_bias[c] = mine.T @ d, d.sum(0)
         if learn is not None:
             learn += [to_state, to_class, to_word, class_bias, word_bias]
         return out
@@ -172,40 +177,52 @@ class Model:
         back[order] = out
         return back
 
-    def train(self, documents: list[np.ndarray], epochs: int = EPOCHS, rate: float = 4e-3, seed: int = 11, share: tuple[int, int] = (0, 1)) -> Model:
-        """``share``: this is round k of n, over which the rate falls and the least windows are dealt out."""
+    def train(self, documents: list[np.ndarray], epochs: int = EPOCHS, rate: float = RATE, seed: int = 11) -> Model:
         rng = np.random.default_rng(seed)
-        moments = [(np.zeros_like(p), np.zeros_like(p)) for p in self.parameters()]
-        done = epoch = 0
-        passes = 1 if documents else 0
-        while epoch < passes:
-            lanes: list[list[np.ndarray]] = [[] for _ in range(min(STREAMS, len(documents)))]
-            load = np.zeros(len(lanes))
-            for i in rng.permutation(len(documents)):
-                k = int(load.argmin())
-                lanes[k].append(documents[i])
-                load[k] += len(documents[i])
-            streams = [np.concatenate([[self.v.end], *lanes[k]]) for k in np.argsort(-load, kind="stable")]
-            size = np.array([len(x) - 1 for x in streams])
-            windows = -(-int(size[0]) // STEPS)
-            if not epoch:  # small corpora are passed more often
-                passes = max(epochs, -(-(LEAST_WINDOWS // share[1]) // windows))
-            state = np.zeros((len(streams), HIDDEN), np.float32)
-            for at in range(0, int(size[0]), STEPS):
-                live = int(np.count_nonzero(size > at))
-                span = min(STEPS, int(size[0]) - at)
-                pair = np.full((live, span + 1), self.v.end)
-                for k in range(live):
-                    x = streams[k][at : at + span + 1]
-                    pair[k, : len(x)] = x
-                real = (np.arange(span) < size[:live, None] - at).astype(np.float32)
-                done += 1
-                fall = max(0.05, 1 - (share[0] + (epoch + at / size[0]) / passes) / share[1])
-                # where only long lanes go on, a window has fewer tokens and moves the weights by as much less
-                state = self._window(pair[:, :-1], pair[:, 1:], real, state[:live], moments, done, rate * fall * live / len(streams))
-            epoch += 1
+        adam: list = []
+        passes = epochs if documents else 0
+        done, size = 0, sum(map(len, documents))
+        while done < passes:
+            windows = self.run(iter([documents[i] for i in rng.permutation(len(documents))]), adam, lambda seen, done=done: rate * max(0.05, 1 - (done + seen / size) / passes))
+            if not done:  # small corpora are passed more often
+                passes = max(epochs, -(-LEAST_WINDOWS // windows))
+            done += 1
         return self
 
+    def run(self, documents: Iterator[np.ndarray], adam: list, rate: Callable[[int], float]) -> int:
+        """One pass over documents that come one by one; how many windows it took.  Every lane reads a document to its
+        end, carries its state from window to window, and then takes the next one, so lanes stay full while documents
+        last, however long some are.  ``adam``: the moments and how many windows they have seen, which go on over calls;
+        ``rate``: of the tokens seen so far."""
+        if not adam:
+            adam += [[(np.zeros_like(p), np.zeros_like(p)) for p in self.parameters()], 0]
+        end = np.array([self.v.end])
+        lanes = [end for _ in range(STREAMS)]  # what was read last, and what is to come
+        state = np.zeros((STREAMS, HIDDEN), np.float32)
+        seen = windows = 0
+        while lanes:
+            for k, x in enumerate(lanes):
+                while len(x) <= STEPS and (d := next(documents, None)) is not None:
+                    x = lanes[k] = np.concatenate([x, d])
+            left = np.array([len(x) - 1 for x in lanes])
+            if not left.all():
+                keep = np.flatnonzero(left)
+                lanes, state, left = [lanes[k] for k in keep], state[keep], left[keep]
+                if not lanes:
+                    break
+            span = min(STEPS, int(left.max()))
+            pair = np.full((len(lanes), span + 1), self.v.end)
+            for k, x in enumerate(lanes):
+                pair[k, : min(len(x), span + 1)] = x[: span + 1]
+                lanes[k] = x[min(span, len(x) - 1) :]
+            real = (np.arange(span) < left[:, None]).astype(np.float32)
+            adam[1] += 1
+            windows += 1
+            # where few lanes are left, a window has fewer tokens and moves the weights by as much less
+            state = self._window(pair[:, :-1], pair[:, 1:], real, state, adam[0], adam[1], rate(seen) * len(lanes) / STREAMS)
+            seen += int(real.sum())
+        return windows
+
     def gradients(self, before: np.ndarray, token: np.ndarray, real: np.ndarray, state: np.ndarray):
         """(gradients of the summed negative log probability of the real tokens, state after the window): one window of
         truncated backpropagation, with the steps' products taken together where they don't depend on each other."""
@@ -323,17 +340,31 @@ def _round(packed: DataFrame, model: Model, partitions: list[int], share: tuple[
         model = Model.__new__(Model)  # the broadcast one stays as it is: workers are used again
         for name, x in vars(shared.value).items():
             setattr(model, name, x.copy() if isinstance(x, np.ndarray) else x)
-        v, seen = model.v, 0
-        for row in _rows(batches):
-            rows = unpacked(row["rows"])
-            train = [crc_of(i) % FOLDS != HELD_OUT for i in rows.column("doc_id").to_pylist()]
-            texts = [t for t, use in zip(byte_column(rows.column("text")), train, strict=True) if use]
-            if texts:
-                w = Words(texts, lower=True)
-                token = v.tokens(w.hash)
-                documents = [np.append(token[a:b], v.end) for a, b in zip(w.first[:-1], w.first[1:], strict=True)]
-                model.train(documents, share=share)
-                seen += len(token) + len(texts)
+        v, counted, held = model.v, [0], []
+
+        def documents():
+            for row in _rows(batches):
+                rows = unpacked(row["rows"])
+                train = [crc_of(i) % FOLDS != HELD_OUT for i in rows.column("doc_id").to_pylist()]
+                texts = [t for t, use in zip(byte_column(rows.column("text")), train, strict=True) if use]
+                if texts:
+                    w = Words(texts, lower=True)
+                    token = v.tokens(w.hash)
+                    for a, b in zip(w.first[:-1], w.first[1:], strict=True):
+                        d = np.append(token[a:b], v.end)
+                        counted[0] += len(d)
+                        if counted[0] <= few:
+                            held.append(d)
+                        yield d
+
+        fall = lambda _: RATE * max(0.05, 1 - (share[0] + 0.5) / share[1])
+        few = LEAST_WINDOWS // share[1] * STREAMS * STEPS
+        adam: list = []
+        windows = model.run(documents(), adam, fall)
+        seen = counted[0]
+        if seen <= few and windows:  # a small part is passed more often
+            for _ in range(-(-(LEAST_WINDOWS // share[1]) // windows) - 1):
+                model.run(iter(held), adam, fall)
         if seen:
             weights = np.concatenate([p.ravel() for p in model.parameters()])
             yield pa.RecordBatch.from_arrays([pa.array([seen]), pa.array([binary(weights)], pa.binary())], ["seen", "weights"])
