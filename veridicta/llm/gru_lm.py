@@ -6,37 +6,41 @@ by one exchange: each batch of texts tells every distinct word once, with its co
 The model reads the previous token and predicts the next: first its class, then the word in the class.  The
 ``VOCABULARY`` most frequent training words stand in ``CLASSES`` classes by frequency; the end and "any other word" are
 classes of their own, and another word's share of the latter is its smoothed count's, so all probabilities of a next
-token sum to one.  Weights are fitted on all training documents by truncated backpropagation: streams of documents,
-``STEPS`` tokens a window, the state handed from window to window and set to zero where a document begins.  Each round
-takes some partitions: every one goes on from the round's weights over all its training texts, and the next round's
-weights are the mean by tokens.  Rounds, and partitions in a round, grow with the square root of the partitions, and
-each partition is in one round.  Weights so depend on how the input is dealt out.  Scoring carries each document's
-state through all its windows.
+token sum to one.  Weights are fitted on all training documents by truncated backpropagation: ``STREAMS`` lanes of
+documents, ``STEPS`` tokens a window, the state handed from window to window and set to zero where a document begins.
+Each round takes some batches: every task goes on from the round's weights over all its training texts, and the next
+round's weights are the mean by tokens.  Rounds, and tasks in a round, grow with the square root of the partitions, and
+each batch is in one round.  Weights so depend on how the input is dealt out.  Scoring carries each document's state
+through all its windows.
 
 Null and empty texts have the end alone.  Repeated rows are scored, and counted, one by one.  A null id counts as an
-empty id text.  Without any training tokens the model is the base.
+empty id text.  Without any training tokens the model is the base.  An empty table gives no rows.  Further columns,
+whatever their names, are dropped.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veridicta.llm.common import Words, binary, byte_column, crc_of, crc_of_id, cut
+from veridicta.llm.common import Words, binary, byte_column, checkpoint_folder, crc_of, crc_of_id, cut, exists, remove
 from veridicta.llm.repeats import _rows, pack, record, tell, unpacked
 
 FOLDS, HELD_OUT = 7, 2
 VOCABULARY, CLASSES, HIDDEN = 2000, 45, 32
 STREAMS, STEPS, EPOCHS, LEAST_WINDOWS = 192, 24, 1, 300
 RATE = 4e-3
+SUMS = 8
 WINDOW = 128  # tokens scored between two passes of the output layers
 PART_VALUES = 1_500_000
-BATCH_BYTES = 4 << 20
+BATCH_BYTES, SCORED_BYTES = 4 << 20, 24 << 20
 _COUNTS = "batch long, part long, counts binary, kinds long, total long, top array<struct<h:long,n:long>>"
 _TOLD = "part long, batch long, value binary, extra binary, doc binary, place binary"
 
@@ -330,11 +334,10 @@ def vocabulary(documents: DataFrame, counts: DataFrame) -> Vocabulary:
     )
 
 
-def _round(packed: DataFrame, model: Model, partitions: list[int], share: tuple[int, int]) -> int:
-    """Trains on all training texts of the partitions and puts the mean of their weights into the model; how many
-    tokens there were."""
-    sc = packed.sparkSession.sparkContext
-    shared = sc.broadcast(model)  # HIDDEN, VOCABULARY and CLASSES bound its size
+def _round(part: DataFrame, model: Model, share: tuple[int, int]) -> int:
+    """Trains on all training texts of some batches, each task on its own, and puts the mean of their weights into the
+    model; how many tokens there were.  Tasks' weights are summed in ``SUMS`` groups before the driver gets them."""
+    shared = part.sparkSession.sparkContext.broadcast(model)  # HIDDEN, VOCABULARY and CLASSES bound its size
 
     def learn(batches):
         model = Model.__new__(Model)  # the broadcast one stays as it is: workers are used again
@@ -366,15 +369,20 @@ def _round(packed: DataFrame, model: Model, partitions: list[int], share: tuple[
             for _ in range(-(-(LEAST_WINDOWS // share[1]) // windows) - 1):
                 model.run(iter(held), adam, fall)
         if seen:
-            weights = np.concatenate([p.ravel() for p in model.parameters()])
-            yield pa.RecordBatch.from_arrays([pa.array([seen]), pa.array([binary(weights)], pa.binary())], ["seen", "weights"])
+            weights = np.concatenate([p.ravel() for p in model.parameters()]).astype(np.float64) * seen
+            group = TaskContext.get().partitionId() % SUMS
+            yield pa.RecordBatch.from_arrays([pa.array([group], pa.int32()), pa.array([seen]), pa.array([binary(weights)], pa.binary())], ["group", "seen", "weights"])
 
-    told = packed.select("rows").mapInArrow(learn, "seen long, weights binary").rdd
-    got = sc.runJob(told, lambda rows: [(r["seen"], bytes(r["weights"])) for r in rows], partitions)
+    def add(t: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(x.as_py()) for x in t.column("weights"))
+        return pa.table([pa.array([sum(t.column("seen").to_pylist())]), pa.array([binary(total)], pa.binary())], ["seen", "weights"])
+
+    told = part.mapInArrow(learn, "group int, seen long, weights binary")
+    got = told.groupBy("group").applyInArrow(add, "seen long, weights binary").collect()  # at most SUMS rows
     shared.destroy()
-    total = sum(n for n, _ in got)
+    total = sum(r["seen"] for r in got)
     if total:
-        mean = sum(np.frombuffer(x, np.float32) * np.float32(n / total) for n, x in got)
+        mean = sum(np.frombuffer(r["weights"]) for r in got) / total
         at = 0
         for p in model.parameters():
             p[...] = mean[at : at + p.size].reshape(p.shape)
@@ -383,13 +391,16 @@ def _round(packed: DataFrame, model: Model, partitions: list[int], share: tuple[
 
 
 def fit(packed: DataFrame, v: Vocabulary) -> tuple[Model, int]:
-    """The weights from the whole training part, and how many tokens they were fitted on."""
-    model, seen = Model(v), 0
-    n = packed.rdd.getNumPartitions()
-    rounds = max(1, round(n**0.5))
+    """The weights from the whole training part, and how many tokens they were fitted on.  Batches are laid out by round
+    in the shared folder, so a round reads its own only."""
+    model, seen, spark = Model(v), 0, packed.sparkSession
+    rounds = max(1, round(packed.rdd.getNumPartitions() ** 0.5))
+    folder = f"{checkpoint_folder(spark)}/lm-{uuid.uuid4().hex}"
+    packed.select("rows", F.pmod(F.spark_partition_id(), F.lit(rounds)).alias("round")).write.partitionBy("round").parquet(folder)
     for k in range(rounds):
-        if part := list(range(k, n, rounds)):
-            seen += _round(packed, model, part, (k, rounds))
+        if exists(spark, f"{folder}/round={k}"):
+            seen += _round(spark.read.schema("rows binary").parquet(f"{folder}/round={k}"), model, (k, rounds))
+    remove(spark, folder)
     return model, seen
 
 
@@ -403,38 +414,51 @@ def score_documents(documents: DataFrame) -> DataFrame:
     told = counts.where("batch IS NOT NULL").groupBy("batch").agg(F.sort_array(F.collect_list(F.struct("part", "counts"))).alias("told"))
     shared = documents.sparkSession.sparkContext.broadcast(model)  # HIDDEN, VOCABULARY and CLASSES bound its size
 
+    def prepared(v: Vocabulary, row: dict):
+        """(token sequences, what other words add to their scores, the columns but the score) of a batch."""
+        rows, w, _, value, inverse, _ = _told(row)
+        by = np.argsort((value % np.uint64(parts)).astype(np.int64), kind="stable")
+        total = np.zeros(len(value), np.int64)
+        if row["told"]:
+            total[by] = np.concatenate([np.frombuffer(x["counts"], np.int64) for x in row["told"]])
+        log_base = np.log10((total + 1) / (v.total + v.kinds + 1))
+        log_other = np.log10((total + 1) / v.rest)
+        token = v.tokens(value)
+        of_text = w.text_of()
+        n = len(w.count)
+
+        def added(x):
+            return np.bincount(of_text, weights=x[inverse], minlength=n)
+
+        base = added(log_base) + np.log10((v.ends + 1) / (v.total + v.kinds + 1))
+        known = added((total > 0).astype(float)).astype(np.int64) + (v.ends > 0)
+        word = token[inverse].astype(np.int32)
+        texts = [np.append(word[a:b], np.int32(v.end)) for a, b in zip(w.first[:-1], w.first[1:], strict=True)]
+        doc = rows.column("doc_id").combine_chunks()
+        held = [crc_of(i) % FOLDS == HELD_OUT for i in doc.to_pylist()]
+        columns = [doc.cast(pa.int64()), pa.array(held, pa.bool_()), pa.array(w.count + 1), pa.array(known), pa.array(np.full(n, v.total)), pa.array(base)]
+        return texts, added(np.where(token == v.other, log_other, 0.0)), columns
+
+    def scored(model: Model, group: list):
+        """Some batches together, since as many steps are taken as the longest text has tokens."""
+        logs = model.log_likelihood([t for texts, *_ in group for t in texts]) / np.log(10) if model.v.total else None
+        at = 0
+        for texts, other, columns in group:
+            score = columns[-1] if logs is None else pa.array(logs[at : at + len(texts)] + other)
+            at += len(texts)
+            yield pa.RecordBatch.from_arrays([*columns, score], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
     def run(batches):
         model = shared.value
-        v = model.v
+        group, size = [], 0
         for row in _rows(batches):
-            rows, w, _, value, inverse, _ = _told(row)
-            by = np.argsort((value % np.uint64(parts)).astype(np.int64), kind="stable")
-            total = np.zeros(len(value), np.int64)
-            if row["told"]:
-                total[by] = np.concatenate([np.frombuffer(x["counts"], np.int64) for x in row["told"]])
-            log_base = np.log10((total + 1) / (v.total + v.kinds + 1))
-            log_other = np.log10((total + 1) / v.rest)
-            token = v.tokens(value)
-            of_text = w.text_of()
-            n = len(w.count)
-
-            def added(x):
-                return np.bincount(of_text, weights=x[inverse], minlength=n)
-
-            base = added(log_base) + np.log10((v.ends + 1) / (v.total + v.kinds + 1))
-            known = added((total > 0).astype(float)).astype(np.int64) + (v.ends > 0)
-            word = token[inverse]
-            texts = [np.append(word[a:b], v.end) for a, b in zip(w.first[:-1], w.first[1:], strict=True)]
-            if v.total:
-                score = model.log_likelihood(texts) / np.log(10) + added(np.where(token == v.other, log_other, 0.0))
-            else:
-                score = base
-            doc = rows.column("doc_id").combine_chunks()
-            held = [crc_of(i) % FOLDS == HELD_OUT for i in doc.to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [doc.cast(pa.int64()), pa.array(held, pa.bool_()), pa.array(w.count + 1), pa.array(known), pa.array(np.full(n, v.total)), pa.array(base), pa.array(score)],
-                ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
-            )
+            group.append(prepared(model.v, row))
+            size += row["size"]
+            if size >= SCORED_BYTES:
+                yield from scored(model, group)
+                group, size = [], 0
+        if group:
+            yield from scored(model, group)
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return packed.join(told, "batch", "left").mapInArrow(run, schema)
