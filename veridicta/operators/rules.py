@@ -6,6 +6,8 @@ search.  Scores add up in the pack's order, in doubles.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +15,9 @@ from veridicta.functions.expressions import arg_max, dbl, re_
 from veridicta.functions.packs import ACTION_RULES, ACTIONS, FUTURE_YEAR, HAS_NUMBERS, TOPIC_RULES, Rule
 
 
+_ANCHOR = re.compile(r"\^|\\[AGB]|\(\?<")  # what may hold at a text's start and not behind a space
+
+
 def _lower(c) -> Column:
     return F.lower(F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit("")))
 
@@ -21,9 +26,13 @@ def _hit(rule: Rule, text: Column, both: Column | None) -> Column:
     """1: the text has it, 2: only the context, null: neither."""
     out = F
     for p in rule.patterns:
-        out = out.when(text.rlike(re_(p)), 1)
-        if both is not None:
-            out = out.when(both.rlike(re_(p)), 2)
+        in_text = text.rlike(re_(p))
+        if both is None:
+            out = out.when(in_text, 1)
+        elif _ANCHOR.search(p):
+            out = out.when(in_text, 1).when(both.rlike(re_(p)), 2)
+        else:  # the context ends with the text and a space before it, so what the text has the context has: misses cost one search
+            out = out.when(both.rlike(re_(p)), F.when(in_text, 1).otherwise(2))
     return out.otherwise(F.lit(None).cast("int"))
 
 
