@@ -127,3 +127,20 @@ def test_pipeline_positions_follow_the_text(spark, tmp_path):
     assert [r["sent_id"] for r in corpus.text_position(bare).orderBy("sent_pos").collect()] == want
     linked = p.find_evidence(p.classify(s))
     assert {r["sent_id"]: r["sent_pos"] for r in linked.select("sent_id", "sent_pos").collect()} == {x: i for i, x in enumerate(want)}
+
+
+def test_nli_scorer(spark):
+    pairs = spark.createDataFrame([("a", "b", 1), (None, "claim", 2)], "evidence_text string, claim_text string, k int")
+    load = lambda: lambda both: [(0.0, 1.0, 3.0) if b == "b" else (2.0, 1.0, 0.0) for _, b in both]
+    got = {r["k"]: r for r in scorers.nli_scorer(load)(pairs).collect()}
+    assert got[1]["nli_label"] == "entailment" and got[2]["nli_label"] == "contradiction"
+    assert got[1]["entailment"] + got[1]["neutral"] + got[1]["contradiction"] == pytest.approx(1)
+    assert scorers.nli_pair(spark, "a", "b", scorers.nli_scorer(load))["nli_label"] == "entailment"
+
+
+def test_exact_duplicates_on_a_sample(spark):
+    df = spark.createDataFrame([(i, f"a sentence that is the same {i // 60}") for i in range(120)], "i int, sentence string")
+    all_ = quality.run_checks(df, "i", exact=True)
+    some = quality.run_checks(df, "i", exact=True, most=30)
+    assert all_.count() == some.count() == 120
+    assert all_.where("_is_duplicate").count() > some.where("_is_duplicate").count() > 0

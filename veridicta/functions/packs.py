@@ -190,6 +190,8 @@ ACTION_RULES = (
         r"\b(chung tay|góp sức|kêu gọi|đồng hành cùng)\b",
     )),
 )
+
+# Quantities and target years.
 HAS_NUMBERS = r"\d+\s*(%|tỷ|triệu|nghìn|tấn|kg|kWh|MWh)"
 FUTURE_YEAR = r"(2025|2026|2027|2028|2029|2030|2050)"
 
@@ -254,6 +256,8 @@ EVIDENCE = (
         r"\b(mục tiêu|target)\s*(20\d{2})\b",
     )),
 )
+
+# Quantities as they are reported.
 KPI_VALUES = (
     r"(\d+[\.,]?\d*\s*%)",
     r"(\d+[\.,]?\d*\s*(tỷ|triệu)\s*đồng)",

@@ -22,6 +22,7 @@ NOISE = (
     r"^(\.{3,}|…+|\-{3,}|_{3,}|\*{3,})$",
     r"^\d{1,3}$",
 )
+# Units that make a block one of figures.
 KPI_WORDS = r"%|tỷ|triệu|nghìn|tấn|kg|CO2|Scope|KPI"
 
 

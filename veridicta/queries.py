@@ -6,6 +6,7 @@ The rule packs are the synthetic ones, which fire on this prose; figures that ne
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,10 +14,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from veridicta.functions import packs
-from veridicta.functions.expressions import cosine, dbl, nfc
+from veridicta.functions.expressions import cosine, dbl, has, nfc
 from veridicta.operators import analyses, corpus, evidence, labels, linking, neuro, quality, report, risk, rules
 from veridicta.plans.shipping import ship
-from veridicta.streaming.scorers import hashed_embeddings, surrogate_logits, train_surrogate
+from veridicta.sources import tables
+from veridicta.streaming.scorers import hashed_embeddings, label_batches, nli_scorer, surrogate_logits, train_surrogate
 
 DIGITS = 6
 TOPIC_KB = neuro.knowledge_base("topic", rules=packs.SYNTHETIC_TOPIC_RULES)
@@ -433,7 +435,13 @@ def c4g(spark, sf):
     return d.groupBy("doc_id").agg(F.count_if("_is_duplicate").alias("duplicates"))
 
 
-@query("c6_ocr")
+# RE2 has no back-references and no boundaries of Unicode words: runs of each character, and words by themselves
+_RUNS = "|".join([f"\\\\x{{{k:x}}}{{{{5,}}}}".replace("\\\\", "\\").replace("{{", "{").replace("}}", "}") for k in [9, 11, 12, 13, *range(32, 127), *range(160, 384)]])
+_OCR = f"""len(list_filter(regexp_extract_all(lower(sentence), '[\\p{{L}}\\p{{N}}\\p{{M}}_]+'), lambda w: regexp_full_match(w, '[bcdfghjklmnpqrstvwxyz]{{4,}}'))) + len(regexp_extract_all(sentence, '[\\x{{fffd}}\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]'))
+  + len(regexp_extract_all(sentence, {_q(r"""[^\p{L}\p{N}\p{M}_\s.,;:!?\-()"'%/]{3,}""")})) + len(regexp_extract_all(sentence, {_q(_RUNS)})) + len(regexp_extract_all(sentence, {_q("(?i)[a-zA-Z][àáảãạăắằẳẵặâấầẩẫậ][a-zA-Z]{2}[àáảãạ]")}))"""
+
+
+@query("c6_ocr", SENT + f", x AS (SELECT bank, CAST({_OCR} AS DOUBLE) / greatest(length(sentence), 1) AS r FROM sent) SELECT bank, count(*) FILTER (WHERE r <= CAST(0.1 AS DOUBLE)) AS clean, round(avg(r), 6) AS ratio FROM x GROUP BY bank")
 def c6(spark, sf):
     return quality.check_ocr(sentences(spark, sf)).groupBy("bank").agg(F.count_if("_ocr_clean").alias("clean"), F.avg("_ocr_artifact_ratio").alias("ratio"))
 
@@ -447,6 +455,11 @@ def c7(spark, sf):
     return quality.class_balance(topics(spark, sf), "topic_label")
 
 
+@query("c5_sample", SENT + " SELECT sent_pos FROM sent ORDER BY md5('42:' || sent_pos), sent_pos LIMIT 10000")
+def c5(spark, sf):
+    return quality.sample_for_duplicates(sentences(spark, sf), "sent_pos").select("sent_pos")
+
+
 @query("c8_report")
 def c8(spark, sf):
     return quality.report(quality.run_checks(sentences(spark, sf), "sent_pos"))
@@ -467,6 +480,32 @@ def d7(spark, sf):
     return rules.provenance(spark)
 
 
+# Sentences of the real packs' own words, with what they must come out as: topic, its confidence and rules, action, its
+# confidence and rules, evidence types.
+REAL = (
+    ("Ngân hàng đã giảm phát thải CO2 được 15% so với năm 2022.", "E", 0.4, "GRI305_Emissions", "Implemented", 1.0, "Bloom_HighLevel_Verbs,Quantitative_Results", "KPI,Time_bound"),
+    ("Chúng tôi cam kết hướng tới phát triển bền vững.", "Non_ESG", 0.5, "", "Planning", 0.5, "Future_Commitment", ""),
+    ("Mục tiêu đạt net zero vào năm 2050 theo lộ trình đã đề ra.", "E", 0.4, "GRI305_Emissions", "Planning", 0.7, "Future_Commitment", "Standard,Time_bound"),
+    ("Ngân hàng luôn quan tâm, chú trọng đến môi trường làm việc cho CBNV.", "S_labor", 0.4, "GRI402_LaborRelations", "Indeterminate", 0.5, "Vague_Commitment_Language", ""),
+    ("Đã triển khai chương trình đào tạo cho 5.000 nhân viên trong năm 2023.", "S_labor", 0.4, "GRI404_Training", "Implemented", 1.0, "Bloom_HighLevel_Verbs,Quantitative_Results", "KPI,Time_bound"),
+    ("NHÂN VIÊN được ĐÀO TẠO.\nISO 14001 do Deloitte kiểm toán, Q4/2023, Scope 1: 25 tấn CO2", "E", 0.4, "GRI305_Emissions", "Indeterminate", 0.3, "", "Third_party,KPI,Standard,Time_bound"),
+    ("We target 2030 and reduce energy by 12,5 % compared to 2020", "E", 0.4, "GRI302_Energy", "Indeterminate", 0.3, "", "KPI,Time_bound"),
+)
+
+
+@query(
+    "d1_real_packs",
+    "WITH real AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, {_q(r[1])}, {_d(r[2])}, {_q(r[3])}, {_q(r[4])}, {_d(r[5])}, {_q(r[6])}, {_q(r[7])})" for i, r in enumerate(REAL))
+    + f") x(i, topic_label, topic_confidence, topic_rules, action_label, action_confidence, action_rules, evidence_types)) SELECT doc_id, real.* EXCLUDE (i) FROM documents JOIN real ON i = doc_id % {len(REAL)}",
+)
+def d1_real(spark, sf):
+    """The real packs, over a sentence of their own words for every document."""
+    texts = F.array(*(F.lit(r[0]) for r in REAL))
+    d = table(spark, sf, "documents").where("doc_id IS NOT NULL").select("doc_id", F.element_at(texts, (F.col("doc_id") % len(REAL) + 1).cast("int")).alias("sentence"), F.lit("").alias("section_title"))
+    d = evidence.detect(rules.match_actions(rules.match_topics(d)).withColumn("text", F.col("sentence")))
+    return d.select("doc_id", "topic_label", "topic_confidence", "topic_rules", "action_label", "action_confidence", "action_rules", "evidence_types")
+
+
 @query("d_full_packs")
 def d_full(spark, sf):
     d = rules.match_actions(rules.match_topics(sentences(spark, sf)))
@@ -515,6 +554,13 @@ def e7(spark, sf):
     return _pair(spark, sf).select("doc_id", "topic_label", "topic_confidence", "label_source")
 
 
+@query("e6_hybrid", _PAIR + " SELECT rec.doc_id, lang, topic_label, label_source FROM rec LEFT JOIN documents USING (doc_id)")
+def e6(spark, sf):
+    k = F.col("doc_id") % 4
+    pre = table(spark, sf, "labels").withColumns({"llm_label": F.when(k == 0, "E").when(k == 1, "G").when(k == 2, "Other"), "llm_confidence": (F.col("doc_id") % 10).cast("double") / 10, "rule_label": F.when(F.col("quality") == 1, "E").otherwise("G")})
+    return labels.hybrid(pre, table(spark, sf, "documents").select("doc_id", "lang"), "doc_id").select("doc_id", "lang", "topic_label", "label_source")
+
+
 @query("e8_agreement", _PAIR + ", g AS (SELECT label_source, count(*) AS n FROM rec GROUP BY ALL) SELECT label_source, n, round(n / greatest(sum(n) FILTER (WHERE label_source <> 'none') OVER (), 1) * 100, 6) AS pct FROM g")
 def e8(spark, sf):
     return labels.agreement(_pair(spark, sf))
@@ -549,6 +595,44 @@ def e12(spark, sf):
     return labels.action_subset(labels.esg_subset(actions(spark, sf))).groupBy("action_label").agg(F.count("*").alias("n"))
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new path below the warehouse, which all executors share."""
+    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/scratch-{uuid.uuid4().hex}"
+
+
+@query("a5_parquet", "SELECT doc_id, lang, source, n_chars, md5(text) AS h FROM documents")
+def a5(spark, sf):
+    """Written by (bank, year) and read again."""
+    path = f"{scratch(spark)}.parquet"
+    whole = table(spark, sf, "documents").select("doc_id", "text", "lang", "source", "n_chars", F.coalesce("source", F.lit("none")).alias("bank"), F.lit(2020).alias("year"))
+    tables.write_parquet(whole, path, by_document=True)
+    return tables.read_table(spark, path).select("doc_id", "lang", "source", "n_chars", F.md5(F.col("text").cast("binary")).alias("h"))
+
+
+@query("a7_csv", "SELECT doc_id, md5(coalesce(text, '')) AS h FROM documents")
+def a7(spark, sf):
+    """Texts with quotes, commas and line feeds through CSV and back."""
+    path = f"{scratch(spark)}.csv"
+    tables.write_csv(table(spark, sf, "documents").select("doc_id", "text"), path)
+    d = tables.read_table(spark, path)
+    return d.select("doc_id", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("h"))
+
+
+@query("e3_batches", SENT + r" SELECT bank, count(*) AS n FROM sent WHERE NOT regexp_matches(sentence, '<!-- image -->|^\d+$') AND length(sentence) >= 20 GROUP BY bank")
+def e3(spark, sf):
+    """All labelled in batches, in two goes."""
+    path, s = scratch(spark), sentences(spark, sf).select("sent_id", "bank", "sentence")
+    label = lambda d: d.select("sent_id", "bank")
+    label_batches(s.where("length(sentence) % 3 = 0"), label, path, 20_000)
+    label_batches(s, label, path, 20_000)
+    return spark.read.parquet(path).groupBy("bank").agg(F.count("*").alias("n"))
+
+
+@query("f1_has", SENT + " SELECT bank, count(*) FILTER (WHERE regexp_matches(sentence, '(?i)the|[0-9]+%')) AS n FROM sent GROUP BY bank")
+def f1(spark, sf):
+    return sentences(spark, sf).groupBy("bank").agg(F.count_if(has("sentence", "the|[0-9]+%")).alias("n"))
+
+
 def _truth_sql(kb) -> str:
     return ", ".join("least(CAST(0.5 AS DOUBLE) * (" + " + ".join(f"CASE WHEN regexp_matches(lower(sentence), {_q(p)}) THEN 1 ELSE 0 END" for p in c.rule.patterns) + f"), 1) AS t{i}" for i, c in enumerate(kb.rules))
 
@@ -775,6 +859,11 @@ def h5(spark, sf):
     return c.groupBy("bank", "claim").agg(F.count("*").alias("n"), F.sum("boost").alias("boost"))
 
 
+@query("h6_candidates", TFIDF + ", " + _SIM + " SELECT bank, way, count(*) AS n, round(sum(boost), 6) AS boost FROM (SELECT bank, boost, 'window' AS way FROM win UNION ALL SELECT bank, boost, 'document' FROM dc) GROUP BY bank, way")
+def h6(spark, sf):
+    return linking.candidates(linkable(spark, sf)).groupBy("bank", "way").agg(F.count("*").alias("n"), F.sum("boost").alias("boost"))
+
+
 @query("h7_cosine", LINK + " SELECT a.bank, a.sent_pos AS pos, round(list_cosine_similarity(a.v, b.v), 6) AS similarity FROM l a JOIN l b ON a.bank = b.bank AND b.sent_pos = a.sent_pos + 1")
 def h7(spark, sf):
     d = linkable(spark, sf)
@@ -814,6 +903,33 @@ def h1(spark, sf):
     return d.groupBy("bank").agg(F.avg(F.aggregate("embedding", dbl(0), lambda s, x: s + F.abs(x))).alias("mean_size"))
 
 
+@query(
+    "i1_nli_batches",
+    """WITH x AS (SELECT conv_id, turn, CAST(turn % 3 AS DOUBLE) AS c, CAST(coalesce(length(text), 0) % 5 AS DOUBLE) / 2 AS n, CAST(coalesce(length(text), 0) % 2 AS DOUBLE) AS e FROM conversations),
+  y AS (SELECT *, exp(c) + exp(n) + exp(e) AS t FROM x)
+  SELECT conv_id, turn, CASE WHEN c = greatest(c, n, e) THEN 'contradiction' WHEN n = greatest(c, n, e) THEN 'neutral' ELSE 'entailment' END AS nli_label, round(exp(e) / t, 6) AS entailment, round(exp(c) / t, 6) AS contradiction, round(exp(n) / t, 6) AS neutral FROM y""",
+)
+def i1(spark, sf):
+    """A model's place taken by lengths."""
+    d = table(spark, sf, "conversations").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("evidence_text"), F.col("turn").cast("string").alias("claim_text"))
+    load = lambda: lambda pairs: [(int(b) % 3, len(a) % 5 / 2, len(a) % 2) for a, b in pairs]
+    return nli_scorer(load)(d).select("conv_id", "turn", "nli_label", "entailment", "contradiction", "neutral")
+
+
+@query("i4_nli_fallback", "SELECT count(*) AS n, 'neutral' AS nli_label, CAST(0.3 AS DOUBLE) AS entailment, CAST(0.2 AS DOUBLE) AS contradiction, CAST(0.5 AS DOUBLE) AS neutral FROM conversations")
+def i4(spark, sf):
+    """A model that fails on every batch."""
+    d = table(spark, sf, "conversations").select(F.col("text").alias("evidence_text"), F.col("role").alias("claim_text"))
+
+    def broken():
+        def predict(pairs):
+            raise RuntimeError("no model")
+
+        return predict
+
+    return nli_scorer(broken)(d).groupBy("nli_label", "entailment", "contradiction", "neutral").agg(F.count("*").alias("n"))
+
+
 @query("i2_nli_label", "SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN 'entailment' WHEN 1 THEN 'contradiction' ELSE 'neutral' END AS label FROM conversations")
 def i2(spark, sf):
     k = F.col("turn") % 3

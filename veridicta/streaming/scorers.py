@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from veridicta.functions.expressions import dbl, once
+from veridicta.functions.expressions import dbl, once, softmax
 from veridicta.operators.labels import not_yet, wants_label
+from veridicta.operators.linking import nli_decision, with_nli_fallback
 from veridicta.plans.shipping import ship
 
 DIMENSIONS = 64
@@ -48,6 +49,39 @@ def model_scorer(load: Callable, classes: int, text: str = "sentence") -> Callab
     return score
 
 
+def nli_scorer(load: Callable, batch: int = 64) -> Callable[[DataFrame], DataFrame]:
+    """An entailment scorer of pairs from ``load() -> (list of (evidence, claim) -> rows of contradiction, neutral and
+    entailment logits)``, loaded once a worker, ``batch`` pairs at a time.  A batch that fails is neutral."""
+
+    def score(pairs: DataFrame) -> DataFrame:
+        ship(pairs.sparkSession)
+
+        def run(parts):
+            predict = load()
+            for p in parts:
+                both = list(zip(p["evidence_text"].fillna(""), p["claim_text"].fillna(""), strict=True))
+                rows: list = []
+                for i in range(0, len(both), batch):
+                    try:
+                        rows += [list(map(float, r)) for r in predict(both[i : i + batch])]
+                    except Exception:  # whatever a model raises
+                        rows += [[]] * len(both[i : i + batch])
+                yield p.assign(__failed=[not r for r in rows], __logits=[r or [0.0] * 3 for r in rows])
+
+        d = pairs.mapInPandas(run, pairs.withColumns({"__failed": F.lit(False), "__logits": F.array(dbl(0))}).schema)
+        d = d.withColumn("__p", softmax(F.col("__logits"))).withColumns({n: F.col("__p")[i] for i, n in enumerate(("contradiction", "neutral", "entailment"))})
+        label = F.when(~F.col("__failed"), nli_decision(F.col("contradiction"), F.col("neutral"), F.col("entailment")))
+        return with_nli_fallback(d.withColumn("nli_label", label)).drop("__failed", "__logits", "__p")
+
+    return score
+
+
+def nli_pair(spark, evidence: str, claim: str, scorer: Callable[[DataFrame], DataFrame]):
+    """The scores of one pair."""
+    d = scorer(spark.createDataFrame([(evidence, claim)], "evidence_text string, claim_text string"))
+    return d.select("nli_label", "entailment", "contradiction", "neutral").first()
+
+
 def train_surrogate(df: DataFrame, label_id: str = "label_id", text: str = "text", weight: str | None = None, features: int = 1 << 14, seed: int = 42):
     """TF-IDF and logistic regression in place of a fine-tuned encoder; returns a fitted model with probabilities."""
     from pyspark.ml import Pipeline
