@@ -128,19 +128,26 @@ class Model:
             to_state = d @ self.to_class.T
             to_class, class_bias = state.T @ d, d.sum(0)
             to_word, word_bias = np.zeros_like(self.to_word), np.zeros_like(self.word_bias)
-        by = np.argsort(kind, kind="stable")
+        by = np.argsort(kind, kind="stable")  # a class's rows together
         edge = np.searchsorted(kind[by], np.arange(v.classes - 1))
-        for c in range(v.classes - 2):
-            i = by[edge[c] : edge[c + 1]]
-            if len(i):
-                mine = state[i]
-                place, here = target[i] - c * v.per_class, rows[: len(i)]
-                logq, d = _log_softmax_at(mine @ self.to_word[c] + self.word_bias[c], place, here, learn is not None)
-                out[i] += logq
-                if learn is not None:
-                    d[here, place] -= 1
-                    to_state[i] += d @ self.to_word[c].T
-                    to_word[c], word_bias[c] = mine.T @ d, d.sum(0)
+        if edge[-1]:
+            some = by[: edge[-1]]
+            mine, place = state[some], target[some] % v.per_class
+            logs, back = np.empty(len(some), mine.dtype), np.empty_like(mine) if learn is not None else None
+            for c in range(v.classes - 2):
+                i, j = edge[c], edge[c + 1]
+                if j > i:
+                    x = mine[i:j] @ self.to_word[c]
+                    x += self.word_bias[c]
+                    logs[i:j], d = _log_softmax_at(x, place[i:j], rows[: j - i], learn is not None)
+                    if learn is not None:
+                        d[rows[: j - i], place[i:j]] -= 1
+                        np.matmul(d, self.to_word[c].T, out=back[i:j])
+                        np.matmul(mine[i:j].T, d, out=to_word[c])
+                        np.sum(d, 0, out=word_bias[c])
+            out[some] += logs
+            if learn is not None:
+                to_state[some] += back
         if learn is not None:
             learn += [to_state, to_class, to_word, class_bias, word_bias]
         return out
@@ -231,34 +238,66 @@ class Model:
         """(gradients of the summed negative log probability of the real tokens, state after the window): one window of
         truncated backpropagation, with the steps' products taken together where they don't depend on each other."""
         h, lanes, steps = HIDDEN, *before.shape
-        begins = (before.T == self.v.end)[:, :, None]  # a document begins after an end
+        begins = before.T == self.v.end  # a document begins after an end
         x = self.input[before.T]
-        inputs, states, inner = np.empty((steps, lanes, h), np.float32), np.empty((steps, lanes, h), np.float32), []
+        room = self.__dict__.setdefault("_room", {})  # kept over windows, since fresh memory costs as much as the sums
+
+        def kept(name: str, *shape: int) -> np.ndarray:
+            n = int(np.prod(shape))
+            if len(room.get(name, ())) < n:
+                room[name] = np.empty(n, np.float32)
+            return room[name][:n].reshape(shape)
+
+        inputs, states, gates, u, n = kept("inputs", steps, lanes, h), kept("states", steps, lanes, h), kept("gates", steps, lanes, 2 * h), kept("u", steps, lanes, 3 * h), kept("n", steps, lanes, h)
         for t in range(steps):
-            inputs[t] = np.where(begins[t], np.float32(0), state)
-            u = inputs[t] @ self.recur
-            gates = _sigmoid(x[t, :, : 2 * h] + u[:, : 2 * h])
-            z, r = gates[:, :h], gates[:, h:]
-            n = np.tanh(x[t, :, 2 * h :] + r * u[:, 2 * h :])
-            states[t] = state = n + z * (inputs[t] - n)
-            inner.append((z, r, n, u[:, 2 * h :]))
+            inputs[t] = state
+            inputs[t][begins[t]] = 0
+            np.matmul(inputs[t], self.recur, out=u[t])
+            g = np.add(x[t, :, : 2 * h], u[t, :, : 2 * h], out=gates[t])
+            np.negative(g, out=g)
+            np.exp(g, out=g)
+            g += 1
+            np.reciprocal(g, out=g)
+            y = np.multiply(g[:, h:], u[t, :, 2 * h :], out=n[t])
+            y += x[t, :, 2 * h :]
+            np.tanh(y, out=y)
+            state = np.subtract(inputs[t], y, out=states[t])
+            state *= g[:, :h]
+            state += y
+        state = state.copy()
         use = real.T.ravel() > 0
         learn: list = []
         self.outputs(states.reshape(-1, h)[use], token.T.ravel()[use], learn)
-        to_states = np.zeros((steps * lanes, h), np.float32)
+        to_states = kept("to_states", steps * lanes, h)
+        to_states[...] = 0
         to_states[use] = learn[0]
         to_states = to_states.reshape(steps, lanes, h)
-        into, around = np.empty((steps, lanes, 3 * h), np.float32), np.empty((steps, lanes, 3 * h), np.float32)
+        into, around = kept("into", steps, lanes, 3 * h), kept("around", steps, lanes, 3 * h)
+        # what doesn't depend on later steps, for all of them: how much of a state's gradient each gate gets
+        z, r = gates[:, :, :h], gates[:, :, h:]
+        to_n = np.subtract(1, z, out=kept("to_n", steps, lanes, h))
+        to_z = np.subtract(inputs, n, out=kept("to_z", steps, lanes, h))
+        to_z *= z
+        to_z *= to_n
+        to_r = np.subtract(1, r, out=kept("to_r", steps, lanes, h))
+        to_r *= r
+        to_r *= u[:, :, 2 * h :]
+        n *= n
+        np.subtract(1, n, out=n)
+        to_n *= n
         back, d_state = np.ascontiguousarray(self.recur.T), np.zeros((lanes, h), np.float32)
         for t in range(steps - 1, -1, -1):
-            z, r, n, un = inner[t]
-            d = d_state + to_states[t]
-            dz = d * (inputs[t] - n) * z * (1 - z)
-            dn = d * (1 - z) * (1 - n * n)
-            dr = dn * un * r * (1 - r)
-            into[t, :, :h], into[t, :, h : 2 * h], into[t, :, 2 * h :] = dz, dr, dn
-            around[t, :, : 2 * h], around[t, :, 2 * h :] = into[t, :, : 2 * h], dn * r
-            d_state = np.where(begins[t], np.float32(0), d * z + around[t] @ back)
+            d = to_states[t]
+            d += d_state
+            np.multiply(d, to_z[t], out=into[t, :, :h])
+            dn = np.multiply(d, to_n[t], out=into[t, :, 2 * h :])
+            np.multiply(dn, to_r[t], out=into[t, :, h : 2 * h])
+            around[t, :, : 2 * h] = into[t, :, : 2 * h]
+            np.multiply(dn, r[t], out=around[t, :, 2 * h :])
+            d_state = around[t] @ back
+            d *= z[t]
+            d_state += d
+            d_state[begins[t]] = 0
         d_recur = inputs.reshape(-1, h).T @ around.reshape(-1, 3 * h)
         words = before.T.ravel()
         by = np.argsort(words, kind="stable")
