@@ -46,9 +46,16 @@ def evidence_statistics(df: DataFrame) -> DataFrame:
     )
 
 
+MOST_ROWS = 100_000
+
+
 def _rows(df: DataFrame, digits: int = 4) -> list[dict]:
+    """For the driver's files: rows by bank and year at most.  More than ``MOST_ROWS`` is an error, not a cut."""
     fix = lambda v: round(v, digits) if isinstance(v, float) else v
-    return [{k: fix(v) for k, v in r.asDict(recursive=True).items()} for r in df.collect()]
+    rows = df.limit(MOST_ROWS + 1).collect()
+    if len(rows) > MOST_ROWS:
+        raise ValueError(f"a report of more than {MOST_ROWS} rows: write the frame as a table")
+    return [{k: fix(v) for k, v in r.asDict(recursive=True).items()} for r in rows]
 
 
 def build(df: DataFrame, scores: DataFrame, with_analyses: bool = True) -> dict:

@@ -340,6 +340,21 @@ def b10(spark, sf):
     return sentences(spark, sf).groupBy("bank", "year").agg(F.count("*").alias("n"), F.sum(F.length("sentence")).alias("chars"))
 
 
+_WS = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_strip = lambda c: f"regexp_replace({c}, '^{_WS}+|{_WS}+$', '', 'g')"
+
+
+@query(
+    "b10_split",
+    f"""WITH p AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace({_strip("text")}, '([.?!]){_WS}+', '\\1' || chr(1), 'g'), chr(1)), lambda x: {_strip("x")}), lambda x: x <> '') AS p FROM documents WHERE text IS NOT NULL)
+  SELECT doc_id, len(p) AS n, md5(array_to_string(p, chr(2))) AS h FROM p""".replace("\\\\1", "\\1"),
+)
+def b10s(spark, sf):
+    """The corpus' own splitter on whole texts."""
+    d = table(spark, sf, "documents").where("text IS NOT NULL").withColumn("p", corpus.sentences_of(F.col("text")))
+    return d.select("doc_id", F.size("p").alias("n"), F.md5(F.array_join("p", "\x02").cast("binary")).alias("h"))
+
+
 @query("b12_noise", SENT + f", x AS (SELECT bank, sentence AS s FROM sent) SELECT bank, count(*) AS n, count(*) FILTER (WHERE {NOISY}) AS noise FROM x GROUP BY bank")
 def b12(spark, sf):
     return sentences(spark, sf).groupBy("bank").agg(F.count("*").alias("n"), F.count_if(corpus.is_noise(F.col("sentence"))).alias("noise"))
