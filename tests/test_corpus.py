@@ -144,3 +144,21 @@ def test_exact_duplicates_on_a_sample(spark):
     some = quality.run_checks(df, "i", exact=True, most=30)
     assert all_.count() == some.count() == 120
     assert all_.where("_is_duplicate").count() > some.where("_is_duplicate").count() > 0
+
+
+def test_crowded_grams_are_compared_in_blocks(spark, monkeypatch):
+    """Near variants of one sentence that many rows share, with and without pairs as rows."""
+    import random
+
+    rng = random.Random(2)
+    base = "the bank will report on all of its results for the year in full and in time"
+    texts = [base.replace("all", rng.choice(["all", "some", "most"]) + str(rng.randrange(30))) + rng.choice(["", "!", " x" * rng.randrange(9)]) for _ in range(80)] + [f"other {i * 77777} words {i}" for i in range(40)]
+    grams = [{t[i : i + 3] for i in range(len(t) - 2)} for t in texts]
+    want = [any(len(g & h) / len(g | h) >= 0.9 for h in grams[:i]) for i, g in enumerate(grams)]
+    assert 10 < sum(want) < 80
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, sentence string")
+    for crowd, block in ((100, 1000), (3, 7)):
+        monkeypatch.setattr(quality, "CROWD", crowd)
+        monkeypatch.setattr(quality, "CROWD_BLOCK", block)
+        got = {r["i"]: r["_is_duplicate"] for r in quality.pairwise_duplicates(df, "i").collect()}
+        assert [got[i] for i in range(len(texts))] == want
