@@ -309,3 +309,16 @@ def test_long_dictionary_texts_are_sliced_all_over(spark):
     df = spark.createDataFrame([(0, "ab" * 100_000 + "xyz"), (1, "short"), (2, None)], "doc_id int, text string")
     got = [r[0] for r in df.orderBy("doc_id").select(compression._stretches()).collect()]
     assert len(got[0]) == compression.TEXT_BYTES // 4 and got[1:] == ["short", ""]
+
+
+def test_log_softmax_of_any_size():
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    for shift in (0, 500, -500, np.array([[0.0], [300.0], [-300.0], [0.0]])):
+        x = (rng.normal(size=(4, 6)) + shift).astype(np.float32)
+        place = np.array([0, 5, 2, 3])
+        want = x.astype(float) - x.max(1, keepdims=True)
+        want = want - np.log(np.exp(want).sum(1, keepdims=True))
+        got, all_ = gru_lm._log_softmax_at(lambda x=x: x.copy(), place, np.arange(4), True)
+        assert np.allclose(got, want[np.arange(4), place], atol=1e-4) and np.allclose(all_, np.exp(want), atol=1e-5)

@@ -49,12 +49,29 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-x))
 
 
-def _log_softmax_at(x: np.ndarray, place: np.ndarray, rows: np.ndarray, all_: bool) -> tuple[np.ndarray, np.ndarray | None]:
-    """Each row's log softmax at its place and, with ``all_``, its softmax; ``x`` is used up."""
-    x -= x.max(1, keepdims=True)
-    here = x[rows, place]
-    np.exp(x, out=x)
-    total = x.sum(1)
+LARGEST, LEAST = 60.0, 1e-25  # exponentials and their sums that are well inside a float32
+_ones = np.ones(1, np.float32)
+
+
+def _log_softmax_at(logits: Callable[[], np.ndarray], place: np.ndarray, rows: np.ndarray, all_: bool) -> tuple[np.ndarray, np.ndarray | None]:
+    """Each row's log softmax at its place and, with ``all_``, its softmax.  Rows are set off by their largest value only
+    where some are very large or small, since a row's own maximum costs more than its exponentials."""
+    global _ones
+    x = logits()
+    if len(_ones) < x.shape[1]:
+        _ones = np.ones(x.shape[1], np.float32)
+    ones = _ones[: x.shape[1]]
+    if safe := x.max() < LARGEST:
+        here = x[rows, place]
+        np.exp(x, out=x)
+        total = x @ ones
+        safe = total.min() > LEAST
+    if not safe:
+        x = logits()
+        x -= x.max(1, keepdims=True)
+        here = x[rows, place]
+        np.exp(x, out=x)
+        total = x @ ones
     if all_:
         x /= total[:, None]
     return here - np.log(total), x if all_ else None
@@ -122,13 +139,13 @@ class Model:
         v = self.v
         kind = v.class_of(target)
         rows = np.arange(len(target))
-        out, d = _log_softmax_at(state @ self.to_class + self.class_bias, kind, rows, learn is not None)
+        out, d = _log_softmax_at(lambda: state @ self.to_class + self.class_bias, kind, rows, learn is not None)
         if learn is not None:
             d[rows, kind] -= 1
             to_state = d @ self.to_class.T
             to_class, class_bias = state.T @ d, d.sum(0)
             to_word, word_bias = np.zeros_like(self.to_word), np.zeros_like(self.word_bias)
-        by = np.argsort(kind, kind="stable")  # a class's rows together
+        by = np.argsort(kind.astype(np.uint16), kind="stable")  # a class's rows together
         edge = np.searchsorted(kind[by], np.arange(v.classes - 1))
         if edge[-1]:
             some = by[: edge[-1]]
@@ -137,9 +154,8 @@ class Model:
             for c in range(v.classes - 2):
                 i, j = edge[c], edge[c + 1]
                 if j > i:
-                    x = mine[i:j] @ self.to_word[c]
-                    x += self.word_bias[c]
-                    logs[i:j], d = _log_softmax_at(x, place[i:j], rows[: j - i], learn is not None)
+                    words = lambda i=i, j=j, c=c: mine[i:j] @ self.to_word[c] + self.word_bias[c]
+                    logs[i:j], d = _log_softmax_at(words, place[i:j], rows[: j - i], learn is not None)
                     if learn is not None:
                         d[rows[: j - i], place[i:j]] -= 1
                         np.matmul(d, self.to_word[c].T, out=back[i:j])
