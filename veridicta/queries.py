@@ -16,9 +16,10 @@ from pyspark.sql import functions as F
 from veridicta.functions import packs
 from veridicta.functions.expressions import cosine, dbl, has, nfc
 from veridicta.operators import analyses, corpus, evidence, labels, linking, neuro, quality, report, risk, rules
+from veridicta.plans import training
 from veridicta.plans.shipping import ship
 from veridicta.sources import tables
-from veridicta.streaming.scorers import hashed_embeddings, label_batches, nli_scorer, surrogate_logits, train_surrogate
+from veridicta.streaming.scorers import hashed_embeddings, label_batches, model_scorer, nli_scorer, surrogate_logits, train_surrogate
 
 DIGITS = 6
 TOPIC_KB = neuro.knowledge_base("topic", rules=packs.SYNTHETIC_TOPIC_RULES)
@@ -833,6 +834,24 @@ def f22(spark, sf):
     return labels.f1_summary(out.withColumn("p", F.col("prediction").cast("int")), "label_id", "p")
 
 
+@query("f23_split_scores")
+def f23(spark, sf):
+    """A model fitted with rules in its loss, saved, loaded, and scored on every split, alone and with the rules."""
+    d = actions(spark, sf).select("sent_id", "sentence", "action_label").where("sent_id IS NOT NULL")
+    folder = scratch(spark)
+    training.train_and_evaluate(d, "action_label", packs.ACTIONS, "sent_id", ACTION_KB, "sentence", folder, steps=10)
+    split = labels.stratified_split(labels.encode(d, "action_label", packs.ACTIONS), "action_label", "sent_id")
+    return training.evaluate(training.LinearModel.load(spark, folder), split, "action_label", ACTION_KB, text="sentence")
+
+
+@query("f24_batch_scores", SENT + " SELECT sent_id, CAST(length(sentence) % 5 AS DOUBLE) AS a, CAST(pos % 3 AS DOUBLE) / 2 AS b FROM sent")
+def f24(spark, sf):
+    """A model's place taken by lengths; texts reach it in batches."""
+    load = lambda: lambda texts: [(len(t.split("|", 1)[1]) % 5, int(t.split("|", 1)[0]) % 3 / 2) for t in texts]
+    d = sentences(spark, sf).select("sent_id", F.concat_ws("|", F.col("pos").cast("string"), "sentence").alias("t"))
+    return model_scorer(load, 2, "t")(d).select("sent_id", F.col("logits")[0].alias("a"), F.col("logits")[1].alias("b"))
+
+
 _KPI = ", ".join(f"regexp_extract_all(sentence, {_q('(?i)' + p)}, 1)" for p in packs.SYNTHETIC_KPI_VALUES)
 
 
