@@ -57,13 +57,17 @@ class WordTokenizer:
         self.split = regex.compile(_SPLIT).findall
         self.plain = re.compile(r"[a-z]+").fullmatch
         self.pieces: dict[str, tuple[int, ...]] = {}
+        self.forget()
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        hidden = [b for b in range(256) if b not in shown]
+        self.symbols = {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
+
+    def forget(self) -> None:
         # known words by fingerprint: a check, and where their ids are in ``flat``, and when they were met last
         self.value = self.check = np.zeros(0, np.uint64)
         self.first = self.size = self.met = np.zeros(0, np.int64)
         self.flat, self.turn = np.zeros(0, np.uint32), 0
-        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        hidden = [b for b in range(256) if b not in shown]
-        self.symbols = {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
+        self.pieces.clear()
 
     def piece(self, s: str) -> tuple[int, ...]:
         ids = self.pieces.get(s)
@@ -137,7 +141,7 @@ class WordTokenizer:
 
 @cache
 def tokenizer(path: str) -> WordTokenizer:
-    """One a Python worker, which keeps the words it met for the tasks that follow."""
+    """One a Python worker; the words it met go at a task's end, since other stages use the worker too."""
     return WordTokenizer(path)
 
 
@@ -163,6 +167,8 @@ def token_pieces(documents: DataFrame, path: str, capacity: int = CAPACITY) -> D
                     ["doc_id", "piece", "start", "length", "ids_crc32"],
                 )
                 trim()
+        words.forget()
+        trim()
 
     return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
