@@ -40,7 +40,7 @@ RATE = 4e-3
 SUMS = 8
 WINDOW = 128  # tokens scored between two passes of the output layers
 PART_VALUES = 1_500_000
-BATCH_BYTES, SCORED_BYTES = 4 << 20, 24 << 20
+BATCH_BYTES, SCORED_BYTES = 4 << 20, 12 << 20
 _COUNTS = "batch long, part long, counts binary, kinds long, total long, top array<struct<h:long,n:long>>"
 _TOLD = "part long, batch long, value binary, extra binary, doc binary, place binary"
 
@@ -255,7 +255,6 @@ class Model:
         truncated backpropagation, with the steps' products taken together where they don't depend on each other."""
         h, lanes, steps = HIDDEN, *before.shape
         begins = before.T == self.v.end  # a document begins after an end
-        x = self.input[before.T]
         room = self.__dict__.setdefault("_room", {})  # kept over windows, since fresh memory costs as much as the sums
 
         def kept(name: str, *shape: int) -> np.ndarray:
@@ -264,6 +263,7 @@ class Model:
                 room[name] = np.empty(n, np.float32)
             return room[name][:n].reshape(shape)
 
+        x = np.take(self.input, before.T, 0, out=kept("x", steps, lanes, 3 * h), mode="clip")
         inputs, states, gates, u, n = kept("inputs", steps, lanes, h), kept("states", steps, lanes, h), kept("gates", steps, lanes, 2 * h), kept("u", steps, lanes, 3 * h), kept("n", steps, lanes, h)
         for t in range(steps):
             inputs[t] = state
@@ -316,7 +316,7 @@ class Model:
             d_state[begins[t]] = 0
         d_recur = inputs.reshape(-1, h).T @ around.reshape(-1, 3 * h)
         words = before.T.ravel()
-        by = np.argsort(words, kind="stable")
+        by = np.argsort(words.astype(np.uint32) if self.v.size >= 1 << 16 else words.astype(np.uint16), kind="stable")
         first = np.flatnonzero(np.r_[True, np.diff(words[by]) != 0])
         d_input = np.zeros_like(self.input)
         d_input[words[by[first]]] = np.add.reduceat(into.reshape(-1, 3 * h)[by], first)
@@ -327,14 +327,25 @@ class Model:
         scale = np.float32(100 / max(1, real.sum()))
         norm = scale * np.sqrt(sum(float(np.dot(g.ravel(), g.ravel())) for g in grads))
         scale *= np.float32(min(1.0, 100 / max(norm, 1e-9)))
+        largest = max(g.size for g in grads)
+        room = self.__dict__.setdefault("_room", {})
+        if len(room.get("step", ())) < largest:
+            room["step"] = np.empty(largest, np.float32)
         for p, g, (m, s) in zip(self.parameters(), grads, moments, strict=True):
+            step = room["step"][: g.size].reshape(g.shape)
             g *= scale
-            m += (g - m) * np.float32(0.1)
-            g *= g
-            s += (g - s) * np.float32(0.01)
-            step = np.sqrt(s / np.float32(1 - 0.99**turn))
+            m *= np.float32(0.9)
+            m += np.multiply(g, np.float32(0.1), out=step)
+            np.multiply(g, g, out=step)
+            step *= np.float32(0.01)
+            s *= np.float32(0.99)
+            s += step
+            np.sqrt(s, out=step)
+            step *= np.float32((1 - 0.99**turn) ** -0.5)
             step += np.float32(1e-6)
-            p -= np.float32(rate / (1 - 0.9**turn)) * m / step
+            np.divide(m, step, out=step)
+            step *= np.float32(rate / (1 - 0.9**turn))
+            p -= step
         return state
 
 
