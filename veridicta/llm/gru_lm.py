@@ -7,7 +7,8 @@ The model reads the previous token and predicts the next: first its class, then
 ``VOCABULARY`` most frequent training words stand in ``CLASSES`` classes by frequency; the end and "any other word" are
 classes of their own, and another word's share of the latter is its smoothed count's, so all probabilities of a next
 token sum to one.  Weights are fitted on all training documents by truncated backpropagation: ``STREAMS`` lanes of
-documents, ``STEPS`` tokens a window, the state handed from window to window and set to zero where a document begins.
+documents, ``STEPS`` tokens a window, the state handed from window to window and set to zero where a document begins;
+only when few long documents of a task are left, these go on in stretches, each of which begins without a state.
 Each round takes some batches: every task goes on from the round's weights over all its training texts, and the next
 round's weights are the mean by tokens.  Rounds, and tasks in a round, grow with the square root of the partitions, and
 each batch is in one round.  Weights so depend on how the input is dealt out.  Scoring carries each document's state
@@ -219,7 +220,7 @@ class Model:
     def run(self, documents: Iterator[np.ndarray], adam: list, rate: Callable[[int], float]) -> int:
         """One pass over documents that come one by one; how many windows it took.  Every lane reads a document to its
         end, carries its state from window to window, and then takes the next one, so lanes stay full while documents
-        last, however long some are.  ``adam``: the moments and how many windows they have seen, which go on over calls;
+        last.  When few long ones are left, they go on in stretches, all lanes together.  ``adam``: the moments and how many windows they have seen, which go on over calls;
         ``rate``: of the tokens seen so far."""
         if not adam:
             adam += [[(np.zeros_like(p), np.zeros_like(p)) for p in self.parameters()], 0]
@@ -227,11 +228,18 @@ class Model:
         lanes = [end for _ in range(STREAMS)]  # what was read last, and what is to come
         state = np.zeros((STREAMS, HIDDEN), np.float32)
         seen = windows = 0
+        dry = False
         while lanes:
             for k, x in enumerate(lanes):
-                while len(x) <= STEPS and (d := next(documents, None)) is not None:
-                    x = lanes[k] = np.concatenate([x, d])
+                while len(x) <= STEPS and not dry:
+                    if (d := next(documents, None)) is None:
+                        dry = True
+                    else:
+                        x = lanes[k] = np.concatenate([x, d])
             left = np.array([len(x) - 1 for x in lanes])
+            if dry and np.count_nonzero(left) < STREAMS // 2 and left.max() > 4 * STEPS:
+                lanes, state = self._dealt(lanes, state)
+                left = np.array([len(x) - 1 for x in lanes])
             if not left.all():
                 keep = np.flatnonzero(left)
                 lanes, state, left = [lanes[k] for k in keep], state[keep], left[keep]
@@ -250,6 +258,13 @@ class Model:
             seen += int(real.sum())
         return windows
 
+    @staticmethod
+    def _dealt(lanes: list[np.ndarray], state: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+        """What is left of a few long documents, in stretches for all lanes; a stretch begins without a state."""
+        size = max(4 * STEPS, -(-sum(len(x) - 1 for x in lanes) // STREAMS))
+        parts = [(x[i : i + size + 1], state[k] if not i else np.zeros_like(state[k])) for k, x in enumerate(lanes) for i in range(0, len(x) - 1, size)]
+        return [x for x, _ in parts], np.array([y for _, y in parts])
+
     def gradients(self, before: np.ndarray, token: np.ndarray, real: np.ndarray, state: np.ndarray):
         """(gradients of the summed negative log probability of the real tokens, state after the window): one window of
         truncated backpropagation, with the steps' products taken together where they don't depend on each other."""
