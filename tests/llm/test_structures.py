@@ -128,6 +128,9 @@ def test_words_beyond_the_cache(monkeypatch):
     for i in range(0, 280, 20):  # some words are known, some are new, and others must go
         ids, _ = t.batch([w.encode() for w in words[i : i + 40]])
         assert ids.tolist() == [x for y in want[i : i + 40] for x in y]
+    t.shrink()
+    ids, _ = t.batch([w.encode() for w in words])
+    assert ids.tolist() == [x for y in want for x in y]
     ids, count = t._one_by_one([b"word1 word2", b""])
     assert ids.tolist() == want[1][:-1] + want[2] + [1] and count.tolist() == [len(want[1]) + len(want[2]) - 1, 1]
 

@@ -62,6 +62,16 @@ class WordTokenizer:
         hidden = [b for b in range(256) if b not in shown]
         self.symbols = {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
 
+    def _keep(self, keep: np.ndarray) -> None:
+        self.flat = self.flat[ragged(self.first[keep], self.size[keep])]
+        self.value, self.check, self.size, self.met = self.value[keep], self.check[keep], self.size[keep], self.met[keep]
+        self.first = np.cumsum(self.size) - self.size
+
+    def shrink(self) -> None:
+        """Only the words of the last chunks stay, among them all frequent ones."""
+        self._keep(np.flatnonzero(self.met > self.turn - 3))
+        self.pieces.clear()
+
     def forget(self) -> None:
         # known words by fingerprint: a check, and where their ids are in ``flat``, and when they were met last
         self.value = self.check = np.zeros(0, np.uint64)
@@ -95,11 +105,8 @@ class WordTokenizer:
         ids = [self.word(x) for x in words]
         size = np.array([len(x) for x in ids], np.int64)
         flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(size.sum()))
-        if len(self.value) + len(value) > _CACHE:
-            keep = np.flatnonzero(self.met >= np.partition(self.met, len(self.met) // 2)[len(self.met) // 2]) if len(self.met) else []
-            self.flat = self.flat[ragged(self.first[keep], self.size[keep])]
-            self.value, self.check, self.size, self.met = self.value[keep], self.check[keep], self.size[keep], self.met[keep]
-            self.first = np.cumsum(self.size) - self.size
+        if len(self.value) + len(value) > _CACHE and len(self.met):
+            self._keep(np.flatnonzero(self.met >= np.partition(self.met, len(self.met) // 2)[len(self.met) // 2]))
         first = len(self.flat) + np.cumsum(size) - size
         self.flat = np.concatenate([self.flat, flat])
         at = np.searchsorted(self.value, value)  # both are sorted
@@ -141,7 +148,7 @@ class WordTokenizer:
 
 @cache
 def tokenizer(path: str) -> WordTokenizer:
-    """One a Python worker; the words it met go at a task's end, since other stages use the worker too."""
+    """One a Python worker; few of the words it met stay at a task's end, since other stages use the worker too."""
     return WordTokenizer(path)
 
 
@@ -167,7 +174,7 @@ def token_pieces(documents: DataFrame, path: str, capacity: int = CAPACITY) -> D
                     ["doc_id", "piece", "start", "length", "ids_crc32"],
                 )
                 trim()
-        words.forget()
+        words.shrink()
         trim()
 
     return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
