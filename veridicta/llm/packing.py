@@ -173,7 +173,6 @@ def token_pieces(documents: DataFrame, path: str, capacity: int = CAPACITY) -> D
                     [doc, pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())],
                     ["doc_id", "piece", "start", "length", "ids_crc32"],
                 )
-                trim()
         words.shrink()
         trim()
 
