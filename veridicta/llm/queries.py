@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veridicta.llm import entropy_mix
+from veridicta.llm import entropy_mix, filter_audit, merkle, url_markov
 from veridicta.llm.common import table
 
 
@@ -79,11 +79,29 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_markov.url_verdicts(table(spark, sf_dir, "pages"))
+
+
+def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rules' part of op12: host, path, the longest rule that fits, and what it says."""
+    return url_markov.with_rules(table(spark, sf_dir, "pages")).drop("url")
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_minhash_near_dedup, op2_quality_classifier, op3_media_columns, op4_substring_dedup, op5_lm_scoring, op6_mixing, op7_nearest_neighbours,
-        media_access_units, op8_suffix_array_dedup, op9_best_fit_packing, op10_token_counts,
+        media_access_units, op8_suffix_array_dedup, op9_best_fit_packing, op10_token_counts, op11_filter_audit,
+        op12_url_filters, url_rules, op13_merkle_manifest,
     )
 }
-ORACLES = {"op6_mixing": entropy_mix.ORACLE_SQL}
+ORACLES = {"op6_mixing": entropy_mix.ORACLE_SQL, "op11_filter_audit": filter_audit.ORACLE_SQL, "op13_merkle_manifest": merkle.ORACLE_SQL, "url_rules": url_markov.RULES_SQL}
