@@ -3,9 +3,9 @@
 Texts that are equal meet first: each distinct text is kept once, with the least id that has it, so a text that a third
 of all rows repeat is looked at once.  Its words are exploded, aggregated by (document, word) and then by document, for
 totals and distincts; both aggregations stay where the exchange by text has put the texts.  The other flags are
-outer-joined to these.  Documents are counted by (text, part, labels) before any exchange by text; such a cell needs only its least id to say which
-of its rows repeat a smaller one's text.  32 conditional counts a part, one for each set of filters that fail, hold all
-that the audit asks: the 120 orders of five steps are sums over them.
+outer-joined to these.  Documents are counted by (text, part, labels) before any exchange by text; such a cell needs
+only its least id to say which of its rows repeat a smaller one's text.  32 conditional counts a part, one for each set
+of filters that fail, hold all that the audit asks: the 120 orders of five steps are sums over them.
 
 Filters (bits 1, 2, 4, 8, 16): A too few words, B too few distinct words, C too many capitals, D a forbidden sign,
 E the text of a smaller id.  Null text: empty.  Null lang: the part ''.  A null id is larger than all others; rows of
@@ -16,7 +16,9 @@ toxic) are not looked at.  Empty table: no parts, no rows.
 
 from __future__ import annotations
 
+import json
 from itertools import permutations
+from math import factorial
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -98,9 +100,7 @@ def _steps():
         before = 0
         for step, letter in enumerate(order, 1):
             bit = 1 << FILTERS.index(letter)
-            out.append((
-                "".join(order), step, bit, before,
-            ))
+            out.append({"filter_order": "".join(order), "step": step, "bit": bit, "before": before})
             before |= bit
     return out
 
@@ -108,7 +108,7 @@ def _steps():
 def audit(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """A row for each part, order and step: kept, removed, redundant, unique_fails, good_lost, toxic_lost, shapley."""
     per_part = fail_sets(documents, labels)
-    steps = F.array(*(F.struct(F.lit(o).alias("filter_order"), F.lit(k).alias("step"), F.lit(b).alias("bit"), F.lit(p).alias("before")) for o, k, b, p in _steps()))
+    steps = F.from_json(F.lit(json.dumps(_steps())), "array<struct<filter_order: string, step: int, bit: int, before: int>>")
     x = per_part.withColumn("__s", F.explode(steps)).select("*", "__s.*")
     bit, before, sets = F.col("bit"), F.col("before"), F.array(*(F.lit(s) for s in range(_SETS)))
 
@@ -120,7 +120,7 @@ def audit(documents: DataFrame, labels: DataFrame) -> DataFrame:
     here = lambda s: fails(s) & ~earlier(s)
     # of the orders, a set's filters come first equally often
     share = F.aggregate(
-        F.zip_with("all", sets, lambda n, s: F.when(fails(s), (n * F.lit(len(list(permutations(FILTERS)))) / F.bit_count(s)).cast("long")).otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda a, n: a + n
+        F.zip_with("all", sets, lambda n, s: F.when(fails(s), n * (F.lit(factorial(len(FILTERS))) / F.bit_count(s)).cast("long")).otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda a, n: a + n
     )
     return x.select(
         "part", "filter_order", "step", total("all", lambda s: s.bitwiseAND(bit.bitwiseOR(before)) == 0).alias("kept"), total("all", here).alias("removed"),
