@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from veridicta.functions.packs import SYNTHETIC_ACTION_RULES, SYNTHETIC_EVIDENCE, SYNTHETIC_KPI_VALUES, SYNTHETIC_TOPIC_RULES
-from veridicta.operators import corpus, quality
+from veridicta.operators import corpus, duplicates, quality
 from veridicta.plans.pipeline import ClaimPipeline, run_variants
 from veridicta.sources import tables
 from veridicta.streaming import scorers
@@ -158,7 +158,7 @@ def test_crowded_grams_are_compared_in_blocks(spark, monkeypatch):
     assert 10 < sum(want) < 80
     df = spark.createDataFrame(list(enumerate(texts)), "i int, sentence string")
     for crowd, block in ((100, 1000), (3, 7)):
-        monkeypatch.setattr(quality, "CROWD", crowd)
-        monkeypatch.setattr(quality, "CROWD_BLOCK", block)
+        monkeypatch.setattr(duplicates, "CROWD", crowd)
+        monkeypatch.setattr(duplicates, "BLOCK", block)
         got = {r["i"]: r["_is_duplicate"] for r in quality.pairwise_duplicates(df, "i").collect()}
         assert [got[i] for i in range(len(texts))] == want

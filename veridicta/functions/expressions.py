@@ -22,6 +22,19 @@ def has(column, pattern: str) -> Column:
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit("")).rlike(re_(pattern))
 
 
+def free(columns, *names: str) -> list[str]:
+    """Names for columns of our own that none of ``columns`` has, whatever their case."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for name in names:
+        name = f"__{name}"
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def dbl(x: float) -> Column:
     """A double literal; bare SQL decimals give other results at thresholds."""
     return F.lit(float(x))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from veridicta.functions.expressions import correlation, dbl, entropy, rate
 from veridicta.functions.packs import ACTIONS, ESG_TOPICS
 from veridicta.operators.risk import level, sentence_risks, washing_risk
+from veridicta.plans.lineage import sums_before
 
 ES_BINS = (("None (0)", 0.0, 0.1), ("Low (0-0.3)", 0.1, 0.3), ("Medium (0.3-0.6)", 0.3, 0.6), ("High (0.6+)", 0.6, 1.01))
 EVIDENCE_TYPES = ("KPI", "Standard", "Time_bound", "Third_party")
@@ -129,10 +130,9 @@ def profiles(scores: DataFrame) -> DataFrame:
 
 
 def average_ranks(df: DataFrame, column: str) -> DataFrame:
-    """value, n, rank: ranks of distinct values, ties at their mean; only distinct values meet in one window."""
+    """value, n, rank: ranks of distinct values, ties at their mean; counted by ranges of values."""
     n = df.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("value")).agg(F.count("*").alias("n"))
-    below = F.sum("n").over(W.orderBy("value").rowsBetween(W.unboundedPreceding, -1))
-    return n.withColumn("rank", F.coalesce(below, F.lit(0)) + (F.col("n") + 1) / 2)
+    return sums_before(n, "n", "below", "value").select("value", "n", (F.col("below") + (F.col("n") + 1) / 2).alias("rank"))
 
 
 def spearman(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:

@@ -9,9 +9,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from veridicta.functions.expressions import arg_max, dbl, log_softmax, re_, softmax
+from veridicta.functions.expressions import arg_max, dbl, free, log_softmax, re_, softmax
 from veridicta.functions.packs import ACTION_NEGATIONS, ACTION_RULES, ACTIONS, TOPIC_RULES, TOPICS, Rule
+from veridicta.functions.patterns import Patterns
 from veridicta.operators.labels import f1_summary
+from veridicta.plans.shipping import ship
 
 EPS = 1e-7
 
@@ -49,18 +51,23 @@ def describe(spark: SparkSession, kb: KnowledgeBase) -> DataFrame:
     return spark.createDataFrame(rows, "name string, constraint_type string, target_label string, source string")
 
 
-def fuzzy(text: Column, rule: Rule, share: bool = False) -> Column:
-    """Half a point for each pattern that hits, 1 at most; with ``share`` the part of patterns that hit."""
-    n = sum((F.when(text.rlike(re_(p)), 1).otherwise(0) for p in rule.patterns), F.lit(0))
+def fuzzy(text: Column, rule: Rule, share: bool = False, find: Callable[[str], Column] | None = None) -> Column:
+    """Half a point for each pattern that hits, 1 at most; with ``share`` the part of patterns that hit.  ``find``: how to
+    look for a pattern, if not by searching."""
+    find = find or (lambda p: text.rlike(re_(p)))
+    n = sum((F.when(find(p), 1).otherwise(0) for p in rule.patterns), F.lit(0))
     return n / dbl(len(rule.patterns)) if share else F.least(dbl(0.5) * n, dbl(1))
 
 
 def truths(df: DataFrame, kb: KnowledgeBase, text: str = "sentence", share: bool = False) -> DataFrame:
     """Adds truth, an array with one value for each rule of the knowledge base."""
     t = F.lower(F.coalesce(F.col(text), F.lit("")))
-    names = [f"__q{i}" for i in range(len(kb.rules))]
-    df = df.withColumn("__l", t).withColumns({n: fuzzy(F.col("__l"), c.rule, share) for n, c in zip(names, kb.rules, strict=True)})
-    return df.withColumn("truth", F.array(*names)).drop("__l", *names)
+    ship(df.sparkSession)
+    known = Patterns(p for c in kb.rules for p in c.rule.patterns)
+    lower, mask, *names = free(df.columns, "l", "mask", *(f"q{i}" for i in range(len(kb.rules))))
+    df = df.withColumn(lower, t).withColumn(mask, known.mask(F.col(lower)))
+    df = df.withColumns({n: fuzzy(F.col(lower), c.rule, share, lambda p: known.has(F.col(mask), F.col(lower), p)) for n, c in zip(names, kb.rules, strict=True)})
+    return df.withColumn("truth", F.array(*names)).drop(lower, mask, *names)
 
 
 def _truth(i: int) -> Column:

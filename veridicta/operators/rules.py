@@ -1,7 +1,8 @@
 """Weighted regex rules: which label a text's signs speak for, and which rules said so.
 
 Within a rule, patterns are tried in order; the first that hits the text, or else the context with the text, ends the
-search.  Scores add up in the pack's order, in doubles.
+search.  Scores add up in the pack's order, in doubles.  A pack's patterns are looked for at once: only those of which
+the text holds a necessary string are searched.
 """
 
 from __future__ import annotations
@@ -13,7 +14,8 @@ from pyspark.sql import functions as F
 
 from veridicta.functions.expressions import arg_max, dbl, re_
 from veridicta.functions.packs import ACTION_RULES, ACTIONS, FUTURE_YEAR, HAS_NUMBERS, TOPIC_RULES, Rule
-
+from veridicta.functions.patterns import Patterns
+from veridicta.plans.shipping import ship
 
 _ANCHOR = re.compile(r"\^|\\[AGB]|\(\?<")  # what may hold at a text's start and not behind a space
 
@@ -22,29 +24,33 @@ def _lower(c) -> Column:
     return F.lower(F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit("")))
 
 
-def _hit(rule: Rule, text: Column, both: Column | None) -> Column:
+def _hit(rule: Rule, text: Column, both: Column | None, known: Patterns, mask: Column) -> Column:
     """1: the text has it, 2: only the context, null: neither."""
     out = F
     for p in rule.patterns:
-        in_text = text.rlike(re_(p))
+        in_text = known.has(mask, text, p)
         if both is None:
             out = out.when(in_text, 1)
         elif _ANCHOR.search(p):
-            out = out.when(in_text, 1).when(both.rlike(re_(p)), 2)
+            out = out.when(in_text, 1).when(known.has(mask, both, p), 2)
         else:  # the context ends with the text and a space before it, so what the text has the context has: misses cost one search
-            out = out.when(both.rlike(re_(p)), F.when(in_text, 1).otherwise(2))
+            out = out.when(known.has(mask, both, p), F.when(text.rlike(re_(p)), 1).otherwise(2))
     return out.otherwise(F.lit(None).cast("int"))
 
 
-def hits(df: DataFrame, rules, text: str, context: str | None, prefix: str) -> DataFrame:
-    """A column for each rule, so that no pattern runs twice."""
+def hits(df: DataFrame, rules, text: str, context: str | None, prefix: str, more: tuple[str, ...] = ()) -> DataFrame:
+    """A column for each rule, so that no pattern runs twice; and for each of ``more``, whether the text has it."""
+    ship(df.sparkSession)
+    known = Patterns([*(p for r in rules for p in r.patterns), *more])
     df = df.withColumn(f"{prefix}t", _lower(text))
     both = None
     if context is not None:
         c = F.coalesce(F.col(context), F.lit(""))
         df = df.withColumn(f"{prefix}c", F.when(c != "", F.lower(F.concat(c, F.lit(" "), F.coalesce(F.col(text), F.lit(""))))).otherwise(F.col(f"{prefix}t")))
         both = F.col(f"{prefix}c")
-    return df.withColumns({f"{prefix}{i}": _hit(r, F.col(f"{prefix}t"), both) for i, r in enumerate(rules)})
+    t, mask = F.col(f"{prefix}t"), F.col(f"{prefix}m")
+    df = df.withColumn(f"{prefix}m", known.mask(t if both is None else both))
+    return df.withColumns({f"{prefix}{i}": _hit(r, t, both, known, mask) for i, r in enumerate(rules)} | {f"{prefix}more{i}": known.has(mask, t, p) for i, p in enumerate(more)})
 
 
 def _scores(rules, labels, prefix: str, in_text: float, in_context: float) -> dict[str, Column]:
@@ -89,11 +95,11 @@ def match_actions(df: DataFrame, text: str = "sentence", context: str | None = N
     """Adds <out>_label, <out>_confidence, <out>_rules.  Numbers and future years speak against Indeterminate, the
     latter for Planning too; below 0.4: Indeterminate at 0.3."""
     p = "__action_"
-    d = hits(df, rules, text, context, p)
-    d = d.withColumns({f"{p}n": F.col(f"{p}t").rlike(re_(numbers)), f"{p}y": F.col(f"{p}t").rlike(re_(future))})
+    d = hits(df, rules, text, context, p, (numbers, future))
+    has_numbers, has_future = F.col(f"{p}more0"), F.col(f"{p}more1")
     s = _scores(rules, ACTIONS, p, 0.5, 0.2)
-    s["Indeterminate"] = s["Indeterminate"] - F.when(F.col(f"{p}n"), dbl(0.3)).otherwise(dbl(0)) - F.when(F.col(f"{p}y"), dbl(0.2)).otherwise(dbl(0))
-    s["Planning"] = s["Planning"] + F.when(F.col(f"{p}y"), dbl(0.2)).otherwise(dbl(0))
+    s["Indeterminate"] = s["Indeterminate"] - F.when(has_numbers, dbl(0.3)).otherwise(dbl(0)) - F.when(has_future, dbl(0.2)).otherwise(dbl(0))
+    s["Planning"] = s["Planning"] + F.when(has_future, dbl(0.2)).otherwise(dbl(0))
     return _decide(d, rules, s, p, out, 0.4, "Indeterminate", 0.3)
 
 
