@@ -57,7 +57,7 @@ def sentences(spark, sf) -> DataFrame:
     return s.select(
         "doc_id", "pos", "sentence", "bank", "year", F.concat_ws("_", F.col("doc_id").cast("string"), F.col("pos").cast("string")).alias("sent_id"), F.col("lang").alias("section_title"),
         F.when(F.col("pos") > 0, F.get("__p", F.col("pos") - 1)).otherwise("").alias("ctx_prev"), F.coalesce(F.get("__p", F.col("pos") + 1), F.lit("")).alias("ctx_next"),
-        (F.col("doc_id") * 100000 + F.col("pos")).alias("sent_pos"),
+        (F.col("doc_id") * (1 << 32) + F.col("pos")).alias("sent_pos"),
     )
 
 
@@ -65,7 +65,7 @@ SENT = r"""
 WITH docs AS (SELECT doc_id, text, lang, source AS bank, CAST(2020 + (doc_id // 20) % 5 AS INTEGER) AS year FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL),
 cutup AS (SELECT *, list_filter(list_transform(string_split(regexp_replace(regexp_replace(text, '([.?!])[ \t\n\f\r]+', '\1' || chr(1), 'g'), '\n+', chr(1), 'g'), chr(1)), lambda s: trim(s, ' ')), lambda s: s <> '') AS p FROM docs),
 sent AS (SELECT doc_id, CAST(i - 1 AS INTEGER) AS pos, p[i] AS sentence, bank, year, doc_id || '_' || (i - 1) AS sent_id, lang AS section_title,
-  CASE WHEN i > 1 THEN p[i - 1] ELSE '' END AS ctx_prev, coalesce(p[i + 1], '') AS ctx_next, doc_id * 100000 + i - 1 AS sent_pos
+  CASE WHEN i > 1 THEN p[i - 1] ELSE '' END AS ctx_prev, coalesce(p[i + 1], '') AS ctx_next, doc_id * 4294967296 + i - 1 AS sent_pos
   FROM (SELECT *, unnest(generate_series(1, len(p))) AS i FROM cutup) WHERE len(p) > 0)"""
 
 
@@ -445,6 +445,13 @@ def c4(spark, sf):
     return d.groupBy("bank").agg(F.count("*").alias("n"), F.count_if("_is_duplicate").alias("duplicates"))
 
 
+@query("c4_greedy")
+def c4_greedy(spark, sf):
+    """The sequential rule over all sentences in the order of their documents."""
+    d = quality.greedy_duplicates(sentences(spark, sf).select("bank", "sent_pos", "sentence"), "sent_pos")
+    return d.groupBy("bank").agg(F.count("*").alias("n"), F.count_if("_is_duplicate").alias("duplicates"))
+
+
 @query("c4_greedy_by_document")
 def c4g(spark, sf):
     d = quality.greedy_duplicates(sentences(spark, sf).select("doc_id", "pos", "sentence"), "pos", group="doc_id")
