@@ -183,6 +183,20 @@ def test_mix_of_many_small_documents_is_close(spark):
     assert taken.columns == df.columns and taken.count() == entropy_mix.mix(df).agg({"copies": "sum"}).first()[0]
 
 
+def test_take_keeps_columns_of_the_same_names(spark):
+    """What the input has under names that the mix uses too comes back as it was."""
+    names = ["size", "source_size", "target", "rate", "Copies", "taken", "__bucket", "__digest", "__base", "__share", "__in0", "a.b"]
+    rows = [(i, f"some words {i} " * (i % 5 + 1), f"s{i % 3}", *(f"{n}{i}" for n in names)) for i in range(60)]
+    df = spark.createDataFrame(rows, ", ".join(["doc_id long", "text string", "source string", *(f"`{n}` string" for n in names)]))
+    copies = {r["doc_id"]: r["copies"] for r in entropy_mix.mix(df).collect()}
+    got = Counter(tuple(r) for r in entropy_mix.take(df).collect())
+    assert entropy_mix.take(df).columns == df.columns
+    assert got == Counter({r: copies[r[0]] for r in rows if copies[r[0]]})
+    kept = entropy_mix.mix(df)
+    assert kept.columns == ["doc_id", "text", "source", "__bucket", "__digest", "__base", "__share", "__in0", "a.b", "size", "source_size", "target", "rate", "copies", "taken"]
+    assert {tuple(r)[3:9] for r in kept.collect()} == {r[9:] for r in rows}
+
+
 def test_mix_is_native(docs):
     plan = entropy_mix.mix(docs)._jdf.queryExecution().optimizedPlan().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))

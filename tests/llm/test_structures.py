@@ -217,6 +217,39 @@ def test_neighbours_with_few_rows(spark):
     assert got == brute(rows, 20)
 
 
+def test_clustered_vectors_are_found_in_few_buckets(spark, tmp_path):
+    """100,000 points around 1000 centres: a query scores a small part of them."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    rng = np.random.default_rng(8)
+    x = (rng.normal(size=(1000, 32))[rng.integers(0, 1000, 100_000)] + 0.4 * rng.normal(size=(100_000, 32))).astype(np.float32)
+    pq.write_table(pa.table({"vec_id": np.arange(100_000), "embedding": pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), 32).cast(pa.list_(pa.float32()))}), tmp_path / "v.parquet", row_group_size=20_000)
+    df = spark.read.parquet(str(tmp_path / "v.parquet"))
+    asked = df.where("vec_id % 1000 = 0")
+    hashing, share = multiprobe.candidate_share(df, asked)
+    assert share < 0.15, (hashing, share)
+    got = multiprobe.nearest(df, asked).toPandas().groupby("query_id")["vec_id"].apply(set)
+    x = x.astype(np.float64)
+    hits = 0
+    for q in range(0, 100_000, 1000):
+        score = x @ x[q]
+        score[q] = -np.inf
+        hits += len(set(np.argsort(-score, kind="stable")[:20].tolist()) & got[q])
+    assert hits / 2000 >= 0.9
+
+
+def test_step_sets_rise_in_cost():
+    """Every set of steps once, none with a step and its opposite, and the first ones cheaper than those left out."""
+    h = multiprobe.Hashing(1, 4, 1.0, 81)
+    sets = multiprobe._step_sets(h)
+    assert len(set(sets)) == len(sets) == 81 and sets[0] == () and sets[1] == (0,)
+    assert all(7 - i not in s for s in sets for i in s)
+    x, y = np.random.default_rng(1).normal(size=(5, 6)), np.random.default_rng(1).normal(size=(5, 6))
+    for u, v in zip(multiprobe._keys(x, 3.0, True, h), multiprobe._keys(y, 3.0, True, h), strict=True):
+        assert len(set(u[0].tolist())) == 81 and (u == v).all()
+
+
 SF01 = "/root/testdata/sf0.1/embeddings.parquet"
 
 

@@ -14,7 +14,8 @@ words stops there and the excess goes to the others by weight, until none is abo
 
 Sizes are counted once and kept in a checkpoint.  Running sums over a source go by (source, bucket of the digest) with
 one sum a bucket, so a source that holds a third of all rows is spread over 256 tasks, or 65,536 in a large table.  Null text: no words.  Repeated rows are rows of their own.  Sources
-without words, and empty tables, take nothing.  Clashing names: the columns this adds replace the input's.
+without words, and empty tables, take nothing.  Clashing names: the columns that ``mix`` adds
+replace the input's; ``take`` adds none and keeps all of the input's.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from veridicta.llm.common import WORD, cut
+from veridicta.llm.common import WORD, cut, unused
 
 WEIGHTS = (5.0, 2.0, 1.0)
 CAP = 3.0
@@ -31,6 +32,7 @@ LARGE = 1 / 256  # of the source's words; so a source has fewer than 256 large d
 NEWTON_STEPS = 64
 LARGE_TABLE = 1 << 26  # rows from which a source is dealt into 65,536 buckets instead of 256; the mix is the same
 _ADDED = ("size", "source_size", "target", "rate", "copies", "taken")
+_READ = ("doc_id", "text", "source")
 
 
 def words_in(column: str = "text") -> Column:
@@ -63,10 +65,23 @@ def newton_rate(size: Column, target: Column) -> Column:
     return F.when((size > 0) & (target > 0), F.exp(multiplier)).otherwise(0.0)
 
 
+def _apart(documents: DataFrame, keep: list[str]) -> tuple[DataFrame, dict[str, str]]:
+    """The input with all columns but the three that are read under names of our own, so that none of theirs is taken for
+    one of ours; and the name of each column to keep."""
+    names = dict(zip(keep, unused(_ADDED, *(f"in{i}" for i in range(len(keep)))), strict=True))
+    names |= {c: c for c in keep if c.lower() in _READ}
+    read = [c for c in documents.columns if c.lower() in _READ]
+    return documents.select(*read, *(F.col(f"`{c}`").alias(n) for c, n in names.items() if c not in read)), names
+
+
 def mix(documents: DataFrame, weights=WEIGHTS, cap: float = CAP, columns: tuple[str, ...] | None = None) -> DataFrame:
     """All rows of (doc_id, text, source, ...) with size, source_size, target, rate, copies, taken.  ``columns``: those of
     the input to keep; without the text, no text is read twice."""
-    names = [c for c in documents.columns if c not in _ADDED and (columns is None or c in columns)]
+    d, names = _apart(documents, [c for c in documents.columns if c.lower() not in _ADDED and (columns is None or c in columns)])
+    return _mixed(d, weights, cap, [*names.values()]).select(*(F.col(n).alias(c) for c, n in names.items()), *_ADDED)
+
+
+def _mixed(documents: DataFrame, weights, cap: float, names: list[str]) -> DataFrame:
     digest = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
     whole = documents.withColumn("size", words_in()).withColumn("__digest", digest)
     rows = cut(whole.select(*dict.fromkeys(["doc_id", "source", "size", "__digest", *(names if "text" not in names else ())])))
@@ -139,9 +154,9 @@ def mix(documents: DataFrame, weights=WEIGHTS, cap: float = CAP, columns: tuple[
 
 def take(documents: DataFrame, weights=WEIGHTS, cap: float = CAP) -> DataFrame:
     """The mix itself: every document as often as it is taken, with its columns unchanged."""
-    mixed = mix(documents, weights, cap)
-    copies = mixed.where("copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    return copies.select(*documents.columns)
+    d, names = _apart(documents, documents.columns)
+    copies = _mixed(d, weights, cap, [*names.values()]).where("copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return copies.select(*(F.col(n).alias(c) for c, n in names.items()))
 
 
 ORACLE_SQL = r"""
