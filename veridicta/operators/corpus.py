@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from veridicta.functions.expressions import SPACE, is_upper, nfc, re_, strip
+from veridicta.functions.expressions import SPACE, free, is_upper, nfc, re_, strip
 
 _BREAK = r"[\n\r\x0b\x0c\x1c-\x1e\x85\x{2028}\x{2029}]"
 MIN_SENTENCE = 10
@@ -162,8 +162,9 @@ def with_position(df: DataFrame, doc: str, *order: str, name: str = "sent_pos",
     Documents are counted first; running sums go over one row a document, and rows are only ordered within their own
     document.  Without ``by`` the documents are dealt into up to ``RANGES`` ranges of the id, of any type, whose edges
     are ids that the driver picks by hash (one small job); edges only balance the work."""
-    d = df.withColumn("__doc", F.col(doc))
-    counts = d.groupBy(*by, "__doc").agg(F.count("*").alias("__n"))
+    at_doc, at_doc2, at_k, at_base, *at_by = free([*df.columns, name], "doc", "doc2", "k", "base", *(f"by{i}" for i in range(len(by))))
+    d = df.withColumn(at_doc, F.col(doc))
+    counts = d.groupBy(*by, F.col(at_doc).alias("__doc")).agg(F.count("*").alias("__n"))
     if by:
         before = W.partitionBy(*by).orderBy("__doc").rowsBetween(W.unboundedPreceding, -1)
         counts = counts.withColumn("__base", F.coalesce(F.sum("__n").over(before), F.lit(0)))
@@ -178,12 +179,12 @@ def with_position(df: DataFrame, doc: str, *order: str, name: str = "sent_pos",
         within = W.partitionBy("__range").orderBy("__doc").rowsBetween(W.unboundedPreceding, -1)
         counts = counts.withColumn("__in", F.coalesce(F.sum("__n").over(within), F.lit(0))).join(start, "__range")
         counts = counts.withColumn("__base", F.col("__start") + F.col("__in"))
-    base = counts.select(*(F.col(c).alias(f"__by{i}") for i, c in enumerate(by)), F.col("__doc").alias("__doc2"), "__base")
-    number = F.row_number().over(W.partitionBy(*by, "__doc").orderBy(*order)) - 1
-    same = F.col("__doc").eqNullSafe(F.col("__doc2"))
-    for i, c in enumerate(by):
-        same = same & F.col(c).eqNullSafe(F.col(f"__by{i}"))
-    return d.withColumn("__k", number).join(base, same).withColumn(name, F.col("__base") + F.col("__k")).drop("__doc", "__doc2", "__k", "__base", *(f"__by{i}" for i in range(len(by))))
+    base = counts.select(*(F.col(c).alias(n) for c, n in zip(by, at_by, strict=True)), F.col("__doc").alias(at_doc2), F.col("__base").alias(at_base))
+    number = F.row_number().over(W.partitionBy(*by, at_doc).orderBy(*order)) - 1
+    same = F.col(at_doc).eqNullSafe(F.col(at_doc2))
+    for n, c in zip(at_by, by, strict=True):
+        same = same & F.col(c).eqNullSafe(F.col(n))
+    return d.withColumn(at_k, number).join(base, same).withColumn(name, F.col(at_base) + F.col(at_k)).drop(at_doc, at_doc2, at_k, at_base, *at_by)
 
 
 def text_position(df: DataFrame, name: str = "sent_pos") -> DataFrame:
@@ -193,5 +194,6 @@ def text_position(df: DataFrame, name: str = "sent_pos") -> DataFrame:
     block = F.col("order_in_doc") if "order_in_doc" in df.columns else part(1)
     place = F.col("sent_idx_in_block") if "sent_idx_in_block" in df.columns else part(2)
     doc = F.col("doc_id") if "doc_id" in df.columns else F.regexp_replace("sent_id", r"_s\d+_\d+$", "")
-    d = df.withColumns({"__text": doc, "__block": block, "__place": place})
-    return with_position(d, "__text", "__block", "__place", "sent_id", name=name, by=("bank", "year")).drop("__text", "__block", "__place")
+    own = free([*df.columns, name], "text", "block", "place")
+    d = df.withColumns(dict(zip(own, (doc, block, place), strict=True)))
+    return with_position(d, *own, "sent_id", name=name, by=("bank", "year")).drop(*own)

@@ -184,7 +184,7 @@ def train_and_evaluate(df: DataFrame, label: str, labels: tuple[str, ...], key:
     scores = evaluate(model, d, label, kb, text=text)
     if folder:
         model.save(df.sparkSession, folder)
-        tables.write_csv(scores, f"{folder}/scores.csv")
+        tables.write_csv(scores, f"{folder}/scores.csv", one_file=True)
     return model, scores
 
 

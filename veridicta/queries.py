@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 
 from veridicta.functions import packs
 from veridicta.functions.expressions import cosine, dbl, has, nfc
-from veridicta.operators import analyses, corpus, evidence, labels, linking, neuro, quality, report, risk, rules
+from veridicta.operators import analyses, corpus, evidence, labels, linking, neuro, quality, report, risk, rules, vectors
 from veridicta.plans import training
+from veridicta.plans.lineage import shared_folder
 from veridicta.plans.shipping import ship
 from veridicta.sources import tables
 from veridicta.streaming.scorers import hashed_embeddings, label_batches, model_scorer, nli_scorer, surrogate_logits, train_surrogate
@@ -619,8 +620,13 @@ def e12(spark, sf):
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new path below the warehouse, which all executors share."""
-    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/scratch-{uuid.uuid4().hex}"
+    """A new path in the folder that all executors share, which goes when the session's JVM ends."""
+    folder = f"{shared_folder(spark).rstrip('/')}/scratch-{uuid.uuid4().hex}"
+    p = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(p)
+    files.deleteOnExit(p)
+    return f"{folder}/data"
 
 
 @query("a5_parquet", "SELECT doc_id, lang, source, n_chars, md5(text) AS h FROM documents")
@@ -944,6 +950,15 @@ def h1(spark, sf):
     return d.groupBy("bank").agg(F.avg(F.aggregate("embedding", dbl(0), lambda s, x: s + F.abs(x))).alias("mean_size"))
 
 
+@query("h1_vectors")
+def h1_vectors(spark, sf):
+    """Vectors fitted on all sentences: how near each sentence is to the next one of its text."""
+    d = sentences(spark, sf).select("bank", "sentence", "ctx_next")
+    model = vectors.fit(d)
+    d = vectors.embed(vectors.embed(d, model), model, "ctx_next", "next")
+    return d.groupBy("bank").agg(F.count("*").alias("n"), F.avg(cosine(F.col("embedding"), F.col("next"))).alias("near_next"), F.avg(cosine(F.col("embedding"), F.col("embedding"))).alias("known"))
+
+
 @query(
     "i1_nli_batches",
     """WITH x AS (SELECT conv_id, turn, CAST(turn % 3 AS DOUBLE) AS c, CAST(coalesce(length(text), 0) % 5 AS DOUBLE) / 2 AS n, CAST(coalesce(length(text), 0) % 2 AS DOUBLE) AS e FROM conversations),

@@ -5,6 +5,7 @@ from __future__ import annotations
 import copy
 import json
 import urllib.request
+import uuid
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
@@ -51,16 +52,41 @@ def write_parquet(df: DataFrame, path: str, by_document: bool = False) -> None:
     (w.partitionBy("bank", "year") if by_document else w).parquet(path)
 
 
-def write_csv(df: DataFrame, path: str, one_file: bool = True) -> None:
-    """Everything in quotes, since sentences hold line feeds; arrays joined by |."""
+def write_csv(df: DataFrame, path: str, one_file: bool = False) -> None:
+    """Everything in quotes, since sentences hold line feeds; arrays joined by |.  ``one_file`` is for summaries: one task
+    writes it."""
     flat = [F.concat_ws("|", c).alias(c) if t.startswith("array<string") else F.to_json(c).alias(c) if t.startswith(("array", "map", "struct")) else F.col(c) for c, t in df.dtypes]
     d = df.select(*flat)
     (d.coalesce(1) if one_file else d).write.mode("overwrite").csv(path, header=True, escape='"', quoteAll=True)
 
 
 def write_text(text: str, path: str) -> None:
-    Path(path).parent.mkdir(parents=True, exist_ok=True)
-    Path(path).write_text(text, encoding="utf-8")
+    """A small file on any file system that Spark reaches.  It is written under another name in its folder and renamed
+    when it is whole, so that readers see the old file or the new one."""
+    spark = SparkSession.active()
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    target = hadoop.Path(path)
+    context = hadoop.FileContext.getFileContext(target.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(target).toUri(), spark._jsc.hadoopConfiguration())
+    part = hadoop.Path(target.getParent(), f".{target.getName()}.{uuid.uuid4().hex}")
+    out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(part, True)
+    try:
+        out.write(bytearray(text.encode("utf-8")))
+    finally:
+        out.close()
+    over = spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 1)
+    over[0] = hadoop.Options.Rename.OVERWRITE
+    context.rename(part, target, over)
+
+
+def read_text(path: str) -> str:
+    """A small file of any file system that Spark reaches."""
+    spark = SparkSession.active()
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    opened = p.getFileSystem(spark._jsc.hadoopConfiguration()).open(p)
+    try:
+        return bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(opened)).decode("utf-8")
+    finally:
+        opened.close()
 
 
 def save_report(report: dict, scores: DataFrame, claims: DataFrame, details: DataFrame, folder: str) -> None:
@@ -68,8 +94,8 @@ def save_report(report: dict, scores: DataFrame, claims: DataFrame, details: Dat
 
     write_text(as_json(report), f"{folder}/report.json")
     write_text(text(report), f"{folder}/summary.txt")
-    write_csv(scores, f"{folder}/bank_year_scores.csv")
-    write_csv(claims, f"{folder}/top_risk_claims_global.csv")
+    write_csv(scores, f"{folder}/bank_year_scores.csv", one_file=True)
+    write_csv(claims, f"{folder}/top_risk_claims_global.csv", one_file=True)
     write_csv(details, f"{folder}/sentence_details.csv")
 
 
@@ -84,7 +110,7 @@ def save_analyses(results: dict[str, DataFrame], folder: str) -> None:
     write_text(markdown(rows), f"{folder}/analysis_report.md")
     for name in ANALYSIS_FILES:
         if name in results:
-            write_csv(results[name], f"{folder}/{name}.csv")
+            write_csv(results[name], f"{folder}/{name}.csv", one_file=True)
 
 
 def merged(base: dict, over: dict) -> dict:
@@ -127,8 +153,8 @@ def model_folder(path: str) -> str:
 Labeler = Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]
 
 
-def http_labeler(url: str, key: str, timeout: float = 30.0) -> Labeler:
-    """Posts each prompt; a failure becomes the reply ``error: ...`` of its row."""
+def http_labeler(url: str, key: str, timeout: float = 30.0, header: str = "x-goog-api-key") -> Labeler:
+    """Posts each prompt, with the key in a header; a failure becomes the reply ``error: ...`` of its row."""
 
     def run(parts):
         for p in parts:
@@ -136,7 +162,7 @@ def http_labeler(url: str, key: str, timeout: float = 30.0) -> Labeler:
             for prompt in p["prompt"]:
                 try:
                     body = json.dumps({"contents": [{"parts": [{"text": prompt}]}]}).encode()
-                    req = urllib.request.Request(f"{url}?key={key}", body, {"Content-Type": "application/json"})
+                    req = urllib.request.Request(url, body, {"Content-Type": "application/json", header: key})
                     replies.append(json.load(urllib.request.urlopen(req, timeout=timeout))["candidates"][0]["content"]["parts"][0]["text"])  # noqa: S310
                 except Exception as e:
                     replies.append(f"error: {e}")
