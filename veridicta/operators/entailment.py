@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from functools import cache
 from typing import NamedTuple
 
 import numpy as np
@@ -27,6 +28,7 @@ from veridicta.streaming.scorers import nli_scorer
 LABELS = ("contradiction", "neutral", "entailment")
 NEGATIONS = frozenset("not no never none without cannot không chưa chẳng nicht kein keine nie ne pas jamais sans nunca sin".split())
 FEATURES = ("covered", "worst", "same", "covered_back", "same_back", "numbers", "missing_numbers", "negated")
+MOST = 4000  # texts to make pairs of
 LEAST_NEAR = 0.3  # nearer words count as aligned, others not at all
 _number = re.compile(r"(?<!\w)\d+(?:[.,]\d+)*")
 
@@ -109,6 +111,11 @@ def fit(pairs: DataFrame, vectors: SentenceVectors, label: str = "label", negati
     return Entailment(vectors, weights)
 
 
+def sample(df: DataFrame, text: str = "sentence", most: int = MOST) -> DataFrame:
+    """The same ``most`` distinct texts at every run, to fit on; all where there are fewer."""
+    return df.dropDuplicates([text]).orderBy(F.xxhash64(text), text).limit(most)
+
+
 def made_pairs(df: DataFrame, vectors: SentenceVectors, text: str = "sentence", other: str = "ctx_next", negation: str = "not") -> DataFrame:
     """(evidence_text, claim_text, label) from sentences and others beside them: shortened with words changed for near ones
     (entailment), negated or with other numbers (contradiction), and the other sentence (neutral).  The same at every run."""
@@ -119,6 +126,14 @@ def made_pairs(df: DataFrame, vectors: SentenceVectors, text: str = "sentence",
     def run(parts):
         v = shared.value
         a = Alignment(v)
+
+        @cache
+        def other_word(w: str) -> str:
+            """The word nearest to it, if that is near."""
+            near = a.unit @ a.unit[a.number[w]]
+            near[a.number[w]] = -1
+            return v.terms[int(near.argmax())] if near.max() >= 2 * LEAST_NEAR else w
+
         for p in parts:
             rows = []
             for t, o in zip(p[text], p[other], strict=True):
@@ -129,10 +144,7 @@ def made_pairs(df: DataFrame, vectors: SentenceVectors, text: str = "sentence",
                 short = [w for w in said if rng.random() > 0.25] or said
                 for i, w in enumerate(short):
                     if w.lower() in a.number and rng.random() < 0.3:
-                        near = a.unit @ a.unit[a.number[w.lower()]]
-                        near[a.number[w.lower()]] = -1
-                        if near.max() >= 2 * LEAST_NEAR:
-                            short[i] = v.terms[int(near.argmax())]
+                        short[i] = other_word(w.lower())
                 rows.append((t, " ".join(short), "entailment"))
                 turned = _number.sub(lambda m: str(int(re.sub(r"\D", "", m[0])) * 3 + 7), " ".join(short)) if _number.search(" ".join(short)) and rng.random() < 0.5 else None
                 at = int(rng.integers(0, len(short)))

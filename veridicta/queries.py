@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from veridicta.functions import packs
 from veridicta.functions.expressions import cosine, dbl, has, nfc
-from veridicta.operators import analyses, corpus, evidence, labels, linking, neuro, quality, report, risk, rules, vectors
+from veridicta.operators import analyses, corpus, entailment, evidence, labels, linking, neuro, quality, report, risk, rules, vectors
 from veridicta.plans import training
 from veridicta.plans.lineage import shared_folder
 from veridicta.plans.shipping import ship
@@ -924,6 +924,38 @@ def h12(spark, sf):
     return d.select("bank", "sent_pos", "best_evidence_pos", "similarity_score", "avg_similarity", "nli_entailment_score", "num_evidence", "search_method", "nli_label")
 
 
+_LETTERS = "etaoinsr"
+_counts = ", ".join(f"CAST(len(lower(sentence)) - len(replace(lower(sentence), '{x}', '')) AS DOUBLE)" for x in _LETTERS)
+LINK_SENT = SENT + f""",
+l0 AS (SELECT bank || '-' || year AS bank, 2020 AS year, doc_id, pos, [CAST(1.37 AS DOUBLE), {_counts}] AS v, sentence FROM sent WHERE bank IS NOT NULL),
+l AS (SELECT *, row_number() OVER (PARTITION BY bank, year ORDER BY doc_id, pos) - 1 AS sent_pos, list_filter([{_found}], lambda x: x IS NOT NULL) AS types FROM l0),
+""" + LINK[LINK.index("win AS") :]
+
+
+def linkable_sentences(spark, sf):
+    """All sentences as claims of their (source, year), in the order of their texts, with letter counts and a constant as vectors."""
+    d = sentences(spark, sf).where("bank IS NOT NULL").select(F.concat_ws("-", "bank", F.col("year").cast("string")).alias("bank"), F.lit(2020).alias("year"), "doc_id", "pos", "sentence")
+    s = F.lower("sentence")
+    d = d.withColumn("embedding", F.array(dbl(1.37), *((F.length(s) - F.length(F.replace(s, F.lit(x), F.lit("")))).cast("double") for x in _LETTERS)))
+    return evidence.detect(corpus.with_position(d, "doc_id", "pos", by=("bank", "year")), "sentence", pack=_E, kpis=packs.SYNTHETIC_KPI_VALUES)
+
+
+@query("h12_link_sentences", WINLINK.replace(LINK, LINK_SENT) + f" SELECT bank, sent_pos, best_evidence_pos, {_r('similarity_score', 'avg_similarity', 'nli_entailment_score')}, num_evidence, search_method, nli_label FROM linked")
+def h12s(spark, sf):
+    d = linking.link(linkable_sentences(spark, sf), linking.VARIANTS[1])
+    return d.select("bank", "sent_pos", "best_evidence_pos", "similarity_score", "avg_similarity", "nli_entailment_score", "num_evidence", "search_method", "nli_label")
+
+
+@query("i6_fitted_entailment")
+def i6(spark, sf):
+    """All sentences against the next of their text, by a scorer fitted on pairs made of a bounded sample of them."""
+    d = sentences(spark, sf)
+    model = vectors.fit(d)
+    scorer = entailment.fit(entailment.made_pairs(entailment.sample(d, "sentence"), model), model).scorer()
+    judged = scorer(d.where("ctx_next <> ''").select("bank", F.col("ctx_next").alias("evidence_text"), F.col("sentence").alias("claim_text")))
+    return judged.groupBy("bank", "nli_label").agg(F.count("*").alias("n"), F.avg("entailment").alias("entailment"))
+
+
 @query("h13_link_nli", TFIDF + ", " + _SIM + ", " + _linked_sql("nl", True) + " SELECT bank, sent_pos, best_evidence_pos, round(similarity_score, 6) AS similarity_score, num_evidence, search_method, nli_label, round(nli_entailment_score, 6) AS nli_entailment_score FROM nl")
 def h13(spark, sf):
     d = linking.link(linkable(spark, sf), linking.VARIANTS[0])
