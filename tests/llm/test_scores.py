@@ -46,6 +46,40 @@ def test_classifier_with_little_to_learn(labelled, docs, empty):
     assert compression.score(docs, compression.Model(b"", b"", compression.Curve(0.25))).columns.count("score") == 1
 
 
+def compressed_score(model, text):
+    """The score of a text in plain Python, from the dictionaries and the fitted curve."""
+    import zstandard
+
+    raw = (text or "").encode()
+    sizes = {}
+    for name, d in (("g", model.good), ("b", model.bad)):
+        kind = zstandard.DICT_TYPE_FULLDICT if d.startswith(b"\x37\xa4\x30\xec") else zstandard.DICT_TYPE_RAWCONTENT
+        c = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(d, dict_type=kind), write_content_size=False, write_checksum=False, write_dict_id=False)
+        sizes[name] = [len(c.compress(raw))] + [len(c.compress(raw[i : i + 1024])) for i in range(0, max(len(raw), 1), 1024)]
+    n = [len(raw)] + [len(raw[i : i + 1024]) for i in range(0, max(len(raw), 1), 1024)]
+    per_byte = [(b - g) / (k + 32) for g, b, k in zip(sizes["g"], sizes["b"], n, strict=True)]
+    per_size = [(b - g) / (b + g) for g, b in zip(sizes["g"], sizes["b"], strict=True)]
+    level = [math.log((g + b) / 2 / (k + 32)) for g, b, k in zip(sizes["g"], sizes["b"], n, strict=True)]
+    mean = lambda v: sum(x * k for x, k in zip(v[1:], n[1:], strict=True)) / max(n[0], 1)
+    x = [per_byte[0], per_size[0], mean(per_byte), min(per_byte[1:]), mean(per_size), min(per_size[1:]), level[0], min(level[1:])]
+    z = [max(-6.0, min(6.0, (v - m) / s)) for v, m, s in zip(x, model.curve.mean, model.curve.scale, strict=True)]
+    terms = [1.0, *z, *(z[i] * z[j] for i in range(len(z)) for j in range(i + 1))]
+    return 1 / (1 + math.exp(-max(-40.0, min(40.0, sum(t * w for t, w in zip(terms, model.curve.weight, strict=True))))))
+
+
+def test_classifier_scores_equal_plain_python(labelled, docs, data, spark):
+    """Nulls, empty, repeated and very long texts too, and the decisions of the pipeline's stage."""
+    known, labels = labelled
+    model = compression.fit(known, labels)
+    rng = random.Random(3)
+    long = " ".join("".join(rng.choices("anerthst!", k=5)) for _ in range(40_000))
+    df = docs.unionByName(spark.createDataFrame([(*data[0][:1], long, *data[0][2:])], docs.schema))
+    got = Counter((r["doc_id"], r["text"], round(r["score"], 9)) for r in compression.score(df, model).collect())
+    assert got == Counter((r[0], r[1], round(compressed_score(model, r[1]), 9)) for r in [*data, (data[0][0], long)])
+    kept = Counter((r["doc_id"], r["text"]) for r in compression.keep_good(known, labels).collect())
+    assert kept == Counter((r["doc_id"], r["text"]) for r in known.collect() if compressed_score(model, r["text"]) >= 0.3)
+
+
 def test_lm_base_matches_brute_force(docs, data):
     got = {}
     for r in gru_lm.score_documents(docs).collect():
