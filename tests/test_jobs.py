@@ -79,3 +79,24 @@ def test_columns_of_the_input_stay(spark):
     kb = neuro.knowledge_base("topic")
     for out in (corpus.text_position(df), corpus.with_position(df, "sent_id", "sentence"), evidence.detect(df, "sentence"), neuro.truths(df, kb), rules.match_topics(df, context=None)):
         assert [tuple(r[n] for n in names) for r in out.collect()] == [tuple(names)] * 2
+
+
+def test_texts_of_some_banks_and_years(spark, tmp_path):
+    """Other folders and other years' files are not among the files that are opened."""
+    for bank in ("x", "y", "deep/er/x"):
+        for name in ("r2020", "r2021_2020", "none"):
+            p = tmp_path / "in" / bank / f"{name}.txt"
+            p.parent.mkdir(parents=True, exist_ok=True)
+            p.write_text(f"{bank} {name}")
+    top = str(tmp_path / "in")
+    opened = lambda d: {f.split("/in/")[1] for f in d.inputFiles()}
+    all_ = tables.read_texts(spark, top)
+    assert all_.count() == 9
+    x = tables.read_texts(spark, top, banks=["x"])
+    assert opened(x) == {f"{b}/{n}.txt" for b in ("x", "deep/er/x") for n in ("r2020", "r2021_2020", "none")} and {r["bank"] for r in x.collect()} == {"x"}
+    y = tables.read_texts(spark, top, banks=["y"], years=[2021])
+    assert opened(y) == {"y/r2021_2020.txt"} and [(r["doc_id"], r["content"]) for r in y.collect()] == [("y_2021_r2021_2020", "y r2021_2020")]
+    assert {r["doc_id"] for r in tables.read_texts(spark, top, years=[2020]).collect()} == {"x_2020_r2020", "y_2020_r2020"}
+    assert tables.read_texts(spark, top, years=[0]).count() == 3 and tables.read_texts(spark, f"{top}/y", banks=["y"]).count() == 3
+    with pytest.raises(FileNotFoundError):
+        tables.read_texts(spark, top, banks=["z"])

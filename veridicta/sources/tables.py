@@ -6,7 +6,7 @@ import copy
 import json
 import urllib.request
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from pathlib import Path
 
 import pandas as pd
@@ -17,15 +17,40 @@ from veridicta.operators.corpus import bank_year
 from veridicta.plans.shipping import ship
 
 
-def read_texts(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, bank, year, path, content) of a .txt file, or of all under a folder, in the order of paths.
+DEPTH = 4  # of a bank's folder below the path
+
+
+def _bank_folders(spark: SparkSession, path: str, banks: Sequence[str]) -> list[str]:
+    """The folders of some banks, at any depth up to ``DEPTH``, or the path itself if it is one's."""
+    hadoop, found = spark._jvm.org.apache.hadoop.fs, []
+    top = path.rstrip("/")
+    for b in banks:
+        if top.rsplit("/", 1)[-1] == b:
+            found.append(top)
+        for level in range(DEPTH):
+            p = hadoop.Path(f"{top}/{'*/' * level}{b}")
+            found += [s.getPath().toString() for s in p.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(p) or () if s.isDirectory()]
+    return list(dict.fromkeys(found))
+
+
+def read_texts(spark: SparkSession, path: str, banks: Sequence[str] | None = None, years: Sequence[int] | None = None) -> DataFrame:
+    """(doc_id, bank, year, path, content) of a .txt file, or of all under a folder, in the order of paths; of some banks
+    or years only, where these are given: other banks' folders and other years' files are not opened.
 
     Bytes that aren't UTF-8 are left out.  Another suffix, or nothing to read, is an error."""
     ship(spark)
+    if banks is not None:
+        folders = _bank_folders(spark, path, banks)
+        if not folders:
+            raise FileNotFoundError(f"no folder of {', '.join(banks)} in {path}")
+    else:
+        folders = [path]
+    # the year is the first in the name; 0 stands for none
+    names = "*.txt" if years is None or 0 in years else "*{" + ",".join(str(y) for y in years) + "}*.txt"
     one = path.lower().endswith(".txt")
     if not one and "." in path.rstrip("/").rsplit("/", 1)[-1] and not path.endswith("/"):
         raise ValueError(f"not a text file: {path}")
-    raw = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").option("recursiveFileLookup", "true").load(path)
+    raw = spark.read.format("binaryFile").option("pathGlobFilter", names).option("recursiveFileLookup", "true").load(folders)
     if raw.isEmpty():
         raise FileNotFoundError(f"no .txt files in {path}")
 
@@ -35,6 +60,10 @@ def read_texts(spark: SparkSession, path: str) -> DataFrame:
 
     bank, year, stem = bank_year(F.col("path"))
     d = raw.select(bank.alias("bank"), year.alias("year"), stem.alias("stem"), "path", decode("content").alias("content"))
+    if banks is not None:
+        d = d.where(F.col("bank").isin(*banks))
+    if years is not None:
+        d = d.where(F.col("year").isin(*years))
     return d.select(F.concat_ws("_", "bank", F.col("year").cast("string"), "stem").alias("doc_id"), "bank", "year", "path", "content")
 
 
