@@ -8,7 +8,6 @@ the rules that hold for a sentence.  Every step is one pass over the training ro
 
 from __future__ import annotations
 
-import argparse
 from dataclasses import dataclass
 
 import numpy as np
@@ -186,22 +185,3 @@ def train_and_evaluate(df: DataFrame, label: str, labels: tuple[str, ...], key:
         model.save(df.sparkSession, folder)
         tables.write_csv(scores, f"{folder}/scores.csv", one_file=True)
     return model, scores
-
-
-def main(argv: list[str] | None = None) -> None:
-    p = argparse.ArgumentParser(description=__doc__)
-    p.add_argument("--input", required=True, help="table with text, a key and labels")
-    p.add_argument("--task", choices=("topic", "action"), default="topic")
-    p.add_argument("--label", help="column of labels; by default <task>_label")
-    p.add_argument("--key", default="sent_id")
-    p.add_argument("--text", default="sentence")
-    p.add_argument("--plain", action="store_true", help="without rules in the loss")
-    p.add_argument("--output", default="outputs/model")
-    a = p.parse_args(argv)
-    spark = SparkSession.builder.appName("claim-training").getOrCreate()
-    kb = neuro.knowledge_base(a.task)
-    train_and_evaluate(tables.read_table(spark, a.input), a.label or f"{a.task}_label", kb.labels, a.key, None if a.plain else kb, a.text, a.output)
-
-
-if __name__ == "__main__":
-    main()
