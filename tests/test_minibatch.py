@@ -17,7 +17,7 @@ from veridicta.sources import tables
 NAMES = ("Implemented", "Planning", "Indeterminate")
 OWN = (["did", "done", "built"], ["will", "plan", "aim"], ["maybe", "might", "some"])
 KB = neuro.knowledge_base("action", rules=(Rule("Planning", "p", "", "", ("will",)),), negations=(Rule("Implemented", "n", "", "n", ("maybe",)),))
-HOW = Settings(epochs=3, batch=16, rate=0.1, workers=3)
+HOW = Settings(epochs=3, batch=16, rate=0.1, parts=3)
 
 
 def rows(spark, n=150):
@@ -63,7 +63,7 @@ def in_numpy(d, epochs, how, steps, kinds):
     return w, out
 
 
-def test_steps_are_those_of_a_loop_for_any_number_of_workers(spark):
+def test_steps_are_those_of_a_loop_for_any_number_of_parts(spark):
     df = rows(spark)
     d = minibatch.prepared(df, "k", KB, "text", "label_id", "weight")
     kinds = [(c.kind, NAMES.index(c.target)) for c in KB.rules]
@@ -71,8 +71,8 @@ def test_steps_are_those_of_a_loop_for_any_number_of_workers(spark):
     assert n == 154  # the row without a label is gone
     want, losses = in_numpy(d, HOW.epochs, HOW, -(-n // HOW.batch), kinds)
     none = df.limit(0)  # the last epoch counts
-    for workers in (1, 3):
-        model, history = fit(df, none, NAMES, "k", KB, weight="weight", how=replace(HOW, workers=workers))
+    for parts in (1, 3):
+        model, history = fit(df, none, NAMES, "k", KB, weight="weight", how=replace(HOW, parts=parts))
         assert np.allclose(model.weights, want, atol=1e-9) and [h["loss"] for h in history] == pytest.approx(losses)
         assert not any(h["best"] for h in history)
 

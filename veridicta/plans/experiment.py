@@ -96,7 +96,7 @@ def main(argv: list[str] | None = None) -> None:
     p.add_argument("--epochs", type=int)
     p.add_argument("--batch", type=int)
     p.add_argument("--rate", type=float)
-    p.add_argument("--workers", type=int)
+    p.add_argument("--parts", type=int)
     p.add_argument("--alpha-grid", help="alphas, with commas between")
     p.add_argument("--plain", action="store_true", help="without rules in the loss")
     p.add_argument("--run-experiment", action="store_true", help="without rules and with them, compared")
@@ -105,7 +105,7 @@ def main(argv: list[str] | None = None) -> None:
     p.add_argument("--output", help="by default the settings' output_dir, or outputs/model")
     a = p.parse_args(argv)
     config = tables.runtime_settings(tables.load_settings(a.config), a.task, a.profile) if a.config else {}
-    how = settings_of(config, seed=a.seed, epochs=a.epochs, batch=a.batch, rate=a.rate, workers=a.workers)
+    how = settings_of(config, seed=a.seed, epochs=a.epochs, batch=a.batch, rate=a.rate, parts=a.parts)
     grid = neuro.parse_grid(a.alpha_grid) if a.alpha_grid else tuple(config.get("experiment", {}).get("alpha_grid", GRID))
     rules = not a.plain and config.get("neuro_symbolic", {}).get("enabled", True)
     folder = a.output or config.get("paths", {}).get("output_dir", "outputs/model")

@@ -1,22 +1,19 @@
 """Training by mini-batches with early stopping, the best epoch's weights, and states from which a stopped run goes on.
 
-An epoch is one barrier job.  A hash of the key and the epoch deals the rows into mini-batches, alike in every run and for
-any number of workers; each worker holds a part of every batch, sorted by batch, and reads it as a stream.  For each
-batch the workers exchange sums of gradients, of the features that the batch has only, and take the same step; so what
-they exchange is bounded by the batch and not by the table.  A task that is lost brings the epoch's job to its start
-again, and the same rows come in the same batches.  Barrier jobs need as many free slots as workers, and a cluster
-without dynamic allocation.
+A hash of the key and the epoch deals the rows into mini-batches, alike in every run and for any number of parts.  An
+epoch's rows are cached in parts that are sorted by batch, so the job of a batch reads the blocks that hold it; each
+part gives the sums of gradients of the features that its rows have, and the driver, which holds only the weights, takes
+the step.  What comes to the driver is bounded by the batch, not by the table, and a lost task is that of one batch.
+(Barrier tasks that exchange gradients wait in whole seconds: 1.0 s a batch was measured.)
 """
 
 from __future__ import annotations
 
-import base64
-import pickle
 from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark import BarrierTaskContext
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,6 +24,7 @@ from veridicta.plans.shipping import ship
 from veridicta.plans.training import FEATURES, ROWS, SHARES, LinearModel, dense, features, losses, softmax
 
 STATE = "settings string, epoch int, step long, loss double, macro_f1 double, micro_f1 double, weights binary, first binary, second binary"
+GRADIENT = pa.schema([("part", pa.int32()), ("loss", pa.list_(pa.float64())), ("n", pa.list_(pa.float64())), ("at", pa.list_(pa.int32())), ("grad", pa.binary())])
 
 
 @dataclass(frozen=True)
@@ -40,7 +38,7 @@ class Settings:
     threshold: float = 0.0
     rules_weight: float = 1.0
     seed: int = 42
-    workers: int = 4
+    parts: int = 4  # tasks of a batch
 
 
 @dataclass
@@ -90,31 +88,6 @@ def sums(part: pa.RecordBatch, weights: np.ndarray, kinds: list[tuple[str, int]]
     return loss, n, grad
 
 
-def by_step(batches, steps: int):
-    """For each step in turn the pieces of a stream sorted by step, none where the stream has none."""
-    now, parts = 0, []
-    for b in batches:
-        s, start = b.column("step").to_numpy(), 0
-        while start < len(s):
-            end = int(np.searchsorted(s, s[start], "right"))
-            while now < s[start]:
-                yield parts
-                now, parts = now + 1, []
-            parts.append(b.slice(start, end - start))
-            start = end
-    while now < steps:
-        yield parts
-        now, parts = now + 1, []
-
-
-def _packed(x) -> str:
-    return base64.b64encode(pickle.dumps(x)).decode()
-
-
-def _unpacked(x: str):
-    return pickle.loads(base64.b64decode(x))
-
-
 def prepared(df: DataFrame, key: str, kb: neuro.KnowledgeBase | None, text: str, label: str, weight: str | None) -> DataFrame:
     """(key, features, y, w, truth).  A null text has no features; rows without a label go."""
     d = neuro.truths(df, kb, text) if kb else df.withColumn("truth", F.array().cast("array<double>"))
@@ -128,35 +101,35 @@ def dealt(d: DataFrame, epoch: int, steps: int, seed: int) -> DataFrame:
     return d.withColumn("place", place).withColumn("step", F.pmod(F.xxhash64("place"), F.lit(steps)))
 
 
-def _epoch(d: DataFrame, state: State, epoch: int, steps: int, how: Settings, kinds, names, workers: int) -> tuple[State, float]:
-    share = np.array([SHARES[x] * (1 if x == "cross_entropy" else how.rules_weight) for x in names])
-    shared = d.sparkSession.sparkContext.broadcast(state)  # FEATURES by labels, three times
-
-    def run(batches):
-        context, s = BarrierTaskContext.get(), shared.value
-        s, total = State(s.weights, s.first, s.second, s.step), 0.0
-        for parts in by_step(batches, steps):
-            got = [sums(p, s.weights, kinds, names) for p in parts]
-            loss, n, grad = (sum(g[i] for g in got) for i in range(3)) if got else (np.zeros(len(names)), np.zeros(len(names)), np.zeros((len(names), *s.weights.shape)))
-            at = np.flatnonzero(np.abs(grad).sum((0, 2)))
-            loss_, n_, grad_ = np.zeros(len(names)), np.zeros(len(names)), np.zeros_like(grad)
-            for a, b, i, g in map(_unpacked, context.allGather(_packed((loss, n, at, grad[:, at])))):
-                loss_ += a
-                n_ += b
-                grad_[:, i] += g
-            by = share / np.maximum(n_, 1)
-            total += float(by @ loss_)
-            if n_.any():  # a hash may leave a batch without rows
-                s.move(np.tensordot(by, grad_, 1), how, steps * how.epochs)
-            else:
-                s.step += 1
-        if context.partitionId() == 0:
-            yield pa.RecordBatch.from_pylist([{"step": s.step, "loss": total / steps, "weights": s.weights.tobytes(), "first": s.first.tobytes(), "second": s.second.tobytes()}])
-
-    rows = dealt(d, epoch, steps, how.seed).repartition(workers, "place").sortWithinPartitions("step", "place", "y", "w", "features")
-    r = rows.mapInArrow(run, "step long, loss double, weights binary, first binary, second binary", barrier=True).collect()[0]  # one row
-    shared.destroy()
-    return State(*(np.frombuffer(r[c]).reshape(state.weights.shape) for c in ("weights", "first", "second")), r["step"]), r["loss"]
+def _epoch(d: DataFrame, state: State, epoch: int, steps: int, how: Settings, kinds, names, parts: int) -> tuple[State, float]:
+    share, shape, total = np.array([SHARES[x] * (1 if x == "cross_entropy" else how.rules_weight) for x in names]), state.weights.shape, 0.0
+    rows = dealt(d, epoch, steps, how.seed).repartition(parts, "place").sortWithinPartitions("step", "place", "y", "w", "features").cache()
+    state = replace(state)
+    for step in range(steps):
+        shared = d.sparkSession.sparkContext.broadcast(state.weights)  # FEATURES by labels
+
+        def run(batches, shared=shared):
+            got = [sums(b, shared.value, kinds, names) for b in batches if b.num_rows]
+            if got:
+                loss, n, grad = (sum(g[i] for g in got) for i in range(3))
+                at = np.flatnonzero(np.abs(grad).sum((0, 2)))
+                yield pa.RecordBatch.from_pylist([{"part": TaskContext.get().partitionId(), "loss": loss.tolist(), "n": n.tolist(), "at": at.tolist(), "grad": grad[:, at].tobytes()}], GRADIENT)
+
+        found = rows.where(F.col("step") == step).mapInArrow(run, "part int, loss array<double>, n array<double>, at array<int>, grad binary").collect()  # a row a part
+        shared.destroy()
+        if not found:  # a hash may leave a batch without rows
+            state.step += 1
+            continue
+        loss, n, grad = np.zeros(len(names)), np.zeros(len(names)), np.zeros((len(names), *shape))
+        for r in sorted(found, key=lambda r: r["part"]):
+            loss += r["loss"]
+            n += r["n"]
+            grad[:, r["at"]] += np.frombuffer(r["grad"]).reshape(len(names), len(r["at"]), shape[1])
+        by = share / np.maximum(n, 1)
+        total += float(by @ loss)
+        state.move(np.tensordot(by, grad, 1), how, steps * how.epochs)
+    rows.unpersist()
+    return state, total / steps
 
 
 def _finished(spark: SparkSession, folder: str | None, epochs: int, settings: str) -> list:
@@ -180,7 +153,7 @@ def _state(spark: SparkSession, folder: str, epoch: int, shape: tuple[int, int])
 def fit(df: DataFrame, val: DataFrame, labels: tuple[str, ...], key: str, kb: neuro.KnowledgeBase | None = None, text: str = "text", label: str = "label_id", weight: str | None = None, how: Settings = Settings(), folder: str | None = None) -> tuple[LinearModel, list[dict]]:
     """The model of the epoch with the best macro-F1 on ``val``, and a row for each epoch: epoch, loss, macro_f1,
     micro_f1, best.  With ``folder``, in a file system that all share, each epoch's state stays there, and a run goes on
-    behind the last one; other settings (but for patience and workers) or another number of rows are an error.
+    behind the last one; other settings (but for patience and parts) or another number of rows are an error.
 
     Without rows to learn from the weights stay zero; without rows in ``val`` the last epoch is taken."""
     spark = df.sparkSession
@@ -192,8 +165,7 @@ def fit(df: DataFrame, val: DataFrame, labels: tuple[str, ...], key: str, kb: ne
     names = list(SHARES) if kb else ["cross_entropy"]
     n = d.count()
     steps = max(1, -(-n // how.batch))
-    settings = f"{replace(how, workers=0, patience=None, threshold=0.0)} {n} rows {len(kinds)} rules {','.join(labels)}"
-    workers = max(1, min(how.workers, spark.sparkContext.defaultParallelism))
+    settings = f"{replace(how, parts=0, patience=None, threshold=0.0)} {n} rows {len(kinds)} rules {','.join(labels)}"
     history = [(r["loss"], r["macro_f1"], r["micro_f1"]) for r in _finished(spark, folder, how.epochs, settings)]
     state = _state(spark, folder, len(history) - 1, shape) if history else State(*(np.zeros(shape) for _ in range(3)))
     best, stop = best_epoch([h[1] for h in history], how.patience, how.threshold)
@@ -201,7 +173,7 @@ def fit(df: DataFrame, val: DataFrame, labels: tuple[str, ...], key: str, kb: ne
     for epoch in range(len(history), how.epochs):
         if stop:
             break
-        state, loss = _epoch(d, state, epoch, steps, how, kinds, names, workers)
+        state, loss = _epoch(d, state, epoch, steps, how, kinds, names, how.parts)
         scored = LinearModel(labels, state.weights).logits(seen, text).withColumn("p", neuro.arg_max(F.col("logits")))
         f1 = L.f1_summary(scored, "y", "p").first()
         history.append((loss, f1["macro_f1"], f1["micro_f1"]))
