@@ -52,11 +52,22 @@ def action_evidence(df: DataFrame) -> DataFrame:
     return out.select("action_label", "es_level", F.coalesce("n", F.lit(0)).alias("count"), (F.coalesce("n", F.lit(0)) / F.greatest("total", F.lit(1)) * 100).alias("pct_of_total"), "avg_wrs", "avg_es")
 
 
+ES_STEPS = (0.0, 0.25, 0.5, 0.75, 1.0)
+
+
 def theoretical_risk(spark: SparkSession) -> DataFrame:
-    rows = [(a, e) for a in ACTIONS for e in (0.0, 0.25, 0.5, 0.75, 1.0)]
+    rows = [(a, e) for a in ACTIONS for e in ES_STEPS]
     return spark.createDataFrame(rows, "action_label string, es double").withColumn("wrs", washing_risk(F.col("action_label"), F.col("es")))
 
 
+def theory_and_sentences(df: DataFrame) -> DataFrame:
+    """The formula's risk at each step of evidence strength, beside the number of sentences nearest to the step and their
+    mean risk; steps without sentences have 0 and null."""
+    near = F.round(F.round("es_combined", 9) * (len(ES_STEPS) - 1)) / (len(ES_STEPS) - 1)
+    seen = df.groupBy("action_label", near.alias("es")).agg(F.count("*").alias("n"), F.avg("wrs").alias("avg_wrs"))
+    return theoretical_risk(df.sparkSession).join(F.broadcast(seen), ["action_label", "es"], "left").withColumn("n", F.coalesce("n", F.lit(0)))  # a row a step
+
+
 def topic_summary(df: DataFrame, least: int = 5) -> DataFrame:
     act = lambda a: rate(F.col("action_label") == a) * 100
     got = df.groupBy(F.col("topic_label").alias("topic")).agg(

@@ -106,3 +106,15 @@ def match_actions(df: DataFrame, text: str = "sentence", context: str | None = N
 def provenance(spark: SparkSession, rules=TOPIC_RULES + ACTION_RULES) -> DataFrame:
     rows = [(r.label, r.name, r.source, r.description, len(r.patterns)) for r in rules]
     return spark.createDataFrame(rows, "label string, name string, source string, description string, num_patterns int")
+
+
+def use(df: DataFrame, rules=TOPIC_RULES, text: str = "sentence", context: str | None = "section_title") -> DataFrame:
+    """The provenance of each rule, with in_text, the number of texts that it hits, and in_context, that of texts where
+    only the context does.  One pass; a rule that hits nothing, or an empty frame, has zeros."""
+    p, told = "__use_", []
+    d = hits(df, rules, text, context, p)
+    counts = [F.count_if(F.col(f"{p}{i}") == k).alias(f"{k}_{i}") for i in range(len(rules)) for k in (1, 2)]
+    for i, r in enumerate(rules):
+        known = {"label": r.label, "name": r.name, "source": r.source, "description": r.description, "num_patterns": len(r.patterns)}
+        told.append(F.struct(*(F.lit(v).alias(k) for k, v in known.items()), F.col(f"1_{i}").alias("in_text"), F.col(f"2_{i}").alias("in_context")))
+    return d.agg(*counts).select(F.explode(F.array(*told)).alias("x")).select("x.*")

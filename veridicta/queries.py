@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from veridicta.functions import packs
 from veridicta.functions.expressions import cosine, dbl, has, nfc
 from veridicta.operators import analyses, corpus, entailment, evidence, labels, linking, neuro, quality, report, risk, rules, vectors
-from veridicta.plans import training
+from veridicta.plans import minibatch, training
 from veridicta.plans.lineage import shared_folder
 from veridicta.plans.shipping import ship
 from veridicta.sources import tables
@@ -499,9 +499,19 @@ def d5(spark, sf):
     return actions(spark, sf).select("sent_id", "action_label", "action_confidence", "action_rules")
 
 
-@query("d7_provenance", "SELECT * FROM (VALUES " + ", ".join(f"({_q(r.label)}, {_q(r.name)}, {_q(r.source)}, {_q(r.description)}, {len(r.patterns)})" for r in packs.TOPIC_RULES + packs.ACTION_RULES) + ") x(label, name, source, description, num_patterns)")
+def _use_sql(pack, hits: str, context: bool) -> str:
+    told = "CAST(coalesce(sum(CASE h{i} WHEN {k} THEN 1 END), 0) AS BIGINT)"
+    return " UNION ALL ".join(
+        f"SELECT {_q(r.label)} AS label, {_q(r.name)} AS name, {_q(r.source)} AS source, {_q(r.description)} AS description, {len(r.patterns)} AS num_patterns, {told.format(i=i, k=1)} AS in_text, {told.format(i=i, k=2) if context else 'CAST(0 AS BIGINT)'} AS in_context FROM {hits}"
+        for i, r in enumerate(pack)
+    )
+
+
+@query("d7_provenance", ACTION + " " + _use_sql(_T, "th", True) + " UNION ALL " + _use_sql(_A, "ah", False))
 def d7(spark, sf):
-    return rules.provenance(spark)
+    """Where each rule comes from, and how many sentences it hits."""
+    s = sentences(spark, sf)
+    return rules.use(s, _T).unionByName(rules.use(s, _A, context=None))
 
 
 # Sentences of the real packs' own words, with what they must come out as: topic, its confidence and rules, action, its
@@ -847,6 +857,16 @@ def f22(spark, sf):
     return labels.f1_summary(out.withColumn("p", F.col("prediction").cast("int")), "label_id", "p")
 
 
+@query("f22_early_stopping")
+def f22_early(spark, sf):
+    """Languages told from all texts by mini-batches: a row for each epoch until it stops."""
+    names = ("en", "de", "fr", "es")
+    d = labels.encode(table(spark, sf, "documents").select("doc_id", "text", "lang"), "lang", names)
+    d = labels.stratified_split(d, "lang", "doc_id")
+    history = minibatch.fit(d.where("split = 'train'"), d.where("split = 'val'"), names, "doc_id", how=minibatch.Settings(batch=1024))[1]
+    return spark.createDataFrame([tuple(h.values()) for h in history], "epoch int, loss double, macro_f1 double, micro_f1 double, best boolean")  # a row an epoch
+
+
 @query("f23_split_scores")
 def f23(spark, sf):
     """A model fitted with rules in its loss, saved, loaded, and scored on every split, alone and with the rules."""
@@ -1132,11 +1152,12 @@ def k2(spark, sf):
 
 @query(
     "k3_theoretical",
-    """SELECT a AS action_label, e AS es, round(p * (1 - l * e), 6) AS wrs FROM (VALUES ('Implemented', CAST(0.08 AS DOUBLE), CAST(0.8 AS DOUBLE)), ('Planning', CAST(0.3 AS DOUBLE), CAST(0.65 AS DOUBLE)), ('Indeterminate', CAST(0.55 AS DOUBLE), CAST(0.5 AS DOUBLE))) x(a, p, l),
-  (SELECT unnest([CAST(0 AS DOUBLE), 0.25, 0.5, 0.75, 1.0]) AS e)""",
+    SCORED + """, th3 AS (SELECT a AS action_label, e AS es, p * (1 - l * e) AS wrs FROM (VALUES ('Implemented', CAST(0.08 AS DOUBLE), CAST(0.8 AS DOUBLE)), ('Planning', CAST(0.3 AS DOUBLE), CAST(0.65 AS DOUBLE)), ('Indeterminate', CAST(0.55 AS DOUBLE), CAST(0.5 AS DOUBLE))) x(a, p, l),
+  (SELECT unnest([CAST(0 AS DOUBLE), 0.25, 0.5, 0.75, 1.0]) AS e)), seen AS (SELECT action_label, round(round(es_combined, 9) * 4) / 4 AS es, count(*) AS n, avg(wrs) AS w FROM scored GROUP BY ALL)
+  SELECT action_label, es, round(th3.wrs, 6) AS wrs, coalesce(n, 0) AS n, round(w, 6) AS avg_wrs FROM th3 LEFT JOIN seen USING (action_label, es)""",
 )
 def k3(spark, sf):
-    return analyses.theoretical_risk(spark)
+    return analyses.theory_and_sentences(scored(spark, sf))
 
 
 @query(
