@@ -8,7 +8,7 @@ import pytest
 from veridicta import queries
 
 SF = "/root/testdata/sf0.001"
-FAST = ["a4_scan", "b2_normalize", "b9_block_types", "b13_sections", "b14_context", "c7_class_balance", "d4_topics", "d5_actions", "e7_reconcile", "e9_kappa", "f8_fusion", "f12_semantic_loss", "f17_class_weights", "g5_kpi_values", "g6_evidence", "h5_tfidf_candidates", "h12_link_window", "j5_sentence_risk", "j11_bank_years", "k9_spearman", "k12_formulas"]
+FAST = ["a4_scan", "b2_normalize", "b9_block_types", "b13_sections", "b14_context", "c7_class_balance", "d4_topics", "d5_actions", "d7_provenance", "e7_reconcile", "e9_kappa", "f8_fusion", "f12_semantic_loss", "f17_class_weights", "g5_kpi_values", "g6_evidence", "h5_tfidf_candidates", "h12_link_window", "j5_sentence_risk", "j11_bank_years", "k3_theoretical", "k9_spearman", "k12_formulas"]
 
 
 def norm(v):

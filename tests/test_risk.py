@@ -84,3 +84,12 @@ def test_linking_by_hand(spark):
     assert got["a", 0]["best_evidence_pos"] == 1 and got["a", 0]["search_method"] == "window" and got["a", 0]["nli_entailment_score"] == 0.5
     assert got["a", 3]["num_evidence"] == 0 and got["a", 3]["similarity_score"] == 0 and got["a", 3]["nli_entailment_score"] == 0
     assert got["b", 9]["search_method"] == "none"
+
+
+def test_theory_beside_sentences(spark):
+    df = spark.createDataFrame([("Planning", 0.3, 0.2), ("Planning", 0.2, 0.4), ("Planning", 1.0, 0.1), ("Indeterminate", None, None), (None, 0.5, 0.5)], "action_label string, es_combined double, wrs double")
+    got = {(r["action_label"], r["es"]): r for r in analyses.theory_and_sentences(df).collect()}
+    assert len(got) == 15 and sum(r["n"] for r in got.values()) == 3
+    near = got["Planning", 0.25]
+    assert near["n"] == 2 and abs(near["avg_wrs"] - 0.3) < 1e-12 and abs(near["wrs"] - 0.3 * (1 - 0.65 * 0.25)) < 1e-12
+    assert got["Planning", 1.0]["n"] == 1 and got["Indeterminate", 0.0]["avg_wrs"] is None

@@ -71,3 +71,13 @@ def test_fusion_and_losses(spark):
     assert abs(sum(a["rule_probs"]) - 1) < 1e-12
     d = neuro.truths(df, kb).withColumn("probs", F.array(F.lit(1.0), F.lit(0.0), F.lit(0.0)))
     assert neuro.semantic_loss(d, kb).first()["exactly_one"] < 1e-5
+
+
+def test_provenance_and_use(spark):
+    told = {r["name"]: r for r in rules.provenance(spark).collect()}
+    assert len(told) == 27 and all(told[r.name]["source"] == r.source and told[r.name]["num_patterns"] == len(r.patterns) for r in TOPIC_RULES + ACTION_RULES)
+    df = spark.createDataFrame([(s[0], "") for s in SENTENCES] + [("x", "phát thải"), ("", ""), (None, None), (SENTENCES[0][0], None)], "sentence string, section_title string")
+    used = {r["name"]: (r["in_text"], r["in_context"]) for r in rules.use(df).collect()}
+    assert len(used) == len(TOPIC_RULES) and used["GRI305_Emissions"] == (4, 1) and used["GRI404_Training"][1] == 0
+    none = rules.use(df.limit(0), ACTION_RULES, context=None).collect()
+    assert len(none) == len(ACTION_RULES) and all((r["in_text"], r["in_context"]) == (0, 0) for r in none)

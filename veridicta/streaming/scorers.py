@@ -142,12 +142,20 @@ def _has(spark, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
-def label_stream(stream: DataFrame, label: Callable[[DataFrame], DataFrame], path: str, checkpoint: str):
-    """The same over a stream of sentences: each micro-batch is labelled and appended; replays are left out."""
-
-    def step(part: DataFrame, _: int) -> None:
-        done = _done(part.sparkSession, path)
-        part = wants_label(part if done is None else not_yet(part, done))
-        label(part).write.mode("append").parquet(path)
-
-    return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def label_stream(stream: DataFrame, label: Callable[[DataFrame], DataFrame], path: str, checkpoint: str, known: DataFrame | None = None, within: tuple[str, str] | None = None):
+    """The same over a stream of sentences; each sent_id is labelled once.
+
+    Which ids have come before is kept in the state store, by partitions of sent_id, so a micro-batch looks up its own ids
+    and reads nothing that was written.  ``within``, (a column of times, how late), lets the state forget ids older than
+    that.  A micro-batch has its own folder, ``path``/batch=<number>, that a replay writes anew: nothing is there twice.
+    ``known``: ids with labels from elsewhere, such as ``label_batches`` wrote, which are left out.  Rows without an id count
+    as one."""
+    todo = wants_label(stream)
+    if known is not None:
+        todo = not_yet(todo, known)
+    todo = todo.withWatermark(*within).dropDuplicatesWithinWatermark(["sent_id"]) if within else todo.dropDuplicates(["sent_id"])
+
+    def step(part: DataFrame, batch: int) -> None:
+        label(part).write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch={batch}")
+
+    return todo.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
