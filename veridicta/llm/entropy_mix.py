@@ -81,7 +81,8 @@ def mix(documents: DataFrame, weights=WEIGHTS, cap: float = CAP, columns: tuple[
     return _mixed(d, weights, cap, [*names.values()]).select(*(F.col(n).alias(c) for c, n in names.items()), *_ADDED)
 
 
-def _mixed(documents: DataFrame, weights, cap: float, names: list[str]) -> DataFrame:
+def _mixed(documents: DataFrame, weights, cap: float, names: list[str], plan_of=None) -> DataFrame:
+    """``plan_of``: (source, source_size) -> also weight, target, in place of ``targets``."""
     digest = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
     whole = documents.withColumn("size", words_in()).withColumn("__digest", digest)
     rows = cut(whole.select(*dict.fromkeys(["doc_id", "source", "size", "__digest", *(names if "text" not in names else ())])))
@@ -91,7 +92,8 @@ def _mixed(documents: DataFrame, weights, cap: float, names: list[str]) -> DataF
     d = sized if "text" not in names else whole.select(*names, "size", "__digest").withColumn("__bucket", bucket)
 
     cells = sized.groupBy("source", "__bucket").agg(F.sum("size").alias("size"))
-    plan = targets(cells.groupBy("source").agg(F.sum("size").alias("source_size")), weights, cap)
+    sources = cells.groupBy("source").agg(F.sum("size").alias("source_size"))
+    plan = plan_of(sources) if plan_of else targets(sources, weights, cap)
     plan = plan.withColumn("rate", newton_rate(F.col("source_size"), F.col("target")))
     plan = plan.withColumn("__base", F.floor(F.col("rate") + 1e-9)).withColumn("__share", F.greatest(F.round(F.col("rate") - F.col("__base"), 9), F.lit(0.0)))
     plan = plan.withColumn("__large", F.col("source_size") * LARGE).drop("weight")
