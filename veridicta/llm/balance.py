@@ -26,7 +26,8 @@ from veridicta.llm.common import cut, unused
 from veridicta.llm.entropy_mix import CAP, _mixed, words_in
 
 VALUES = 1000  # constrained values of all columns
-STEPS, HALVES, CLOSE = 100, 20, 1e-9
+STEPS, HALVES, CLOSE = 100, 20, 1e-9  # of all words
+STUCK = 8  # steps that bring nothing nearer
 FLAT = 0.1  # of the curvature is left behind the cap, where the dual is linear, so that a step beyond it is taken back
 _ADDED = ("size", "rate", "copies", "taken")
 
@@ -52,7 +53,7 @@ def _sum(numbers, x: np.ndarray) -> Column:
 
 
 def multipliers(cells: DataFrame, wants: dict[str, dict], cap: float = CAP) -> np.ndarray:
-    """The dual's solution for cells of (the columns of ``wants``, size), in the order of ``wants``."""
+    """The dual's solution, in the order of ``wants``, for cells of (k0, k1, ..., size): the columns of ``wants`` in turn."""
     told = [(c, v, float(s)) for c, shares in wants.items() for v, s in shares.items()]
     if not 0 < len(told) <= VALUES:
         raise ValueError(f"{len(told)} constrained values; 1 to {VALUES} can be")
@@ -61,7 +62,8 @@ def multipliers(cells: DataFrame, wants: dict[str, dict], cap: float = CAP) -> n
     x = np.zeros(len(told))
     if not total:
         return x
-    numbers = _numbers(wants, lambda c: F.col(f"`{c}`"))
+    place = {c: f"k{i}" for i, c in enumerate(wants)}
+    numbers = _numbers(wants, lambda c: F.col(place[c]))
     names = [f"n{i}" for i in range(len(wants))]
     d = cut(cells.where("size > 0").select(*(n.alias(k) for k, n in zip(names, numbers.values(), strict=True)), (F.col("size") / F.lit(float(total))).alias("part")))
     cols = [F.col(n) for n in names]
@@ -72,6 +74,7 @@ def multipliers(cells: DataFrame, wants: dict[str, dict], cap: float = CAP) -> n
         if s <= 0:
             raise ValueError(f"{c} {v!r}: a share must be above 0; leave its rows out instead")
     pairs = F.explode(F.array(*(F.struct(a.alias("i"), b.alias("j")) for a in cols for b in cols)))
+    gaps: list[float] = []
     for _ in range(STEPS):
         l = _sum(cols, x)
         rate = F.exp(F.least(l, F.lit(top)))
@@ -85,6 +88,9 @@ def multipliers(cells: DataFrame, wants: dict[str, dict], cap: float = CAP) -> n
         gap = np.abs(gradient).max()
         if gap <= CLOSE:
             return x
+        gaps.append(gap)
+        if len(gaps) > STUCK and min(gaps[-STUCK:]) > 0.9 * min(gaps[:-STUCK]):
+            break
         move = -np.linalg.lstsq(curvature + 1e-12 * np.eye(len(x)), gradient, rcond=1e-10)[0]  # shares of two columns that both sum to 1 depend on each other
         halves = [0.5**k for k in range(HALVES)]
         values = []
@@ -111,7 +117,7 @@ def balance(documents: DataFrame, wants: dict[str, dict], cap: float = CAP) -> D
     cell = F.struct(*(F.col(f"`{c}`").alias(k) for c, k in keys.items()))
     d = documents.select(*(F.col(f"`{c}`").alias(n) for c, n in mine.items() if c not in ("doc_id", "text")), "doc_id", "text", cell.alias("source"))
     cells = documents.select(*(F.col(f"`{c}`").alias(k) for c, k in keys.items()), words_in().alias("size")).groupBy(*keys.values()).agg(F.sum("size").alias("size"))
-    x = multipliers(cells, {keys[c]: shares for c, shares in wants.items()}, cap)
+    x = multipliers(cells, wants, cap)
     numbers = _numbers(wants, lambda c: F.col("source")[keys[c]])
     rate = F.exp(F.least(_sum(numbers.values(), x), F.lit(math.log(cap))))
 
