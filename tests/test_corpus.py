@@ -162,3 +162,28 @@ def test_crowded_grams_are_compared_in_blocks(spark, monkeypatch):
         monkeypatch.setattr(duplicates, "BLOCK", block)
         got = {r["i"]: r["_is_duplicate"] for r in quality.pairwise_duplicates(df, "i").collect()}
         assert [got[i] for i in range(len(texts))] == want
+
+
+def test_exploded_sentences_hold_no_copy_of_their_text(spark):
+    """Each row has its neighbours; none has the array that it comes from, which would be quadratic in long texts."""
+    import re
+
+    from veridicta.queries import sentences
+
+    blocks = spark.createDataFrame([("d", "a", 2020, "s", "b", "paragraph", "One sentence is here. Another one is here. The third one is here.", 0, "T")], "doc_id string, bank string, year int, section_id string, block_id string, block_type string, block_text string, order_in_doc int, section_title string")
+    built = corpus.build_sentences(blocks)
+    assert [(r["sent_idx_in_block"], r["ctx_prev"], r["sentence"], r["ctx_next"]) for r in built.orderBy("sent_idx_in_block").collect()] == [
+        (0, "", "One sentence is here.", "Another one is here."), (1, "One sentence is here.", "Another one is here.", "The third one is here."), (2, "Another one is here.", "The third one is here.", ""),
+    ]
+    for d in (built, sentences(spark, "/root/testdata/sf0.001")):
+        kept = re.findall(r"(?s)Generate posexplode\(.*?\), \[([^\]]*)\], false, \[", d._jdf.queryExecution().executedPlan().toString())
+        assert kept and not any(re.search(r"__all|__p#|text#|block_text#", k) for k in kept)
+
+
+def test_strip_is_unicode_white_space(spark):
+    from pyspark.sql import functions as F
+
+    from veridicta.functions.expressions import strip
+
+    d = spark.createDataFrame([(chr(c) + "a" + chr(c) + "b\n" + chr(c),) for c in [*range(0x3100), 0xFEFF]] + [("",), (" ",), (None,)], "t string")
+    assert d.where(~strip(F.col("t")).eqNullSafe(F.regexp_replace("t", r"(?U)^\s+|\s+$", ""))).count() == 0
