@@ -59,3 +59,40 @@ def test_labeling_job(spark, tmp_path):
     assert labeling.label_table(df, path, labeler, batch=2) == 3 and labeling.label_table(df, path, labeler) == 0
     got = {r["sent_id"]: r["llm_label"] for r in spark.read.parquet(path).collect()}
     assert got == {f"s{i}": "Non_ESG" if i == 3 else "E" for i in range(5)}
+
+
+def test_rows_hold_only_what_is_not_zero():
+    """Products against a whole matrix; no rows times features are made."""
+    import numpy as np
+    import pyarrow as pa
+
+    from veridicta.plans.training import FEATURES, Rows
+
+    rng = np.random.default_rng(0)
+    rows = [[], [3, 3, 3], [FEATURES - 1], *(rng.integers(0, FEATURES, n).tolist() for n in range(30))]
+    whole = np.zeros((len(rows), FEATURES + 1))
+    for i, r in enumerate(rows):
+        np.add.at(whole[i], r, 1)
+        whole[i] /= max(1, np.sqrt((whole[i] ** 2).sum()))
+    whole[:, -1] = 1
+    x, right, left = Rows(pa.array(rows, pa.list_(pa.int32()))), rng.normal(size=(FEATURES + 1, 3)), rng.normal(size=(len(rows), 3))
+    assert np.allclose(x.times(right), whole @ right) and np.allclose(x.transposed_times(left), whole.T @ left)
+    assert len(x.value) <= sum(map(len, rows))
+
+
+def test_split_orders_no_label_in_one_task(spark):
+    """The cuts of one order of each label, null too, with windows over parts of a label only."""
+    from hashlib import md5
+
+    from veridicta.operators import labels
+
+    rows = [(k, ["a", "b", None][k % 7 % 3]) for k in range(2000)] + [(None, "a")]
+    d = labels.stratified_split(spark.createDataFrame(rows, "k int, y string"), "y", "k")
+    assert d.columns == ["k", "y", "split"]
+    expected = set()
+    for y in ("a", "b", None):
+        mine = sorted((k for k, z in rows if z == y), key=lambda k: (md5(("42" if k is None else f"42:{k}").encode()).hexdigest(), k is not None, k))
+        expected |= {(k, y, "train" if i <= round(len(mine) * 0.8) else "val" if i <= round(len(mine) * 0.9) else "test") for i, k in enumerate(mine, 1)}
+    assert {tuple(r) for r in d.collect()} == expected
+    windows = [x for x in d._jdf.queryExecution().executedPlan().toString().splitlines() if "row_number(" in x and "Window" in x]
+    assert windows and all("__part" in x for x in windows)

@@ -21,7 +21,7 @@ from veridicta.functions.expressions import dbl
 from veridicta.operators import labels as L
 from veridicta.operators import neuro
 from veridicta.plans.shipping import ship
-from veridicta.plans.training import FEATURES, ROWS, SHARES, LinearModel, dense, features, losses, softmax
+from veridicta.plans.training import FEATURES, ROWS, SHARES, LinearModel, Rows, features, losses, softmax
 
 STATE = "settings string, epoch int, step long, loss double, macro_f1 double, micro_f1 double, weights binary, first binary, second binary"
 GRADIENT = pa.schema([("part", pa.int32()), ("loss", pa.list_(pa.float64())), ("n", pa.list_(pa.float64())), ("at", pa.list_(pa.int32())), ("grad", pa.binary())])
@@ -78,13 +78,13 @@ def sums(part: pa.RecordBatch, weights: np.ndarray, kinds: list[tuple[str, int]]
     loss, n, grad = np.zeros(len(names)), np.zeros(len(names)), np.zeros((len(names), *weights.shape))
     for at in range(0, part.num_rows, ROWS):
         p = part.slice(at, ROWS)
-        x = dense(p.column("features"))
+        x = Rows(p.column("features"))
         truth = p.column("truth").flatten().to_numpy(zero_copy_only=False).reshape(len(x), -1)
-        got = losses(softmax(x @ weights), p.column("y").to_numpy(), p.column("w").to_numpy(), truth, kinds)
+        got = losses(softmax(x.times(weights)), p.column("y").to_numpy(), p.column("w").to_numpy(), truth, kinds)
         for i, name in enumerate(names):
             loss[i] += got[name][0]
             n[i] += got[name][1]
-            grad[i] += x.T @ got[name][2]
+            grad[i] += x.transposed_times(got[name][2])
     return loss, n, grad
 
 

@@ -22,7 +22,7 @@ from veridicta.operators import neuro
 from veridicta.plans.shipping import ship
 from veridicta.sources import tables
 
-FEATURES, STEPS, RATE, SUMS, ROWS = 1 << 12, 40, 0.15, 8, 256
+FEATURES, STEPS, RATE, SUMS, ROWS = 1 << 12, 40, 0.15, 8, 4096
 EPS = 1e-7
 
 
@@ -32,16 +32,31 @@ def features(df: DataFrame, text: str = "text") -> DataFrame:
     return df.withColumn("features", F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(FEATURES)).cast("int")))
 
 
-def dense(column) -> np.ndarray:
-    """Rows of word counts of length 1, and a 1 for the constant."""
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    n = pa.compute.list_value_length(column).to_numpy(zero_copy_only=False)
-    x = np.zeros((len(n), FEATURES + 1))
-    np.add.at(x, (np.repeat(np.arange(len(n)), n), column.flatten().to_numpy(zero_copy_only=False)), 1)
-    x /= np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1)
-    x[:, -1] = 1
-    return x
+class Rows:
+    """Rows of word counts of length 1, and a 1 for the constant, of which only what isn't zero is held: work goes with the
+    words, not with rows times ``FEATURES``."""
+
+    def __init__(self, column):
+        if isinstance(column, pa.ChunkedArray):
+            column = column.combine_chunks()
+        n = pa.compute.fill_null(pa.compute.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        self.size = len(n)
+        cell = np.repeat(np.arange(self.size), n) * (FEATURES + 1) + column.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        cell, count = np.unique(cell, return_counts=True)
+        self.row, self.feature = cell // (FEATURES + 1), cell % (FEATURES + 1)
+        self.value = count / np.maximum(np.sqrt(np.bincount(self.row, count * count, self.size)), 1)[self.row]
+
+    def __len__(self) -> int:
+        return self.size
+
+    def times(self, weights: np.ndarray) -> np.ndarray:
+        each = lambda c: np.bincount(self.row, self.value * weights[self.feature, c], self.size) + weights[-1, c]
+        return np.stack([each(c) for c in range(weights.shape[1])], 1)
+
+    def transposed_times(self, right: np.ndarray) -> np.ndarray:
+        out = np.stack([np.bincount(self.feature, self.value * right[self.row, c], FEATURES + 1) for c in range(right.shape[1])], 1)
+        out[-1] += right.sum(0)
+        return out
 
 
 def softmax(x: np.ndarray) -> np.ndarray:
@@ -96,7 +111,7 @@ class LinearModel:
             for b in batches:
                 for at in range(0, b.num_rows, ROWS):
                     part = b.slice(at, ROWS)
-                    x = dense(part.column(len(names))) @ shared.value
+                    x = Rows(part.column(len(names))).times(shared.value)
                     rows = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel()))
                     yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], rows], [*names, "logits"])
 
@@ -139,12 +154,12 @@ def train(df: DataFrame, labels: tuple[str, ...], kb: neuro.KnowledgeBase | None
             for b in batches:
                 for at in range(0, b.num_rows, ROWS):
                     part = b.slice(at, ROWS)
-                    x = dense(part.column(0))
+                    x = Rows(part.column(0))
                     truth = part.column(3).flatten().to_numpy(zero_copy_only=False).reshape(len(x), -1)
-                    got = losses(softmax(x @ shared.value), part.column(1).to_numpy(), part.column(2).to_numpy(), truth, kinds)
+                    got = losses(softmax(x.times(shared.value)), part.column(1).to_numpy(), part.column(2).to_numpy(), truth, kinds)
                     for i, name in enumerate(names):
                         n[i] += got[name][1]
-                        grad[i] += x.T @ got[name][2]
+                        grad[i] += x.transposed_times(got[name][2])
             yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % SUMS], pa.int32()), pa.array([n.tolist()], pa.list_(pa.float64())), pa.array([grad.tobytes()], pa.binary())], ["g", "n", "grad"])
 
         sums = d.mapInArrow(run, "g int, n array<double>, grad binary").groupBy("g").applyInArrow(add, "n array<double>, grad binary").collect()  # SUMS rows
