@@ -116,3 +116,17 @@ def test_fit_with_two_labels(spark, model):
     pairs = [(s, s, "entailment") for s in (sentence(rng, TOPICS[0]) for _ in range(40))] + [(sentence(rng, TOPICS[1]), sentence(rng, TOPICS[2]), "neutral") for _ in range(40)] + [("a", "b", "other")]
     got = entailment.fit(spark.createDataFrame(pairs, "evidence_text string, claim_text string, label string"), model).scorer()(spark.createDataFrame(pairs[:1], "evidence_text string, claim_text string, label string")).first()
     assert got["nli_label"] == "entailment" and got["contradiction"] < 1e-6
+
+
+def test_sums_are_as_many_as_tasks_however_many_parts(spark):
+    """What a pass exchanges doesn't grow with the input."""
+    import pyarrow as pa
+
+    from veridicta.operators import vectors
+
+    def run(batches):
+        n = sum(b.num_rows for b in batches)
+        yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([n.to_bytes(8, "little")], pa.binary())], ["g", "sums"])
+
+    rows = vectors._partial(spark.range(1000).repartition(60), run).collect()
+    assert len(rows) <= vectors.TASKS and sum(int.from_bytes(r["sums"], "little") for r in rows) == 1000
