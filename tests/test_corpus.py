@@ -187,3 +187,17 @@ def test_strip_is_unicode_white_space(spark):
 
     d = spark.createDataFrame([(chr(c) + "a" + chr(c) + "b\n" + chr(c),) for c in [*range(0x3100), 0xFEFF]] + [("",), (" ",), (None,)], "t string")
     assert d.where(~strip(F.col("t")).eqNullSafe(F.regexp_replace("t", r"(?U)^\s+|\s+$", ""))).count() == 0
+
+
+def test_window_candidates_are_all_pairs_in_the_window(spark):
+    """Gaps, repeated and negative positions, and two documents; sentences are exchanged about twice, not for each offset."""
+    from veridicta.operators import linking
+
+    rows = [(b, 2020, p) for b, ps in (("a", [-21, -20, -3, 0, 1, 1, 4, 19, 20, 25, 26, 2**40, 2**40 + 5]), ("b", [0, 5, 6]), (None, [1, 2])) for p in ps]
+    d = spark.createDataFrame(rows, "bank string, year int, sent_pos long")
+    got = sorted(tuple(r) for r in linking.window_candidates(d).collect())
+    expected = sorted((a, 2020, p, q, 1.0 - abs(p - q) / 6.0 * 0.3) for a, _, p in rows for b, _, q in rows if a == b and a and 0 < abs(p - q) <= 5)
+    assert got == expected
+    right = spark.createDataFrame([("a", 2020, p) for p in range(2000)], d.schema)
+    plan = linking.window_candidates(right)._jdf.queryExecution().optimizedPlan().toString()
+    assert "array(-5" not in plan and "[-5,-4" not in plan
