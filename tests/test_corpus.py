@@ -201,3 +201,13 @@ def test_window_candidates_are_all_pairs_in_the_window(spark):
     right = spark.createDataFrame([("a", 2020, p) for p in range(2000)], d.schema)
     plan = linking.window_candidates(right)._jdf.queryExecution().optimizedPlan().toString()
     assert "array(-5" not in plan and "[-5,-4" not in plan
+
+
+def test_positions_exchange_rows_once(spark):
+    """The window and the join that follows it share one key; equal ids in several banks, and null ones, keep their places."""
+    rows = [(b, 2020, d, f"t{k}") for b in ("a", "b", None) for d in (None, 1, 2) for k in range(3)]
+    d = spark.createDataFrame(rows, "bank string, year int, doc int, t string")
+    got = corpus.with_position(d, "doc", "t", by=("bank", "year"))
+    plan = got._jdf.queryExecution().executedPlan().toString().splitlines()
+    assert len([x for x in plan if x.lstrip().startswith(":") and "hashpartitioning" in x]) == 1  # the join's left side
+    assert sorted((str(r["bank"]), r["sent_pos"], r["doc"] or 0, r["t"]) for r in got.collect()) == sorted((str(b), 3 * (x or 0) + int(t[1]), x or 0, t) for b, _, x, t in rows)
