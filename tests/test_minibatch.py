@@ -77,6 +77,37 @@ def test_steps_are_those_of_a_loop_for_any_number_of_parts(spark):
         assert not any(h["best"] for h in history)
 
 
+def test_small_batches_send_the_driver_a_state_a_run(spark, monkeypatch):
+    """As many steps as there are rows, in runs of 64: three states come back, not 154 gradients."""
+    df, sent = rows(spark), []
+    d = minibatch.prepared(df, "k", KB, "text", "label_id", "weight")
+    kinds = [(c.kind, NAMES.index(c.target)) for c in KB.rules]
+    how, collect = replace(HOW, epochs=1, batch=1), type(d).collect
+
+    def counted(self):
+        out = collect(self)
+        sent.append(sum(len(x) for r in out for x in r if isinstance(x, bytes | bytearray)))
+        return out
+
+    want, losses = in_numpy(d, 1, how, 154, kinds)
+    monkeypatch.setattr(minibatch, "RUN", 64)
+    monkeypatch.setattr(type(d), "collect", counted)
+    model, history = fit(df, df.limit(0), NAMES, "k", KB, weight="weight", how=how)
+    assert np.allclose(model.weights, want, atol=1e-9) and history[0]["loss"] == pytest.approx(losses[0])
+    assert sum(sent) == 3 * 3 * model.weights.nbytes
+
+
+def test_large_batches_go_by_parts(spark, monkeypatch):
+    df = rows(spark)
+    d = minibatch.prepared(df, "k", KB, "text", "label_id", "weight")
+    kinds = [(c.kind, NAMES.index(c.target)) for c in KB.rules]
+    monkeypatch.setattr(minibatch, "RUN", 1)
+    want, losses = in_numpy(d, HOW.epochs, HOW, -(-154 // HOW.batch), kinds)
+    for parts in (1, 3):
+        model, history = fit(df, df.limit(0), NAMES, "k", KB, weight="weight", how=replace(HOW, parts=parts))
+        assert np.allclose(model.weights, want, atol=1e-9) and [h["loss"] for h in history] == pytest.approx(losses)
+
+
 def test_a_stopped_run_goes_on_alike(spark, tmp_path, monkeypatch):
     df, how = rows(spark), replace(HOW, patience=None)
     whole, history = fit(df, df, NAMES, "k", KB, how=how)

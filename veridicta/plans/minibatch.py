@@ -1,15 +1,18 @@
 """Training by mini-batches with early stopping, the best epoch's weights, and states from which a stopped run goes on.
 
 A hash of the key and the epoch deals the rows into mini-batches, alike in every run and for any number of parts.  An
-epoch's rows are cached in parts that are sorted by batch, so the job of a batch reads the blocks that hold it; each
-part gives the sums of gradients of the features that its rows have, and the driver, which holds only the weights, takes
-the step.  What comes to the driver is bounded by the batch, not by the table, and a lost task is that of one batch.
+epoch's rows are cached, sorted by batch.  Batches of under ``RUN`` rows are taken in runs of that size: a task gets the
+state, takes the steps of one run's batches, which follow each other anyway, and hands the state back; it reads no other
+rows and holds one batch.  A larger batch is a job by itself: each part gives the sums of gradients of the features that
+its rows have, and the driver, which holds only the weights, takes the step.  Either way the driver is sent a few bytes
+for each row, and a lost task is that of one run or one batch.
 (Barrier tasks that exchange gradients wait in whole seconds: 1.0 s a batch was measured.)
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +27,9 @@ from veridicta.plans.shipping import ship
 from veridicta.plans.training import FEATURES, ROWS, SHARES, LinearModel, Rows, features, losses, softmax
 
 STATE = "settings string, epoch int, step long, loss double, macro_f1 double, micro_f1 double, weights binary, first binary, second binary"
+RUN = 1 << 16  # rows of the batches that one task takes steps of
+SPREAD = 64  # partitions of an epoch's runs
+MOVED = pa.schema([("loss", pa.float64()), ("weights", pa.binary()), ("first", pa.binary()), ("second", pa.binary())])
 GRADIENT = pa.schema([("part", pa.int32()), ("loss", pa.list_(pa.float64())), ("n", pa.list_(pa.float64())), ("at", pa.list_(pa.int32())), ("grad", pa.binary())])
 
 
@@ -38,7 +44,7 @@ class Settings:
     threshold: float = 0.0
     rules_weight: float = 1.0
     seed: int = 42
-    parts: int = 4  # tasks of a batch
+    parts: int = 4  # tasks of a batch of ``RUN`` rows or more
 
 
 @dataclass
@@ -101,7 +107,50 @@ def dealt(d: DataFrame, epoch: int, steps: int, seed: int) -> DataFrame:
     return d.withColumn("place", place).withColumn("step", F.pmod(F.xxhash64("place"), F.lit(steps)))
 
 
+def _by_step(batches):
+    """(step, the rows of it in this batch), in order."""
+    for b in batches:
+        step = b.column("step").to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(step)) + 1).tolist(), len(step)]
+        for i, j in zip(cuts, cuts[1:], strict=False):
+            if i < j:
+                yield int(step[i]), b.slice(i, j - i)
+
+
+def _epoch_by_runs(d: DataFrame, state: State, epoch: int, steps: int, how: Settings, kinds, names, by_run: int) -> tuple[State, float]:
+    """The steps of an epoch, ``by_run`` a task, one task after the other."""
+    share, total, before = np.array([SHARES[x] * (1 if x == "cross_entropy" else how.rules_weight) for x in names]), 0.0, state.step
+    runs = -(-steps // by_run)
+    rows = dealt(d, epoch, steps, how.seed).withColumn("run", F.floor(F.col("step") / by_run))
+    rows = rows.repartition(min(runs, SPREAD), "run").sortWithinPartitions("step", "place", "y", "w", "features").cache()
+    for k in range(runs):
+        shared = d.sparkSession.sparkContext.broadcast(state)  # three times FEATURES by labels
+
+        def run(batches, shared=shared):
+            now, loss = replace(shared.value), 0.0
+            for step, parts in groupby(_by_step(batches), lambda x: x[0]):
+                got = [sums(b, now.weights, kinds, names) for _, b in parts]
+                of, n, grad = (sum(g[i] for g in got) for i in range(3))
+                by = share / np.maximum(n, 1)
+                loss += float(by @ of)
+                now.step = before + step  # a hash may leave a batch without rows
+                now.move(np.tensordot(by, grad, 1), how, steps * how.epochs)
+            if now.step > shared.value.step:
+                yield pa.RecordBatch.from_pylist([{"loss": loss, "weights": now.weights.tobytes(), "first": now.first.tobytes(), "second": now.second.tobytes()}], MOVED)
+
+        found = rows.where(F.col("run") == k).mapInArrow(run, "loss double, weights binary, first binary, second binary").collect()  # a row, or none
+        shared.destroy()
+        for r in found:
+            state = State(*(np.frombuffer(r[c]).reshape(state.weights.shape) for c in ("weights", "first", "second")))
+            total += r["loss"]
+        state = replace(state, step=before + min(steps, (k + 1) * by_run))
+    rows.unpersist()
+    return state, total / steps
+
+
 def _epoch(d: DataFrame, state: State, epoch: int, steps: int, how: Settings, kinds, names, parts: int) -> tuple[State, float]:
+    if how.batch < RUN:
+        return _epoch_by_runs(d, state, epoch, steps, how, kinds, names, RUN // how.batch)
     share, shape, total = np.array([SHARES[x] * (1 if x == "cross_entropy" else how.rules_weight) for x in names]), state.weights.shape, 0.0
     rows = dealt(d, epoch, steps, how.seed).repartition(parts, "place").sortWithinPartitions("step", "place", "y", "w", "features").cache()
     state = replace(state)
