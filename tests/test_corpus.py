@@ -211,3 +211,11 @@ def test_positions_exchange_rows_once(spark):
     plan = got._jdf.queryExecution().executedPlan().toString().splitlines()
     assert len([x for x in plan if x.lstrip().startswith(":") and "hashpartitioning" in x]) == 1  # the join's left side
     assert sorted((str(r["bank"]), r["sent_pos"], r["doc"] or 0, r["t"]) for r in got.collect()) == sorted((str(b), 3 * (x or 0) + int(t[1]), x or 0, t) for b, _, x, t in rows)
+
+
+def test_csv_files_have_bounded_rows(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(tables, "FILE_ROWS", 10)
+    df, path = spark.range(25).selectExpr("id", "concat('a\n', id) AS t").coalesce(1), str(tmp_path / "t.csv")
+    tables.write_csv(df, path)
+    assert len(list((tmp_path / "t.csv").glob("part-*.csv"))) == 3
+    assert sorted(map(tuple, tables.read_table(spark, path).collect())) == sorted(map(tuple, df.collect()))
