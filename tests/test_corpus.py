@@ -219,3 +219,12 @@ def test_csv_files_have_bounded_rows(spark, tmp_path, monkeypatch):
     tables.write_csv(df, path)
     assert len(list((tmp_path / "t.csv").glob("part-*.csv"))) == 3
     assert sorted(map(tuple, tables.read_table(spark, path).collect())) == sorted(map(tuple, df.collect()))
+
+
+def test_a_batch_is_laid_out_in_one_file(spark, tmp_path, monkeypatch):
+    """Not in a file for each task, of which batches times tasks would be written."""
+    monkeypatch.setattr(scorers, "SMALL", 10)
+    df, path = spark.createDataFrame([(f"s{i}", f"a sentence of enough length {i}") for i in range(200)], "sent_id string, sentence string").repartition(8), str(tmp_path / "out")
+    assert scorers.label_batches(df, lambda d: d.select("sent_id"), path, 50) == 4
+    assert [len(list(p.glob("*.parquet"))) for p in sorted((tmp_path / "out_todo").glob("__batch=*"))] == [1] * 4
+    assert spark.read.parquet(path).distinct().count() == 200
