@@ -63,6 +63,29 @@ def test_spearman_matches_ranks_by_hand(spark):
     assert r == pytest.approx(cov / math.sqrt(sum((p - ma) ** 2 for p in a) * sum((q - mb) ** 2 for q in b)))
 
 
+def seen(spark):
+    """A function of numbers that gives them back, and a counter of how often it was called."""
+    calls = spark.sparkContext.accumulator(0)
+
+    def same(x):
+        calls.add(1)
+        return x
+
+    return F.udf(same, "double"), calls
+
+
+def test_spearman_reads_its_rows_once(spark):
+    same, calls = seen(spark)
+    df = spark.range(60).select(same(F.col("id") % 7 / 2).alias("x"), ((F.col("id") * 13) % 5).alias("y"), F.lit(1.5).alias("one"), F.lit(None).cast("double").alias("none"))
+    got = analyses.spearman(df, [("x", "y")]).first()["rho"]
+    assert calls.value == 60
+    xs, ys = [i % 7 / 2 for i in range(60)], [i * 13 % 5 for i in range(60)]
+    ranks = lambda v: [sum(b < a for b in v) + (v.count(a) + 1) / 2 for a in v]
+    a, b = [r - 30.5 for r in ranks(xs)], [r - 30.5 for r in ranks(ys)]
+    assert got == pytest.approx(sum(p * q for p, q in zip(a, b, strict=True)) / math.sqrt(sum(p * p for p in a) * sum(q * q for q in b)))
+    assert [(r["x"], r["y"], r["rho"]) for r in analyses.spearman(df, [("x", "one"), ("x", "none")]).collect()] == [("x", "one", None), ("x", "none", None)]
+
+
 def test_kappa_and_reconciliation(spark):
     df = spark.createDataFrame([("E", 0.8, "E"), ("E", 0.8, "G"), (None, None, "G"), ("bad", 0.9, None), ("E", 0.4, None)], "llm_label string, llm_confidence double, rule_label string")
     got = [(r["topic_label"], round(r["topic_confidence"], 6), r["label_source"]) for r in labels.reconcile(df).collect()]
