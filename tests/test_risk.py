@@ -63,15 +63,15 @@ def test_spearman_matches_ranks_by_hand(spark):
     assert r == pytest.approx(cov / math.sqrt(sum((p - ma) ** 2 for p in a) * sum((q - mb) ** 2 for q in b)))
 
 
-def seen(spark):
-    """A function of numbers that gives them back, and a counter of how often it was called."""
+def seen(spark, kind="double"):
+    """A function that gives values back, and a counter of how often it was called."""
     calls = spark.sparkContext.accumulator(0)
 
     def same(x):
         calls.add(1)
         return x
 
-    return F.udf(same, "double"), calls
+    return F.udf(same, kind), calls
 
 
 def test_spearman_reads_its_rows_once(spark):
@@ -86,6 +86,25 @@ def test_spearman_reads_its_rows_once(spark):
     assert [(r["x"], r["y"], r["rho"]) for r in analyses.spearman(df, [("x", "one"), ("x", "none")]).collect()] == [("x", "one", None), ("x", "none", None)]
 
 
+def test_samples_read_their_rows_once(spark):
+    same, calls = seen(spark, "string")
+    acts = ["Indeterminate", "Implemented", "Planning", "Unknown", None]
+    rows = [(i, acts[i % 5], i % 3 == 0, i * 37 % 100 / 100, i * 11 % 7 / 7 if i % 9 else None, "s" * (20 + i % 29)) for i in range(400)]
+    df = spark.createDataFrame(rows, "sent_pos int, action_label string, has_evidence boolean, es_combined double, wrs double, sentence string")
+    df = df.withColumns({"action_label": same("action_label"), "bank": F.lit("b"), "year": F.lit(2020), "evidence_types": F.array(F.lit("KPI")), "topic_label": F.lit("E")})
+    got = sorted((r["kind"], r["rank"], r["sentence"], r["washing_risk"], r["evidence_strength"]) for r in analyses.qualitative_samples(df).collect())
+    assert calls.value == len(rows)
+    kinds = {
+        "high_risk_pure_washing": (lambda a, e, x: a == "Indeterminate" and not e, -1), "suspicious_unsubstantiated": (lambda a, e, x: a == "Implemented" and x < 0.15, -1),
+        "medium_risk_planning": (lambda a, e, x: a == "Planning" and 0.1 < x < 0.5, -1), "low_risk_substantive": (lambda a, e, x: a == "Implemented" and x > 0.4, 1),
+    }
+    want = []
+    for name, (rule, sign) in kinds.items():  # nulls are the smallest
+        top = sorted((r for r in rows if rule(r[1], r[2], r[3])), key=lambda r: (sign * (-1 if r[4] is None else r[4]), r[0]))[:15]
+        want += [(name, k, r[5], r[4], r[3]) for k, r in enumerate([r for r in top if len(r[5]) > 30][:5], 1)]
+    assert got == sorted(want) and len({w[0] for w in want}) == 4
+
+
 def test_kappa_and_reconciliation(spark):
     df = spark.createDataFrame([("E", 0.8, "E"), ("E", 0.8, "G"), (None, None, "G"), ("bad", 0.9, None), ("E", 0.4, None)], "llm_label string, llm_confidence double, rule_label string")
     got = [(r["topic_label"], round(r["topic_confidence"], 6), r["label_source"]) for r in labels.reconcile(df).collect()]
