@@ -105,6 +105,21 @@ def test_samples_read_their_rows_once(spark):
     assert got == sorted(want) and len({w[0] for w in want}) == 4
 
 
+def test_filters_on_labels_compute_them_once(spark):
+    topics, actions = ["E", "G", "Non_ESG", None], ["Implemented", "Planning", "Indeterminate"]
+    rows = [(topics[i % 4], actions[i % 3]) for i in range(48)]
+    for call in (
+        lambda d: {r["topic"]: (round(r["implemented_pct"], 4), round(r["planning_pct"], 4)) for r in analyses.topic_actions(d).collect()} == {t: (33.3333, 33.3333) for t in ("E", "G")},
+        lambda d: labels.esg_subset(d).collect().count(("G", "Planning")) == 4 and labels.esg_subset(d).columns == d.columns,
+        lambda d: {(r[0], r[2]) for r in labels.encode(d, "topic_label", ("E", "G")).collect()} == {("E", 0), ("G", 1)},
+        lambda d: {r["label"]: r["n"] for r in labels.class_weights(d, "topic_label", ("E", "G")).collect()} == {"E": 12, "G": 12},
+        lambda d: analyses.eta_squared(d.withColumn("wrs", F.when(F.col("topic_label") == "E", 1.0).otherwise(0.0)), "topic_label").first()[0] == 1,
+    ):
+        same, calls = seen(spark, "string")
+        assert call(spark.createDataFrame(rows, "topic_label string, action_label string").withColumn("topic_label", same("topic_label")))
+        assert calls.value == 48
+
+
 def test_kappa_and_reconciliation(spark):
     df = spark.createDataFrame([("E", 0.8, "E"), ("E", 0.8, "G"), (None, None, "G"), ("bad", 0.9, None), ("E", 0.4, None)], "llm_label string, llm_confidence double, rule_label string")
     got = [(r["topic_label"], round(r["topic_confidence"], 6), r["label_source"]) for r in labels.reconcile(df).collect()]

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from veridicta.functions.expressions import rate
 from veridicta.operators import analyses
 from veridicta.operators.risk import rounded, sentence_risks, topic_breakdown
+from veridicta.plans.lineage import settled
 
 DETAILS = 500
 
@@ -28,7 +29,7 @@ def overview(df: DataFrame, scores: DataFrame) -> DataFrame:
 def topic_summary(df: DataFrame) -> DataFrame:
     """Mean over (bank, year) of the topic's rounded index, which is not the mean over sentences."""
     t = topic_breakdown(df).groupBy("topic").agg(F.avg(F.round("ewri", 2)).alias("avg_ewri"))
-    n = df.where(F.col("topic_label").isNotNull()).groupBy(F.col("topic_label").alias("topic")).agg(F.count("*").alias("total_sentences"), (rate(F.col("action_label") == "Implemented") * 100).alias("implemented_pct"))
+    n = settled(df, F.col("topic_label").alias("__topic")).where("__topic IS NOT NULL").groupBy(F.col("__topic").alias("topic")).agg(F.count("*").alias("total_sentences"), (rate(F.col("action_label") == "Implemented") * 100).alias("implemented_pct"))
     return t.join(n, "topic")
 
 
