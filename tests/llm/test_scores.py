@@ -279,6 +279,25 @@ def test_lm_score_matches_plain_python():
         assert math.isclose(x, plain_score(v, m, d.tolist()), rel_tol=1e-4)
 
 
+def test_lm_takes_all_classes_together(monkeypatch):
+    import numpy as np
+
+    v = gru_lm.Vocabulary(np.arange(1, 401, dtype=np.uint64), np.arange(400, 0, -1), 50, 100_000, 500)
+    m, rng, calls, whole = gru_lm.Model(v), np.random.default_rng(3), [], gru_lm._log_softmax_at
+    monkeypatch.setattr(gru_lm, "_log_softmax_at", lambda *a: calls.append(1) or whole(*a))
+    state, token = rng.normal(size=(600, gru_lm.HIDDEN)).astype(np.float32), rng.integers(0, v.size + 2, 600)
+    got = m.outputs(state, token, [])
+    assert len(calls) == 2  # the classes, and the words of all of them
+    for k in range(0, 600, 50):
+        alone = m.outputs(state[k : k + 1], token[k : k + 1])[0]
+        assert abs(got[k] - alone) < 1e-4
+    words, rows = np.sort(rng.choice(30, 300, p=np.r_[0.5, np.full(29, 0.5 / 29)])), rng.normal(size=(300, 5)).astype(np.float32)
+    out, want = np.zeros((31, 5), np.float32), np.zeros((31, 5))
+    gru_lm._sums(words, rows, out)
+    np.add.at(want, words, rows)
+    assert np.allclose(out, want, atol=1e-4)
+
+
 def test_lm_gradients_match_finite_differences():
     import numpy as np
 

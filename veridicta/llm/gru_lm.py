@@ -39,7 +39,8 @@ VOCABULARY, CLASSES, HIDDEN = 2000, 45, 32
 STREAMS, STEPS, EPOCHS, LEAST_WINDOWS = 192, 24, 1, 300
 RATE = 4e-3
 SUMS = 8
-WINDOW = 128  # tokens scored between two passes of the output layers
+FEW = 8  # rows of a word
+SETTLED = 1 << 13  # tokens scored between two passes of the output layers, whose values then stay in the cache
 PART_VALUES = 1_500_000
 BATCH_BYTES, SCORED_BYTES = 4 << 20, 12 << 20
 _COUNTS = "batch long, part long, counts binary, kinds long, total long, top array<struct<h:long,n:long>>"
@@ -47,7 +48,11 @@ _TOLD = "part long, batch long, value binary, extra binary, doc binary, place bi
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+    """In the place of x."""
+    np.negative(x, out=x)
+    np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
 
 
 LARGEST, LEAST = 60.0, 1e-25  # exponentials and their sums that are well inside a float32
@@ -78,6 +83,22 @@ def _log_softmax_at(logits: Callable[[], np.ndarray], place: np.ndarray, rows: n
     return here - np.log(total), x if all_ else None
 
 
+def _sums(words: np.ndarray, rows: np.ndarray, out: np.ndarray) -> None:
+    """Puts the sum of each word's rows into its row of ``out``; words are sorted.  A frequent word's rows are added up by
+    themselves, the others' first, second, third ... rows for all words together."""
+    first = np.flatnonzero(np.r_[True, words[1:] != words[:-1]])
+    n = np.diff(np.r_[first, len(words)])
+    at = words[first]
+    out[at] = rows[first]
+    some = np.flatnonzero((n > 1) & (n <= FEW))
+    for k in range(1, FEW):
+        some = some[n[some] > k]
+        if len(some):
+            out[at[some]] += rows[first[some] + k]
+    for i in np.flatnonzero(n > FEW).tolist():
+        np.add.reduce(rows[first[i] : first[i] + n[i]], 0, out=out[at[i]])
+
+
 @dataclass
 class Vocabulary:
     """Tokens: 0 .. size - 1 the known words by falling count, then any other word, then the end."""
@@ -130,10 +151,16 @@ class Model:
     def step(self, token: np.ndarray, state: np.ndarray):
         h = HIDDEN
         x, u = self.input[token], state @ self.recur
-        gates = _sigmoid(x[:, : 2 * h] + u[:, : 2 * h])
+        x[:, : 2 * h] += u[:, : 2 * h]
+        gates = _sigmoid(x[:, : 2 * h].copy())
         z, r = gates[:, :h], gates[:, h:]
-        n = np.tanh(x[:, 2 * h :] + r * u[:, 2 * h :])
-        return n + z * (state - n), (z, r, n, u[:, 2 * h :])
+        n = r * u[:, 2 * h :]
+        n += x[:, 2 * h :]
+        np.tanh(n, out=n)
+        new = state - n
+        new *= z
+        new += n
+        return new, (z, r, n, u[:, 2 * h :])
 
     def outputs(self, state: np.ndarray, target: np.ndarray, learn: list | None = None) -> np.ndarray:
         """Natural log probability of each target; with ``learn`` also the gradients of the summed loss."""
@@ -147,23 +174,30 @@ class Model:
             to_class, class_bias = state.T @ d, d.sum(0)
             to_word, word_bias = np.zeros_like(self.to_word), np.zeros_like(self.word_bias)
         by = np.argsort(kind.astype(np.uint16), kind="stable")  # a class's rows together
-        edge = np.searchsorted(kind[by], np.arange(v.classes - 1))
-        if edge[-1]:
-            some = by[: edge[-1]]
-            mine, place = state[some], target[some] % v.per_class
-            logs, back = np.empty(len(some), mine.dtype), np.empty_like(mine) if learn is not None else None
-            for c in range(v.classes - 2):
-                i, j = edge[c], edge[c + 1]
-                if j > i:
-                    words = lambda i=i, j=j, c=c: mine[i:j] @ self.to_word[c] + self.word_bias[c]
-                    logs[i:j], d = _log_softmax_at(words, place[i:j], rows[: j - i], learn is not None)
-                    if learn is not None:
-                        d[rows[: j - i], place[i:j]] -= 1
-                        np.matmul(d, self.to_word[c].T, out=back[i:j])
-                        np.matmul(mine[i:j].T, d, out=to_word[c])
-                        np.sum(d, 0, out=word_bias[c])
+        edge = np.searchsorted(kind[by], np.arange(v.classes - 1)).tolist()
+        if n := edge[-1]:
+            some = by[:n]
+            place = target[some] % v.per_class
+            mine = np.ones((n, HIDDEN + 1), state.dtype)  # the ones are for the biases
+            mine[:, :-1] = state[some]
+            weights = np.concatenate([self.to_word, self.word_bias[:, None]], 1)
+            runs = [(c, i, j) for c, (i, j) in enumerate(zip(edge[:-1], edge[1:], strict=True)) if j > i]
+
+            def words():
+                x = np.empty((n, v.per_class), np.result_type(mine, weights))
+                for c, i, j in runs:
+                    np.matmul(mine[i:j], weights[c], out=x[i:j])
+                return x
+
+            logs, d = _log_softmax_at(words, place, rows[:n], learn is not None)
             out[some] += logs
             if learn is not None:
+                d[rows[:n], place] -= 1
+                back, both = np.empty((n, HIDDEN), d.dtype), np.zeros_like(weights)
+                for c, i, j in runs:
+                    np.matmul(d[i:j], self.to_word[c].T, out=back[i:j])
+                    np.matmul(mine[i:j].T, d[i:j], out=both[c])
+                to_word, word_bias = np.ascontiguousarray(both[:, :-1]), both[:, -1].copy()
                 to_state[some] += back
         if learn is not None:
             learn += [to_state, to_class, to_word, class_bias, word_bias]
@@ -185,7 +219,7 @@ class Model:
         def settle():
             if states:
                 logp = self.outputs(np.concatenate(states), np.concatenate(targets))
-                np.add.at(out, np.concatenate(whose), logp.astype(np.float64))
+                out[:] += np.bincount(np.concatenate(whose), weights=logp, minlength=len(out))
                 states.clear(), targets.clear(), whose.clear()
 
         held = 0
@@ -197,7 +231,7 @@ class Model:
             whose.append(np.arange(n))
             previous = token
             held += n
-            if held >= WINDOW * 256:
+            if held >= SETTLED:
                 settle()
                 held = 0
         settle()
@@ -303,38 +337,34 @@ class Model:
         to_states[...] = 0
         to_states[use] = learn[0]
         to_states = to_states.reshape(steps, lanes, h)
-        into, around = kept("into", steps, lanes, 3 * h), kept("around", steps, lanes, 3 * h)
-        # what doesn't depend on later steps, for all of them: how much of a state's gradient each gate gets
+        around, factor = kept("around", steps, lanes, 3, h), kept("factor", steps, lanes, 3, h)
+        # what doesn't depend on later steps, for all of them: how much of a state's gradient each gate's sum gets
         z, r = gates[:, :, :h], gates[:, :, h:]
         to_n = np.subtract(1, z, out=kept("to_n", steps, lanes, h))
         to_z = np.subtract(inputs, n, out=kept("to_z", steps, lanes, h))
         to_z *= z
-        to_z *= to_n
-        to_r = np.subtract(1, r, out=kept("to_r", steps, lanes, h))
-        to_r *= r
-        to_r *= u[:, :, 2 * h :]
+        np.multiply(to_z, to_n, out=factor[:, :, 0])
         n *= n
         np.subtract(1, n, out=n)
         to_n *= n
-        back, d_state = np.ascontiguousarray(self.recur.T), np.zeros((lanes, h), np.float32)
+        through = np.multiply(to_n, r, out=factor[:, :, 2])
+        to_r = np.subtract(1, r, out=to_z)
+        to_r *= u[:, :, 2 * h :]
+        np.multiply(to_r, through, out=factor[:, :, 1])
+        back, d_state, held = np.ascontiguousarray(self.recur.T), np.zeros((lanes, h), np.float32), np.empty((lanes, h), np.float32)
         for t in range(steps - 1, -1, -1):
             d = to_states[t]
             d += d_state
-            np.multiply(d, to_z[t], out=into[t, :, :h])
-            dn = np.multiply(d, to_n[t], out=into[t, :, 2 * h :])
-            np.multiply(dn, to_r[t], out=into[t, :, h : 2 * h])
-            around[t, :, : 2 * h] = into[t, :, : 2 * h]
-            np.multiply(dn, r[t], out=around[t, :, 2 * h :])
-            d_state = around[t] @ back
-            d *= z[t]
-            d_state += d
+            np.multiply(d[:, None], factor[t], out=around[t])
+            np.matmul(around[t].reshape(lanes, 3 * h), back, out=d_state)
+            d_state += np.multiply(d, z[t], out=held)
             d_state[begins[t]] = 0
         d_recur = inputs.reshape(-1, h).T @ around.reshape(-1, 3 * h)
+        np.multiply(to_states, to_n, out=around[:, :, 2])  # the input's part does not go through the reset gate
         words = before.T.ravel()
         by = np.argsort(words.astype(np.uint32) if self.v.size >= 1 << 16 else words.astype(np.uint16), kind="stable")
-        first = np.flatnonzero(np.r_[True, np.diff(words[by]) != 0])
         d_input = np.zeros_like(self.input)
-        d_input[words[by[first]]] = np.add.reduceat(into.reshape(-1, 3 * h)[by], first)
+        _sums(words[by], around.reshape(-1, 3 * h)[by], d_input)
         return [d_input, d_recur, *learn[1:]], state
 
     def _window(self, before, token, real, state, moments, turn, rate):
