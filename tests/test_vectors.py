@@ -1,12 +1,15 @@
 """Sentence vectors against numpy's SVD, and what they are for."""
 
 import random
+import uuid
 from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from veridicta.operators import vectors
+from veridicta.functions.expressions import cosine
+from veridicta.operators import entailment, vectors
 
 TOPICS = [[[f"t{t}s{s}w{v}" for v in range(4)] for s in range(6)] for t in range(5)]  # topic, sense, synonyms
 
@@ -130,3 +133,52 @@ def test_sums_are_as_many_as_tasks_however_many_parts(spark):
 
     rows = vectors._partial(spark.range(1000).repartition(60), run).collect()
     assert len(rows) <= vectors.TASKS and sum(int.from_bytes(r["sums"], "little") for r in rows) == 1000
+
+
+def test_texts_are_read_thrice_however_many_passes(spark, corpus, tmp_path):
+    """Counted, their terms counted, cut into numbers; passes read the numbers."""
+    folder = str(tmp_path)
+
+    def told(batches):
+        for b in batches:
+            with open(f"{folder}/{uuid.uuid4().hex}", "w") as f:
+                f.write(str(b.num_rows))
+            yield b
+
+    df = spark.createDataFrame([(t,) for t in corpus], "sentence string").repartition(5).mapInArrow(told, "sentence string")
+    vectors.fit(df, dimensions=10, passes=6)
+    assert sum(int(p.read_text()) for p in tmp_path.iterdir()) <= 3 * len(corpus)
+
+
+def test_nearness_is_the_cosine_of_the_vectors(spark, corpus, model):
+    rows = list(zip(range(len(corpus)), corpus, [*corpus[1:], None], strict=True))
+    df = spark.createDataFrame(rows, "i int, a string, b string").repartition(3)
+    got = {r["i"]: (r["near"], r["known"]) for r in vectors.nearness(df, model, {"near": ("a", "b"), "known": ("a", "a")}).collect()}
+    want = vectors.embed(vectors.embed(df, model, "a", "v"), model, "b", "w").select("i", cosine(F.col("v"), F.col("w")), cosine(F.col("v"), F.col("v"))).collect()
+    assert len(got) == len(corpus) and all(got[i] == pytest.approx((x, y), abs=1e-12) for i, x, y in want)
+
+
+def test_features_of_many_pairs_at_once(model, corpus):
+    a = entailment.Alignment(model)
+    rng = random.Random(4)
+    texts = [*corpus[:60], None, "", "not 3.5 unknown", "unknown other 7 3.5", "nie " + corpus[0]]
+    pairs = [(rng.choice(texts), rng.choice(texts)) for _ in range(300)] + [(t, t) for t in texts]
+    unit = (model.axes * model.sizes) / np.maximum(np.linalg.norm(model.axes * model.sizes, axis=1), 1e-12)[:, None]
+    number = {t: i for i, t in enumerate(model.terms)}
+    plain = lambda t: [w for w in dict.fromkeys(vectors.words_of(t)) if w not in entailment.NEGATIONS and not w.isdigit()]
+
+    def one_way(words, others):
+        near = []
+        for w in words:
+            cos = max((unit[number[w]] @ unit[number[o]] for o in others if o in number), default=0) if w in number else 0
+            near.append(1.0 if w in others else min(cos, 1) if cos >= entailment.LEAST_NEAR else 0.0)
+        weight, near = np.array([model.idf[number[w]] if w in number else model.idf.max() for w in words]), np.array(near)
+        return (near @ weight / weight.sum(), near.min(), (near > 1 - 1e-12) @ weight / weight.sum()) if words else (0, 0, 0)
+
+    for got, (e, c) in zip(a.features(pairs), pairs, strict=True):
+        there, back = one_way(plain(c), plain(e)), one_way(plain(e), plain(c))
+        assert got[:5] == pytest.approx([*there, back[0], back[2]], abs=1e-9)
+    for got, (t, _) in zip(a.features(pairs)[300:], pairs[300:], strict=True):
+        assert list(got[:5]) == pytest.approx([float(bool(plain(t)))] * 5)  # a text covers itself, whatever the rounding of its words' vectors
+    assert list(a.features([("not 3.5 unknown", "unknown other 7 3.5")])[0][5:]) == [1.0, 0.5, 1.0]
+    assert a.features([]).shape == (0, 8)
